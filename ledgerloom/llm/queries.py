@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, line_templates, quality_classifier, quality_rules, secrets, simhash, token_counts, url_filters
+from . import bpe, decontaminate, line_templates, quality_classifier, quality_rules, secrets, simhash, substring_dedup, token_counts, url_filters
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge_quality(_table(spark, sf_dir, "documents"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.drop_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -50,6 +54,6 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_templates.digest(line_templates.drop_recurring_lines(_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_simhash, op3_token_counts, op4_secret_scans, op5_bpe, op6_quality_classifier, op7_quality_rules, op9_decontamination, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_simhash, op3_token_counts, op4_secret_scans, op5_bpe, op6_quality_classifier, op7_quality_rules, op8_substring_dedup, op9_decontamination, op10_line_dedup)}
 
 ORACLES = {"op1_url_filters": url_filters.oracle()}
