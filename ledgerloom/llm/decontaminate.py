@@ -267,7 +267,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, keys: list[str] | None = N
 
         done = [f"__{x}{j}" for j in range(b) for x in "nilc"]
         last = b == len(boxes or [None]) - 1
-        out = per_text(out, [*keys, *done, *([] if last else ["text"])], "text", make, f"__n{b} long, __i{b} string, __l{b} long, __c{b} double")
+        out = per_text(out, list(dict.fromkeys([*keys, *done, *([] if last else ["text"])])), "text", make, f"__n{b} long, __i{b} string, __l{b} long, __c{b} double")
     count = range(len(boxes or [None]))
     total = sum((F.col(f"__n{b}") for b in count), F.lit(0).cast("long"))
     items = F.concat_ws(",", *[F.when(F.col(f"__i{b}") != "", F.col(f"__i{b}")) for b in count])

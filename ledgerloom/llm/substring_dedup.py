@@ -141,10 +141,10 @@ def window_hashes(words: np.ndarray, first: np.ndarray, window: int = WINDOW) ->
     return out[0].view(np.int64), (out[1] >> np.uint64(33)).astype(np.int32)
 
 
-def _marks(text: str) -> tuple[int, int]:
+def _marks(text: str | bytes) -> tuple[int, int]:
     from xxhash import xxh3_128_digest
 
-    d = xxh3_128_digest(text.encode("utf-8", "surrogatepass"))
+    d = xxh3_128_digest(text if isinstance(text, bytes) else text.encode("utf-8", "surrogatepass"))
     return int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
 
 
