@@ -79,6 +79,7 @@ class Model:
     vocabulary: np.ndarray  # sorted word hashes
     idf: np.ndarray
     unknown: float  # idf of words that no item has
+    most: np.ndarray  # of each word the largest weight in any item, items being of length 1
     basis: np.ndarray  # word x dimension
     items: np.ndarray  # item x dimension, of length 1
     item_ids: list[int]
@@ -99,13 +100,13 @@ class Model:
         weight = np.where(at >= 0, self.idf[at], self.unknown).astype(np.float32)
         starts = np.arange(0, n, STEP)
         energy = np.add.reduceat(weight * weight, starts)
-        shared = np.add.reduceat(np.where(at >= 0, weight * weight, 0), starts)
-        need = np.float32(MIN_COSINE**2)
-        wide = [np.convolve(x, np.ones(w))[w - 1 :] for w in WINDOWS for x in (energy, shared)]
-        open_ = [np.flatnonzero(wide[2 * k + 1] >= need * wide[2 * k]) for k in range(len(WINDOWS))]
+        reach = np.add.reduceat(np.where(at >= 0, weight * self.most[at], 0), starts)
+        wide = [np.convolve(x, np.ones(w))[w - 1 :] for w in WINDOWS for x in (energy, reach)]
+        open_ = [np.flatnonzero(wide[2 * k + 1] >= MIN_COSINE * np.sqrt(wide[2 * k])) for k in range(len(WINDOWS))]
         if not any(map(len, open_)):
             return []
-        # A stretch's cosine is at most the root of the share of its energy that known words hold; the rest is closed.
+        # No item's cosine with a stretch exceeds the sum of its words' weights times the most that any item gives each
+        # of them; stretches that stay below the limit are not projected.
         blocks = np.unique(np.concatenate([np.add.outer(o, np.arange(w)).ravel() for o, w in zip(open_, WINDOWS, strict=True)]))
         blocks = blocks[blocks < len(starts)]
         latent = np.zeros((len(starts) + max(WINDOWS), self.basis.shape[1]), np.float32)
@@ -125,12 +126,15 @@ class Model:
                 for r, item in np.argwhere(score >= MIN_COSINE).tolist():
                     lo, words = int(starts[o[r]]), self.item_words[item]
                     region = hashes[max(0, lo - len(words)) : lo + w * STEP + len(words)].tolist()
+                    within = set(region)
+                    if sum(x in within for x in words) < LCS_LIKELY * len(words):
+                        continue
                     got = lcs(words, region)
                     if got < LCS_LIKELY * len(words) or got <= best.get(item, (0, 0.0))[0]:
                         continue
                     got = self.tight(words, region, got)
                     share = got / len(words)
-                    told = len(self.telling[item] & set(region)) / max(1, len(self.telling[item]))
+                    told = len(self.telling[item] & within) / max(1, len(self.telling[item]))
                     if got > best.get(item, (0, 0.0))[0] and (share >= LCS_SURE or (share >= LCS_LIKELY and told >= TELLING)):
                         best[item] = (got, float(score[r, item]))
         return [(i, a, c) for i, (a, c) in sorted(best.items())]
@@ -224,8 +228,11 @@ def fit(items: DataFrame, docs: DataFrame, dimensions: int = DIMENSIONS) -> Mode
     u, s, vt = np.linalg.svd(b, full_matrices=False)
     k = min(dimensions, int(np.searchsorted(np.cumsum(s * s) / max((s * s).sum(), 1e-12), ENERGY)) + 1, len(s))
     basis = vt[:k].T
-    latent = []
+    latent, most = [], np.zeros(size)
     for _, w in own:
+        at, times = np.unique(np.searchsorted(vocabulary, w), return_counts=True)
+        weights = times * idf[at]
+        most[at] = np.maximum(most[at], weights / np.linalg.norm(weights))
         at = np.searchsorted(vocabulary, w)
         z = (basis[at] * idf[at, None]).sum(0)
         latent.append(z / max(np.linalg.norm(z), 1e-9))
@@ -233,7 +240,7 @@ def fit(items: DataFrame, docs: DataFrame, dimensions: int = DIMENSIONS) -> Mode
     for _, w in own:
         rare = sorted({int(x) for x in w}, key=lambda x: (-idf[np.searchsorted(vocabulary, np.uint64(x))], x))
         telling.append(set(rare[: max(3, len(rare) // 4)]))
-    return Model(vocabulary, idf.astype(np.float32), float(np.mean(idf)), basis.astype(np.float32), np.array(latent, np.float32), [i for i, _ in own], [w.tolist() for _, w in own], telling)
+    return Model(vocabulary, idf.astype(np.float32), float(np.mean(idf)), most.astype(np.float32), basis.astype(np.float32), np.array(latent, np.float32), [i for i, _ in own], [w.tolist() for _, w in own], telling)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, keys: list[str] | None = None, max_items: int = MAX_ITEMS) -> DataFrame:
