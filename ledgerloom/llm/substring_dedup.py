@@ -255,6 +255,11 @@ def _rows(n: int, **given) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([given[c] if c in given else pa.nulls(n, kind) for c, kind in _EMPTY.items()], names=list(_EMPTY))
 
 
+def _joint(t1: np.ndarray, sign: np.ndarray) -> np.ndarray:
+    """One hash for a sign in a text; that two may share one only makes a window a candidate in vain."""
+    return mix(sign ^ mix(t1.view(np.uint64)))
+
+
 def _candidates(window: int):
     """From (t1, sign, t2, id, body) rows sorted by t1 and t2, signs first: the hashed windows with a shared sign, and
     the texts that have one."""
@@ -269,28 +274,30 @@ def _candidates(window: int):
             rows = np.flatnonzero(is_text)
             if not len(rows):
                 continue
-            flag_t1 = t1[~is_text]
-            flag_sign = sign[~is_text].view(np.uint64)
-            order = np.lexsort((flag_sign, flag_t1))
-            flag_t1, flag_sign = flag_t1[order], flag_sign[order]
+            flags = np.unique(_joint(t1[~is_text], sign[~is_text].view(np.uint64)))
+            flagged = np.unique(t1[~is_text])
             ids = table.column(3).fill_null(0).to_numpy()
             bounds = np.flatnonzero(np.append(True, (t1[rows][1:] != t1[rows][:-1]) | (t2[rows][1:] != t2[rows][:-1])))
-            least = np.minimum.reduceat(ids[rows], bounds)
-            bodies = table.column(4)
-            for row, own_id in zip(rows[bounds].tolist(), least.tolist(), strict=True):
-                a, b = np.searchsorted(flag_t1, t1[row], "left"), np.searchsorted(flag_t1, t1[row], "right")
-                if a == b:
+            least, rows = np.minimum.reduceat(ids[rows], bounds), rows[bounds]
+            use = np.isin(t1[rows], flagged)
+            least, rows = least[use], rows[use]
+            for s in range(0, len(rows), 200):  # some hundred texts at a time
+                part, owner = rows[s : s + 200], least[s : s + 200]
+                packed = table.column(4).take(pa.array(part)).to_pylist()
+                own = [word_hashes(unpack.decompress(x)) for x in packed]
+                sizes = np.array(list(map(len, own)))
+                words, doc = np.concatenate(own), np.repeat(np.arange(len(own)), sizes)
+                first, found = signs(words, doc, window)
+                at = doc[first]
+                hit = np.isin(_joint(t1[part][at], found), flags)
+                first, at = first[hit], at[hit]
+                if not len(first):
                     continue
-                packed = bodies[row].as_py()
-                words = word_hashes(unpack.decompress(packed))
-                first, own = signs(words, np.zeros(len(words), np.int64), window)
-                place = np.minimum(np.searchsorted(flag_sign[a:b], own), b - a - 1)
-                first = first[flag_sign[a:b][place] == own]
-                n = len(first)
-                if n:
-                    h1, h2 = window_hashes(words, first, window)
-                    yield _rows(n, h1=pa.array(h1), h2=pa.array(h2), id=pa.array(np.full(n, own_id)), t1=pa.array(np.full(n, t1[row])), at=pa.array(first.astype(np.int32)))
-                    yield _rows(1, id=pa.array([own_id]), t1=pa.array([t1[row]]), t2=pa.array([t2[row]]), body=pa.array([packed], pa.binary()))
+                h1, h2 = window_hashes(words, first, window)
+                inside = first - (np.cumsum(sizes) - sizes)[at]
+                yield _rows(len(first), h1=pa.array(h1), h2=pa.array(h2), id=pa.array(owner[at]), t1=pa.array(t1[part][at]), at=pa.array(inside.astype(np.int32)))
+                some = np.unique(at)
+                yield _rows(len(some), id=pa.array(owner[some]), t1=pa.array(t1[part][some]), t2=pa.array(t2[part][some]), body=pa.array([packed[k] for k in some.tolist()], pa.binary()))
 
     return run
 
