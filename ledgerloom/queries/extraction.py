@@ -114,8 +114,8 @@ def s02_read_delimited(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The grids written as text with one of four delimiters and read back."""
     rows = from_sql(spark, sf_dir, ROWS)
     mark = F.element_at(F.array(*map(F.lit, ",;\t|")), (F.col("doc_id") % 4 + 1).cast("int"))
-    line = F.concat(F.lit('"'), F.concat_ws(F.concat(F.lit('"'), mark, F.lit('"')), "c0", "c1", "c2", "c3"), F.lit('"'))
-    files = rows.withColumn("line", line).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_idx", "line"))), lambda x: x["line"]), "\n").cast("binary").alias("content"))
+    line = F.expr("""concat('"', concat_ws(concat('"', mark, '"'), c0, c1, c2, c3), '"')""")
+    files = rows.withColumn("mark", mark).withColumn("line", line).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_idx", "line"))), lambda x: x["line"]), "\n").cast("binary").alias("content"))
     return S.read_delimited(files).select("doc_id", "row_idx", F.array_join(F.transform("cells", lambda c: c["s"]), "|").alias("cells"))
 
 

@@ -78,10 +78,10 @@ def pick_sheet(sheet_cells: DataFrame) -> DataFrame:
     A row with an amount and two cells scores 1 and up to 3 of its amounts; ties go to the earlier sheet.
     """
     kept = sheet_cells.where(F.col("row_idx") < SHEET_ROWS)
-    read = F.transform("cells", S.read_cell)
-    amounts = F.size(F.filter(read, lambda x: x["amt"].isNotNull()))
-    full = F.size(F.filter(read, lambda x: x["full"]))
-    score = F.when((F.col("row_idx") < SCORED_ROWS) & (amounts >= 1) & (full >= 2), 1 + F.least(amounts, F.lit(3))).otherwise(0)
+    seen = F.transform("cells", lambda c: F.struct((F.coalesce(c["d"], S.parse_amount(c["s"])).isNotNull()).alias("amount"), (F.coalesce(c["s"], F.when(c["d"].isNotNull() | c["ts"].isNotNull(), "x"), F.lit("")) != "").alias("full")))
+    counts = S.let(seen, lambda x: F.struct(F.size(F.filter(x, lambda y: y["amount"])).alias("amounts"), F.size(F.filter(x, lambda y: y["full"])).alias("full")))
+    points = S.let(counts, lambda n: F.when((n["amounts"] >= 1) & (n["full"] >= 2), 1 + F.least(n["amounts"], F.lit(3))).otherwise(0))
+    score = F.when(F.col("row_idx") < SCORED_ROWS, points).otherwise(0)
     scored = kept.select("doc_id", "sheet_idx", score.alias("score")).groupBy("doc_id", "sheet_idx").agg(F.sum("score").alias("score"))
     best = scored.groupBy("doc_id").agg(F.max(F.struct("score", (-F.col("sheet_idx")).alias("first"))).alias("b")).select("doc_id", (-F.col("b.first")).alias("sheet_idx"))
     return kept.join(best, ["doc_id", "sheet_idx"]).select("doc_id", "row_idx", "cells", "sheet")
