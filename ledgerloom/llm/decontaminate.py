@@ -37,27 +37,33 @@ _IN_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] =
 _RANDOM = np.random.default_rng(23).integers(1, 2**62, 64, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def word_hashes(raw: bytes) -> np.ndarray:
-    """A 64-bit hash of each word: runs of letters, digits and bytes beyond ASCII, with A-Z lower-cased."""
+def _words(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Start and 64-bit hash of each word: runs of letters, digits and bytes beyond ASCII, with A-Z lower-cased."""
     data = np.frombuffer(raw, np.uint8)
     inside = _IN_WORD[data]
     edge = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8)))
     starts, stops = edge[::2], edge[1::2]
     if not len(starts):
-        return np.empty(0, np.uint64)
+        return starts, np.empty(0, np.uint64)
     sizes = stops - starts
     letters = np.flatnonzero(inside)
     place = letters - np.repeat(starts, sizes)
     value = (_LOWER[data[letters]].astype(np.uint64) + place.astype(np.uint64) * np.uint64(256)) * _RANDOM[place & 63]
     h = np.add.reduceat(value, np.cumsum(sizes) - sizes)
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return h ^ (h >> np.uint64(29))
+    return starts, h ^ (h >> np.uint64(29))
+
+
+def word_hashes(raw: bytes) -> np.ndarray:
+    return _words(raw)[1]
 
 
 def hashes_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of all texts one after another, and where each text starts (one more at the end)."""
-    own = [word_hashes(t.encode("utf-8", "surrogatepass")) for t in texts]
-    return np.concatenate([*own, np.empty(0, np.uint64)]), np.cumsum([0, *map(len, own)])
+    raws = [t.encode("utf-8", "surrogatepass") for t in texts]
+    starts, hashes = _words(b" ".join(raws))
+    ends = np.cumsum([len(r) + 1 for r in raws])
+    return hashes, np.append(0, np.searchsorted(starts, ends))
 
 
 def lcs(item: list[int], words: list[int]) -> int:
@@ -91,12 +97,12 @@ class Model:
         at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
         return np.where(self.vocabulary[at] == hashes, at, -1)
 
-    def find(self, hashes: np.ndarray) -> list[tuple[int, int, float]]:
-        """(item, longest common subsequence, cosine) of the leaks in one document, the best stretch of each item."""
+    def find(self, hashes: np.ndarray, at: np.ndarray) -> list[tuple[int, int, float]]:
+        """(item, longest common subsequence, cosine) of the leaks in one document (its word hashes and their places in the
+        vocabulary), the best stretch of each item."""
         n = len(hashes)
         if n < MIN_WORDS:
             return []
-        at = self.places(hashes)
         weight = np.where(at >= 0, self.idf[at], self.unknown).astype(np.float32)
         starts = np.arange(0, n, STEP)
         energy = np.add.reduceat(weight * weight, starts)
@@ -109,20 +115,27 @@ class Model:
         # of them; stretches that stay below the limit are not projected.
         blocks = np.unique(np.concatenate([np.add.outer(o, np.arange(w)).ravel() for o, w in zip(open_, WINDOWS, strict=True)]))
         blocks = blocks[blocks < len(starts)]
-        latent = np.zeros((len(starts) + max(WINDOWS), self.basis.shape[1]), np.float32)
+        latent = np.zeros((len(blocks), self.basis.shape[1]), np.float32)
         used = np.concatenate([np.arange(starts[b], min(starts[b] + STEP, n)) for b in blocks])
         used = used[at[used] >= 0]
         if len(used):
-            b = used // STEP
-            first = np.flatnonzero(np.append(True, b[1:] != b[:-1]))
-            latent[b[first]] = np.add.reduceat(self.basis[at[used]] * weight[used, None], first, axis=0)
+            b = np.searchsorted(blocks, used // STEP)
+            share = np.zeros((len(blocks), len(used)), np.float32) if len(blocks) * len(used) < 1 << 16 else None
+            if share is not None:
+                share[b, np.arange(len(used))] = weight[used]
+                latent = share @ self.basis[at[used]]
+            else:
+                first = np.flatnonzero(np.append(True, b[1:] != b[:-1]))
+                latent[b[first]] = np.add.reduceat(self.basis[at[used]] * weight[used, None], first, axis=0)
+        # Scores of blocks, and of none; a stretch's score is the sum of its blocks'.
+        scores = np.vstack([latent @ self.items.T, np.zeros((1, len(self.items)), np.float32)])
         best: dict[int, tuple[int, float]] = {}
         for k, w in enumerate(WINDOWS):
             for s in range(0, len(open_[k]), 4096):
                 o = open_[k][s : s + 4096]
-                z = sum(latent[o + j] for j in range(w))
                 norm = np.sqrt(np.maximum(wide[2 * k][o], 1e-9))
-                score = (z @ self.items.T) / norm[:, None]
+                at_block = np.searchsorted(blocks, o)
+                score = sum(scores[np.minimum(at_block + j, len(blocks))] for j in range(w)) / norm[:, None]
                 for r, item in np.argwhere(score >= MIN_COSINE).tolist():
                     lo, words = int(starts[o[r]]), self.item_words[item]
                     region = hashes[max(0, lo - len(words)) : lo + w * STEP + len(words)].tolist()
@@ -171,8 +184,8 @@ def document_frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[int,
     def count(texts: list[str]) -> np.ndarray:
         known, out = box.value, np.zeros(len(box.value) + 1)
         out[-1] = len(texts)
-        for s in range(0, len(texts), 500):
-            hashes, starts = hashes_of(texts[s : s + 500])
+        for s in range(0, len(texts), 200):
+            hashes, starts = hashes_of(texts[s : s + 200])
             at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
             doc = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
             hit = known[at] == hashes
@@ -264,10 +277,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, keys: list[str] | None = N
 
         def make(texts: list[str], box=box) -> dict:
             got: dict = {f"__n{b}": [], f"__i{b}": [], f"__l{b}": [], f"__c{b}": []}
-            for t in texts:
-                found = box.value.find(word_hashes(t.encode("utf-8", "surrogatepass"))) if box and t else []
+            model = box.value if box else None
+            for k, t in enumerate(texts):
+                if k % 200 == 0 and model:
+                    hashes, starts = hashes_of(texts[k : k + 200])
+                    places = model.places(hashes)
+                own = slice(starts[k % 200], starts[k % 200 + 1]) if model else None
+                found = model.find(hashes[own], places[own]) if model and t else []
                 got[f"__n{b}"].append(len(found))
-                got[f"__i{b}"].append(",".join(str(box.value.item_ids[i]) for i, _, _ in found))
+                got[f"__i{b}"].append(",".join(str(model.item_ids[i]) for i, _, _ in found))
                 got[f"__l{b}"].append(max([a for _, a, _ in found], default=0))
                 got[f"__c{b}"].append(max([c for _, _, c in found], default=0.0))
             return got
