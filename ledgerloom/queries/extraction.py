@@ -12,7 +12,7 @@ from ..functions.stages import cut
 from ..operators import grid as G
 from ..operators import route as V
 from ..sources import files as S
-from .derived import CANDIDATES, ITEMS, RECORDS, ROWS, candidates, from_sql, grid
+from .derived import CANDIDATES, ITEMS, LINES, RECORDS, ROWS, candidates, from_sql, grid
 
 _COLS = ("date_col", "ref_col", "type_col", "debit_col", "credit_col", "amount_col")
 
@@ -145,8 +145,6 @@ def s06_select_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def s07_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .derived import LINES
-
     lines = from_sql(spark, sf_dir, LINES)
     t = F.struct("ref", F.col("ref_raw").alias("refRaw"), "date", F.col("date_iso").alias("dateISO"), "type", F.col("amount").cast("string").alias("amount"))
     of = lambda s: F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == s, F.struct("row", t.alias("t"))))), lambda x: x["t"])
@@ -262,6 +260,7 @@ ORACLES = {
     "s03_pick_sheet": _WITH + f"SELECT doc_id, CASE WHEN CASE layout WHEN 1 THEN 0 WHEN 3 THEN least(n, 3) WHEN 4 THEN least(n + 1, 2) ELSE least(n, 2) END = CASE layout WHEN 1 THEN n WHEN 3 THEN n WHEN 4 THEN n + 2 WHEN 5 THEN 2 * n ELSE n END THEN 'Cover' ELSE 'Ledger' END AS sheet, CASE WHEN CASE layout WHEN 1 THEN 0 WHEN 3 THEN least(n, 3) WHEN 4 THEN least(n + 1, 2) ELSE least(n, 2) END = CASE layout WHEN 1 THEN n WHEN 3 THEN n WHEN 4 THEN n + 2 WHEN 5 THEN 2 * n ELSE n END THEN least(3, CAST({_by('n + 1', 'n + 4', 'n + 1', 'n', 'n + 3', '2 * n + 2')} AS BIGINT)) ELSE CAST({_by('n + 1', 'n + 4', 'n + 1', 'n', 'n + 3', '2 * n + 2')} AS BIGINT) END AS n FROM docs",
     "s04_words_to_rows": _WITH + "SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY row_idx) - 1 AS INT) AS row_idx, cells FROM (SELECT CAST(doc_id AS VARCHAR) AS doc_id, row_idx, concat_ws('|', nullif(c0, ''), nullif(c1, ''), nullif(c2, ''), nullif(c3, '')) AS cells FROM rows) WHERE cells <> ''",
     "s06_select_blocks": _WITH + ", p AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, row_idx // 5 AS page, count(*) AS n FROM rows GROUP BY 1, 2) SELECT doc_id, CAST(sum(CAST(page % 3 = 0 AND n >= 2 AS INT)) AS BIGINT) AS tables, CAST(sum(CAST(NOT (page % 3 = 0 AND n >= 2) AS INT)) AS BIGINT) AS text_pages, false AS scanned FROM p GROUP BY 1",
+    "s07_transactions": f"SELECT recon_id, side, CAST(row_number() OVER (PARTITION BY recon_id, side ORDER BY row) - 1 AS BIGINT) AS row, ref, date_iso, type, amount FROM ({LINES})",
     "v01_validate": _WITH + "SELECT doc_id, ref, ref AS ref_raw, date, date_iso, type, amount FROM (" + _VALID + ")",
     "v02_alternate_meta": _WITH + f", {_ALT} SELECT doc_id, present, error, records, CASE WHEN NOT ok THEN 0.7 ELSE 0.9 END::DOUBLE AS confidence, ok FROM altm",
     "v03_agreement": _WITH + f", {_KEYS}, {_RATE} SELECT doc_id, rate, agreed, disagreed FROM rate",
