@@ -23,8 +23,8 @@ from .common import per_text
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Whitespace to Python's str.split() but not to the pattern.
 NOT_SPACE = regex.compile("[\x1c-\x1f]")
-#: Chunks and pairs that a worker keeps at most (some 250 MB).
-MAX_CACHED = 800_000
+#: Chunks and pairs that a worker keeps at most (some 80 MB).
+MAX_CACHED = 250_000
 NONE = np.int64(1 << 40)
 #: An odd number, so it has an inverse modulo 2**64.
 POWER = 0x9E3779B97F4A7C15
@@ -275,4 +275,4 @@ def encode_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", path:
         }
         return out | ({"ids": [a for a, _ in got], "decoded": [b.decode() for _, b in got]} if ids else {})
 
-    return per_text(docs, [key], text, make, "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary, decoded string" * ids)
+    return per_text(docs, [key], text, make, "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary, decoded string" * ids, 500)
