@@ -27,8 +27,14 @@ MIN_COSINE = 0.35
 LCS_SURE, LCS_LIKELY, TELLING = 0.7, 0.5, 0.8
 #: Items with fewer words tell nothing.
 MIN_WORDS = 6
-#: Items taken at once; a larger benchmark is worked off in blocks, and only one block's model is on an executor.
+#: Longer items are scored by pieces of so many words at most: wherever a piece starts, a stretch holds it whole.
+PIECE = STEP * (WINDOWS[-1] - 1)
+#: Pieces of which the latent space holds a lesser share of the energy are also scored by their exact TF-IDF cosine.
+HELD = 0.9
+#: Pieces taken at once; a larger benchmark is worked off in blocks of whole items, and only one block's model is on an executor.
 MAX_ITEMS = 5000
+#: Products of words and postings that are added up at once.
+MAX_PRODUCTS = 1 << 21
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -85,9 +91,14 @@ class Model:
     vocabulary: np.ndarray  # sorted word hashes
     idf: np.ndarray
     unknown: float  # idf of words that no item has
-    most: np.ndarray  # of each word the largest weight in any item, items being of length 1
+    most: np.ndarray  # of each word the largest weight in any piece, pieces being of length 1
     basis: np.ndarray  # word x dimension
-    items: np.ndarray  # item x dimension, of length 1
+    pieces: np.ndarray  # piece x dimension, of length 1
+    item_of: np.ndarray  # of each piece
+    weak: np.ndarray  # pieces that the latent space holds badly
+    posted: np.ndarray  # where each word's postings start, and one more
+    post_piece: np.ndarray  # places in ``weak``
+    post_weight: np.ndarray  # of the word in the piece of length 1
     item_ids: list[int]
     item_words: list[list[int]]
     telling: list[set[int]]
@@ -97,6 +108,23 @@ class Model:
         at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
         return np.where(self.vocabulary[at] == hashes, at, -1)
 
+    def exact(self, block: np.ndarray, at: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+        """Products of n blocks with the weak pieces, from the words' blocks (ascending), places and weights."""
+        wide = len(self.weak)
+        out = np.zeros(n * wide, np.float32)
+        times = self.posted[at + 1] - self.posted[at]
+        ends = np.cumsum(times)
+        lo = 0
+        while lo < len(at):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + MAX_PRODUCTS, "right")))
+            own = times[lo:hi]
+            place = np.repeat(self.posted[at[lo:hi]] - (np.cumsum(own) - own), own) + np.arange(own.sum())
+            first, last = int(block[lo]), int(block[hi - 1]) + 1
+            cell = np.repeat((block[lo:hi] - first) * wide, own) + self.post_piece[place]
+            out[first * wide : last * wide] += np.bincount(cell, np.repeat(weight[lo:hi], own) * self.post_weight[place], (last - first) * wide)
+            lo = hi
+        return out.reshape(n, wide)
+
     def find(self, hashes: np.ndarray, at: np.ndarray) -> list[tuple[int, int, float]]:
         """(item, longest common subsequence, cosine) of the leaks in one document (its word hashes and their places in the
         vocabulary), the best stretch of each item."""
@@ -111,11 +139,12 @@ class Model:
         open_ = [np.flatnonzero(wide[2 * k + 1] >= MIN_COSINE * np.sqrt(wide[2 * k])) for k in range(len(WINDOWS))]
         if not any(map(len, open_)):
             return []
-        # No item's cosine with a stretch exceeds the sum of its words' weights times the most that any item gives each
+        # No piece's cosine with a stretch exceeds the sum of its words' weights times the most that any piece gives each
         # of them; stretches that stay below the limit are not projected.
         blocks = np.unique(np.concatenate([np.add.outer(o, np.arange(w)).ravel() for o, w in zip(open_, WINDOWS, strict=True)]))
         blocks = blocks[blocks < len(starts)]
         latent = np.zeros((len(blocks), self.basis.shape[1]), np.float32)
+        exact = np.zeros((len(blocks) + 1, len(self.weak)), np.float32)
         used = np.concatenate([np.arange(starts[b], min(starts[b] + STEP, n)) for b in blocks])
         used = used[at[used] >= 0]
         if len(used):
@@ -127,8 +156,10 @@ class Model:
             else:
                 first = np.flatnonzero(np.append(True, b[1:] != b[:-1]))
                 latent[b[first]] = np.add.reduceat(self.basis[at[used]] * weight[used, None], first, axis=0)
+            if len(self.weak):
+                exact[:-1] = self.exact(b, at[used], weight[used], len(blocks))
         # Scores of blocks, and of none; a stretch's score is the sum of its blocks'.
-        scores = np.vstack([latent @ self.items.T, np.zeros((1, len(self.items)), np.float32)])
+        scores = np.vstack([latent @ self.pieces.T, np.zeros((1, len(self.pieces)), np.float32)])
         best: dict[int, tuple[int, float]] = {}
         for k, w in enumerate(WINDOWS):
             for s in range(0, len(open_[k]), 4096):
@@ -136,8 +167,16 @@ class Model:
                 norm = np.sqrt(np.maximum(wide[2 * k][o], 1e-9))
                 at_block = np.searchsorted(blocks, o)
                 score = sum(scores[np.minimum(at_block + j, len(blocks))] for j in range(w)) / norm[:, None]
-                for r, item in np.argwhere(score >= MIN_COSINE).tolist():
+                if len(self.weak):
+                    score[:, self.weak] = np.maximum(score[:, self.weak], sum(exact[np.minimum(at_block + j, len(blocks))] for j in range(w)) / norm[:, None])
+                near: dict[tuple[int, int], float] = {}
+                for r, piece in np.argwhere(score >= MIN_COSINE).tolist():
+                    own = r, int(self.item_of[piece])
+                    near[own] = max(near.get(own, 0.0), float(score[r, piece]))
+                for (r, item), cosine in near.items():
                     lo, words = int(starts[o[r]]), self.item_words[item]
+                    if best.get(item, (0, 0.0))[0] == len(words):
+                        continue
                     region = hashes[max(0, lo - len(words)) : lo + w * STEP + len(words)].tolist()
                     within = set(region)
                     if sum(x in within for x in words) < LCS_LIKELY * len(words):
@@ -149,7 +188,7 @@ class Model:
                     share = got / len(words)
                     told = len(self.telling[item] & within) / max(1, len(self.telling[item]))
                     if got > best.get(item, (0, 0.0))[0] and (share >= LCS_SURE or (share >= LCS_LIKELY and told >= TELLING)):
-                        best[item] = (got, float(score[r, item]))
+                        best[item] = (got, cosine)
         return [(i, a, c) for i, (a, c) in sorted(best.items())]
 
     @staticmethod
@@ -196,11 +235,16 @@ def document_frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[int,
     return (int(got[-1]), got[:-1]) if isinstance(got, np.ndarray) else (0, np.zeros(len(vocabulary)))
 
 
+def pieces_of(words: np.ndarray) -> list[np.ndarray]:
+    """An item's words, cut evenly where they are more than PIECE."""
+    return np.array_split(words, -(-len(words) // PIECE))
+
+
 def fit(items: DataFrame, docs: DataFrame, dimensions: int = DIMENSIONS) -> Model | None:
-    """The latent space of one block of items (``item_id, text``; at most MAX_ITEMS); None where none has words.
+    """The latent space of one block of items (``item_id, text``; MAX_ITEMS pieces or so); None where none has words.
 
-    Randomised SVD: the TF-IDF rows stay distributed; what is summed up is a Gram matrix (dimensions squared) and a
-    words-by-dimensions matrix, whose sizes MAX_ITEMS bounds.
+    Randomised SVD on the driver, which holds the block: its TF-IDF rows are sparse, and the words-by-dimensions matrices
+    are bounded by the block.  Document frequencies are counted where the documents are.
     """
     rows = items.select("item_id", F.col("text").cast("string").alias("text")).where("text is not null").orderBy("item_id", "text").toArrow()
     own = [(i, word_hashes(t.encode("utf-8", "surrogatepass"))) for i, t in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True)]
@@ -211,49 +255,51 @@ def fit(items: DataFrame, docs: DataFrame, dimensions: int = DIMENSIONS) -> Mode
     n, df = document_frequencies(docs, vocabulary)
     idf = np.log((1 + n) / (1 + df)) + 0.1
     size = len(vocabulary)
-    wide = min(dimensions + 10, max(len(own), 1))
-    draw = np.random.default_rng(5).standard_normal((size, wide))
-    box = docs.sparkSession.sparkContext.broadcast((vocabulary, idf, draw))
-
-    def tfidf(texts: list[str]) -> np.ndarray:
-        known, w, _ = box.value
-        out = np.zeros((len(texts), len(known)))
-        for k, t in enumerate(texts):
-            h = word_hashes(t.encode("utf-8", "surrogatepass"))
-            if len(h) >= MIN_WORDS:
-                np.add.at(out[k], np.searchsorted(known, h), w[np.searchsorted(known, h)])
-        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
-
-    def gram(texts: list[str]) -> np.ndarray:
-        y = tfidf(texts) @ box.value[2]
-        return (y.T @ y).ravel()
-
-    values, vectors = np.linalg.eigh(_partials(items, gram).reshape(wide, wide))
+    item_of, tfidf, most = [], [], np.zeros(size)  # tfidf: each piece's words and their weights, of length 1
+    for k, (_, w) in enumerate(own):
+        for piece in pieces_of(w):
+            at, times = np.unique(np.searchsorted(vocabulary, piece), return_counts=True)
+            weights = times * idf[at]
+            weights /= np.linalg.norm(weights)
+            most[at] = np.maximum(most[at], weights)
+            item_of.append(k)
+            tfidf.append((at, weights.astype(np.float32)))
+
+    def onto(matrix: np.ndarray) -> np.ndarray:
+        return np.array([w @ matrix[at] for at, w in tfidf])
+
+    wide = min(dimensions + 10, len(tfidf))
+    y = onto(np.random.default_rng(5).standard_normal((size, wide), np.float32))
+    values, vectors = np.linalg.eigh(y.T.astype(np.float64) @ y)
     good = values > values[-1] * 1e-10
-    turn = vectors[:, good] / np.sqrt(values[good])  # Y @ turn has orthonormal columns
-    box2 = docs.sparkSession.sparkContext.broadcast(turn)
-
-    def project(texts: list[str]) -> np.ndarray:
-        a = tfidf(texts)
-        return ((a @ box.value[2] @ box2.value).T @ a).ravel()
-
-    b = _partials(items, project).reshape(turn.shape[1], size)
-    u, s, vt = np.linalg.svd(b, full_matrices=False)
-    k = min(dimensions, int(np.searchsorted(np.cumsum(s * s) / max((s * s).sum(), 1e-12), ENERGY)) + 1, len(s))
-    basis = vt[:k].T
-    latent, most = [], np.zeros(size)
-    for _, w in own:
-        at, times = np.unique(np.searchsorted(vocabulary, w), return_counts=True)
-        weights = times * idf[at]
-        most[at] = np.maximum(most[at], weights / np.linalg.norm(weights))
-        at = np.searchsorted(vocabulary, w)
-        z = (basis[at] * idf[at, None]).sum(0)
-        latent.append(z / max(np.linalg.norm(z), 1e-9))
+    q = (y @ (vectors[:, good] / np.sqrt(values[good]))).astype(np.float32)  # has orthonormal columns
+    b = np.zeros((size, q.shape[1]), np.float32)
+    for (at, w), row in zip(tfidf, q, strict=True):
+        b[at] += w[:, None] * row
+    values, vectors = np.linalg.eigh(b.T.astype(np.float64) @ b)
+    values, vectors = values[::-1], vectors[:, ::-1]
+    most_k = min(dimensions, int((values > values[0] * 1e-10).sum()))
+    basis = b @ (vectors[:, :most_k] / np.sqrt(values[:most_k])).astype(np.float32)
+    latent = onto(basis)
+    # As many dimensions as hold every piece, where the block allows that.
+    least = np.cumsum(latent * latent, axis=1).min(0)
+    k = min(most_k, int(np.searchsorted(np.cumsum(values) / max(values.sum(), 1e-12), ENERGY)) + 1)
+    if least[-1] >= HELD:
+        k = max(k, int(np.searchsorted(least, HELD)) + 1)
+    basis, latent = np.ascontiguousarray(basis[:, :k]), latent[:, :k]
+    held = np.linalg.norm(latent, axis=1)
+    latent /= np.maximum(held, 1e-9)[:, None]
+    weak = np.flatnonzero(held * held < HELD)
+    word = np.concatenate([tfidf[j][0] for j in weak]) if len(weak) else np.empty(0, np.int64)
+    order = np.argsort(word, kind="stable")
+    post_piece = np.repeat(np.arange(len(weak)), [len(tfidf[j][0]) for j in weak])[order]
+    post_weight = np.concatenate([tfidf[j][1] for j in weak])[order] if len(weak) else np.empty(0, np.float32)
+    posted = np.searchsorted(word[order], np.arange(size + 1))
     telling = []
     for _, w in own:
         rare = sorted({int(x) for x in w}, key=lambda x: (-idf[np.searchsorted(vocabulary, np.uint64(x))], x))
         telling.append(set(rare[: max(3, len(rare) // 4)]))
-    return Model(vocabulary, idf.astype(np.float32), float(np.mean(idf)), most.astype(np.float32), basis.astype(np.float32), np.array(latent, np.float32), [i for i, _ in own], [w.tolist() for _, w in own], telling)
+    return Model(vocabulary, idf.astype(np.float32), float(np.mean(idf)), most.astype(np.float32), basis, latent.astype(np.float32), np.array(item_of), weak, posted, post_piece, post_weight, [i for i, _ in own], [w.tolist() for _, w in own], telling)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, keys: list[str] | None = None, max_items: int = MAX_ITEMS) -> DataFrame:
@@ -264,10 +310,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, keys: list[str] | None = N
     for; an empty benchmark finds nothing.  Whole texts are searched.  No row is shuffled.
     """
     keys = keys or ["doc_id"]
-    n = benchmark.count()
+    pieces = F.greatest(F.lit(1), F.ceil(F.size(F.split(F.col("text").cast("string"), r"\s+")) / PIECE))
+    n = benchmark.agg(F.sum(pieces)).first()[0] or 0
     blocks = max(1, -(-n // max_items))
     models = []
-    # Blocks of rows in the order of a hash, so that each holds max_items rows or so.
+    # Blocks of rows in the order of a hash, so that each holds max_items pieces or so.
     for k in range(blocks):
         part = benchmark if blocks == 1 else benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
         models.append(fit(part, docs))

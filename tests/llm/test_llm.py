@@ -240,6 +240,17 @@ def test_decontamination(spark, docs):
     assert decontaminate.lcs([1, 2, 3, 4], [2, 9, 4, 1]) == 2
 
 
+def test_decontamination_of_large_benchmarks(spark):
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(3, 8))) for _ in range(8000)]
+    text = lambda k: " ".join(rng.choice(vocabulary) for _ in range(k))
+    items = [text(rng.randint(15, 59)) for _ in range(3000)] + [text(1000)]
+    docs = spark.createDataFrame([(k, f"{text(20)} {items[7 * k]} {text(25)}") for k in range(300)] + [(300, f"{text(90)} {items[-1]} {text(40)}"), (301, text(900))], "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {r.doc_id: r["items"] for r in decontaminate.find_leaks(docs, bench).collect()}
+    assert got == {k: str(7 * k) for k in range(300)} | {300: "3000", 301: ""}
+
+
 def test_classifier(spark):
     rng = random.Random(3)
     rows, labels = [], []
