@@ -3,7 +3,8 @@
 A line's way through the tree is its token count, then its leading tokens, with variable ones (digits, addresses)
 generalised; at the leaf stands its template, the masked line.  Of short lines one literal place behind the leading
 tokens may be a field too, so such lines also stand for the templates that leave one such place open.  A template that
-enough documents hold is dropped from all of them but the first.
+enough documents hold is dropped from all of them but the first.  Long lines need few documents: two where they are
+equal, three where they are equal but for their variable tokens.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from .common import cut, per_text
 
 #: Leading tokens on the way to a leaf; documents that must hold a template; shortest line, and longest with an open place.
 DEPTH, MIN_DOCS, MIN_TOKENS, OPEN_TOKENS = 3, 12, 3, 12
+#: Lines of so many tokens are long; documents that must hold one, as it is and masked.
+LONG_TOKENS, LONG_DOCS, LONG_MASKED_DOCS = 8, 2, 3
 #: Of a line's tokens at least this share must be constant, else the template says nothing.
 CONSTANT = 0.6
 #: Recurring templates are sent to all executors up to this many (16 bytes each); beyond, they are joined.
@@ -37,19 +40,32 @@ def _h(s: str) -> int:
     return xxh3_64_intdigest(s.encode("utf-8", "surrogatepass")) & 0x7FFFFFFFFFFFFFFF
 
 
+def _kind(h: int, kind: int) -> int:
+    """``h`` with its two lowest bits telling how many documents must hold it: 0 ``min_docs``, 1 LONG_DOCS, 2 LONG_MASKED_DOCS."""
+    return h & ~3 | kind
+
+
 def template_hashes(line: str) -> list[int]:
-    """The line's template, then those with one more place open; none if it is too short or too variable."""
+    """The line's template, then those with one more place open; none if it is too short or too variable.
+
+    A long line stands for itself as well, and counts by itself."""
     tokens = line.split()
     n = len(tokens)
     if n < MIN_TOKENS:
         return []
     masked = [_ANY if VARIABLE.search(t) else t for t in tokens] if _MAYBE.search(line) else tokens
     fixed = n - masked.count(_ANY)
+    long = n >= LONG_TOKENS
+    out = [_kind(_h("=\x00" + "\x00".join(tokens)), 1)] if long else []
     if fixed < CONSTANT * n:
-        return []
-    out = [_h(f"{n}\x00" + "\x00".join(masked))]
+        return out
+    own = _h(f"{n}\x00" + "\x00".join(masked))
+    if not long or fixed < n and n <= OPEN_TOKENS:  # lines with an open place meet it too
+        out.append(_kind(own, 0))
+    if long and fixed < n:
+        out.append(_kind(own, 2))
     if n <= OPEN_TOKENS and fixed - 1 >= CONSTANT * n:
-        out += [_h(f"{n}\x00" + "\x00".join([*masked[:k], _ANY, *masked[k + 1 :]])) for k in range(DEPTH, n) if masked[k] != _ANY]
+        out += [_kind(_h(f"{n}\x00" + "\x00".join([*masked[:k], _ANY, *masked[k + 1 :]])), 0) for k in range(DEPTH, n) if masked[k] != _ANY]
     return out
 
 
@@ -80,16 +96,18 @@ def _occurrences(docs: DataFrame, keys: list[str], by_line: bool, slice_rows: in
 
 
 def recurring_templates(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """``template, first``: held by at least ``min_docs`` rows of ``docs``, and the smallest doc_id among them."""
+    """``template, first``: held by at least as many rows of ``docs`` as its kind asks for, and the smallest doc_id among them."""
     held = _occurrences(docs.select(F.col("doc_id").alias("__id"), "text"), ["__id"], False)
-    return held.groupBy("template").agg(F.count("*").alias("n"), F.min("__id").alias("first")).where(F.col("n") >= min_docs).select("template", "first")
+    kind = F.col("template").bitwiseAND(3)
+    least = F.when(kind == 1, min(LONG_DOCS, min_docs)).when(kind == 2, min(LONG_MASKED_DOCS, min_docs)).otherwise(min_docs)
+    return held.groupBy("template").agg(F.count("*").alias("n"), F.min("__id").alias("first")).where(F.col("n") >= least).select("template", "first")
 
 
 def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, max_sent: int = MAX_SENT) -> DataFrame:
     """``docs`` with the recurring lines taken out of ``text``, and ``n_lines, n_dropped`` beside its other columns.
 
-    A line goes where its template, or one of those with an open place, is held by ``min_docs`` rows or more and a
-    smaller doc_id holds it too; so what recurs stays once.  Null ids come after all others and never are the first;
+    A line goes where its template, or one of those with an open place, is held by ``min_docs`` rows or more (long
+    lines: LONG_DOCS, and LONG_MASKED_DOCS masked) and a smaller doc_id holds it too; so what recurs stays once.  Null ids come after all others and never are the first;
     rows that repeat an id are all first or none.  Null text stays null and has no lines; a document may end up empty
     but its row stays.  Other columns pass through; ours replace columns of the same names.
     """

@@ -215,6 +215,20 @@ def test_lines(spark, docs):
     assert sum(r.text is None for r in a) == 2
 
 
+def test_long_lines_that_few_share(spark):
+    passage = "the committee shall meet once every quarter in the town hall"
+    dated = "this notice of {} replaces all earlier notices of our house"
+    rows = [(k, f"own words {'x' * k}\n{passage}" if k in (1, 4) else f"own words {'x' * k}\nonly five words are shared\n{dated.format(2000 + k)}") for k in range(5)]
+    rows.append((5, "one of 1 2 3 4 5 6 7 8\n" + passage))
+    rows.append((6, "one of 1 2 3 4 5 6 7 8\n" + passage))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for sent in (line_templates.MAX_SENT, 0):
+        got = {r.doc_id: r.text.split("\n") for r in line_templates.drop_recurring_lines(docs, max_sent=sent).collect()}
+        assert [k for k in got if passage in got[k]] == [1] and [k for k in got if any("notice" in x for x in got[k])] == [0]
+        assert got[5] == ["one of 1 2 3 4 5 6 7 8"] and got[6] == [""]
+        assert all("only five words are shared" in got[k] for k in (0, 2, 3)) and all(f"own words {'x' * k}" in got[k] for k in range(5))
+
+
 def test_near_copies(docs):
     got = near_copies.drop_near_copies(docs)
     assert got.columns == docs.columns
