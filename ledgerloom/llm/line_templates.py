@@ -1,8 +1,9 @@
 """Line dedup by a log-template tree of fixed depth.
 
-A line's way through the tree is its token count, then its leading tokens, with variable ones (digits, addresses)
-generalised; at the leaf stands its template, the masked line.  Of short lines one literal place behind the leading
-tokens may be a field too, so such lines also stand for the templates that leave one such place open.  A template that
+A line's way through the tree is its token count, then its tokens, with variable ones (digits, addresses)
+generalised; at the leaf stands its template, the masked line.  Of short lines one literal place may be a field too, and
+of longer ones one stretch of an eighth, so such lines also stand for the templates that leave one such place open.
+Lines too short or too variable for a template stand for themselves alone.  A template that
 enough documents hold is dropped from all of them but the first.  Long lines need few documents: two where they are
 equal, three where they are equal but for their variable tokens.
 """
@@ -20,8 +21,10 @@ from pyspark.sql import functions as F
 
 from .common import cut, per_text
 
-#: Leading tokens on the way to a leaf; documents that must hold a template; shortest line, and longest with an open place.
-DEPTH, MIN_DOCS, MIN_TOKENS, OPEN_TOKENS = 3, 12, 3, 12
+#: Documents that must hold a template; shortest line with a template, longest with an open place, and with an open stretch.
+MIN_DOCS, MIN_TOKENS, OPEN_TOKENS, STRETCH_TOKENS = 12, 3, 12, 48
+#: Stretches of a line.
+STRETCHES = 8
 #: Lines of so many tokens are long; documents that must hold one, as it is and masked.
 LONG_TOKENS, LONG_DOCS, LONG_MASKED_DOCS = 8, 2, 3
 #: Of a line's tokens at least this share must be constant, else the template says nothing.
@@ -46,18 +49,19 @@ def _kind(h: int, kind: int) -> int:
 
 
 def template_hashes(line: str) -> list[int]:
-    """The line's template, then those with one more place open; none if it is too short or too variable.
+    """The line's template, then those with one more place or stretch open; none for an empty line.
 
-    A long line stands for itself as well, and counts by itself."""
+    A long line stands for itself as well, and counts by itself; one too short or too variable for a template only so."""
     tokens = line.split()
     n = len(tokens)
     if n < MIN_TOKENS:
-        return []
+        return [_kind(_h("=\x00" + "\x00".join(tokens)), 0)] if n else []
     masked = [_ANY if VARIABLE.search(t) else t for t in tokens] if _MAYBE.search(line) else tokens
     fixed = n - masked.count(_ANY)
     long = n >= LONG_TOKENS
-    out = [_kind(_h("=\x00" + "\x00".join(tokens)), 1)] if long else []
-    if fixed < CONSTANT * n:
+    variable = fixed < CONSTANT * n
+    out = [_kind(_h("=\x00" + "\x00".join(tokens)), 1 if long else 0)] if long or variable else []
+    if variable:
         return out
     own = _h(f"{n}\x00" + "\x00".join(masked))
     if not long or fixed < n and n <= OPEN_TOKENS:  # lines with an open place meet it too
@@ -65,7 +69,13 @@ def template_hashes(line: str) -> list[int]:
     if long and fixed < n:
         out.append(_kind(own, 2))
     if n <= OPEN_TOKENS and fixed - 1 >= CONSTANT * n:
-        out += [_kind(_h(f"{n}\x00" + "\x00".join([*masked[:k], _ANY, *masked[k + 1 :]])), 0) for k in range(DEPTH, n) if masked[k] != _ANY]
+        out += [_kind(_h(f"{n}\x00" + "\x00".join([*masked[:k], _ANY, *masked[k + 1 :]])), 0) for k in range(n) if masked[k] != _ANY]
+    elif OPEN_TOKENS < n <= STRETCH_TOKENS:
+        wide = -(-n // STRETCHES)
+        for k in range(0, n, wide):
+            open_ = [_ANY] * len(masked[k : k + wide])
+            if fixed - len(open_) + masked[k : k + wide].count(_ANY) >= CONSTANT * n:
+                out.append(_kind(_h(f"{n}\x00" + "\x00".join([*masked[:k], *open_, *masked[k + wide :]])), 0))
     return out
 
 

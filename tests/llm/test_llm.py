@@ -229,6 +229,15 @@ def test_long_lines_that_few_share(spark):
         assert all("only five words are shared" in got[k] for k in (0, 2, 3)) and all(f"own words {'x' * k}" in got[k] for k in range(5))
 
 
+def test_short_variable_and_opened_lines(spark):
+    names = ["".join(random.Random(k).choice("abcdefgh") for _ in range(9)) for k in range(12)]
+    lines = ["Read more", "Tel: 555-1234 Fax: 555-9876", "Posted by {} in news", "the meeting was opened by our dear friend {} who then read the report aloud"]
+    docs = spark.createDataFrame([(k, "\n".join([f"own{k}", "", *lines]).replace("{}", names[k])) for k in range(12)], "doc_id long, text string")
+    for sent in (line_templates.MAX_SENT, 0):
+        got = {r.doc_id: r.text.split("\n") for r in line_templates.drop_recurring_lines(docs, max_sent=sent).collect()}
+        assert len(got[0]) == 6 and all(got[k] == [f"own{k}", ""] for k in range(1, 12))
+
+
 def test_near_copies(docs):
     got = near_copies.drop_near_copies(docs)
     assert got.columns == docs.columns
