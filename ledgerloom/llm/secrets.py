@@ -11,6 +11,7 @@ import binascii
 import hashlib
 import re
 import zlib
+from collections.abc import Iterator
 from urllib.parse import unquote_to_bytes
 
 from pyspark.sql import DataFrame
@@ -28,10 +29,15 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # maximal runs, so the same as all runs of w
 PERCENT = re.compile(r"(?:[A-Za-z0-9+/_.=:-]*%[0-9A-Fa-f]{2})+[A-Za-z0-9+/_.=:-]*")
 UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})+(?:[A-Za-z0-9+/_.=:-]*(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})+)*[A-Za-z0-9+/_.=:-]*")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Base64 in lines.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:\r?\n[\x20\t]*[A-Za-z0-9+/_-]{4,}+)+={0,2}")
 ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
 
-#: Decoded layers beyond this size are refused, so that a small stream cannot fill a worker's memory.
-MAX_LAYER = 1 << 24
+#: Streams are inflated and scanned by pieces of so many bytes, so that a small stream cannot fill a worker's memory; a piece
+#: starts with the end of the one before it.
+PIECE, OVERLAP = 1 << 24, 1 << 16
+#: Of a decoded layer's characters at most this share may be control characters or bytes that are no text.
+BINARY = 0.3
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -41,43 +47,80 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out + [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
 
 
-def _inflate(data: bytes) -> bytes | None:
-    if not data[:2] == b"\x1f\x8b" and not (len(data) > 2 and data[0] == 0x78 and data[1] in (0x01, 0x5E, 0x9C, 0xDA)):
-        return None
-    try:
-        box = zlib.decompressobj(47)
-        out = box.decompress(data, MAX_LAYER)
-        return out if box.eof else None
-    except zlib.error:
+def _inflated(data: bytes) -> Iterator[bytes] | None:
+    """Overlapping pieces of what a gzip or zlib stream holds, also of one that breaks off; None where ``data`` is neither."""
+    if not data[:2] == b"\x1f\x8b" and not (len(data) > 2 and data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0):
         return None
 
+    def pieces() -> Iterator[bytes]:
+        box, rest, kept = zlib.decompressobj(47), data, b""
+        while rest and not box.eof:
+            try:
+                piece = box.decompress(rest, PIECE)
+            except zlib.error:
+                return
+            if not piece:
+                return
+            yield kept + piece
+            kept, rest = (kept + piece)[-OVERLAP:], box.unconsumed_tail
+            if box.eof and box.unused_data[:2] == b"\x1f\x8b":  # gzip members may follow one another
+                rest, box = box.unused_data, zlib.decompressobj(47)
 
-def _text(data: bytes) -> str | None:
-    try:
-        got = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return got if got and sum(c.isprintable() or c in "\t\r\n" for c in got) == len(got) else None
+    return pieces()
 
 
-def _decoded(kind: str, s: str) -> str | None:
+def _text(data: bytes) -> str | None:
+    """UTF-8, else (one byte in ten or more is not) Latin-1; None where most of it is no text."""
+    if not data:
+        return None
+    got = data.decode("utf-8", "replace")
+    if got.count("\ufffd") * 10 > len(got):
+        got = data.decode("latin-1")
+    strange = sum(map(got.count, _CONTROLS)) + got.count("\ufffd")
+    return got if strange <= BINARY * len(got) else None
+
+
+#: C0 but tab, line feed and carriage return, and C1.  NUL counts too: UTF-16 is read by ``_layers``.
+_CONTROLS = [chr(c) for c in (*range(9), 11, 12, *range(14, 32), *range(127, 160))]
+
+
+def _layers(data: bytes, above: frozenset = frozenset()) -> Iterator[str]:
+    """The texts that decoded bytes hold: of a stream what it inflates to, else their own.  A stream may hold itself."""
+    pieces = _inflated(data)
+    mark = hashlib.sha256(data).digest() if pieces else b""
+    if mark in above:
+        return
+    if pieces is not None:
+        any_ = False
+        for piece in pieces:
+            any_ = True
+            yield from _layers(piece, above | {mark})
+        if any_:
+            return
+    wide = next((kind for kind, odd in (("utf-16-le", 1), ("utf-16-be", 0)) if len(data) >= 8 and data[odd::2].count(0) * 3 > len(data)), None)
+    got = data.decode(wide, "replace") if wide else _text(data)
+    if got is None and data.count(0) * 2 < len(data):
+        got = _text(data.replace(b"\0", b""))
+    if got:
+        yield got
+
+
+def _decoded(kind: str, s: str) -> Iterator[str]:
     if kind == "percent":
-        return _text(unquote_to_bytes(s))
-    if kind == "unicode":
+        yield from _layers(unquote_to_bytes(s))
+    elif kind == "unicode":
         got = ESCAPE.sub(lambda m: chr(int(m[1] or m[2], 16)), s).encode("utf-16", "surrogatepass").decode("utf-16", "replace")
-        return got
-    body = s.rstrip("=")
-    if len(body) % 4 == 1:
-        return None
-    try:
-        data = base64.b64decode((body + "=" * (-len(body) % 4)).translate({45: "+", 95: "/"}), validate=True)
-    except (binascii.Error, ValueError):
-        return None
-    seen = set()
-    while (inner := _inflate(data)) is not None and (mark := hashlib.sha256(data).digest()) not in seen:
-        seen.add(mark)
-        data = inner
-    return _text(data)
+        yield got
+        if "\\x" in s and max(got) <= "\xff":  # \x escapes may stand for bytes
+            yield from _layers(got.encode("latin-1"))
+    else:
+        body = "".join(s.split()).rstrip("=")
+        body = body[: len(body) - (len(body) % 4 == 1)]
+        try:
+            data = base64.b64decode((body + "=" * (-len(body) % 4)).translate({45: "+", 95: "/"}), validate=True)
+        except (binascii.Error, ValueError):
+            return
+        yield from _layers(data)
 
 
 def encoded_parts(text: str):
@@ -87,6 +130,8 @@ def encoded_parts(text: str):
     if "\\" in text:
         yield from (("unicode", m.start(), m.end()) for m in UNICODE.finditer(text))
     yield from (("base64", m.start(), m.end()) for m in BASE64.finditer(text))
+    if "\n" in text:
+        yield from (("base64", m.start(), m.end()) for m in WRAPPED.finditer(text))
 
 
 def scan(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
@@ -98,19 +143,26 @@ def scan(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, in
     rank = {k: i for i, k in enumerate(KINDS)}
     order = lambda spans: sorted(set(spans), key=lambda x: (x[1], rank[x[0]], x[2]))
     base = base_spans(text)
-    found, work, opened = list(base), [(text, None)], set()
+
+    def inside(layer: str, place: tuple[int, int] | None):
+        for kind, start, end in encoded_parts(layer):
+            for inner in _decoded(kind, layer[start:end]):
+                if inner and inner != layer[start:end]:
+                    yield inner, place or (start, end)
+
+    found, work, opened = list(base), [iter([(text, None)])], set()
     while work:
-        layer, place = work.pop()
+        if (got := next(work[-1], None)) is None:
+            work.pop()
+            continue
+        layer, place = got
         mark = (hashlib.sha256(layer.encode("utf-8", "surrogatepass")).digest(), place)
         if mark in opened:
             continue
         opened.add(mark)
         if place:
             found += [(kind, *place) for kind, _, _ in base_spans(layer)]
-        for kind, start, end in encoded_parts(layer):
-            inner = _decoded(kind, layer[start:end])
-            if inner and inner != layer[start:end]:
-                work.append((inner, place or (start, end)))
+        work.append(inside(layer, place))
     return order(base), order(found)
 
 

@@ -157,6 +157,21 @@ def test_secrets(docs):
     by_pairs(docs, secrets.scan_secrets(docs).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256"), plain)
 
 
+def test_secrets_in_odd_layers():
+    b64 = lambda raw: base64.b64encode(raw).decode()
+    escaped = lambda raw, mark: "".join(f"{mark}{x:02x}" for x in raw)
+    secret, noise = "password=hunter22", " ".join(f"{k:x}z" for k in range(3000))
+    zipped = gzip.compress(f"{noise} {secret} {noise}".encode(), mtime=0)
+    large = gzip.compress(b"filler " * 3_000_000 + secret.encode(), mtime=0)
+    wrap = lambda t, wide: "\n".join(t[k : k + wide] for k in range(0, len(t), wide))
+    cases = [b64(("\ufeff" + secret).encode()), b64(f"a\xa0\u3000\u200b {secret}\0".encode()), b64(secret.encode("utf-16")), "caf%E9/password%3Dhunter22", b64(f"caf\xe9 {secret}".encode("latin-1"))]
+    cases += [escaped(gzip.compress(secret.encode(), mtime=0), mark) for mark in ("%", "\\x")] + [wrap(b64(zipped), wide) for wide in (64, 76)] + [wrap(b64(f"{'x ' * 21}{secret} and more words".encode()), 64), b64(large)]
+    for t in cases:
+        base, every = secrets.scan(f"see {t} end")
+        assert any(kind == "assign" and 4 <= a and z <= 4 + len(t) for kind, a, z in set(every) - set(base)), t[:60]
+    assert secrets.scan(f"see {b64(bytes(range(128, 256)) * 4)} end") == ([], [])
+
+
 def test_bpe(docs):
     from tokenizers import Tokenizer
 
