@@ -203,6 +203,19 @@ def test_quality_rules(docs):
     assert not quality_rules.compression(np.random.default_rng(1).bytes(9000))[2]
 
 
+@pytest.mark.parametrize("size", [300, 450, 600, 900, 1200, 1800, 3000, 9000, 40000])
+def test_incompressible_words(size):
+    rng = random.Random(size)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    random_words = lambda chars, wide: " ".join("".join(rng.choices(chars, k=wide)) for _ in range(size)).encode()[:size]
+    assert not quality_rules.compression(random_words(letters, 12))[2]
+    assert not quality_rules.compression(random_words([chr(c) for c in range(0x4E00, 0x9FA0)], 8))[2]
+    assert size < 1024 or not quality_rules.compression(random_words(letters[26:62], 8))[2]
+    assert size < 32768 or not quality_rules.compression(random_words("0123456789abcdef", 8))[2]
+    prose = [w for t in corpus(n=20) for w in (t[1] or "").split() if len(w) < 12]
+    assert quality_rules.compression(" ".join(rng.choices(prose[:300], k=size)).encode()[:size])[2]
+
+
 def test_substring_dedup(docs):
     seen = {}
     for i, t in rows_of(docs):
