@@ -19,8 +19,26 @@ from pyspark.sql import DataFrame
 
 from .common import per_text
 
-#: The splitting pattern of this vocabulary, and the end mark of a word.
-WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+# The vocabulary's letters and numbers are those of Unicode 16, its lower case is that of Unicode 17.  The first two
+# are ranges that ``regex`` takes for letters and for numbers beyond that; LOWER holds ranges whose lower case lies so far off.
+NO_LETTERS = (
+    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F), (0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4), (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2),
+    (0xA7F1, 0xA7F1), (0xAB6C, 0xAB6D), (0x107BB, 0x107BF), (0x10940, 0x10959), (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A), (0x11DB0, 0x11DDB), (0x11DF1, 0x11DF1), (0x16EA0, 0x16EB8),
+    (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF3), (0x187F8, 0x187FF), (0x18CD6, 0x18CDA), (0x18D09, 0x18D20), (0x18D80, 0x18DF2), (0x18E00, 0x19191), (0x191A0, 0x191D2), (0x1B123, 0x1B128), (0x1B168, 0x1B168),
+    (0x1D6A6, 0x1D6A6), (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE), (0x1E6E0, 0x1E6E2), (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4),
+    (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
+)
+NO_NUMBERS = ((0x11DE0, 0x11DE9), (0x1246F, 0x1246F), (0x12475, 0x1247F), (0x12550, 0x12686), (0x16FF4, 0x16FF6))
+LOWER = (
+    (0x1C89, 0x1C89, 1), (0xA7CB, 0xA7CB, -0xA567), (0xA7CC, 0xA7CC, 1), (0xA7CE, 0xA7CE, 1), (0xA7D2, 0xA7D2, 1), (0xA7D4, 0xA7D4, 1), (0xA7DA, 0xA7DA, 1), (0xA7DC, 0xA7DC, -0xA641),
+    (0x10D50, 0x10D65, 0x20), (0x16EA0, 0x16EB8, 0x1B),
+)
+_class = lambda ranges: "[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b, *_ in ranges) + "]"
+_L, _N = rf"[\p{{L}}--{_class(NO_LETTERS)}]", rf"[\p{{N}}--{_class(NO_NUMBERS)}]"
+#: The splitting pattern of this vocabulary.
+WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|{_L}+|{_N}|[^\s{_L}{_N}]+", regex.V1)
+NEW_CAPITALS = regex.compile(_class(LOWER))
+_LOWER_OF = {c: c + far for a, b, far in LOWER for c in range(a, b + 1)}
 #: Whitespace to Python's str.split() but not to the pattern.
 NOT_SPACE = regex.compile("[\x1c-\x1f]")
 #: Chunks and pairs that a worker keeps at most (some 80 MB).
@@ -30,6 +48,14 @@ NONE = np.int64(1 << 40)
 POWER = 0x9E3779B97F4A7C15
 
 
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def byte_letters() -> list[str]:
     """The printable letter that stands for each byte: itself where it prints, else the next from U+0100 on."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -239,6 +265,8 @@ class Vocabulary:
     def split(self, text: str) -> list[str]:
         if not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
+        if not _latin(text) and NEW_CAPITALS.search(text):
+            text = text.translate(_LOWER_OF)
         # Letter by letter: Python's own lower() treats a final capital sigma apart.
         text = text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
         return WORD.findall(text) if NOT_SPACE.search(text) else text.split()
