@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,10 +25,48 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
+#: Bytes of text that a worker takes up at once; a longer text is taken by itself.
+SLICE_BYTES = 1 << 24
+_PLACES = 64
+_RANDOM = np.random.default_rng(31).integers(1, 2**62, _PLACES, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def slices(texts: pa.Array, rows: int = 2000, size: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """(start, count) of stretches of at most ``rows`` whole texts and ``size`` bytes (or one text)."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(ends):
+        stop = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right"))
+        stop = max(at + 1, min(at + rows, stop))
+        yield at, stop - at
+        at = stop
+
+
+def run_hashes(data: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start of each run of bytes that are ``inside``, and a 64-bit number for the run (to be mixed by the caller).
+
+    Runs of up to 64 bytes are sums of letters times a random number of their place; longer ones have a hash of their own.
+    """
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8)))
+    starts, stops = edge[::2], edge[1::2]
+    if not len(starts):
+        return starts, np.empty(0, np.uint64)
+    sizes = stops - starts
+    letters = np.flatnonzero(inside)
+    place = letters - np.repeat(starts, sizes)
+    value = (data[letters].astype(np.uint64) + np.uint64(1) + place.astype(np.uint64) * np.uint64(512)) * _RANDOM[place % _PLACES]
+    out = np.add.reduceat(value, np.cumsum(sizes) - sizes)
+    if long := np.flatnonzero(sizes > _PLACES).tolist():
+        from xxhash import xxh3_64_intdigest
+
+        out[long] = np.array([xxh3_64_intdigest(data[starts[k] : stops[k]].tobytes()) for k in long], np.uint64)
+    return starts, out
+
+
 def per_text(df: DataFrame, keys: list[str], text: str, make: Callable, schema: str, slice_rows: int = 2000) -> DataFrame:
     """``make(texts)`` gives a dict of column lists for a list of whole texts (null: ""); ``keys`` pass through.
 
-    Works a bounded number of rows at a time; no shuffle.
+    Works a bounded number of rows and bytes at a time; no shuffle.
     """
     keyed = df.select(*[F.col(f"`{k}`").alias(k) for k in keys], F.col(f"`{text}`").cast("string").alias("__text"))
     added = [f.strip().split(" ")[0] for f in schema.split(",")]
@@ -34,8 +74,8 @@ def per_text(df: DataFrame, keys: list[str], text: str, make: Callable, schema:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, slice_rows):
-                part = batch.slice(at, slice_rows)
+            for at, n in slices(batch.column(batch.num_columns - 1), slice_rows):
+                part = batch.slice(at, n)
                 made = make([t or "" for t in part.column(part.num_columns - 1).to_pylist()])
                 arrays = [*(part.column(i) for i in range(len(keys)))]
                 arrays += [made[c] if isinstance(made[c], pa.Array) else pa.array(made[c], kinds[c]) for c in added]

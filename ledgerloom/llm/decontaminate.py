@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_text
+from .common import per_text, run_hashes
 
 #: A stretch is 2 or 4 blocks of so many words, and starts at every block.
 STEP = 16
@@ -40,22 +40,12 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _IN_WORD = np.zeros(256, bool)
 _IN_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
-_RANDOM = np.random.default_rng(23).integers(1, 2**62, 64, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _words(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Start and 64-bit hash of each word: runs of letters, digits and bytes beyond ASCII, with A-Z lower-cased."""
     data = np.frombuffer(raw, np.uint8)
-    inside = _IN_WORD[data]
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8)))
-    starts, stops = edge[::2], edge[1::2]
-    if not len(starts):
-        return starts, np.empty(0, np.uint64)
-    sizes = stops - starts
-    letters = np.flatnonzero(inside)
-    place = letters - np.repeat(starts, sizes)
-    value = (_LOWER[data[letters]].astype(np.uint64) + place.astype(np.uint64) * np.uint64(256)) * _RANDOM[place & 63]
-    h = np.add.reduceat(value, np.cumsum(sizes) - sizes)
+    starts, h = run_hashes(_LOWER[data], _IN_WORD[data])
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return starts, h ^ (h >> np.uint64(29))
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_text
+from .common import per_text, run_hashes
 
 BITS = 18
 #: At most so many labelled documents are fitted on: those with the smallest hash of their id.
@@ -31,7 +31,6 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _IN_WORD = np.zeros(256, bool)
 _IN_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
-_RANDOM = np.random.default_rng(11).integers(1, 2**63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -72,16 +71,9 @@ def features(texts: list[str], bits: int = BITS, only: np.ndarray | None = None)
             size += len(raws[-1])
             stop += 1
         raw = np.frombuffer(b"".join(raws), np.uint8)
-        inside = _IN_WORD[raw]
-        edge = np.flatnonzero(np.diff(np.append(False, inside).astype(np.int8), append=np.int8(0)))
-        starts, stops = edge[::2], edge[1::2]
+        starts, hashes = run_hashes(_LOWER[raw], _IN_WORD[raw])
         if len(starts):
-            letters = np.flatnonzero(inside)
-            sizes = stops - starts
-            place = letters - np.repeat(starts, sizes)
-            value = (_LOWER[raw[letters]].astype(np.uint64) + place.astype(np.uint64) * np.uint64(256)) * _RANDOM[place & 63]
-            first = np.cumsum(sizes) - sizes
-            buckets = (_mix(np.add.reduceat(value, first)) & mask).astype(np.int64)
+            buckets = (_mix(hashes) & mask).astype(np.int64)
             ends = np.cumsum(list(map(len, raws)))
             doc = at + np.searchsorted(ends, starts, "right")
             own = doc << bits | buckets

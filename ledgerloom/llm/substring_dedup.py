@@ -6,8 +6,13 @@ so all tasks give equal content the same name without a shared table.  Whether a
 around it (its context).  Two equal windows of words therefore hold the same symbols, but for those whose context
 reaches over their ends.  Of the symbols of the highest round inside a window, the one of the least hash is its sign.
 
-Signs are brought together by a shuffle; only windows whose sign stands in two different texts are then hashed whole
-and compared.  That comparison is exact for every window, wherever the signs come from.
+Signs are brought together by a shuffle; only windows whose sign stands in two different texts are then hashed whole (95 bits
+of hashes of 64-bit word hashes) and compared.  Which windows are compared depends on the signs, and never misses an equal
+pair; so results are exact but for chance collisions of those hashes.
+
+Before each shuffle a task settles what it can by itself: of a sign that it has seen in two texts only one row need meet
+the other tasks, and of equal windows only those of an id smaller than all that it has seen.  So a passage that a third of
+all documents hold makes a few rows per task, not a row per document.
 """
 
 from __future__ import annotations
@@ -20,13 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, n_partitions
+from .common import cut, n_partitions, run_hashes, slices
 
 WINDOW = 50
 ROUNDS = 6
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_RANDOM = np.random.default_rng(31).integers(1, 2**62, 64, np.uint64) * np.uint64(2) + np.uint64(1)
 _M1, _M2, _M3 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -39,15 +43,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 def word_hashes(raw: bytes) -> np.ndarray:
     """A 64-bit hash of each run of bytes other than space and \\t..\\r."""
     data = np.frombuffer(raw, np.uint8)
-    inside = ~_SPACE[data]
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8)))
-    starts, sizes = edge[::2], edge[1::2] - edge[::2]
-    if not len(starts):
-        return np.empty(0, np.uint64)
-    letters = np.flatnonzero(inside)
-    place = letters - np.repeat(starts, sizes)
-    value = (data[letters].astype(np.uint64) + np.uint64(1) + place.astype(np.uint64) * np.uint64(512)) * _RANDOM[place & 63]
-    return mix(np.add.reduceat(value, np.cumsum(sizes) - sizes))
+    return mix(run_hashes(data, ~_SPACE[data])[1])
 
 
 class Parse:
@@ -148,18 +144,37 @@ def _marks(text: str | bytes) -> tuple[int, int]:
     return int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
 
 
-def _slices(batch: pa.RecordBatch, at_text: int, rows: int = 1000, size: int = 1 << 23) -> Iterator[tuple[int, list[str]]]:
+def _slices(batch: pa.RecordBatch, at_text: int) -> Iterator[tuple[int, list[str]]]:
     """Whole texts, some MB at a time: where the slice starts, and the texts."""
-    texts, total, start = [], 0, 0
-    for k in range(batch.num_rows):
-        t = batch.column(at_text)[k].as_py() or ""
-        texts.append(t)
-        total += len(t)
-        if len(texts) >= rows or total > size:
-            yield start, texts
-            texts, total, start = [], 0, k + 1
-    if texts:
-        yield start, texts
+    column = batch.column(at_text)
+    for at, n in slices(column, 1000, 1 << 23):
+        yield at, [t or "" for t in column.slice(at, n).to_pylist()]
+
+
+class _Seen:
+    """What a task has met so far: a number per 64-bit key; at most ``LIMIT`` keys, after which it starts anew."""
+
+    LIMIT = 1 << 19
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.values = np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each key is known, and its place."""
+        if not len(self.keys):
+            return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return self.keys[at] == keys, at
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """New keys, ascending."""
+        if len(self.keys) + len(keys) > self.LIMIT:
+            self.clear()
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.values = np.insert(self.keys, at, keys), np.insert(self.values, at, values)
 
 
 def _stream(batches: Iterator[pa.RecordBatch], group: int, rows: int = 1 << 17, size: int = 1 << 25) -> Iterator[pa.Table]:
@@ -187,9 +202,12 @@ def _stream(batches: Iterator[pa.RecordBatch], group: int, rows: int = 1 << 17,
 
 
 def _signs_of_texts(docs: DataFrame, window: int) -> DataFrame:
-    """``sign, t1``: the distinct signs of each text, t1 standing for the text."""
+    """``sign, t1, known``: the distinct signs of each text, t1 standing for the text; ``known`` where the task has met the sign
+    in another text.  Of each sign a task also gives one row that is not known."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = _Seen()  # of each sign the text it was first met in
+        told = _Seen()  # signs whose first text has been told
         for batch in batches:
             for _, texts in _slices(batch, 0):
                 texts = list(dict.fromkeys(texts))
@@ -200,38 +218,60 @@ def _signs_of_texts(docs: DataFrame, window: int) -> DataFrame:
                 words = np.concatenate([own[k] for k in use])
                 doc = np.repeat(np.arange(len(use)), [len(own[k]) for k in use])
                 first, sign = signs(words, doc, window)
-                d = doc[first]
-                change = np.append(True, (sign[1:] != sign[:-1]) | (d[1:] != d[:-1]))
-                sign, d = sign[change], d[change]
-                order = np.lexsort((sign, d))
-                sign, d = sign[order], d[order]
-                new = np.append(True, (sign[1:] != sign[:-1]) | (d[1:] != d[:-1]))
-                t1 = np.array([_marks(texts[k])[0] for k in use], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(sign[new].view(np.int64)), pa.array(t1[d[new]])], names=["sign", "t1"])
-
-    return docs.select("text").mapInArrow(run, "sign long, t1 long")
+                marks = np.array([_marks(texts[k])[0] for k in use], np.int64)
+                sign, t1 = sign.view(np.int64), marks[doc[first]]
+                order = np.lexsort((t1, sign))
+                sign, t1 = sign[order], t1[order]
+                new = np.append(True, (sign[1:] != sign[:-1]) | (t1[1:] != t1[:-1]))
+                sign, t1 = sign[new], t1[new]
+                yield from met(seen, told, sign, t1)
+
+    def met(seen: _Seen, told: _Seen, sign: np.ndarray, t1: np.ndarray) -> Iterator[pa.RecordBatch]:
+        start = np.append(True, sign[1:] != sign[:-1])
+        group = np.cumsum(start) - 1
+        keys, head = sign[start], t1[start]
+        old, at = seen.find(keys)
+        leader = np.where(old, seen.values[at] if len(seen.values) else 0, head)
+        again = t1 != leader[group]  # the leader's own row is told below
+        shared = np.bincount(group[again], minlength=len(keys)) > 0
+        tell = shared & ~told.find(keys)[0]
+        told.add(keys[tell], leader[tell])
+        seen.add(keys[~old], leader[~old])
+        out = [(keys[~old], leader[~old], False), (sign[again], t1[again], True), (keys[tell], leader[tell], True)]
+        for s, t, known in out:
+            if len(s):
+                yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(t), pa.array(np.full(len(s), known))], names=["sign", "t1", "known"])
+
+    return docs.select("text").mapInArrow(run, "sign long, t1 long, known boolean")
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (sign, t1) rows sorted by both, those whose sign stands in two texts or more."""
+    """Of (sign, t1, known) rows sorted by the first two, those that are known or whose sign stands in two texts or more."""
     for table in _stream(batches, 0):
-        sign, t1 = table.column(0).to_numpy(), table.column(1).to_numpy()
-        new = np.append(True, (sign[1:] != sign[:-1]) | (t1[1:] != t1[:-1]))
-        sign, t1 = sign[new], t1[new]
-        same = sign[1:] == sign[:-1]
-        keep = np.append(same, False) | np.append(False, same)
+        sign, t1, known = (table.column(k).to_numpy() for k in range(3))
+        open_ = np.flatnonzero(~known)
+        s, t = sign[open_], t1[open_]
+        first = np.append(True, (s[1:] != s[:-1]) | (t[1:] != t[:-1]))[: len(s)]
+        open_, s = open_[first], s[first]
+        same = s[1:] == s[:-1]
+        keep = known.copy()
+        keep[open_] = (np.append(same, False) | np.append(False, same))[: len(s)]
         yield pa.RecordBatch.from_arrays([pa.array(t1[keep]), pa.array(sign[keep])], names=["t1", "sign"])
 
 
 def _packed_texts(docs: DataFrame, window: int) -> DataFrame:
-    """``t1, t2, id, body``: each text of enough words once per batch, its words compressed, and the smallest id there."""
+    """``t1, t2, id, body``: each text of enough words, its words compressed, and the smallest id so far in the task; of copies
+    those that come after a smaller id are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         pack = zstandard.ZstdCompressor(level=1)
+        met: dict[tuple[int, int], int] = {}
         for batch in batches:
             for start, texts in _slices(batch, 1):
+                if len(met) > _Seen.LIMIT:
+                    met.clear()
                 ids = batch.column(0).slice(start, len(texts)).to_pylist()
                 least: dict[str, int] = {}
                 for i, t in zip(ids, texts, strict=True):
@@ -239,8 +279,10 @@ def _packed_texts(docs: DataFrame, window: int) -> DataFrame:
                 rows = []
                 for t, i in least.items():
                     w = t.encode("utf-8", "surrogatepass").split()
-                    if len(w) >= window:
-                        rows.append((*_marks(t), i, pack.compress(b" ".join(w))))
+                    if len(w) < window or met.get(mark := _marks(t), i + 1) <= i:
+                        continue
+                    met[mark] = i
+                    rows.append((*mark, i, pack.compress(b" ".join(w))))
                 if rows:
                     c = list(zip(*rows, strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.binary())], names=["t1", "t2", "id", "body"])
@@ -260,14 +302,35 @@ def _joint(t1: np.ndarray, sign: np.ndarray) -> np.ndarray:
     return mix(sign ^ mix(t1.view(np.uint64)))
 
 
+def _lost(met: _Seen, h1: np.ndarray, h2: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Which windows a smaller id has too, as far as the task has seen; the others are remembered."""
+    order = np.lexsort((ids, h2, h1))
+    a, b, own = h1[order], h2[order], ids[order]
+    start = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)]
+    least = own[start]
+    # One number for both hashes; that two windows may share it only matters for the smaller of two ids met by chance.
+    keys = mix(a[start].view(np.uint64) ^ (b[start].astype(np.uint64) << np.uint64(33))).view(np.int64)
+    known, at = met.find(keys)
+    before = np.where(known, met.values[at] if len(met.values) else 0, least)
+    out = np.empty(len(ids), bool)
+    out[order] = own > np.minimum(before, least)[np.cumsum(start) - 1]
+    better = known & (least < before)
+    met.values[at[better]] = least[better]
+    new = np.flatnonzero(~known)
+    new = new[np.argsort(keys[new])]
+    new = new[np.append(True, keys[new][1:] != keys[new][:-1])[: len(new)]]
+    met.add(keys[new], least[new])
+    return out
+
+
 def _candidates(window: int):
-    """From (t1, sign, t2, id, body) rows sorted by t1 and t2, signs first: the hashed windows with a shared sign, and
-    the texts that have one."""
+    """From (t1, sign, t2, id, body) rows sorted by t1 and t2, signs first: the hashed windows with a shared sign (without their
+    hashes where the task has met them with a smaller id), and the texts that have one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        unpack = zstandard.ZstdDecompressor()
+        unpack, met = zstandard.ZstdDecompressor(), _Seen()
         for table in _stream(batches, 0):
             t1, sign, t2 = (table.column(k).to_numpy() if table.column(k).null_count == 0 else table.column(k).fill_null(0).to_numpy() for k in range(3))
             is_text = table.column(4).is_valid().to_numpy()
@@ -294,8 +357,13 @@ def _candidates(window: int):
                 if not len(first):
                     continue
                 h1, h2 = window_hashes(words, first, window)
-                inside = first - (np.cumsum(sizes) - sizes)[at]
-                yield _rows(len(first), h1=pa.array(h1), h2=pa.array(h2), id=pa.array(owner[at]), t1=pa.array(t1[part][at]), at=pa.array(inside.astype(np.int32)))
+                inside = (first - (np.cumsum(sizes) - sizes)[at]).astype(np.int32)
+                lost = _lost(met, h1, h2, owner[at])
+                for rows_, has in ((np.flatnonzero(lost), False), (np.flatnonzero(~lost), True)):
+                    where = at[rows_]
+                    hashes = {"h1": pa.array(h1[rows_]), "h2": pa.array(h2[rows_])} if has else {}
+                    if len(rows_):
+                        yield _rows(len(rows_), id=pa.array(owner[where]), t1=pa.array(t1[part][where]), at=pa.array(inside[rows_]), **hashes)
                 some = np.unique(at)
                 yield _rows(len(some), id=pa.array(owner[some]), t1=pa.array(t1[part][some]), t2=pa.array(t2[part][some]), body=pa.array([packed[k] for k in some.tolist()], pa.binary()))
 
@@ -370,14 +438,15 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     n = n_partitions(docs)
     base = cut(_summaries(docs))
-    found = _signs_of_texts(docs.where("doc_id is not null"), window).repartition(n, "sign").sortWithinPartitions("sign", "t1")
+    place = F.when(F.col("known"), F.xxhash64("t1")).otherwise(F.col("sign"))
+    found = _signs_of_texts(docs.where("doc_id is not null"), window).repartition(n, place).sortWithinPartitions("sign", "t1")
     flags = found.mapInArrow(_shared, "t1 long, sign long").selectExpr("t1", "sign", "cast(null as long) t2", "cast(null as long) id", "cast(null as binary) body")
     texts = _packed_texts(docs, window).selectExpr("t1", "cast(null as long) sign", "t2", "id", "body")
     met = flags.union(texts).repartition(n, "t1").sortWithinPartitions("t1", "t2")
     work = cut(met.mapInArrow(_candidates(window), "h1 long, h2 int, id long, t1 long, at int, t2 long, body binary"))
-    windows = work.where("body is null").select("h1", "h2", "id", "t1", "at").repartition(n, "h1").sortWithinPartitions("h1", "h2", "id")
+    windows = work.where("h1 is not null").select("h1", "h2", "id", "t1", "at").repartition(n, "h1").sortWithinPartitions("h1", "h2", "id")
     gone = windows.mapInArrow(_repeated, "t1 long, id long, at int").selectExpr("t1", "id", "at", "cast(null as long) t2", "cast(null as binary) body")
-    owners = work.where("body is not null").selectExpr("t1", "id", "cast(null as int) at", "t2", "body")
+    owners = work.where("h1 is null").selectExpr("t1", "id", "at", "t2", "body")  # and windows that are gone already
     cleaned = gone.union(owners).repartition(n, "t1").sortWithinPartitions("t1", "id").mapInArrow(_cleaned(window), "t1 long, t2 long, n_removed long, kept_sha256 string")
     texts_by_mark = base.where(F.col("doc_id").isNotNull()).groupBy("t1", "t2").agg(F.min("doc_id").alias("owner")).join(cleaned, ["t1", "t2"], "left")
     out = base.join(texts_by_mark, ["t1", "t2"], "left")

@@ -16,6 +16,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 RULES = ("first", "last", "most")
 #: A section is a line with its line break; text after the last break is one more.
 SECTION = r"[^\n]*\n|[^\n]+"
@@ -88,8 +90,8 @@ def count_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", path:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, slice_rows):
-                part = batch.slice(at, slice_rows)
+            for at, size in slices(batch.column(1), slice_rows):
+                part = batch.slice(at, size)
                 rows, cols = [], [[], [], [], [], [], []]
                 for k, t in enumerate(part.column(1).to_pylist()):
                     t = t or ""
