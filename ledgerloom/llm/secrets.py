@@ -1,19 +1,21 @@
 """Secret scans with a worklist of decoded layers.
 
 The text and whatever can be decoded out of it (percent escapes, ``\\u`` escapes, base64, gzip and zlib streams) form a
-worklist.  Every layer is scanned; a finding in a layer is mapped back to the span of the original text that holds it.
+worklist.  Every layer is scanned; a finding in a layer is mapped back, character by character, to the original text.
 """
 
 from __future__ import annotations
 
 import base64
 import binascii
+import codecs
 import hashlib
 import re
 import zlib
 from collections.abc import Iterator
 from urllib.parse import unquote_to_bytes
 
+import numpy as np
 from pyspark.sql import DataFrame
 
 from .common import per_text
@@ -31,6 +33,7 @@ UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})+(?:[A-Za-z0-9+/_.
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 #: Base64 in lines.
 WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:\r?\n[\x20\t]*[A-Za-z0-9+/_-]{4,}+)+={0,2}")
+ESCAPED_BYTE = re.compile(r"%[0-9A-Fa-f]{2}")
 ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
 
 #: Streams are inflated and scanned by pieces of so many bytes, so that a small stream cannot fill a worker's memory; a piece
@@ -69,22 +72,39 @@ def _inflated(data: bytes) -> Iterator[bytes] | None:
     return pieces()
 
 
-def _text(data: bytes) -> str | None:
-    """UTF-8, else (one byte in ten or more is not) Latin-1; None where most of it is no text."""
+#: Where each character of a decoded text starts and ends in what it was decoded from; None: it stands for the whole.
+Places = tuple[np.ndarray, np.ndarray] | None
+
+
+def _text(data: bytes) -> tuple[str, np.ndarray] | None:
+    """UTF-8, else (one byte in ten or more is not) Latin-1, and where each character starts; None where most of it is no text."""
     if not data:
         return None
     got = data.decode("utf-8", "replace")
+    lead = (np.frombuffer(data, np.uint8) & 0xC0) != 0x80
     if got.count("\ufffd") * 10 > len(got):
-        got = data.decode("latin-1")
+        got, lead = data.decode("latin-1"), np.ones(len(data), bool)
+    elif "\ufffd" in got:
+        replaced: list[tuple[int, int]] = []
+
+        def note(e: UnicodeDecodeError) -> tuple[str, int]:
+            replaced.append((e.start, e.end))
+            return "\ufffd", e.end
+
+        codecs.register_error("ledgerloom-note", note)
+        data.decode("utf-8", "ledgerloom-note")
+        for start, end in replaced:
+            lead[start:end] = False
+            lead[start] = True
     strange = sum(map(got.count, _CONTROLS)) + got.count("\ufffd")
-    return got if strange <= BINARY * len(got) else None
+    return (got, np.flatnonzero(lead)) if strange <= BINARY * len(got) else None
 
 
 #: C0 but tab, line feed and carriage return, and C1.  NUL counts too: UTF-16 is read by ``_layers``.
 _CONTROLS = [chr(c) for c in (*range(9), 11, 12, *range(14, 32), *range(127, 160))]
 
 
-def _layers(data: bytes, above: frozenset = frozenset()) -> Iterator[str]:
+def _layers(data: bytes, above: frozenset = frozenset()) -> Iterator[tuple[str, Places]]:
     """The texts that decoded bytes hold: of a stream what it inflates to, else their own.  A stream may hold itself."""
     pieces = _inflated(data)
     mark = hashlib.sha256(data).digest() if pieces else b""
@@ -94,33 +114,69 @@ def _layers(data: bytes, above: frozenset = frozenset()) -> Iterator[str]:
         any_ = False
         for piece in pieces:
             any_ = True
-            yield from _layers(piece, above | {mark})
+            yield from ((text, None) for text, _ in _layers(piece, above | {mark}))
         if any_:
             return
     wide = next((kind for kind, odd in (("utf-16-le", 1), ("utf-16-be", 0)) if len(data) >= 8 and data[odd::2].count(0) * 3 > len(data)), None)
-    got = data.decode(wide, "replace") if wide else _text(data)
-    if got is None and data.count(0) * 2 < len(data):
-        got = _text(data.replace(b"\0", b""))
-    if got:
-        yield got
+    if wide:
+        got = data.decode(wide, "replace")
+        starts = np.arange(len(got)) * 2
+        yield got, (starts, np.minimum(starts + 2, len(data))) if 2 * len(got) == len(data) else None
+        return
+    found = _text(data)
+    kept = np.arange(len(data))
+    if found is None and data.count(0) * 2 < len(data):
+        kept = np.flatnonzero(np.frombuffer(data, np.uint8))
+        found = _text(data.replace(b"\0", b""))
+    if found:
+        text, starts = found
+        ends = np.append(starts[1:], len(kept)) - 1
+        yield text, (kept[starts], kept[ends] + 1)
+
+
+def _onto(layers: Iterator[tuple[str, Places]], starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[str, Places]]:
+    """Layers of bytes, their places brought from the bytes to the characters that each byte was decoded from."""
+    for text, places in layers:
+        yield text, None if places is None else (starts[places[0]], ends[places[1] - 1])
 
 
-def _decoded(kind: str, s: str) -> Iterator[str]:
+def _decoded(kind: str, s: str) -> Iterator[tuple[str, Places]]:
     if kind == "percent":
-        yield from _layers(unquote_to_bytes(s))
+        raw = np.frombuffer(s.encode(), np.uint8)
+        at = np.array([m.start() for m in ESCAPED_BYTE.finditer(s)])
+        keep = np.ones(len(raw), bool)
+        keep[at + 1] = keep[at + 2] = False
+        starts = np.flatnonzero(keep)
+        yield from _onto(_layers(unquote_to_bytes(s)), starts, np.append(starts[1:], len(s)))
     elif kind == "unicode":
-        got = ESCAPE.sub(lambda m: chr(int(m[1] or m[2], 16)), s).encode("utf-16", "surrogatepass").decode("utf-16", "replace")
-        yield got
+        letters, starts, at = [], [], 0
+        for m in ESCAPE.finditer(s):
+            letters += s[at : m.start()]
+            starts += range(at, m.start())
+            c, at = chr(int(m[1] or m[2], 16)), m.end()
+            if "\udc00" <= c <= "\udfff" and letters and "\ud800" <= letters[-1] <= "\udbff":
+                letters[-1] = (letters[-1] + c).encode("utf-16", "surrogatepass").decode("utf-16")
+            else:
+                letters.append(c)
+                starts.append(m.start())
+        letters += s[at:]
+        starts += range(at, len(s))
+        got = "".join("\ufffd" if "\ud800" <= c <= "\udfff" else c for c in letters)
+        first = np.array(starts)
+        last = np.append(first[1:], len(s))
+        yield got, (first, last)
         if "\\x" in s and max(got) <= "\xff":  # \x escapes may stand for bytes
-            yield from _layers(got.encode("latin-1"))
+            yield from _onto(_layers(got.encode("latin-1")), first, last)
     else:
+        place = np.array([k for k, c in enumerate(s) if not c.isspace()]) if any(map(s.count, " \t\r\n")) else np.arange(len(s))
         body = "".join(s.split()).rstrip("=")
         body = body[: len(body) - (len(body) % 4 == 1)]
         try:
             data = base64.b64decode((body + "=" * (-len(body) % 4)).translate({45: "+", 95: "/"}), validate=True)
         except (binascii.Error, ValueError):
             return
-        yield from _layers(data)
+        k = np.arange(len(data)) * 8
+        yield from _onto(_layers(data), place[k // 6], place[(k + 7) // 6] + 1)
 
 
 def encoded_parts(text: str):
@@ -134,35 +190,54 @@ def encoded_parts(text: str):
         yield from (("base64", m.start(), m.end()) for m in WRAPPED.finditer(text))
 
 
+class _Layer:
+    """A decoded text, and where its characters stand in the outermost text (``up`` None: it is that text)."""
+
+    def __init__(self, text: str, up: _Layer | None = None, start: int = 0, end: int = 0, places: Places = None):
+        self.text, self.up, self.start, self.end, self.places = text, up, start, end, places
+
+    def span(self, a: int, b: int) -> tuple[int, int]:
+        """The outermost text's characters that the characters from a to b come from."""
+        layer = self
+        while layer.up is not None:
+            if layer.places is None:
+                a, b = layer.start, layer.end
+            else:
+                a, b = layer.start + int(layer.places[0][a]), layer.start + int(layer.places[1][b - 1])
+            layer = layer.up
+        return a, b
+
+
 def scan(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """Base spans, and all spans, each sorted by start, then kind, then end and without repeats.
 
-    A layer is identified by its content: one that was seen at the same place is not opened again, so the
+    A finding in a decoded layer has the span of the characters that it was decoded from (of a compressed stream: of the
+    whole stream).  A layer is identified by its content: one that was seen at the same place is not opened again, so the
     list of layers ends even where decoding leads back to an earlier layer.
     """
     rank = {k: i for i, k in enumerate(KINDS)}
     order = lambda spans: sorted(set(spans), key=lambda x: (x[1], rank[x[0]], x[2]))
     base = base_spans(text)
 
-    def inside(layer: str, place: tuple[int, int] | None):
-        for kind, start, end in encoded_parts(layer):
-            for inner in _decoded(kind, layer[start:end]):
-                if inner and inner != layer[start:end]:
-                    yield inner, place or (start, end)
+    def inside(layer: _Layer) -> Iterator[_Layer]:
+        for kind, start, end in encoded_parts(layer.text):
+            part = layer.text[start:end]
+            for inner, places in _decoded(kind, part):
+                if inner and inner != part:
+                    yield _Layer(inner, layer, start, end, places)
 
-    found, work, opened = list(base), [iter([(text, None)])], set()
+    found, opened = list(base), set()
+    work = [inside(_Layer(text))]
     while work:
-        if (got := next(work[-1], None)) is None:
+        if (layer := next(work[-1], None)) is None:
             work.pop()
             continue
-        layer, place = got
-        mark = (hashlib.sha256(layer.encode("utf-8", "surrogatepass")).digest(), place)
+        mark = (hashlib.sha256(layer.text.encode("utf-8", "surrogatepass")).digest(), layer.span(0, len(layer.text)))
         if mark in opened:
             continue
         opened.add(mark)
-        if place:
-            found += [(kind, *place) for kind, _, _ in base_spans(layer)]
-        work.append(inside(layer, place))
+        found += [(kind, *layer.span(a, b)) for kind, a, b in base_spans(layer.text)]
+        work.append(inside(layer))
     return order(base), order(found)
 
 
