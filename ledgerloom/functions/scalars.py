@@ -42,6 +42,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+#: Amounts from here on are no money: their sums in cents would leave the whole numbers.
+MOST_MONEY = 1e13
+
+
+def finite(amount: Column) -> Column:
+    """The amount, null where it is NaN, infinite or beyond MOST_MONEY."""
+    return F.when(F.abs(amount) < MOST_MONEY, amount)
+
+
 def strip(c: Column) -> Column:
     """Whitespace of any script off both ends."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
@@ -59,12 +68,12 @@ def parse_amount(c: Column) -> Column:
     def unsigned(x: Column) -> Column:
         minus = x["t"].startswith("-")
         digits = F.translate(F.when(minus, F.substr(x["t"], F.lit(2), F.length(x["t"]))).otherwise(x["t"]), EASTERN_DIGITS, "01234567890123456789")
-        return let(F.struct(digits.alias("t"), ((x["n"] + minus.cast("int")) % 2).alias("n")), lambda y: F.when(y["t"].rlike(NUMBER), y["t"].try_cast("double") * (1 - 2 * y["n"])))
+        return let(F.struct(digits.alias("t"), ((x["n"] + minus.cast("int")) % 2).alias("n")), lambda y: F.when(y["t"].rlike(NUMBER), finite(y["t"].try_cast("double")) * (1 - 2 * y["n"])))
 
     def unwrapped(s: Column) -> Column:
         wrapped = s.startswith("(") & s.endswith(")") & (F.length(s) >= 2)
         inner = F.struct(F.when(wrapped, F.substr(s, F.lit(2), F.length(s) - 2)).otherwise(s).alias("t"), wrapped.cast("int").alias("n"))
-        return F.when(s.isNotNull() & ~s.isin(*NO_AMOUNT), let(inner, unmarked))
+        return F.when(s.rlike(f"[0-9{EASTERN_DIGITS}]"), let(inner, unmarked))
 
     return let(strip(c), unwrapped)
 
@@ -85,7 +94,11 @@ def _month(name: Column) -> Column:
 
 def parse_date_iso(c: Column) -> Column:
     """``yyyy-MM-dd`` of a date text, day before month, else null."""
-    return let(F.regexp_replace(strip(c), r"(?U)\s+", " "), _parse_date)
+    return let(F.regexp_replace(strip(c), r"(?U)\s+", " "), lambda s: F.when(s.rlike(DATE_SHAPE), _parse_date(s)))
+
+
+#: What all forms of dates have in common; most cells are none.
+DATE_SHAPE = r"^[0-9A-Za-z]{1,9}[-/ ][0-9A-Za-z]{1,9}[-/, ]{1,2}\d{1,4}$"
 
 
 def _parse_date(s: Column) -> Column:
@@ -201,7 +214,7 @@ def is_payment(kind: Column) -> Column:
     return F.coalesce(F.lower(strip(kind)).isin(*PAYMENT_TYPES), F.lit(False))
 
 
-# Cells: struct<s string, d double, ts timestamp>; a null or empty cell has none of them.
+# Cells: struct<s string, d double, ts timestamp, i bigint>; a null or empty cell has none of them.
 
 
 def number_text(d: Column) -> Column:
@@ -211,15 +224,21 @@ def number_text(d: Column) -> Column:
 
 
 def cell_text(c: Column) -> Column:
-    return F.coalesce(c["s"], F.when(c["d"].isNotNull(), number_text(c["d"])), F.date_format(c["ts"], "yyyy-MM-dd HH:mm:ss"))
+    """Whole numbers have no decimal point, so that an invoice number stays one."""
+    return F.coalesce(c["s"], c["i"].cast("string"), F.when(c["d"].isNotNull(), number_text(c["d"])), F.date_format(c["ts"], "yyyy-MM-dd HH:mm:ss"))
 
 
 def read_cell(c: Column) -> Column:
     """struct(txt, amt, iso, ref, full): text, amount, ISO date, whether it looks like a reference, whether it is not empty."""
-    txt = cell_text(c)
-    iso = F.coalesce(F.date_format(c["ts"], "yyyy-MM-dd"), excel_serial_date(c["d"]), F.when(c["s"].isNotNull(), parse_date_iso(c["s"])))
-    amt = F.coalesce(c["d"], F.when(c["s"].isNotNull(), parse_amount(c["s"])))
-    return F.struct(txt.alias("txt"), amt.alias("amt"), iso.alias("iso"), looks_like_ref(txt).alias("ref"), (F.coalesce(txt, F.lit("")) != "").alias("full"))
+    number = F.coalesce(c["d"], c["i"].cast("double"))
+    amt = F.coalesce(finite(number), F.when(c["s"].isNotNull(), parse_amount(c["s"])))
+
+    def read(x: Column) -> Column:
+        iso = F.coalesce(F.date_format(c["ts"], "yyyy-MM-dd"), excel_serial_date(number), x["dated"])
+        hint = F.coalesce(x["dated"].isNull() & x["txt"].rlike("(?iU)" + REF_HINT), F.lit(False))
+        return F.struct(x["txt"].alias("txt"), amt.alias("amt"), iso.alias("iso"), hint.alias("ref"), (F.coalesce(x["txt"], F.lit("")) != "").alias("full"))
+
+    return let(F.struct(cell_text(c).alias("txt"), F.when(c["s"].isNotNull(), parse_date_iso(c["s"])).alias("dated")), read)
 
 
 def is_blank_row(read: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.stages import cut
@@ -13,10 +14,16 @@ from ..operators import recon as R
 def statements_vs_books(grid: DataFrame, books: DataFrame, owner: DataFrame | None = None, **options) -> tuple[DataFrame, DataFrame]:
     """Statements are extracted, their records are the V lines, and ``books`` (lines without ``side``) the B lines.
 
-    ``owner``: ``doc_id, recon_id``; without it a document is its own reconciliation.
+    ``owner``: ``doc_id, recon_id``; without it a document is its own reconciliation.  Documents of one reconciliation
+    follow one another by ``doc_id``: their rows are numbered on, so that no two lines share a number.
     """
     records, _ = G.extract(grid)
-    owned = records.join(owner, "doc_id") if owner is not None else records.withColumn("recon_id", F.col("doc_id"))
-    v = owned.select("recon_id", F.lit("V").alias("side"), F.col("row").cast("long").alias("row"), "ref", "ref_raw", "date", "date_iso", "type", "amount")
+    if owner is not None:
+        held = records.groupBy("doc_id").agg(F.max("row").cast("long").alias("n")).join(owner.distinct(), "doc_id")
+        earlier = W.partitionBy("recon_id").orderBy("doc_id").rowsBetween(W.unboundedPreceding, -1)
+        owned = records.join(held.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n"), "doc_id")
+    else:
+        owned = records.withColumns({"recon_id": F.col("doc_id"), "before": F.lit(0)})
+    v = owned.select("recon_id", F.lit("V").alias("side"), (F.col("row") + F.col("before")).cast("long").alias("row"), "ref", "ref_raw", "date", "date_iso", "type", "amount")
     b = books.select("recon_id", F.lit("B").alias("side"), "row", "ref", "ref_raw", "date", "date_iso", "type", "amount")
     return R.reconcile(cut(v.unionByName(b)), **options)

@@ -1,19 +1,19 @@
 """Order-dependent matching inside one small group: unique-candidate greedy (H1) and combination sums (H2).
 
 Amounts are whole cents.  Both work on one independent group at a time: an island of amounts, or one reconciliation of
-at most 80 open items.
+at most 80 open items.  Groups come as lists by column, V rows in the order in which they are to be visited.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
 from functools import cache
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 
 POOL, PARTS = 25, (2, 3)
+#: A day number that is near no other.
+NO_DAY = -(10**9)
 
 
 @cache
@@ -22,61 +22,77 @@ def _choices(size: int, n: int) -> np.ndarray:
     return np.array(list(combinations(range(size), n)))
 
 
-def _near_day(a, b, window: int) -> bool:
-    return bool(pd.notna(a) and pd.notna(b) and a and b and abs(a - b) <= window)
+class _Stock:
+    """B items by absolute cents; those taken are marked, so that a look-up is a slice and never moves anything."""
 
+    def __init__(self, keys: list, cents: list[int], days: list[int | None]):
+        order = sorted(range(len(keys)), key=lambda k: abs(cents[k]))
+        self.keys = [keys[k] for k in order]
+        signed = np.array([cents[k] for k in order], np.int64)
+        self.size, self.plus = np.abs(signed), signed >= 0
+        self.day = np.array([days[k] or NO_DAY for k in order], np.int64)
+        self.open = np.ones(len(order), bool)
 
-def match_island(pdf: pd.DataFrame, tol: int, window: int, exact_first: bool) -> list[tuple]:
-    """(v key, b key, dated) of one island.  Each V is visited once, in ``ord``.
+    def within(self, low: int, high: int) -> np.ndarray:
+        a, b = np.searchsorted(self.size, (low, high + 1))
+        return a + np.flatnonzero(self.open[a:b])
+
+
+def match_island(columns: dict[str, list], tol: int, window: int, exact_first: bool) -> list[tuple]:
+    """(v key, b key, dated) of one island.  Each V is visited once, in the order of the rows.
 
     ``exact_first`` (values): open B of equal absolute cents, else within ``tol``; those of the same sign if any; one
     left is the pair, else exactly one inside the day window.  Otherwise (payments): B within ``tol``; of several those
     inside the window if any; a pair only if one is left.
     """
-    v = pdf[pdf.side == "V"].sort_values("ord", kind="stable")
-    b = pdf[pdf.side == "B"]
-    by_key = {k: (c, d) for k, c, d in zip(b.key, b.cents, b.day, strict=True)}
-    stock = sorted((abs(c), k) for k, (c, _) in by_key.items())
-    least, most = "", chr(0x10FFFF) * 2
-    low = (lambda x: (x, least)) if b.empty or isinstance(b.key.iloc[0], str) else (lambda x: (x, -(2**62)))
-    high = (lambda x: (x, most)) if b.empty or isinstance(b.key.iloc[0], str) else (lambda x: (x, 2**62))
+    side, key, cents, days = (columns[c] for c in ("side", "key", "cents", "day"))
+    b = [k for k, s in enumerate(side) if s == "B"]
+    stock = _Stock([key[k] for k in b], [cents[k] for k in b], [days[k] for k in b])
     out = []
-    for key, cents, day in zip(v.key, v.cents, v.day, strict=True):
-        size = abs(cents)
-        near = lambda a, z: [k for _, k in stock[bisect_left(stock, low(a)) : bisect_right(stock, high(z))]]
-        found = near(size, size) if exact_first else []
-        found = found or near(size - tol, size + tol)
+    for k in (k for k, s in enumerate(side) if s == "V"):
+        size, day = abs(cents[k]), days[k] or None
+        found = stock.within(size, size) if exact_first else stock.within(size - tol, size + tol)
+        if exact_first and not len(found):
+            found = stock.within(size - tol, size + tol)
+        near = lambda at: at[np.abs(stock.day[at] - day) <= window] if day is not None else at[:0]  # noqa: E731, B023
         dated = False
-        if exact_first:
-            same = [k for k in found if (by_key[k][0] >= 0) == (cents >= 0)]
-            found = same or found
+        if exact_first and len(found) > 1:
+            same = found[stock.plus[found] == (cents[k] >= 0)]
+            found = same if len(same) else found
             if len(found) > 1:
-                dated = True
-                found = [k for k in found if _near_day(day, by_key[k][1], window)]
+                dated, found = True, near(found)
         elif len(found) > 1:
-            found = [k for k in found if _near_day(day, by_key[k][1], window)] or found
+            inside = near(found)
+            found = inside if len(inside) else found
         if len(found) == 1:
-            out.append((key, found[0], dated))
-            stock.remove((abs(by_key[found[0]][0]), found[0]))
+            stock.open[found[0]] = False
+            out.append((key[k], stock.keys[found[0]], dated))
     return out
 
 
-def match_first_unique(pdf: pd.DataFrame) -> list[tuple]:
-    """Of candidate pairs (v, b): V in order; a pair where exactly one of its candidates is still open."""
-    taken, out = set(), []
-    for v, own in pdf.sort_values(["v", "b"], kind="stable").groupby("v", sort=True):
-        left = [b for b in own.b if b not in taken]
-        if len(left) == 1:
-            taken.add(left[0])
-            out.append((v, left[0]))
+def match_first_unique(columns: dict[str, list]) -> list[tuple]:
+    """Of candidate pairs (v, b), sorted by v: V in order; a pair where exactly one of its candidates is still open."""
+    taken: set = set()
+    out, own = [], []
+    v, b = columns["v"], columns["b"]
+    for k, x in enumerate(v):
+        if b[k] not in taken:
+            own.append(b[k])
+        if k + 1 == len(v) or v[k + 1] != x:
+            if len(own) == 1:
+                taken.add(own[0])
+                out.append((x, own[0]))
+            own = []
     return out
 
 
-def match_combos(v: list[tuple[str, int]], b: list[tuple[str, int]], tol: int) -> list[tuple]:
-    """(single, parts, from V, residual in cents): one item equal to the sum of two, else three, of the other side's
+def match_combos(columns: dict[str, list], tol: int) -> list[tuple]:
+    """(single, parts, from V, residual in cents, place): one item equal to the sum of two, else three, of the other side's
     25 largest open ones; V items first, then B items; largest first, then by reference."""
     by_size = lambda x: (-abs(x[1]), x[0])
-    left, right, out = sorted(v, key=by_size), sorted(b, key=by_size), []
+    items = list(zip(columns["side"], columns["ref"], columns["cents"], strict=True))
+    left, right = (sorted([(r, c) for s, r, c in items if s == which], key=by_size) for which in "VB")
+    out: list[tuple] = []
     for from_v in (True, False):
         singles, many = (left, right) if from_v else (right, left)
         for item in list(singles):
@@ -89,7 +105,7 @@ def match_combos(v: list[tuple[str, int]], b: list[tuple[str, int]], tol: int) -
                 hit = np.flatnonzero(np.abs(cents[places].sum(1) - item[1]) <= tol)
                 if len(hit):
                     parts = [pool[k] for k in places[hit[0]]]
-                    out.append((item[0], [p for p, _ in parts], from_v, item[1] - sum(c for _, c in parts)))
+                    out.append((item[0], [p for p, _ in parts], from_v, item[1] - sum(c for _, c in parts), len(out)))
                     for p in parts:
                         many.remove(p)
                     singles.remove(item)

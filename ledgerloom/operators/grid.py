@@ -1,6 +1,6 @@
 """Statement grids to records.
 
-A grid is ``doc_id, row_idx (from 0), cells array<struct<s, d, ts>>``.  Each cell is read once; everything after is array
+A grid is ``doc_id, row_idx (from 0), cells array<struct<s, d, ts, i>>`` (text, number, time, whole number).  Each cell is read once; everything after is array
 look-ups in the row, and aggregation by document.
 """
 
@@ -18,8 +18,11 @@ COLUMNS = tuple(f"{r}_col" for r in S.ROLES)
 
 
 def read_grid(grid: DataFrame) -> DataFrame:
-    """``doc_id, row_idx, c``: the cells, read once."""
-    return grid.select("doc_id", "row_idx", F.transform("cells", S.read_cell).alias("c"))
+    """``doc_id, row_idx, c``: the cells, read once.  Cells may lack any of the four fields but ``s``."""
+    has = grid.schema["cells"].dataType.elementType.fieldNames()
+    kinds = {"s": "string", "d": "double", "ts": "timestamp", "i": "bigint"}
+    whole = lambda c: F.struct(*[(c[f] if f in has else F.lit(None)).cast(kind).alias(f) for f, kind in kinds.items()])
+    return grid.select("doc_id", "row_idx", F.transform("cells", lambda c: S.read_cell(whole(c))).alias("c"))
 
 
 def map_row(texts: Column) -> Column:

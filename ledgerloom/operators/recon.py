@@ -1,8 +1,8 @@
 """Reconciliation of vendor lines (V) with our own (B) (R1-R21), many ``recon_id`` at once.
 
 Lines are ``recon_id, side, row, ref, ref_raw, date, date_iso, type, amount``.  Money is whole cents inside and a double
-at the edge.  Matching keys on references, keys or amount islands, never on ``recon_id`` alone but for the two small
-helpers, so one giant reconciliation spreads over the cluster.
+at the edge.  Matching keys on references, keys or amount islands, never on ``recon_id`` alone but for combinations (at
+most 80 open items), so one giant reconciliation spreads over the cluster.
 """
 
 from __future__ import annotations
@@ -10,17 +10,19 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions.groups import map_groups, spread_row_number
 from ..functions.stages import cut
 from .greedy import match_combos as combos_of
 from .greedy import match_first_unique, match_island
 
 TOLERANCE, DATE_WINDOW, COMBO_GATE = 1.0, 7, 80
+#: Cents; amounts are sorted by stretches of this length.
+STRETCH = 100_000
 # Texts that results carry.
 EXTRA, MISSING, MATCHED, DIFFERS = "EXTRA_IN_VENDOR", "MISSING_IN_VENDOR", "MATCHED", "AMOUNT_DIFF"
 NOTES = {"extra": "missing in our books", "missing": "only in our books", "pay_extra": "payment on vendor SOA not found in our books", "pay_missing": "our payment not reflected on vendor SOA", "pay_ref": "payment ref match", "pay_amount": "payment amount match"}
@@ -28,13 +30,9 @@ RELAXED: tuple[tuple[str, Callable[[Column], Column]], ...] = (("alnum", S.ref_a
 PAIR = "recon_id, vref, zref, tier, note, pass, pos"
 
 
-def _frame(**columns: list) -> pd.DataFrame:
-    """Of plain objects, so that empty and text columns convert alike."""
-    return pd.DataFrame({k: pd.Series(v, dtype=object) for k, v in columns.items()})
-
-
 def cents_of(amount: Column) -> Column:
-    return F.round(amount * 100).cast("long")
+    """Null where the amount is no number (NaN, infinite, or beyond what money can be)."""
+    return F.round(S.finite(amount) * 100).cast("long")
 
 
 def money(cents: Column) -> Column:
@@ -48,9 +46,9 @@ def money_text(cents: Column) -> Column:
 
 
 def split_lanes(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Lines by reference, and payment lines with an amount.  Payment lines without one are left out."""
+    """Lines by reference, and payment lines with an amount.  Payment lines without one (or of NaN) are left out."""
     lines = lines.withColumns({"cents": cents_of(F.col("amount")), "pays": S.is_payment(F.col("type"))})
-    return lines.where("not pays").drop("pays"), lines.where("pays and amount is not null").drop("pays")
+    return lines.where("not pays").drop("pays"), lines.where("pays and cents is not null").drop("pays")
 
 
 def aggregate_refs(lines: DataFrame) -> DataFrame:
@@ -110,52 +108,64 @@ def typo_candidates(v: DataFrame, b: DataFrame, tol: int) -> DataFrame:
     left = masked(v, "v").withColumn("bucket", F.explode(F.array(*[F.floor(F.col("c_v") / wide) + k for k in (-1, 0, 1)])))
     right = masked(b, "b").withColumn("bucket", F.floor(F.col("c_b") / wide))
     met = left.join(right, ["recon_id", "p", "mask", "bucket"]).where((F.abs(F.col("c_v") - F.col("c_b")) <= tol) & (F.col("a_v") != F.col("a_b")))
-    return met.select("recon_id", "v", "b").distinct()
+    return met.select("recon_id", "v", "b", "c_v", "c_b").distinct()
 
 
 def match_typo(v: DataFrame, b: DataFrame, tol: int) -> DataFrame:
-    """R5."""
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = match_first_unique(pdf)
-        return _frame(recon_id=[pdf.recon_id.iloc[0]] * len(got), vref=[x for x, _ in got], zref=[y for _, y in got])
-
-    kind = v.schema["recon_id"].dataType.simpleString()
-    chosen = typo_candidates(v, b, tol).groupBy("recon_id").applyInPandas(choose, f"recon_id {kind}, vref string, zref string")
+    """R5.  Candidates are worked off by islands of signed amounts: two of different islands share no item."""
+    met = cut(typo_candidates(v, b, tol))
+    ends = met.select("recon_id", F.lit("V").alias("side"), F.col("v").alias("key"), F.col("c_v").alias("size")).union(met.select("recon_id", F.lit("B"), "b", "c_b")).distinct()
+    placed = _islands(ends, tol).where("side = 'V'").select("recon_id", F.col("key").alias("v"), "island")
+    chosen = map_groups(met.join(placed, ["recon_id", "v"]).select("recon_id", "island", "v", "b"), ["recon_id", "island"], ["v", "b"], match_first_unique, "vref string, zref string", "recon_id")
     return _pairs(chosen, 2, F.lit("ref match (1-char difference)"), 4)
 
 
 def _islands(items: DataFrame, tol: int) -> DataFrame:
-    """``items`` of both sides with the island of their absolute cents: gaps of more than ``tol`` part islands.
-    Only islands with both sides are left."""
-    order = W.partitionBy("recon_id").orderBy("size", "side", "key")
-    sized = items.withColumn("size", F.abs("cents"))
-    gap = F.col("size") - F.lag("size").over(order) > tol
-    cutting = sized.withColumn("island", F.sum(F.when(gap, 1).otherwise(0)).over(order.rowsBetween(W.unboundedPreceding, 0)))
+    """``items`` (``recon_id, side, key, size, ...``) with ``island``: no V of one is within ``tol`` of a B of another.
+
+    Rows are sorted by stretches of sizes; only what each stretch holds at its ends is looked at by ``recon_id``, to tell
+    whether its first island goes on from the stretch before.  Islands without a V or without a B are left out.
+    """
+    assert tol < STRETCH
+    kind = lambda which, c: F.when(F.col("side") == which, F.col(c))
+    dealt = items.withColumn("stretch", F.floor(F.col("size") / STRETCH))
+    by = W.partitionBy("recon_id", "stretch")
+    sort = by.orderBy("size", "side", "key")
+    before = sort.rowsBetween(W.unboundedPreceding, -1)
+    after = by.orderBy(*[F.desc(c) for c in ("size", "side", "key")]).rowsBetween(W.unboundedPreceding, 0)
+    edges = {f"last_{x}": F.max(kind(x, "size")).over(before) for x in "VB"} | {f"next_{x}": F.min(kind(x, "size")).over(after) for x in "VB"}
+    meets = lambda a, b: F.coalesce(F.col(a) - F.col(b) <= tol, F.lit(False))
+    new = ~(meets("next_V", "last_B") | meets("next_B", "last_V"))
+    local = dealt.withColumns(edges).withColumn("local", F.sum(new.cast("long")).over(sort.rowsBetween(W.unboundedPreceding, 0))).drop(*edges)
+    # Stretches, with the ends of each: does the first island go on from the stretch before, and under which name?
+    ends = local.groupBy("recon_id", "stretch").agg(F.max("local").alias("last"), F.min("local").alias("first"), *[f(kind(x, "size")).alias(f"{n}_{x}") for x in "VB" for n, f in (("min", F.min), ("max", F.max))])
+    row = W.partitionBy("recon_id").orderBy("stretch")
+    ends = ends.withColumns({f"was_{c}": F.lag(c).over(row) for c in ("stretch", "first", "last", "max_V", "max_B")})
+    joined = (F.col("was_stretch") == F.col("stretch") - 1) & (meets("min_V", "was_max_B") | meets("min_B", "was_max_V"))
+    name = lambda stretch, place: F.struct(F.col(stretch).alias("stretch"), F.col(place).alias("place"))
+    own = F.when(~F.coalesce(joined, F.lit(False)), name("stretch", "first")).when(F.col("was_last") > F.col("was_first"), name("was_stretch", "was_last"))
+    ends = ends.withColumn("head", F.last(own, ignorenulls=True).over(row.rowsBetween(W.unboundedPreceding, 0))).select("recon_id", "stretch", "first", "head")
+    named = local.join(ends, ["recon_id", "stretch"]).withColumn("island", F.when(F.col("local") == F.col("first"), F.col("head")).otherwise(name("stretch", "local")))
+    named = named.select(*[named[c] for c in items.columns], "island")
     whole = W.partitionBy("recon_id", "island")
-    return cutting.withColumns({"n_v": F.count_if(F.col("side") == "V").over(whole), "n_b": F.count_if(F.col("side") == "B").over(whole)}).where("n_v > 0 and n_b > 0")
+    return named.withColumns({"n_v": F.count_if(F.col("side") == "V").over(whole), "n_b": F.count_if(F.col("side") == "B").over(whole)}).where("n_v > 0 and n_b > 0")
 
 
 def _greedy(items: DataFrame, tol: int, window: int, exact_first: bool) -> DataFrame:
     """``recon_id, v, b, dated``.  Islands of one V and one B need no helper: they are within ``tol``."""
-    found = _islands(items, tol)
-    plain = found.where("n_v = 1 and n_b = 1").groupBy("recon_id", "island").agg(F.max(F.when(F.col("side") == "V", F.col("key"))).alias("v"), F.max(F.when(F.col("side") == "B", F.col("key"))).alias("b")).select("recon_id", "v", "b", F.lit(False).alias("dated"))
-    kind, key = items.schema["recon_id"].dataType.simpleString(), items.schema["key"].dataType.simpleString()
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = match_island(pdf, tol, window, exact_first)
-        return _frame(recon_id=[pdf.recon_id.iloc[0]] * len(got), v=[g[0] for g in got], b=[g[1] for g in got], dated=[g[2] for g in got])
-
-    crowded = found.where("n_v > 1 or n_b > 1").select("recon_id", "island", "side", "key", "ord", "cents", "day")
-    return plain.union(crowded.groupBy("recon_id", "island").applyInPandas(choose, f"recon_id {kind}, v {key}, b {key}, dated boolean"))
+    found = _islands(items.withColumn("size", F.abs("cents")), tol)
+    keyed = lambda which: F.max(F.when(F.col("side") == which, F.col("key")))
+    plain = found.where("n_v = 1 and n_b = 1").groupBy("recon_id", "island").agg(keyed("V").alias("v"), keyed("B").alias("b")).select("recon_id", "v", "b", F.lit(False).alias("dated"))
+    key = items.schema["key"].dataType.simpleString()
+    crowded = found.where("n_v > 1 or n_b > 1").select("recon_id", "island", "ord", "key", "side", "cents", "day")
+    chosen = map_groups(crowded, ["recon_id", "island"], ["ord", "key"], lambda c: match_island(c, tol, window, exact_first), f"v {key}, b {key}, dated boolean", "recon_id")
+    return plain.union(chosen)
 
 
 def match_value(v: DataFrame, b: DataFrame, tol: int, window: int) -> DataFrame:
     """By value, largest first, ties by reference."""
-    both = v.union(b).select("recon_id", "side", F.col("ref").alias("key"), "cents", S.day_ordinal(F.col("date")).alias("day"))
-    ranked = both.withColumn("ord", F.struct((-F.abs("cents")).alias("size"), "key"))
-    rank = W.partitionBy("recon_id").orderBy("ord")
-    got = _greedy(ranked.withColumn("ord", F.row_number().over(rank)), tol, window, True)
+    both = v.union(b).select("recon_id", "side", F.col("ref").alias("key"), "cents", S.day_ordinal(F.col("date")).alias("day"), (-F.abs("cents")).alias("ord"))
+    got = _greedy(both, tol, window, True)
     note = F.when(F.col("dated"), f"amount+date match (±{window}d)").otherwise("amount match (unique value)")
     sized = got.join(v.select("recon_id", F.col("ref").alias("v"), F.abs("cents").alias("size")), ["recon_id", "v"])
     return _pairs(sized.withColumnsRenamed({"v": "vref", "b": "zref"}), 3, note, 5, -F.col("size"))
@@ -166,14 +176,7 @@ def match_combos(v: DataFrame, b: DataFrame, tol: int, gate: int = COMBO_GATE) -
     both = v.select("recon_id", "side", "ref", "cents").union(b.select("recon_id", "side", "ref", "cents"))
     counts = both.groupBy("recon_id").agg(F.count_if(F.col("side") == "V").alias("n_v"), F.count_if(F.col("side") == "B").alias("n_b"))
     small = both.join(counts.where((F.col("n_v") > 0) & (F.col("n_b") > 0) & (F.col("n_v") + F.col("n_b") <= gate)).select("recon_id"), "recon_id")
-    kind = v.schema["recon_id"].dataType.simpleString()
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        of = lambda s: list(zip(pdf.ref[pdf.side == s], pdf.cents[pdf.side == s].astype(int), strict=True))
-        got = combos_of(of("V"), of("B"), tol)
-        return _frame(recon_id=[pdf.recon_id.iloc[0]] * len(got), ref=[g[0] for g in got], parts=[g[1] for g in got], from_v=[g[2] for g in got], resid=[int(g[3]) for g in got], pos=list(range(len(got))))
-
-    found = small.groupBy("recon_id").applyInPandas(choose, f"recon_id {kind}, ref string, parts array<string>, from_v boolean, resid long, pos long")
+    found = map_groups(small, ["recon_id"], ["side", "ref"], lambda c: combos_of(c, tol), "ref string, parts array<string>, from_v boolean, resid long, pos long", "recon_id")
     direction = F.when(F.col("from_v"), "vendor line equals sum of our lines").otherwise("our line equals sum of vendor lines")
     return found.withColumn("direction", direction).withColumn("note", F.concat("direction", F.lit(": "), "ref", F.lit(" = "), F.array_join("parts", " + ")))
 
@@ -282,8 +285,7 @@ def order_results(results: DataFrame) -> DataFrame:
     rank = F.when(F.col("status") == DIFFERS, 0).when(F.col("status") == EXTRA, 1).when(F.col("status") == MISSING, 2).otherwise(3)
     some = lambda c: F.when(F.col(c) != 0, F.col(c))
     size = F.abs(F.coalesce(some("diff"), some("v_cents"), some("b_cents"), F.lit(0)))
-    order = W.partitionBy("recon_id").orderBy(rank, -size, "section", "pass", "pos", "name")
-    return results.withColumn("ord", F.row_number().over(order))
+    return spread_row_number(results, ["recon_id"], [rank, F.floor(-size / STRETCH)], [-size, "section", "pass", "pos", "name"], "ord")
 
 
 def matched_by_tier(pairs: DataFrame) -> DataFrame:

@@ -12,49 +12,63 @@ ORDERS = """
          o_orderkey % 20 AS m, o_custkey % 2 AS odd
   FROM orders"""
 
-_V, _B = "V", "B"
-#: side, condition, line number, reference, cents, type; the cases are chosen by the order's key modulo 20.
+#: What becomes of an order by its key modulo 20 (and, of payments, by whether its customer's key is odd): side, line number,
+#: reference, share of the amount, type.
+_V, _B, _ANY = "V", "B", (0, 1)
 CASES = (
-    (_B, "m <= 8", 1, "'INV-' || k8", "c", "Invoice"), (_V, "m <= 8", 2, "'INV-' || k8", "CAST(floor(c * 0.6) AS BIGINT)", "Invoice"), (_V, "m <= 8", 3, "'INV-' || k8", "c - CAST(floor(c * 0.6) AS BIGINT)", "Invoice"),
-    (_B, "m = 9", 1, "'INV-' || k8", "c", "Invoice"), (_V, "m = 9", 2, "'INV-' || k8", "c + 50", "Invoice"),
-    (_B, "m = 10", 1, "'INV-' || k8", "c", "Invoice"), (_V, "m = 10", 2, "'INV-' || k8", "c + 2500", "Invoice"),
-    (_B, "m = 11", 1, "'INV-' || k8", "c", "Invoice"), (_V, "m = 11", 2, "'INVK' || k8", "c", "Bill"),
-    (_B, "m = 12", 1, "'INV-' || k8", "c", "Invoice"), (_V, "m = 12", 2, "'INV-' || CAST(k AS STRING)", "c", "Invoice"),
-    (_B, "m = 13", 1, "'INV-' || k8", "c", "Invoice"), (_B, "m = 13", 2, "'BILL-00' || k8", "c + 700", "Bill"), (_V, "m = 13", 3, "'DOC/' || k8", "c", "Invoice"),
-    (_B, "m = 14", 1, "'INV-' || k8", "c", "Invoice"), (_V, "m = 14", 2, "'1NV-' || k8", "c", "Invoice"),
-    (_B, "m = 15", 1, "'INV-' || k8", "c", "Invoice"), (_V, "m = 15", 2, "'XQ' || abc", "c", "Invoice"),
-    (_B, "m = 16", 1, "'PA' || abc", "CAST(floor(c * 0.4) AS BIGINT)", "Invoice"), (_B, "m = 16", 2, "'PB' || abc", "c - CAST(floor(c * 0.4) AS BIGINT)", "Invoice"), (_V, "m = 16", 3, "'INV-' || k8", "c", "Invoice"),
-    (_B, "m = 17", 1, "'INV-' || k8", "c", "Invoice"),
-    (_V, "m = 18", 1, "'INV-' || k8", "c", "Invoice"), (_V, "m = 18", 2, "'CT' || abc", "-c", "Credit Note"),
-    (_B, "m = 19", 1, "'RVT-' || k8", "c", "Payment"), (_V, "m = 19 AND odd = 0", 2, "'RVT-' || k8", "-c", "Payment"), (_V, "m = 19 AND odd = 1", 3, "'TR' || abc", "-c", "Receipt"),
+    *((m, _ANY, (_B, 1, "inv", "all", "Invoice"), (_V, 2, "inv", "most", "Invoice"), (_V, 3, "inv", "rest", "Invoice")) for m in range(9)),
+    (9, _ANY, (_B, 1, "inv", "all", "Invoice"), (_V, 2, "inv", "cents over", "Invoice")),
+    (10, _ANY, (_B, 1, "inv", "all", "Invoice"), (_V, 2, "inv", "units over", "Invoice")),
+    (11, _ANY, (_B, 1, "inv", "all", "Invoice"), (_V, 2, "invk", "all", "Bill")),
+    (12, _ANY, (_B, 1, "inv", "all", "Invoice"), (_V, 2, "short", "all", "Invoice")),
+    (13, _ANY, (_B, 1, "inv", "all", "Invoice"), (_B, 2, "bill", "seven over", "Bill"), (_V, 3, "doc", "all", "Invoice")),
+    (14, _ANY, (_B, 1, "inv", "all", "Invoice"), (_V, 2, "typo", "all", "Invoice")),
+    (15, _ANY, (_B, 1, "inv", "all", "Invoice"), (_V, 2, "xq", "all", "Invoice")),
+    (16, _ANY, (_B, 1, "pa", "less", "Invoice"), (_B, 2, "pb", "other", "Invoice"), (_V, 3, "inv", "all", "Invoice")),
+    (17, _ANY, (_B, 1, "inv", "all", "Invoice")),
+    (18, _ANY, (_V, 1, "inv", "all", "Invoice"), (_V, 2, "ct", "against", "Credit Note")),
+    (19, _ANY, (_B, 1, "rvt", "all", "Payment")),
+    (19, (0,), (_V, 2, "rvt", "against", "Payment")),
+    (19, (1,), (_V, 3, "tr", "against", "Receipt")),
 )
-LINES = f"WITH o AS ({ORDERS})\n" + "\nUNION ALL ".join(
-    f"SELECT owner AS recon_id, '{side}' AS side, k * 10 + {n} AS row, {ref} AS ref, {ref} AS ref_raw, d AS date, d AS date_iso, '{kind}' AS type, CAST({cents} AS DOUBLE) / 100 AS amount FROM o WHERE {when}" for side, when, n, ref, cents, kind in CASES
-)
+_REF = "CASE x.ref WHEN 'inv' THEN 'INV-' || k8 WHEN 'invk' THEN 'INVK' || k8 WHEN 'short' THEN 'INV-' || CAST(k AS STRING) WHEN 'bill' THEN 'BILL-00' || k8 WHEN 'doc' THEN 'DOC/' || k8 WHEN 'typo' THEN '1NV-' || k8 WHEN 'rvt' THEN 'RVT-' || k8 ELSE upper(x.ref) || abc END"
+_CENTS = """CASE x.share WHEN 'all' THEN c WHEN 'against' THEN -c WHEN 'most' THEN CAST(floor(c * 0.6) AS BIGINT) WHEN 'rest' THEN c - CAST(floor(c * 0.6) AS BIGINT) WHEN 'less' THEN CAST(floor(c * 0.4) AS BIGINT)
+    WHEN 'other' THEN c - CAST(floor(c * 0.4) AS BIGINT) WHEN 'cents over' THEN c + 50 WHEN 'seven over' THEN c + 700 WHEN 'units over' THEN c + 2500 END"""
+_SMALL_TABLE = ", ".join(f"({2 * m + odd}, '{side}', {n}, '{ref}', '{share}', '{kind}')" for m, odds, *lines_ in CASES for odd in odds for side, n, ref, share, kind in lines_)
+
+
+def _lines(owner: str, where: str = "true") -> str:
+    """The orders, read once, joined to what becomes of them."""
+    return f"""WITH o AS ({ORDERS}), x AS (SELECT * FROM (VALUES {_SMALL_TABLE}) AS t(m2, side, n, ref, share, kind))
+  SELECT {owner} AS recon_id, x.side, k * 10 + x.n AS row, {_REF} AS ref, {_REF} AS ref_raw, d AS date, d AS date_iso, x.kind AS type, CAST({_CENTS} AS DOUBLE) / 100 AS amount
+  FROM o JOIN x ON o.m * 2 + o.odd = x.m2 WHERE {where}"""
+
+
+LINES = _lines("owner")
+#: One reconciliation holds the lines of every second customer.
+SKEWED = _lines("CASE WHEN owner % 2 = 0 THEN 0 ELSE owner END")
 
 _AMOUNT = "CASE WHEN c >= 100000 THEN CAST(CAST(floor(c / 100000) AS BIGINT) AS STRING) || ',' || lpad(CAST(CAST(floor(c / 100) AS BIGINT) % 1000 AS STRING), 3, '0') ELSE CAST(CAST(floor(c / 100) AS BIGINT) AS STRING) END || '.' || lpad(CAST(c % 100 AS STRING), 2, '0')"
 ITEMS = f"""
   SELECT owner AS doc_id, owner % 6 AS layout, k, k8, c, d, m, abc, {_AMOUNT} AS amt, substr(d, 9, 2) || '-' || substr(d, 6, 2) || '-' || substr(d, 1, 4) AS dmy,
          CAST(row_number() OVER (PARTITION BY owner ORDER BY k) AS INT) - 1 AS i, CAST(count(*) OVER (PARTITION BY owner) AS INT) AS n, sum(c) OVER (PARTITION BY owner) AS total
   FROM ({ORDERS}) AS o"""
-_DOCS = "SELECT doc_id, layout, n, CAST(total AS BIGINT) + CASE WHEN doc_id % 12 >= 6 THEN 10000 ELSE 0 END AS c FROM items WHERE i = 0"
-#: Rows of up to four cells ('' is an empty cell, null is none), by layout.
-ROWS = f"""WITH items AS ({ITEMS}), docs AS ({_DOCS})
-  SELECT doc_id, 0 AS row_idx, 'Date' AS c0, 'Reference' AS c1, 'Type' AS c2, 'Amount' AS c3 FROM docs WHERE layout IN (0, 4, 5)
-  UNION ALL SELECT doc_id, 0, 'ACME TRADING LLC', '', '', CAST(NULL AS STRING) FROM docs WHERE layout = 1
-  UNION ALL SELECT doc_id, 1, 'Statement for the period', '', '', CAST(NULL AS STRING) FROM docs WHERE layout = 1
-  UNION ALL SELECT doc_id, 2, 'DOCUMENT', 'DOCUMENT', 'AMOUNT', CAST(NULL AS STRING) FROM docs WHERE layout = 1
-  UNION ALL SELECT doc_id, 3, 'DATE', 'NUMBER', '', CAST(NULL AS STRING) FROM docs WHERE layout = 1
-  UNION ALL SELECT doc_id, 0, 'Date', 'Doc No', 'Debit', 'Credit' FROM docs WHERE layout = 2
-  UNION ALL SELECT doc_id, 1, 'Opening balance', '', '', '1,000.00' FROM docs WHERE layout = 4
-  UNION ALL SELECT doc_id, n + 2, 'Total', '', '', {_AMOUNT} FROM docs WHERE layout = 4
-  UNION ALL SELECT doc_id, n + 1, '', '', '', '' FROM docs WHERE layout = 5
-  UNION ALL SELECT doc_id, i + 1, dmy, 'INV-' || k8, 'Invoice', amt FROM items WHERE layout IN (0, 5)
-  UNION ALL SELECT doc_id, i + 2, dmy, 'INV-' || k8, 'Invoice', amt FROM items WHERE layout = 4
-  UNION ALL SELECT doc_id, n + 2 + i, dmy, 'INV-' || k8, 'Invoice', amt FROM items WHERE layout = 5
-  UNION ALL SELECT doc_id, i + 4, dmy, 'INV-' || k8, amt, CAST(NULL AS STRING) FROM items WHERE layout = 1
-  UNION ALL SELECT doc_id, i + 1, dmy, CASE WHEN i % 5 = 4 THEN 'CN-' ELSE 'INV-' END || k8, CASE WHEN i % 5 = 4 THEN '' ELSE amt END, CASE WHEN i % 5 = 4 THEN amt ELSE '' END FROM items WHERE layout = 2
-  UNION ALL SELECT doc_id, i, dmy, 'INV-' || k8, amt, CAST(NULL AS STRING) FROM items WHERE layout = 3"""
+_OFF = "CASE WHEN doc_id % 12 >= 6 THEN 10000 ELSE 0 END"
+_TOTAL = _AMOUNT.replace("c ", "t ").replace("c)", "t)").replace("(c", "(t")
+#: Rows of up to four cells ('' is an empty cell, null is none) by layout: whether a row comes once a document, its number, its cells.
+_SHAPES = (
+    *((k, 1, "0", "'Date'", "'Reference'", "'Type'", "'Amount'") for k in (0, 4, 5)),
+    (1, 1, "0", "'ACME TRADING LLC'", "''", "''", "NULL"), (1, 1, "1", "'Statement for the period'", "''", "''", "NULL"), (1, 1, "2", "'DOCUMENT'", "'DOCUMENT'", "'AMOUNT'", "NULL"), (1, 1, "3", "'DATE'", "'NUMBER'", "''", "NULL"),
+    (2, 1, "0", "'Date'", "'Doc No'", "'Debit'", "'Credit'"),
+    (4, 1, "1", "'Opening balance'", "''", "''", "'1,000.00'"), (4, 1, "n + 2", "'Total'", "''", "''", "tamt"),
+    (5, 1, "n + 1", "''", "''", "''", "''"),
+    *((k, 0, at, "dmy", "'INV-' || k8", "'Invoice'", "amt") for k, at in ((0, "i + 1"), (5, "i + 1"), (4, "i + 2"), (5, "n + 2 + i"))),
+    *((k, 0, at, "dmy", "'INV-' || k8", "amt", "NULL") for k, at in ((1, "i + 4"), (3, "i"))),
+    (2, 0, "i + 1", "dmy", "CASE WHEN i % 5 = 4 THEN 'CN-' ELSE 'INV-' END || k8", "CASE WHEN i % 5 = 4 THEN '' ELSE amt END", "CASE WHEN i % 5 = 4 THEN amt ELSE '' END"),
+)
+_pick = lambda k: "CASE x.shape " + " ".join(f"WHEN {j} THEN {shape[k]}" for j, shape in enumerate(_SHAPES)) + " END"
+ROWS = f"""WITH items AS ({ITEMS}), i AS (SELECT *, {_TOTAL} AS tamt FROM (SELECT *, CAST(total AS BIGINT) + {_OFF} AS t FROM items) AS y), x AS (SELECT * FROM (VALUES {", ".join(f"({s[0]}, {s[1]}, {j})" for j, s in enumerate(_SHAPES))}) AS t(of_layout, once, shape))
+  SELECT doc_id, {_pick(2)} AS row_idx, {", ".join(f"{_pick(3 + k)} AS c{k}" for k in range(4))} FROM i JOIN x ON i.layout = x.of_layout WHERE x.once = 0 OR i.i = 0"""
 #: What the records of those grids must be, straight from the orders.
 RECORDS = f"""WITH items AS ({ITEMS})
   SELECT CAST(doc_id AS STRING) AS doc_id, CASE WHEN layout = 2 AND i % 5 = 4 THEN 'CN-' ELSE 'INV-' END || k8 AS ref, dmy AS date, d AS date_iso,
@@ -82,7 +96,12 @@ TEXTS = f"""WITH o AS ({ORDERS}), t AS (SELECT *, {_AMOUNT} AS amt, k % 13 AS v,
 
 
 def tables(spark: SparkSession, sf_dir: str) -> None:
-    spark.read.parquet(f"{sf_dir}/orders.parquet").createOrReplaceTempView("orders")
+    """The orders as a view; a table of fewer splits than the cluster has cores (one row group is one split) is dealt out."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if orders.rdd.getNumPartitions() < cores:
+        orders = orders.select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate").repartition(cores)
+    orders.createOrReplaceTempView("orders")
 
 
 def from_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
@@ -95,7 +114,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cell = lambda c: F.struct(F.col(c).alias("s"), F.lit(None).cast("double").alias("d"), F.lit(None).cast("timestamp").alias("ts"))
+    cell = lambda c: F.struct(F.col(c).alias("s"), F.lit(None).cast("double").alias("d"), F.lit(None).cast("timestamp").alias("ts"), F.lit(None).cast("bigint").alias("i"))
     rows = from_sql(spark, sf_dir, ROWS)
     cells = F.filter(F.array(*map(cell, ("c0", "c1", "c2", "c3"))), lambda c: c["s"].isNotNull())
     return rows.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("row_idx").cast("int").alias("row_idx"), cells.alias("cells"))

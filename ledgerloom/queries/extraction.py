@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.stages import cut
+from ..jobs.extraction import Extraction, extract_documents
 from ..operators import grid as G
 from ..operators import route as V
 from ..sources import files as S
 from .derived import CANDIDATES, ITEMS, LINES, RECORDS, ROWS, candidates, from_sql, grid
 
+_ALT_DOCS = f"SELECT CAST(doc_id AS STRING) AS doc_id, CASE WHEN doc_id % 4 = 0 THEN CAST(total AS DOUBLE) / 100 END AS document_total, doc_id % 5 <> 0 AS present, CASE WHEN doc_id % 10 = 0 THEN 'timeout' END AS error FROM ({ITEMS}) AS i WHERE i.i = 0"
 _COLS = ("date_col", "ref_col", "type_col", "debit_col", "credit_col", "amount_col")
 
 
@@ -50,7 +52,7 @@ def g06_numeric_ref(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each grid with one more row, a bare number in the reference column and no date."""
     g = grid(spark, sf_dir)
     last = g.groupBy("doc_id").agg((F.max("row_idx") + 1).alias("row_idx"))
-    cell = lambda s: F.struct(F.lit(s).alias("s"), F.lit(None).cast("double").alias("d"), F.lit(None).cast("timestamp").alias("ts"))
+    cell = lambda s: F.struct(F.lit(s).alias("s"), F.lit(None).cast("double").alias("d"), F.lit(None).cast("timestamp").alias("ts"), F.lit(None).cast("bigint").alias("i"))
     read = G.read_grid(g.unionByName(last.select("doc_id", "row_idx", F.array(cell(""), cell("1234"), cell(""), cell("")).alias("cells"))))
     rows = G.classify_rows(read, G.infer_columns(read, G.find_header(read)))
     return rows.where("class = 'numeric_ref'").select("doc_id", "row_idx", "last_amount")
@@ -112,11 +114,8 @@ def s01_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def s02_read_delimited(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The grids written as text with one of four delimiters and read back."""
-    rows = from_sql(spark, sf_dir, ROWS)
-    mark = F.element_at(F.array(*map(F.lit, ",;\t|")), (F.col("doc_id") % 4 + 1).cast("int"))
-    line = F.expr("""concat('"', concat_ws(concat('"', mark, '"'), c0, c1, c2, c3), '"')""")
-    files = rows.withColumn("mark", mark).withColumn("line", line).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_idx", "line"))), lambda x: x["line"]), "\n").cast("binary").alias("content"))
-    return S.read_delimited(files).select("doc_id", "row_idx", F.array_join(F.transform("cells", lambda c: c["s"]), "|").alias("cells"))
+    files = _files(spark, sf_dir).where("doc_id % 17 not in (3, 7)")
+    return S.read_delimited(files)[0].select("doc_id", "row_idx", F.array_join(F.transform("cells", lambda c: c["s"]), "|").alias("cells"))
 
 
 def s03_pick_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,8 +162,47 @@ def _both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataF
     records, meta = G.extract(grid(spark, sf_dir))
     records, meta = cut(records), cut(meta)
     alt = cut(V.validate_records(candidates(spark, sf_dir)))
-    docs = from_sql(spark, sf_dir, f"SELECT CAST(doc_id AS STRING) AS doc_id, CASE WHEN doc_id % 4 = 0 THEN CAST(total AS DOUBLE) / 100 END AS document_total, doc_id % 5 <> 0 AS present, CASE WHEN doc_id % 10 = 0 THEN 'timeout' END AS error FROM ({ITEMS}) AS i WHERE i.i = 0")
-    return records, meta, alt, cut(V.alternate_meta(alt, docs))
+    return records, meta, alt, cut(V.alternate_meta(alt, from_sql(spark, sf_dir, _ALT_DOCS)))
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grids as delimited files; some are no table at all, some empty, some of an unknown kind."""
+    rows = from_sql(spark, sf_dir, ROWS)
+    mark = F.element_at(F.array(*map(F.lit, ",;\t|")), (F.col("doc_id") % 4 + 1).cast("int"))
+    line = F.expr("""concat('"', concat_ws(concat('"', mark, '"'), c0, c1, c2, c3), '"')""")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_idx", "line"))), lambda x: x["line"]), "\n")
+    files = rows.withColumn("mark", mark).withColumn("line", line).groupBy("doc_id").agg(text.alias("text"))
+    kind = F.col("doc_id") % 17
+    content = F.when(kind == 3, "nothing to be seen here\n").when(kind == 7, "").otherwise(F.col("text")).cast("binary")
+    name = F.when(kind == 5, "x.zip").otherwise("statement.csv")
+    return files.select("doc_id", name.alias("filename"), content.alias("content")).withColumn("length", F.length("content").cast("long"))
+
+
+def _extraction(spark: SparkSession, sf_dir: str, mode: str) -> Extraction:
+    return extract_documents(_files(spark, sf_dir), mode, candidates(spark, sf_dir), from_sql(spark, sf_dir, _ALT_DOCS), threshold=0.95)
+
+
+def _said(done: Extraction) -> DataFrame:
+    n = done.records.groupBy("doc_id").agg(F.count("*").alias("n"), F.round(F.sum("amount"), 2).alias("amount"))
+    return done.meta.join(n, "doc_id", "left").select("doc_id", "engine", "confidence", "needs_review", F.element_at(F.concat(F.array(F.lit("")), "warnings"), -1).alias("last_warning"), "records", "n", "amount", "ref_col")
+
+
+def x_auto(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _said(_extraction(spark, sf_dir, "auto"))
+
+
+def x_prefer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _said(_extraction(spark, sf_dir, "alternate"))
+
+
+def x_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = _extraction(spark, sf_dir, "verify")
+    more = done.meta.select("doc_id", "rate", "agreed_rows", F.array_join("parser_only", "|").alias("parser_only"), F.array_join("alternate_only", "|").alias("alternate_only"))
+    return _said(done).join(more, "doc_id")
+
+
+def x_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _extraction(spark, sf_dir, "auto").rejected
 
 
 def v01_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,18 +224,19 @@ def v04_disagreements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def v05_route_auto(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a limit that some documents stay below."""
     _, meta, _, alt = _both(spark, sf_dir)
-    return V.route_auto(meta, alt).select("doc_id", "engine")
+    return V.route_auto(meta, alt, 0.95).select("doc_id", "engine", F.element_at(F.concat(F.array(F.lit("")), "warnings"), -1).alias("last_warning"))
 
 
 def v06_route_prefer(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, meta, _, alt = _both(spark, sf_dir)
-    return V.route_prefer_alternate(meta, alt).select("doc_id", "engine")
+    return V.route_prefer_alternate(meta, alt).select("doc_id", "engine", F.element_at(F.concat(F.array(F.lit("")), "warnings"), -1).alias("last_warning"))
 
 
 def v07_route_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     records, meta, alt, alt_meta = _both(spark, sf_dir)
-    return V.route_verify(meta, alt_meta, V.agreement(records, alt)).select("doc_id", "engine", "confidence", "needs_review")
+    return V.route_verify(meta, alt_meta, V.agreement(records, alt)).select("doc_id", "engine", "confidence", "needs_review", F.element_at(F.concat(F.array(F.lit("")), "warnings"), -1).alias("last_warning"))
 
 
 def v08_finalize(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,7 +253,7 @@ QUERIES = {
     for f in (
         g01_find_header, g02_map_row, g03_infer_columns, g04_classify_rows, g05_resolve_amount, g06_numeric_ref, g07_document_total, g08_resolve_ref, g09_type_and_sign, g10_extract_rows, g11_dedupe, g12_counts, g13_totals_check, g14_confidence, g15_warnings, g16_extract,
         s01_intake, s02_read_delimited, s03_pick_sheet, s04_words_to_rows, s06_select_blocks, s07_transactions, s08_responses,
-        v01_validate, v02_alternate_meta, v03_agreement, v04_disagreements, v05_route_auto, v06_route_prefer, v07_route_verify, v08_finalize, v09_response_meta,
+        v01_validate, v02_alternate_meta, v03_agreement, v04_disagreements, v05_route_auto, v06_route_prefer, v07_route_verify, v08_finalize, v09_response_meta, x_auto, x_prefer, x_verify, x_rejects,
     )
 }
 
@@ -238,6 +277,34 @@ _KEYS = f"a AS (SELECT DISTINCT doc_id, ref, CAST(round(amount * 100) AS BIGINT)
 _RATE = f"rate AS (SELECT doc_id, round(sum(CAST(in_a AND in_b AS INT)) / greatest(count(*), 1), 3) AS rate, CAST(sum(CAST(in_a AND in_b AS INT)) AS BIGINT) AS agreed, CAST(sum(CAST(NOT (in_a AND in_b) AS INT)) AS BIGINT) AS disagreed FROM j GROUP BY 1)"
 _ALT = f"alt AS (SELECT docs.doc_id, id, layout, id % 5 <> 0 AS there, CASE WHEN id % 10 = 0 THEN 'timeout' END AS err, CASE WHEN id % 4 = 0 THEN total / 100.0 END AS dt, coalesce(v.n, 0) AS records, v.s FROM docs LEFT JOIN (SELECT doc_id, count(*) AS n, sum(amount) AS s FROM ({_VALID}) GROUP BY 1) AS v ON v.doc_id = docs.doc_id), altm AS (SELECT doc_id, id, layout, there AND records > 0 AND err IS NULL AS present, CASE WHEN there AND err IS NULL AND records = 0 THEN 'no valid records' ELSE err END AS error, CAST(records AS BIGINT) AS records, CASE WHEN dt IS NOT NULL AND records > 0 THEN abs(s - dt) <= greatest(1.0, abs(dt) * 0.001) + 1e-9 END AS ok FROM alt)"
 
+_NONE = "''"
+_LAST = f"CASE WHEN layout = 3 THEN 'Headers not found — columns inferred from data shape' WHEN layout = 5 THEN n || ' duplicate rows dropped (repeated pages)' WHEN layout = 4 THEN CASE WHEN {_ok} THEN 'Row 2: opening-balance row skipped' ELSE 'Extracted sum ' || {_money.format('total / 100.0')} || ' != document total ' || {_money.format('total / 100.0 + ' + _off)} END ELSE '' END"
+_FAILED = "'Alternate extraction failed: ' || error"
+_NO_OTHER = "CASE WHEN error IS NOT NULL THEN 'Alternate extraction failed (' || error || ') — deterministic result returned' ELSE 'Alternate extraction is not available' END"
+_APART = "'Both extractions disagree on ' || disagreed || ' rows — review before reconciling'"
+_ALONE = "'Verify mode: no alternate extraction — deterministic result returned'"
+_COMPARED = f", CASE WHEN present THEN rate END AS rate, CASE WHEN present THEN agreed END AS agreed_rows, CASE WHEN present THEN coalesce(only_a, {_NONE}) END AS parser_only, CASE WHEN present THEN coalesce(only_b, {_NONE}) END AS alternate_only"
+_X_ALT = _ALT.replace("FROM alt)", "FROM alt WHERE id % 17 NOT IN (5, 7))")
+_SOME = "SELECT * FROM records WHERE CAST(doc_id AS INT) % 17 NOT IN (3, 5, 7)"
+_X = (
+    _WITH
+    + f", recs AS ({_SOME}), {_KEYS.replace('FROM records', 'FROM recs')}, {_RATE}, {_X_ALT}, sums AS (SELECT doc_id, round(sum(amount), 2) AS s FROM recs GROUP BY 1), alts AS (SELECT doc_id, round(sum(amount), 2) AS s FROM ({_VALID}) GROUP BY 1), "
+    + f"apart AS (SELECT doc_id, array_to_string(list_slice(list_sort(list(t) FILTER (in_a)), 1, 20), '|') AS only_a, array_to_string(list_slice(list_sort(list(t) FILTER (NOT in_a)), 1, 20), '|') AS only_b FROM (SELECT doc_id, in_a, ref || ' ' || {_money.format('c / 100.0')} AS t FROM j WHERE NOT (in_a AND in_b)) GROUP BY 1), "
+    + "z AS (SELECT altm.*, docs.n, docs.total, id % 17 = 3 AS empty, coalesce(rate, 0.0) AS rate, coalesce(agreed, 0) AS agreed, coalesce(disagreed, 0) AS disagreed, only_a, only_b, sums.s AS own_sum, alts.s AS alt_sum, present AND coalesce(rate, 0) >= 0.999 AND id % 17 <> 3 AS agree "
+    + "FROM altm JOIN (SELECT doc_id, n, total FROM docs) AS docs USING (doc_id) LEFT JOIN rate USING (doc_id) LEFT JOIN apart USING (doc_id) LEFT JOIN sums USING (doc_id) LEFT JOIN alts USING (doc_id)) "
+)
+
+
+def _x(other: str, engine: str, review: str, their_warning: str, own_warning: str, verified: str = "false", more: str = "") -> str:
+    """Columns of an x query: of documents where ``other`` holds the other engine's, else the parser's."""
+    low = f"{_conf} < 0.95"
+    return f"""doc_id, CASE WHEN {other} THEN '{engine}' WHEN {verified} THEN 'verified' ELSE 'parser' END AS engine,
+      CAST(CASE WHEN {other} THEN CASE WHEN NOT ok THEN 0.7 ELSE 0.9 END WHEN {verified} THEN 1.0 ELSE {_conf} END AS DOUBLE) AS confidence, CASE WHEN {other} THEN {review} ELSE {low} END AS needs_review,
+      CASE WHEN {other} THEN {their_warning} WHEN {low} THEN 'Low confidence (' || CAST({_conf} AS DOUBLE) || ') — review before reconciling' ELSE {own_warning} END AS last_warning,
+      CASE WHEN {other} THEN records ELSE CAST(n AS BIGINT) END AS records, CASE WHEN {other} THEN records ELSE CAST(n AS BIGINT) END AS n, CASE WHEN {other} THEN alt_sum ELSE own_sum END AS amount,
+      CAST(CASE WHEN empty THEN -1 ELSE 1 END AS BIGINT) AS ref_col{more} FROM z WHERE present OR NOT empty"""
+
+
 ORACLES = {
     "g01_find_header": _WITH + f"SELECT doc_id, {_by(0, 3, 0, -1, 0, 0)} AS header_row, {_by(0, 0, 0, -1, 0, 0)} AS date_col, {_by(1, 1, 1, -1, 1, 1)} AS ref_col, {_by(2, -1, -1, -1, 2, 2)} AS type_col, {_by(-1, -1, 2, -1, -1, -1)} AS debit_col, {_by(-1, -1, 3, -1, -1, -1)} AS credit_col, {_by(3, 2, -1, -1, 3, 3)} AS amount_col FROM docs",
     "g02_map_row": _WITH + "SELECT CAST(doc_id AS VARCHAR) AS doc_id, CAST(row_idx AS INT) AS row_idx, CASE WHEN c0 = 'Date' THEN 4 WHEN c0 = 'Opening balance' THEN NULL WHEN c0 = 'Statement for the period' THEN NULL ELSE 2 END AS hits FROM rows WHERE c0 IN ('Date', 'DOCUMENT', 'DATE') UNION ALL SELECT CAST(doc_id AS VARCHAR), CAST(row_idx AS INT), 1 FROM rows WHERE c0 = 'Total' UNION ALL SELECT CAST(doc_id AS VARCHAR), CAST(row_idx AS INT), 1 FROM rows WHERE c2 = 'Invoice'",
@@ -256,7 +323,7 @@ ORACLES = {
     "g15_warnings": _WITH + f"SELECT doc_id, CASE WHEN layout = 3 THEN 'Headers not found — columns inferred from data shape' WHEN layout = 5 THEN n || ' duplicate rows dropped (repeated pages)' WHEN layout = 4 THEN 'Row 2: opening-balance row skipped' || CASE WHEN {_ok} THEN '' ELSE ' | Extracted sum ' || {_money.format('total / 100.0')} || ' != document total ' || {_money.format('total / 100.0 + ' + _off)} END ELSE '' END AS warnings FROM docs",
     "g16_extract": _WITH + "SELECT doc_id, ref, ref AS ref_raw, date, date_iso, type, amount, row FROM records",
     "s01_intake": f"SELECT doc_id, ext, CASE WHEN length > 10485760 THEN 'File exceeds 10 MB limit' WHEN length = 0 THEN 'Empty file' WHEN ext = 'doc' THEN 'Legacy .doc files are not supported' WHEN ext NOT IN ('csv', 'txt', 'xlsx', 'xlsm', 'xltx', 'xls', 'docx', 'pdf') THEN 'Unsupported file type ''.' || ext || '''' ELSE '' END AS reason FROM (SELECT *, CASE WHEN contains(filename, '.') THEN lower(regexp_extract(filename, '[^.]*$')) ELSE '' END AS ext FROM ({_FILES}))",
-    "s02_read_delimited": _WITH + "SELECT CAST(doc_id AS VARCHAR) AS doc_id, CAST(row_idx AS INT) AS row_idx, concat_ws('|', c0, c1, c2, c3) AS cells FROM rows",
+    "s02_read_delimited": _WITH + "SELECT CAST(doc_id AS VARCHAR) AS doc_id, CAST(row_idx AS INT) AS row_idx, concat_ws('|', c0, c1, c2, c3) AS cells FROM rows WHERE doc_id % 17 NOT IN (3, 7)",
     "s03_pick_sheet": _WITH + f"SELECT doc_id, CASE WHEN CASE layout WHEN 1 THEN 0 WHEN 3 THEN least(n, 3) WHEN 4 THEN least(n + 1, 2) ELSE least(n, 2) END = CASE layout WHEN 1 THEN n WHEN 3 THEN n WHEN 4 THEN n + 2 WHEN 5 THEN 2 * n ELSE n END THEN 'Cover' ELSE 'Ledger' END AS sheet, CASE WHEN CASE layout WHEN 1 THEN 0 WHEN 3 THEN least(n, 3) WHEN 4 THEN least(n + 1, 2) ELSE least(n, 2) END = CASE layout WHEN 1 THEN n WHEN 3 THEN n WHEN 4 THEN n + 2 WHEN 5 THEN 2 * n ELSE n END THEN least(3, CAST({_by('n + 1', 'n + 4', 'n + 1', 'n', 'n + 3', '2 * n + 2')} AS BIGINT)) ELSE CAST({_by('n + 1', 'n + 4', 'n + 1', 'n', 'n + 3', '2 * n + 2')} AS BIGINT) END AS n FROM docs",
     "s04_words_to_rows": _WITH + "SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY row_idx) - 1 AS INT) AS row_idx, cells FROM (SELECT CAST(doc_id AS VARCHAR) AS doc_id, row_idx, concat_ws('|', nullif(c0, ''), nullif(c1, ''), nullif(c2, ''), nullif(c3, '')) AS cells FROM rows) WHERE cells <> ''",
     "s06_select_blocks": _WITH + ", p AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, row_idx // 5 AS page, count(*) AS n FROM rows GROUP BY 1, 2) SELECT doc_id, CAST(sum(CAST(page % 3 = 0 AND n >= 2 AS INT)) AS BIGINT) AS tables, CAST(sum(CAST(NOT (page % 3 = 0 AND n >= 2) AS INT)) AS BIGINT) AS text_pages, false AS scanned FROM p GROUP BY 1",
@@ -265,9 +332,13 @@ ORACLES = {
     "v02_alternate_meta": _WITH + f", {_ALT} SELECT doc_id, present, error, records, CASE WHEN NOT ok THEN 0.7 ELSE 0.9 END::DOUBLE AS confidence, ok FROM altm",
     "v03_agreement": _WITH + f", {_KEYS}, {_RATE} SELECT doc_id, rate, agreed, disagreed FROM rate",
     "v04_disagreements": _WITH + f", {_KEYS}, t AS (SELECT doc_id, in_a, ref || ' ' || {_money.format('c / 100.0')} AS t FROM j WHERE NOT (in_a AND in_b)) SELECT doc_id, coalesce(array_to_string(list_slice(list_sort(list(t) FILTER (in_a)), 1, 20), '|'), '') AS only_a, coalesce(array_to_string(list_slice(list_sort(list(t) FILTER (NOT in_a)), 1, 20), '|'), '') AS only_b FROM t GROUP BY 1",
-    "v05_route_auto": _WITH + "SELECT doc_id, 'parser' AS engine FROM docs",
-    "v06_route_prefer": _WITH + f", {_ALT} SELECT doc_id, CASE WHEN present THEN 'alternate' ELSE 'parser' END AS engine FROM altm",
-    "v07_route_verify": _WITH + f", {_KEYS}, {_RATE}, {_ALT}, z AS (SELECT altm.*, coalesce(rate, 0) >= 0.999 AND present AS agree, total, n FROM altm LEFT JOIN rate USING (doc_id) JOIN (SELECT doc_id, total, n FROM docs) USING (doc_id)) SELECT doc_id, CASE WHEN agree THEN 'verified' WHEN present THEN 'alternate+review' ELSE 'parser' END AS engine, CAST(CASE WHEN agree THEN 1.0 WHEN present THEN CASE WHEN NOT ok THEN 0.7 ELSE 0.9 END ELSE {_conf} END AS DOUBLE) AS confidence, present AND NOT agree AS needs_review FROM z",
+    "v05_route_auto": _WITH + f", {_ALT} SELECT doc_id, CASE WHEN {_conf} < 0.95 AND present THEN 'alternate' ELSE 'parser' END AS engine, CASE WHEN {_conf} < 0.95 AND NOT present AND error IS NOT NULL THEN {_FAILED} ELSE {_LAST} END AS last_warning FROM altm JOIN (SELECT doc_id, n, total FROM docs) USING (doc_id)",
+    "v06_route_prefer": _WITH + f", {_ALT} SELECT doc_id, CASE WHEN present THEN 'alternate' ELSE 'parser' END AS engine, CASE WHEN present THEN {_LAST} ELSE {_NO_OTHER} END AS last_warning FROM altm JOIN (SELECT doc_id, n, total FROM docs) USING (doc_id)",
+    "v07_route_verify": _WITH + f", {_KEYS}, {_RATE}, {_ALT}, z AS (SELECT altm.*, coalesce(rate, 0) >= 0.999 AND present AS agree, disagreed, total, n FROM altm LEFT JOIN rate USING (doc_id) JOIN (SELECT doc_id, total, n FROM docs) USING (doc_id)) SELECT doc_id, CASE WHEN agree THEN 'verified' WHEN present THEN 'alternate+review' ELSE 'parser' END AS engine, CAST(CASE WHEN agree THEN 1.0 WHEN present THEN CASE WHEN NOT ok THEN 0.7 ELSE 0.9 END ELSE {_conf} END AS DOUBLE) AS confidence, present AND NOT agree AS needs_review, CASE WHEN agree THEN {_LAST} WHEN present THEN {_APART} ELSE {_ALONE} END AS last_warning FROM z",
+    "x_auto": _X + f"SELECT {_x(f'present AND (empty OR {_conf} < 0.95)', 'alternate', 'false', _NONE, f'CASE WHEN NOT present AND error IS NOT NULL AND {_conf} < 0.95 THEN {_FAILED} ELSE {_LAST} END')}",
+    "x_prefer": _X + f"SELECT {_x('present', 'alternate', 'false', _NONE, _NO_OTHER)}",
+    "x_verify": _X + f"SELECT {_x('present AND NOT agree', 'alternate+review', 'true', _APART, f'CASE WHEN agree THEN {_LAST} ELSE {_ALONE} END', 'agree', _COMPARED)}",
+    "x_rejects": _X + "SELECT doc_id, 'No transactions could be extracted from this file' AS reason FROM z WHERE empty AND NOT present UNION ALL SELECT doc_id, CASE WHEN id % 17 = 5 THEN 'Unsupported file type ' || chr(39) || '.zip' || chr(39) ELSE 'Empty file' END FROM docs WHERE id % 17 IN (5, 7)",
     "v08_finalize": _WITH + f"SELECT doc_id, ({_conf}) < 0.95 AS needs_review, CAST(CASE WHEN layout = 3 THEN 2 WHEN layout = 5 THEN 1 WHEN layout = 4 THEN CASE WHEN {_ok} THEN 1 ELSE 3 END ELSE 0 END AS INT) AS n_warnings FROM docs",
     "v09_response_meta": _WITH + f", {_ALT} SELECT altm.doc_id, CAST({_by(0, 3, 0, -1, 0, 0).replace('layout', 'docs.layout')} AS BIGINT) AS header_row, CAST({_by(3, 2, -1, 2, 3, 3).replace('layout', 'docs.layout')} AS BIGINT) AS amount_col, CASE WHEN NOT ok THEN 0.7 ELSE 0.9 END::DOUBLE AS confidence, CAST({_conf.replace('layout', 'docs.layout').replace('id %', 'docs.id %')} AS DOUBLE) AS parser_confidence FROM altm JOIN docs ON docs.doc_id = altm.doc_id WHERE present",
 }

@@ -4,19 +4,21 @@ from __future__ import annotations
 
 import csv
 import io
+import sys
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions.stages import cut
 
 KNOWN = ("csv", "txt", "xlsx", "xlsm", "xltx", "xls", "docx", "pdf")
 DELIMITERS = ",;\t|"
-CELL = "struct<s: string, d: double, ts: timestamp>"
+CELL = "struct<s: string, d: double, ts: timestamp, i: bigint>"
 GRID = f"doc_id string, row_idx int, cells array<{CELL}>"
 SHEET_ROWS, SCORED_ROWS = 5000, 60
 
@@ -49,27 +51,41 @@ def decode(content: bytes) -> str:
 
 
 def parse_delimited(content: bytes) -> list[list[str]]:
+    """Rows of a file whose lines may end in any way; fields of any length."""
+    csv.field_size_limit(sys.maxsize)
     text = decode(content)
     try:
         found = csv.Sniffer().sniff(text[:4000], delimiters=DELIMITERS)
         delimiter, quote = found.delimiter, found.quotechar or '"'
     except csv.Error:
         delimiter, quote = ",", '"'
-    return list(csv.reader(io.StringIO(text), delimiter=delimiter, quotechar=quote))
+    return list(csv.reader(io.StringIO(text, newline=""), delimiter=delimiter, quotechar=quote))
 
 
-def read_delimited(files: DataFrame) -> DataFrame:
-    """``doc_id, content`` to a grid.  A file stays in one task; blank lines are empty rows and keep their number."""
+def read_delimited(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, content`` to a grid, and ``doc_id, reason`` of the files that could not be read.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for doc, content in zip(batch.doc_id, batch.content, strict=True):
-                rows = parse_delimited(content)
-                for at in range(0, len(rows), 10_000):
-                    part = rows[at : at + 10_000]
-                    yield pd.DataFrame({"doc_id": doc, "row_idx": np.arange(at, at + len(part), dtype=np.int32), "cells": [[{"s": c, "d": None, "ts": None} for c in r] for r in part]})
+    A file stays in one task; blank lines are empty rows and keep their number.  A file that fails costs no other.
+    """
 
-    return files.select(F.col("doc_id").cast("string").alias("doc_id"), "content").mapInPandas(run, GRID)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell = pa.struct([("s", pa.string()), ("d", pa.float64()), ("ts", pa.timestamp("us", "UTC")), ("i", pa.int64())])
+        for batch in batches:
+            for doc, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                try:
+                    rows, error = parse_delimited(content.as_py() or b""), None
+                except (csv.Error, ValueError, RecursionError) as e:
+                    rows, error = [], f"Parser failed: {e}"
+                for at in range(0, max(len(rows), error is not None), 10_000):
+                    part = rows[at : at + 10_000] or [None]
+                    sizes = [len(r or ()) for r in part]
+                    flat = pa.array([c for r in part for c in r or ()], pa.string())
+                    struct = pa.StructArray.from_arrays([flat, *(pa.nulls(len(flat), f.type) for f in list(cell)[1:])], fields=list(cell))
+                    cells = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), struct)
+                    yield pa.RecordBatch.from_arrays([pa.array([doc] * len(part)), pa.array(np.arange(at, at + len(part), dtype=np.int32)), cells, pa.array([error] * len(part), pa.string())], names=["doc_id", "row_idx", "cells", "reason"])
+
+    read = cut(files.select(F.col("doc_id").cast("string").alias("doc_id"), "content").mapInArrow(run, GRID + ", reason string"))
+    return read.where("reason is null").drop("reason"), read.where("reason is not null").select("doc_id", "reason")
 
 
 def pick_sheet(sheet_cells: DataFrame) -> DataFrame:
@@ -78,7 +94,13 @@ def pick_sheet(sheet_cells: DataFrame) -> DataFrame:
     A row with an amount and two cells scores 1 and up to 3 of its amounts; ties go to the earlier sheet.
     """
     kept = sheet_cells.where(F.col("row_idx") < SHEET_ROWS)
-    seen = F.transform("cells", lambda c: F.struct((F.coalesce(c["d"], S.parse_amount(c["s"])).isNotNull()).alias("amount"), (F.coalesce(c["s"], F.when(c["d"].isNotNull() | c["ts"].isNotNull(), "x"), F.lit("")) != "").alias("full")))
+    whole = "i" in kept.schema["cells"].dataType.elementType.fieldNames()
+
+    def read(c: Column) -> Column:
+        number = F.coalesce(c["d"], c["i"].cast("double")) if whole else c["d"]
+        return F.struct(F.coalesce(S.finite(number), S.parse_amount(c["s"])).alias("amt"), (F.coalesce(c["s"], F.when(number.isNotNull() | c["ts"].isNotNull(), "x"), F.lit("")) != "").alias("full"))
+
+    seen = F.transform("cells", lambda c: F.struct(read(c)["amt"].isNotNull().alias("amount"), read(c)["full"].alias("full")))
     counts = S.let(seen, lambda x: F.struct(F.size(F.filter(x, lambda y: y["amount"])).alias("amounts"), F.size(F.filter(x, lambda y: y["full"])).alias("full")))
     points = S.let(counts, lambda n: F.when((n["amounts"] >= 1) & (n["full"] >= 2), 1 + F.least(n["amounts"], F.lit(3))).otherwise(0))
     score = F.when(F.col("row_idx") < SCORED_ROWS, points).otherwise(0)
@@ -87,41 +109,31 @@ def pick_sheet(sheet_cells: DataFrame) -> DataFrame:
     return kept.join(best, ["doc_id", "sheet_idx"]).select("doc_id", "row_idx", "cells", "sheet")
 
 
-def layout_words(words: pd.DataFrame, line_tol: float = 3.0) -> list[list[str | None]]:
-    """Rows of cells from the word boxes (text, x0, x1, top) of one page."""
-    order = words.assign(line=words.top.map(lambda t: round(t, 1))).sort_values(["line", "x0"], kind="stable")
-    anchors: list[float] = []
-    lines: list[list[tuple]] = []
-    for text, x0, x1, top in zip(order.text, order.x0, order.x1, order.top, strict=True):
-        at = next((k for k, a in enumerate(anchors) if abs(a - top) <= line_tol), None)
-        if at is None:
-            at = len(lines)
-            anchors.append(top)
-            lines.append([])
-        lines[at].append((x0, x1, text))
-    rows = []
-    for line in lines:
-        line.sort(key=lambda w: w[0])
-        widths = sorted((x1 - x0) / max(1, len(t)) for x0, x1, t in line)
-        gap = max(1.8 * widths[len(widths) // 2], 7.0)
-        cells = [line[0][2]]
-        for (_, end, _), (start, _, text) in zip(line, line[1:], strict=False):
-            if start - end > gap:
-                cells.append(text)
-            else:
-                cells[-1] += " " + text
-        rows.append([c.strip() or None for c in cells])
-    return rows
-
-
 def words_to_rows(words: DataFrame, line_tol: float = 3.0) -> DataFrame:
-    """``doc_id, page, word_idx, text, x0, x1, top`` to ``doc_id, page, row_idx, cells``, a page at a time."""
+    """``doc_id, page, word_idx, text, x0, x1, top`` to ``doc_id, page, row_idx, cells``.
 
-    def page(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = layout_words(pdf.sort_values("word_idx", kind="stable"), line_tol)
-        return pd.DataFrame({"doc_id": pdf.doc_id.iloc[0], "page": pdf.page.iloc[0], "row_idx": np.arange(len(rows), dtype=np.int32), "cells": [[{"s": c, "d": None, "ts": None} for c in r] for r in rows]})
-
-    return words.groupBy("doc_id", "page").applyInPandas(page, f"doc_id {words.schema['doc_id'].dataType.simpleString()}, page int, row_idx int, cells array<{CELL}>")
+    Words are taken from the top down; one that no line's first word is within ``line_tol`` of starts a line, and a word
+    belongs to the oldest line it is near to.  So the tops at which lines start are a fold over a page's tops, and
+    each word finds its line by itself.  Inside a line a gap wider than 1.8 usual letters (7 at least) parts cells.
+    """
+    key, kind = ["doc_id", "page"], "array<double>"
+    down = F.struct(F.bround("top", 1).alias("y"), "x0", "word_idx")
+    tops = F.transform(F.array_sort(F.collect_list(F.struct(down.alias("at"), "top"))), lambda w: w["top"])
+    near = lambda t: lambda a: F.abs(a - t) <= line_tol
+    starts = F.aggregate(tops, F.array().cast(kind), lambda got, t: F.when(F.exists(got, near(t)), got).otherwise(F.concat(got, F.array(t))))
+    pages = words.groupBy(*key).agg(starts.alias("starts"))
+    placed = words.join(pages, key).withColumn("line", F.array_position(F.transform("starts", near(F.col("top"))), F.lit(True)))
+    line = W.partitionBy(*key, "line")
+    across = line.orderBy("x0", down)
+    wide = F.array_sort(F.collect_list((F.col("x1") - F.col("x0")) / F.greatest(F.length("text"), F.lit(1))).over(line))
+    gap = F.greatest(1.8 * F.get(wide, F.floor(F.size(wide) / 2).cast("int")), F.lit(7.0))
+    apart = F.col("x0") - F.lag("x1").over(across) > F.col("gap")
+    parted = placed.withColumn("gap", gap).withColumn("new", F.coalesce(apart, F.lit(False)).cast("int"))
+    celled = parted.withColumn("cell", F.sum("new").over(across.rowsBetween(W.unboundedPreceding, 0))).withColumn("k", F.row_number().over(across))
+    cells = celled.groupBy(*key, "line", "cell").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "text"))), lambda w: w["text"]), " ").alias("s"))
+    empty = [F.lit(None).cast(t).alias(n) for n, t in (("d", "double"), ("ts", "timestamp"), ("i", "bigint"))]
+    whole = cells.groupBy(*key, "line").agg(F.transform(F.array_sort(F.collect_list(F.struct("cell", "s"))), lambda c: F.struct(F.nullif(S.strip(c["s"]), F.lit("")).alias("s"), *empty)).alias("cells"))
+    return whole.select(*key, (F.col("line") - 1).cast("int").alias("row_idx"), "cells")
 
 
 def split_line(c: Column) -> Column:
@@ -155,12 +167,12 @@ TRANSACTION = "array<struct<ref: string, refRaw: string, date: string, dateISO:
 
 def transactions_to_lines(bodies: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``recon_id, vendor, books`` (arrays of transactions) to lines, ids with no transaction at all, and payments
-    whose amount is no number (left out of the lines)."""
+    whose amount is no number (left out of the lines).  NaN and infinity are no numbers."""
     empty = (F.coalesce(F.size("vendor"), F.lit(0)) <= 0) & (F.coalesce(F.size("books"), F.lit(0)) <= 0)
     some = bodies.where(~empty)
     one = lambda col, side: some.select("recon_id", F.lit(side).alias("side"), F.posexplode(col).alias("row", "t"))
     t = one("vendor", "V").union(one("books", "B")).where("t is not null")
-    lines = t.select("recon_id", "side", F.col("row").cast("long").alias("row"), "t.ref", F.col("t.refRaw").alias("ref_raw"), "t.date", F.col("t.dateISO").alias("date_iso"), "t.type", F.col("t.amount").alias("text"), F.col("t.amount").try_cast("double").alias("amount"))
+    lines = t.select("recon_id", "side", F.col("row").cast("long").alias("row"), "t.ref", F.col("t.refRaw").alias("ref_raw"), "t.date", F.col("t.dateISO").alias("date_iso"), "t.type", F.col("t.amount").alias("text"), S.finite(F.trim("t.amount").try_cast("double")).alias("amount"))
     bad = S.is_payment(F.col("type")) & F.col("text").isNotNull() & F.col("amount").isNull()
     return lines.where(~bad).drop("text"), bodies.where(empty).select("recon_id"), lines.where(bad).drop("amount")
 

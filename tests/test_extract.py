@@ -10,7 +10,7 @@ CSV = b"Date,Reference,Type,Amount\n01-01-2026,INV-001,Invoice,1000\n02-01-2026,
 
 def test_small_statement(spark):
     files = spark.createDataFrame([("a", bytearray(CSV))], "doc_id string, content binary")
-    records, meta = G.extract(S.read_delimited(files))
+    records, meta = G.extract(S.read_delimited(files)[0])
     got = sorted((r.ref, r.ref_raw, r.date, r.date_iso, r.type, r.amount, r.row) for r in records.collect())
     assert got == [("INV-001", "INV-001", "01-01-2026", "2026-01-01", "Invoice", 1000.0, 2), ("INV-002", "INV-002", "02-01-2026", "2026-01-02", "Invoice", 500.0, 3)]
     m = meta.collect()[0]
