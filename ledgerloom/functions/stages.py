@@ -11,18 +11,29 @@ _own_folder: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; one of our own only where none is named."""
+    """The folder named in spark.checkpoint.dir.  One of our own only where none is named and driver and tasks share a machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("on a cluster, spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_folder:
         _own_folder[app] = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
     return _own_folder[app]
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df``, written as Parquet and read again; a lost executor then costs no recomputation."""
-    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+def cut(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
+    """``df``, written as Parquet and read again; a lost executor then costs no recomputation.
+
+    ``instead_of``: an earlier cut that nothing but ``df`` reads; its folder goes once the new one is written.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if instead_of is not None:
+        old = spark._jvm.org.apache.hadoop.fs.Path(instead_of._cut_path)
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
