@@ -214,25 +214,23 @@ def links(rows: DataFrame, max_bits: int = MAX_BITS, groups: int = GROUPS, views
 def components(edges: DataFrame) -> DataFrame:
     """``node, root``: for every node with a link, the smallest node it hangs together with.
 
-    Each round hooks, at every node, all smaller neighbours onto the smallest; then paths are halved until all point to
-    their root.  Each round is written to the shared folder; only counts come to the driver.
+    Star contraction in turns: each end of a link is hooked onto the smallest node that the link's smaller end knows,
+    then all smaller neighbours of a node onto the smallest of them.  The rounds grow with the logarithm of the longest
+    chain.  Each round is written to the shared folder, in place of the one before; only counts come to the driver.
     """
-    ordered = lambda a, b: (F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo"))
-    work = cut(edges.where("a <> b").select(*ordered(F.col("a"), F.col("b"))).distinct())
+    hi, lo = F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")
+    work = cut(edges.where("a <> b").select(hi, lo).distinct())
     while True:
-        least = work.groupBy("hi").agg(F.min("lo").alias("m"), F.count("*").alias("n"))
-        if not least.where("n > 1").limit(1).count():
+        above = work.groupBy("hi").agg(F.min("lo").alias("m")).withColumnRenamed("hi", "lo")
+        lifted = work.select("hi", "lo").join(above, "lo", "left").select("hi", F.coalesce("m", "lo").alias("lo"), F.col("m").isNotNull().alias("moved"))
+        lifted = lifted.groupBy("hi", "lo").agg(F.max("moved").alias("moved"))
+        least = lifted.groupBy("hi").agg(F.min("lo").alias("m"), F.count("*").alias("n"), F.max("moved").alias("moved"))
+        more = lifted.select("hi", "lo").join(least.where("n > 1").select("hi", "m"), "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"), F.lit(True).alias("moved"))
+        stars = least.select("hi", F.col("m").alias("lo"), (F.col("moved") | (F.col("n") > 1)).alias("moved")).union(more)
+        work = cut(stars.groupBy("hi", "lo").agg(F.max("moved").alias("moved")), instead_of=work)
+        if not work.where("moved").limit(1).count():
             break
-        hooked = work.join(least.where("n > 1").select("hi", "m"), "hi").where("lo <> m").select(*ordered(F.col("lo"), F.col("m")))
-        work = cut(least.select("hi", F.col("m").alias("lo")).union(hooked).distinct())
     parent = work.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
-    while True:
-        up = parent.select(F.col("node").alias("root"), F.col("root").alias("above"))
-        parent = cut(parent.join(up, "root", "left").select("node", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")))
-        if not parent.where("moved").limit(1).count():
-            break
-        parent = parent.select("node", "root")
-    parent = parent.select("node", "root")
     return parent.union(parent.select(F.col("root").alias("node"), "root").distinct())
 
 

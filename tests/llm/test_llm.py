@@ -111,6 +111,18 @@ def test_large_cells(spark, monkeypatch):
     assert got == {(p, root[p]) for p in prints if any(p != q and (p ^ q).bit_count() <= 4 for q in prints)}
 
 
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    """Two chains that meet at the top, and a shuffled path: rounds follow the logarithm of their length."""
+    rounds = []
+    real = simhash.cut
+    monkeypatch.setattr(simhash, "cut", lambda df, instead_of=None: rounds.append(1) or real(df, instead_of))
+    names = list(range(2000, 2300))
+    random.Random(1).shuffle(names)
+    edges = [(k, k - 2) for k in range(2, 1000)] + [(999, 998)] + list(zip(names, names[1:]))
+    got = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == dict.fromkeys(range(1000), 0) | dict.fromkeys(names, 2000) and len(rounds) <= 14
+
+
 @pytest.mark.parametrize("rule", token_counts.RULES)
 def test_token_counts(docs, rule):
     from tokenizers import Tokenizer
@@ -131,18 +143,61 @@ def test_token_counts(docs, rule):
         token_counts.count_tokens(docs, rule="none")
 
 
+def encoders():
+    """kind -> text to (encoded text, first and last place of each character in it), by plain loops."""
+
+    def percent(t):
+        out, at = "", []
+        for c in t:
+            e = "".join(f"%{b:02X}" for b in c.encode()) if not c.isalnum() or not c.isascii() else c
+            at.append((len(out), len(out) + len(e)))
+            out += e
+        return out, at
+
+    def unicode(t):
+        out, at = "", []
+        for k, c in enumerate(t):
+            e = f"\\u{ord(c):04x}" if k % 2 == 0 or not c.isalnum() else c
+            at.append((len(out), len(out) + len(e)))
+            out += e
+        return out, at
+
+    def b64(t):
+        at, n = [], 0
+        for c in t:
+            m = n + len(c.encode())
+            at.append((n * 8 // 6, -(-m * 8 // 6)))
+            n = m
+        return base64.b64encode(t.encode()).decode().rstrip("="), at
+
+    def zipped(t):
+        out = base64.b64encode(gzip.compress(t.encode(), mtime=0)).decode()
+        return out, [(0, len(out))] * len(t)
+
+    return {"percent": percent, "unicode": unicode, "b64": b64, "zipped": zipped}
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_secrets_in_nested_layers(seed):
+    """A secret under one to three layers has the span of just those characters that it was decoded from."""
+    rng = random.Random(seed)
+    inner = " ".join(rng.choices(["plain", "wörter", "words", "日本", "note"], k=6))
+    secret = "password=hunter22" if seed % 2 else "AKIA" + "Q7" * 9
+    text, span = f"{inner} {secret} {inner}", (len(inner) + 1, len(inner) + 1 + len(secret))
+    if seed % 2 and seed % 3 == 0:  # two secrets in one run have two spans
+        text += " token=abcdefgh"
+    kinds = encoders()
+    for kind in rng.choices(list(kinds), k=rng.randint(1, 3)):
+        text, at = kinds[kind](text)
+        span = at[span[0]][0], at[span[1] - 1][1]
+    base, every = secrets.scan(f"see {text} end")
+    kind = "assign" if seed % 2 else "access"
+    # What follows the key may be letters of its own in a layer of escapes: an access key's span may only start exactly.
+    assert (kind, span[0] + 4, span[1] + 4) in every, (text[:200], span, every)
+    assert all(4 <= a < z <= 4 + len(text) for _, a, z in set(every) - set(base))
+
+
 def test_secrets(docs):
-    key = "AKIA" + "Q" * 16
-    once = base64.b64encode(f"password: {key}".encode()).decode()
-    zipped = base64.b64encode(gzip.compress(f"token = abcdefgh {key}".encode(), mtime=0)).decode()
-    nested = base64.b64encode(base64.b64encode(b"passwd=hunter22").rstrip(b"=") + b"==" * 0).decode()
-    quoted = "x%3Fsecret%3Dabcdefg"
-    escaped = r"\u0073\u0065cret=\u0061bcdefgh"
-    for t in (once, zipped, quoted, escaped, nested):
-        text = f"see {t} end"
-        base, every = secrets.scan(text)
-        added = set(every) - set(base)
-        assert added and all(text[a:b].startswith(t[:5]) for _, a, b in added), t
     assert secrets.scan("token: token: abcdefgh")[0] == []  # the first match fails and takes its words with it
     assert secrets.scan("API_KEY = 'abc123' ſecret=abcdefg")[0] == [("assign", 0, 17)]
     assert secrets.scan("")[1] == []
@@ -170,6 +225,12 @@ def test_secrets_in_odd_layers():
         base, every = secrets.scan(f"see {t} end")
         assert any(kind == "assign" and 4 <= a and z <= 4 + len(t) for kind, a, z in set(every) - set(base)), t[:60]
     assert secrets.scan(f"see {b64(bytes(range(128, 256)) * 4)} end") == ([], [])
+    # Beyond what a worker takes up at once, in either place; members that follow one another; a layer that decodes to itself.
+    far = gzip.compress(secret.encode() + b" filler" * 3_000_000, mtime=0) + gzip.compress(b" token = abcdefgh", mtime=0)
+    assert {k for k, _, _ in secrets.scan(f"see {b64(far)} end")[1]} == {"assign"} and len(secrets.base_spans(secret)) == 1
+    two = secrets.scan("see a%20password%3Dhunter22%20token%3Dabcdefgh%21 end")[1]
+    assert two == [("assign", 8, 27), ("assign", 30, 46)]
+    assert secrets.scan("a%20b&token=abcdefgh%21")[1] == [("assign", 6, 20)]
 
 
 def test_bpe(docs):
@@ -182,6 +243,10 @@ def test_bpe(docs):
         return len(e.ids), hashlib.sha256(np.array(e.ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(whole.decode(e.ids, skip_special_tokens=False).encode()).hexdigest()
 
     by_pairs(docs, bpe.encode_texts(docs), plain)
+    # Letters of every age between two letters: the tables of characters are the library's.
+    every = [f"a{chr(c)}b {chr(c)}1" for c in range(0x80, 0x30000, 7) if not 0xD800 <= c < 0xE000] + [f"a{chr(c)}b" for c in (0x558, 0x1C89, 0x1C8A, 0xA7CB, 0x10D40, 0x2FFFF)]
+    for t, (ids, _) in zip(every, bpe.vocabulary(bpe.default_path()).encode_batch(every), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids, repr(t)
     odd = ["Hi<|endoftext|>World’s Καλημέρας ΟΔΟΣ é x", "İst a\x1cb \x85 z ", "don't!!!'s <|startoftext|>", "日本語🙂½Ⅷ", "a" * 900 + "b " + "xyz!" * 80, "aaa aaaa aaaaa"]
     for t, (ids, text) in zip(odd, bpe.vocabulary(bpe.default_path()).encode_batch(odd), strict=True):
         e = whole.encode(t, add_special_tokens=False)
@@ -233,6 +298,18 @@ def test_substring_dedup(docs):
     assert sorted(repr(tuple(r)) for r in substring_dedup.drop_repeats(docs).collect()) == sorted(want)
 
 
+def test_substring_dedup_of_long_words(spark):
+    """Words of over 64 bytes that hold the same letters in other places are other words."""
+    a, b = "a" + 63 * "x" + "b", "b" + 63 * "x" + "a"
+    rows = [(1, " ".join(f"w{k}" for k in range(25)) + f" {a} " + " ".join(f"w{k}" for k in range(25, 60))), (2, " ".join(f"w{k}" for k in range(25)) + f" {b} " + " ".join(f"w{k}" for k in range(25, 60)))]
+    got = {r.doc_id: r.n_removed for r in substring_dedup.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 0}
+    long = " ".join(f"{'y' * 70}{k}" for k in range(60))
+    rows = [(k, f"own{k} {long} end{k}") for k in range(1, 4)]
+    got = {r.doc_id: r.n_removed for r in substring_dedup.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 60, 3: 60}
+
+
 def test_lines(spark, docs):
     rows = [(k, f"Contact us at number {k} today\nown line {'x' * k}- of {'y' * k}- document\nAll rights reserved by us", "en", "s", 9) for k in range(20)]
     more = docs.select("doc_id", "text", "lang", "source", "n_chars").union(spark.createDataFrame(rows, SCHEMA))
