@@ -51,8 +51,8 @@ PATTERN_RULES = tuple(PatternRule(a, p) for a, p in (
     ("allow", "^spam-farm^*^abuse-report^"), ("allow", "^wiki^*^malware^"), ("allow", "^wiki^*^phishing^"),
 ))
 
-#: Rules beyond this many would make the inlined index too large for one expression.
-MAX_PATTERN_RULES = 2000
+#: Up to so many pattern rules are written into one expression; beyond, the index is a table that tokens are joined to.
+MAX_INLINED_RULES = 2000
 
 
 def lower_ascii(c: Column) -> Column:
@@ -86,7 +86,12 @@ def rarest_literals(urls: DataFrame, url: str, rules=PATTERN_RULES) -> dict[str,
     vocabulary = sorted({t for r in rules for t in r.literals()})
     if not vocabulary:
         return {}
-    held = urls.select(F.explode(F.array_intersect(url_tokens(F.col(f"`{url}`")), F.array(*map(F.lit, vocabulary)))).alias("token"))
+    tokens = url_tokens(F.col(f"`{url}`"))
+    if len(rules) <= MAX_INLINED_RULES:
+        held = urls.select(F.explode(F.array_intersect(tokens, F.array(*map(F.lit, vocabulary)))).alias("token"))
+    else:
+        known = urls.sparkSession.createDataFrame([(t,) for t in vocabulary], "token string")
+        held = urls.select(F.explode(tokens).alias("token")).join(known, "token", "left_semi")
     seen = {r["token"]: r["n"] for r in held.groupBy("token").agg(F.count("*").alias("n")).collect()}
     index: dict[str, list[int]] = {}
     for k, rule in enumerate(rules):
@@ -95,38 +100,66 @@ def rarest_literals(urls: DataFrame, url: str, rules=PATTERN_RULES) -> dict[str,
     return index
 
 
+def _first(hits: Column, action: str) -> Column:
+    return F.get(F.filter(hits, lambda h: h["action"] == action), F.lit(0))
+
+
+def _inlined_hits(rules, index: dict[str, list[int]], url: Column) -> Column:
+    """The pattern rules that fit, as structs (k, action, pattern) by number: candidates are looked up in literals."""
+    table = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(r.action).alias("action"), F.lit(r.pattern).alias("pattern"), F.lit(r.regex()).alias("regex")) for k, r in enumerate(rules)])
+    always = F.array(*[F.lit(k) for k, r in enumerate(rules) if not r.literals()]).cast("array<int>")
+    if index:
+        rules_of = F.create_map(*[x for t, ks in sorted(index.items()) for x in (F.lit(t), F.array(*map(F.lit, ks)))])
+        known = F.array_intersect(url_tokens(url), F.array(*map(F.lit, sorted(index))))
+        always = F.concat(always, F.flatten(F.transform(known, lambda t: F.element_at(rules_of, t))))
+    low = lower_ascii(F.coalesce(url, F.lit("")))
+    hits = F.filter(F.transform(F.array_sort(always), lambda k: F.get(table, k)), lambda r: F.regexp_like(low, r["regex"]))
+    return F.transform(hits, lambda r: F.struct(r["k"].alias("k"), r["action"].alias("action"), r["pattern"].alias("pattern")))
+
+
+def _joined_hits(pages: DataFrame, rules, index: dict[str, list[int]], url: str) -> DataFrame:
+    """``__url, __found``: the same by a join of the distinct URLs' tokens to the index; URLs that no rule fits are not in it.
+
+    Rules without a literal token are candidates of every URL and stay in the expression; of the hits only the first of
+    each action is kept, so a row holds two at most.
+    """
+    spark = pages.sparkSession
+    rows = [(t, k, rules[k].action, rules[k].pattern, rules[k].regex()) for t, ks in index.items() for k in ks]
+    table = spark.createDataFrame(rows, "token string, k int, action string, pattern string, regex string")
+    urls = pages.select(F.coalesce(F.col(f"`{url}`"), F.lit("")).alias("__url")).distinct()
+    met = urls.select("__url", F.explode(url_tokens(F.col("__url"))).alias("token")).join(table, "token").where(F.regexp_like(lower_ascii(F.col("__url")), F.col("regex")))
+    hit = F.struct("k", "action", "pattern")
+    first = met.groupBy("__url", "action").agg(F.min(hit).alias("hit"))
+    return first.groupBy("__url").agg(F.array_sort(F.collect_list("hit")).alias("__found"))
+
+
 def filter_urls(pages: DataFrame, url: str = "url", list_rules=LIST_RULES, pattern_rules=PATTERN_RULES) -> DataFrame:
     """Every row of ``pages`` with ``host, path, rule, verdict, matched_rule``.
 
     ``rule`` names the list rule that decides, else null; then ``matched_rule`` holds the pattern rule that does
     (an allow pattern beats a block pattern, the earlier beats the later), else null: allow.
     Null and malformed URLs have empty host and path and fit no list rule; repeated rows each get their verdict;
-    columns of ``pages`` with the names of ours are replaced.
+    columns of ``pages`` with the names of ours are replaced.  Any number of pattern rules will do.
     """
-    if len(pattern_rules) > MAX_PATTERN_RULES:
-        raise ValueError(f"at most {MAX_PATTERN_RULES} pattern rules can be inlined")
     index = rarest_literals(pages, url, pattern_rules)
     kept = pages.select(*[c for c in (pages[f"`{c}`"] for c in pages.columns if c not in {"host", "path", "rule", "verdict", "matched_rule"})])
-    u, low = F.col(f"`{url}`"), lower_ascii(F.coalesce(F.col(f"`{url}`"), F.lit("")))
+    u = F.col(f"`{url}`")
     out = kept.withColumns({"host": host_of(u), "path": path_of(u)})
-    listed = list_rule(F.col("host"), F.col("path"), list_rules)
-
-    everywhere = [k for k, r in enumerate(pattern_rules) if not r.literals()]
-    always = F.array(*map(F.lit, everywhere)).cast("array<int>")
-    if index:
-        rules_of = F.create_map(*[x for t, ks in sorted(index.items()) for x in (F.lit(t), F.array(*map(F.lit, ks)))])
-        known = F.array_intersect(url_tokens(u), F.array(*map(F.lit, sorted(index))))
-        always = F.concat(always, F.flatten(F.transform(known, lambda t: F.element_at(rules_of, t))))
-    candidates = F.array_sort(always)
-    regexes = F.array(*[F.lit(r.regex()) for r in pattern_rules]) if pattern_rules else F.array().cast("array<string>")
-    hits = F.filter(candidates, lambda k: F.regexp_like(low, F.get(regexes, k)))
-    actions = F.array(*[F.lit(r.action) for r in pattern_rules]) if pattern_rules else F.array().cast("array<string>")
-    first = lambda action: F.get(F.filter(F.col("__hits"), lambda k: F.get(actions, k) == action), F.lit(0))
-    names = F.array(*[F.lit(r.pattern) for r in pattern_rules]) if pattern_rules else F.array().cast("array<string>")
-    out = out.withColumns({"__listed": listed, "__hits": hits})
-    matched = F.when(F.col("__listed").isNull(), F.get(names, F.coalesce(first("allow"), first("block"))))
-    verdict = F.coalesce(F.col("__listed.action"), F.when(first("allow").isNotNull(), "allow"), F.when(first("block").isNotNull(), "block"), F.lit("allow"))
-    return out.withColumns({"rule": F.col("__listed.name"), "verdict": verdict, "matched_rule": matched}).drop("__listed", "__hits")
+    if len(pattern_rules) <= MAX_INLINED_RULES:
+        none = F.array().cast("array<struct<k: int, action: string, pattern: string>>")
+        hits = _inlined_hits(pattern_rules, index, u) if pattern_rules else none
+    else:
+        out = out.withColumn("__url", F.coalesce(u, F.lit(""))).join(_joined_hits(pages, pattern_rules, index, url), "__url", "left").drop("__url")
+        everywhere = [r for r in pattern_rules if not r.literals()]
+        number = {r.pattern: k for k, r in reversed(list(enumerate(pattern_rules)))}
+        low = lower_ascii(F.coalesce(u, F.lit("")))
+        loose = [F.when(F.regexp_like(low, F.lit(r.regex())), F.struct(F.lit(number[r.pattern]).alias("k"), F.lit(r.action).alias("action"), F.lit(r.pattern).alias("pattern"))) for r in everywhere]
+        hits = F.array_sort(F.array_compact(F.concat(F.coalesce("__found", F.array().cast("array<struct<k: int, action: string, pattern: string>>")), F.array(*loose) if loose else F.array().cast("array<struct<k: int, action: string, pattern: string>>"))))
+    out = out.withColumns({"__listed": list_rule(F.col("host"), F.col("path"), list_rules), "__hits": hits})
+    allowed, blocked = _first(F.col("__hits"), "allow"), _first(F.col("__hits"), "block")
+    matched = F.when(F.col("__listed").isNull(), F.coalesce(allowed, blocked)["pattern"])
+    verdict = F.coalesce(F.col("__listed.action"), F.when(allowed.isNotNull(), "allow"), F.when(blocked.isNotNull(), "block"), F.lit("allow"))
+    return out.withColumns({"rule": F.col("__listed.name"), "verdict": verdict, "matched_rule": matched}).drop("__listed", "__hits", "__found")
 
 
 def oracle(list_rules=LIST_RULES, pattern_rules=PATTERN_RULES) -> str:
