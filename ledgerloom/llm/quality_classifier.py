@@ -20,8 +20,10 @@ BITS = 18
 #: At most so many labelled documents are fitted on: those with the smallest hash of their id.
 MAX_LABELLED = 20_000
 #: A feature is weighed only if so many of the fitted documents hold it, and if its grades differ from the overall
-#: ones by so much chi-square: rare words of no bearing would else be learned by heart.
+#: ones by so much chi-square: rare words of no bearing would else be learned by heart.  Where few documents are labelled
+#: (FULL fewer) or few of one grade, less will do: a LEAST_SHARE of the rarest grade, and chi-square in proportion.
 MIN_DOCS, MIN_CHI2 = 12, 40.0
+LEAST_DOCS, LEAST_CHI2, LEAST_SHARE, FULL = 3, 12.0, 0.1, 2000
 #: Grades: 0 toxic, 1 poor, 2 good.
 GRADES = 3
 #: Kept: P(grade >= 2) of at least this; a little under one half, as good documents lost cost more than poor ones kept.
@@ -107,11 +109,14 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 def fit(doc: np.ndarray, bucket: np.ndarray, grade: np.ndarray, bits: int = BITS, rounds: int = 200, rate: float = 0.25, shrink: float = 2e-4, min_chi2: float = MIN_CHI2) -> OrdinalModel:
     """Maximum likelihood with a small quadratic penalty, by full-batch AdaGrad."""
     n, size = len(grade), 1 << bits
+    rarest = int(np.bincount(grade, minlength=GRADES).min())
+    min_docs = min(MIN_DOCS, max(LEAST_DOCS, int(LEAST_SHARE * rarest)))
+    min_chi2 = min(min_chi2, max(LEAST_CHI2, min_chi2 * n / FULL))
     k = GRADES
     share = np.maximum(np.bincount(grade, minlength=k), 1) / n
     held = np.bincount(bucket * k + grade[doc], minlength=size * k).reshape(size, k)
     expected = np.maximum(held.sum(1, keepdims=True) * share, 1e-9)
-    bearing = (((held - expected) ** 2 / expected).sum(1) >= min_chi2) & (held.sum(1) >= MIN_DOCS)
+    bearing = (((held - expected) ** 2 / expected).sum(1) >= min_chi2) & (held.sum(1) >= min_docs)
     use = bearing[bucket]
     doc, bucket = doc[use], bucket[use]
     w, t = np.zeros(size), np.linspace(-1, 1, k - 1)
@@ -141,10 +146,13 @@ def graded(labels: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, bits: int = BITS) -> OrdinalModel:
-    """Fit on at most ``max_labelled`` labelled documents, whole texts.  Without any, every text has grade 2."""
+    """Fit on at most ``max_labelled`` labelled documents, whole texts.  Without any, every text has grade 2.
+
+    Of several documents of one id the one of the least content hash is fitted on.
+    """
     chosen = graded(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     # Bounded by max_labelled rows of two numbers, so it may be broadcast.
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").withColumn("mark", F.xxhash64("text"))
 
     def make(texts: list[str]) -> dict:
         doc, bucket = features(texts, bits)
@@ -152,7 +160,8 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
         packed = bucket.astype("<i4")
         return {"found": [packed[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]}
 
-    got = per_text(rows, ["doc_id", "grade"], "text", make, "found binary").select("grade", "found").limit(max_labelled).toArrow()
+    found = per_text(rows, ["doc_id", "grade", "mark"], "text", make, "found binary")
+    got = found.groupBy("doc_id", "grade").agg(F.min_by("found", "mark").alias("found")).orderBy("doc_id").select("grade", "found").toArrow()
     grade = got.column("grade").to_numpy().astype(np.int64)
     if not len(grade):
         return OrdinalModel(np.zeros(1 << bits, np.float32), np.full(GRADES - 1, -40.0), bits)
