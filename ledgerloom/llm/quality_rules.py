@@ -43,16 +43,27 @@ def compressor():
     return zstandard.ZstdCompressor(level=LEVEL)
 
 
+def band_of(size: int) -> Band:
+    return [b for b in DOCUMENT_BANDS if size >= b.least][-1]
+
+
 def compression(raw: bytes) -> tuple[float, float, bool]:
-    """Ratio of the whole, share of full chunks outside the chunk band, and whether all bands hold."""
+    """Ratio of the whole, share of chunks outside the chunk band, and whether all bands hold.
+
+    Chunks of CHUNK_BYTES follow one another, and the last one ends with the text, so all bytes are in one.  A text
+    shorter than a chunk is a chunk of its own, held to the limits of its length.
+    """
     if not raw:
         return 0.0, 0.0, True
     box = compressor()
     ratio = len(box.compress(raw)) / len(raw)
-    band = [b for b in DOCUMENT_BANDS if len(raw) >= b.least][-1]
-    chunks = [len(box.compress(raw[i : i + CHUNK_BYTES])) / CHUNK_BYTES for i in range(0, len(raw) - CHUNK_BYTES + 1, CHUNK_BYTES)]
-    share = sum(not CHUNK_LOW <= c <= CHUNK_HIGH for c in chunks) / len(chunks) if chunks else 0.0
-    return ratio, share, band.low <= ratio <= band.high and share <= CHUNK_SHARE
+    band = band_of(len(raw))
+    fits = band.low <= ratio <= band.high
+    if len(raw) < CHUNK_BYTES:
+        return ratio, float(not fits), fits
+    starts = [*range(0, len(raw) - CHUNK_BYTES, CHUNK_BYTES), len(raw) - CHUNK_BYTES]
+    bad = sum(not CHUNK_LOW <= len(box.compress(raw[i : i + CHUNK_BYTES])) / CHUNK_BYTES <= CHUNK_HIGH for i in starts)
+    return ratio, bad / len(starts), fits and bad <= CHUNK_SHARE * len(starts)
 
 
 def repeated_words(words: list[bytes]) -> int:

@@ -72,6 +72,25 @@ def test_urls(spark):
     assert url_filters.PatternRule("block", "^a-b^*x*^c^").literals() == ["a", "b", "c"]
 
 
+def test_many_url_rules(spark, monkeypatch):
+    """Beyond what one expression holds the index is a table; held against every rule in turn."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcd") for _ in range(rng.randint(1, 2)))
+    rules = tuple(url_filters.PatternRule(rng.choice(["allow", "block"]), p) for p in dict.fromkeys(rng.choice(["^{}^", "^{}-{}^", "^{}*{}^", "{}{}", "^{}^*^{}^"]).format(word(), word()) for _ in range(80)))
+    urls = [f"http://{word()}.{word()}.zz/{word()}/{word()}-{word()}?{word()}" for _ in range(150)] + ["http://Foo.NET/aa", None, "", "aa"] + ["http://aa.bb.zz/aa"] * 3
+    pages = spark.createDataFrame([(k, u) for k, u in enumerate(urls)], "page_id long, url string")
+
+    def plain(u):
+        low = (u or "").lower()
+        hit = {a: next((r.pattern for r in rules if r.action == a and re.search(r.regex(), low)), None) for a in ("allow", "block")}
+        return hit["allow"] or hit["block"], "block" if hit["block"] and not hit["allow"] else "allow"
+
+    for most in (2000, 10):
+        monkeypatch.setattr(url_filters, "MAX_INLINED_RULES", most)
+        got = {r.page_id: (r.matched_rule, r.verdict) for r in url_filters.filter_urls(pages, list_rules=(url_filters.ListRule("allow", "none", "/"),), pattern_rules=rules).collect()}
+        assert got == {k: plain(u) for k, u in enumerate(urls)}
+
+
 def test_simhash(docs):
     got = {(r.doc_id, r.fingerprint): r.component_id for r in simhash.near_duplicates(docs).collect()}
     rows = rows_of(docs)
@@ -268,6 +287,30 @@ def test_quality_rules(docs):
     assert not quality_rules.compression(np.random.default_rng(1).bytes(9000))[2]
 
 
+def test_kept_by_bands(docs):
+    """``kept`` from the limits themselves, chunk by chunk."""
+    import zstandard
+
+    def plain(t):
+        raw = t.encode()
+        size = lambda x: len(zstandard.ZstdCompressor(level=3).compress(x)) / max(1, len(x))
+        band = max((b for b in quality_rules.DOCUMENT_BANDS if b.least <= len(raw)), key=lambda b: b.least)
+        at, bad, n = 0, 0, 0
+        while len(raw) >= 2048 and at < len(raw):
+            n += 1
+            bad += not quality_rules.CHUNK_LOW <= size(raw[at : at + 2048] if at + 2048 <= len(raw) else raw[-2048:]) <= quality_rules.CHUNK_HIGH
+            at += 2048
+        return not raw or (band.low <= size(raw) <= band.high and 2 * bad <= n)
+
+    noise = " ".join("".join(random.Random(k).choices("ABCDEFGHJKabcdefghjk0123456789+/", k=12)) for k in range(170))
+    texts = [t or "" for _, t in rows_of(docs)] + ["ab " * 800, noise, " ".join(f"w{k * k % 997}" for k in range(300)) + noise, "x" * 2048, "y " * 1024 + noise[:100]]
+    for t in texts:
+        assert quality_rules.compression(t.encode())[2] == plain(t), t[:80]
+    prose = " ".join(w for k in range(30) for w in (texts[k] or "a").split())[:2048]
+    # What follows the last whole chunk is judged too.
+    assert quality_rules.compression((prose + noise[:2000]).encode())[1] >= 0.5
+
+
 @pytest.mark.parametrize("size", [300, 450, 600, 900, 1200, 1800, 3000, 9000, 40000])
 def test_incompressible_words(size):
     rng = random.Random(size)
