@@ -1,175 +1,291 @@
 """Line dedup by a log-template tree of fixed depth.
 
-A line's way through the tree is its token count, then its tokens, with variable ones (digits, addresses)
-generalised; at the leaf stands its template, the masked line.  Of short lines one literal place may be a field too, and
-of longer ones one stretch of an eighth, so such lines also stand for the templates that leave one such place open.
-Lines too short or too variable for a template stand for themselves alone.  A template that
-enough documents hold is dropped from all of them but the first.  Long lines need few documents: two where they are
-equal, three where they are equal but for their variable tokens.
+A line's way through the tree is its token count, then its two leading tokens; a mirrored tree takes the two last ones.
+Tokens that are variable by their looks (digits, addresses) are masked from the start.  At a leaf, which may hold many
+lines, a token is constant in its place if enough of the leaf's documents have it there; all others are fields.  So a
+line's template is its constant tokens, with any number of open places.  A template that enough documents hold is
+dropped from all of them but the first.  The same goes for lines that are equal, or equal but for masked tokens; long
+ones need few documents: two where they are equal, three where they are masked.
+
+Nothing is gathered by leaf: leaves, places of leaves and templates are counted, each by a hash of its own and with
+partial counts, so a leaf that a third of all documents share is a row per task.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, per_text
+from .common import cut, per_text, run_hashes, slices
+from .substring_dedup import mix
 
-#: Documents that must hold a template; shortest line with a template, longest with an open place, and with an open stretch.
-MIN_DOCS, MIN_TOKENS, OPEN_TOKENS, STRETCH_TOKENS = 12, 3, 12, 48
-#: Stretches of a line.
-STRETCHES = 8
+#: Documents that must hold a template; shortest line that has one.
+MIN_DOCS, MIN_TOKENS = 12, 3
 #: Lines of so many tokens are long; documents that must hold one, as it is and masked.
 LONG_TOKENS, LONG_DOCS, LONG_MASKED_DOCS = 8, 2, 3
 #: Of a line's tokens at least this share must be constant, else the template says nothing.
 CONSTANT = 0.6
-#: Recurring templates are sent to all executors up to this many (16 bytes each); beyond, they are joined.
+#: Of a leaf's documents at least this share must have a constant token in its place, and must hold a template found by such
+#: tokens.  Leaves of common beginnings ("It is") grow with the corpus, so there chance alone never makes a template.
+LEAF_SHARE = 0.1
+#: Tables are sent to all executors up to so many rows (24 bytes each); beyond, they are joined.
 MAX_SENT = 1_000_000
 
-VARIABLE = regex.compile(r"\d|@|://|^www\.")
-_MAYBE = regex.compile(r"\d|@|://|www\.")
-_ANY = "<*>"
-
-
-def _h(s: str) -> int:
-    from xxhash import xxh3_64_intdigest
-
-    return xxh3_64_intdigest(s.encode("utf-8", "surrogatepass")) & 0x7FFFFFFFFFFFFFFF
-
-
-def _kind(h: int, kind: int) -> int:
-    """``h`` with its two lowest bits telling how many documents must hold it: 0 ``min_docs``, 1 LONG_DOCS, 2 LONG_MASKED_DOCS."""
-    return h & ~3 | kind
-
-
-def template_hashes(line: str) -> list[int]:
-    """The line's template, then those with one more place or stretch open; none for an empty line.
-
-    A long line stands for itself as well, and counts by itself; one too short or too variable for a template only so."""
-    tokens = line.split()
-    n = len(tokens)
-    if n < MIN_TOKENS:
-        return [_kind(_h("=\x00" + "\x00".join(tokens)), 0)] if n else []
-    masked = [_ANY if VARIABLE.search(t) else t for t in tokens] if _MAYBE.search(line) else tokens
-    fixed = n - masked.count(_ANY)
-    long = n >= LONG_TOKENS
-    variable = fixed < CONSTANT * n
-    out = [_kind(_h("=\x00" + "\x00".join(tokens)), 1 if long else 0)] if long or variable else []
-    if variable:
-        return out
-    own = _h(f"{n}\x00" + "\x00".join(masked))
-    if not long or fixed < n and n <= OPEN_TOKENS:  # lines with an open place meet it too
-        out.append(_kind(own, 0))
-    if long and fixed < n:
-        out.append(_kind(own, 2))
-    if n <= OPEN_TOKENS and fixed - 1 >= CONSTANT * n:
-        out += [_kind(_h(f"{n}\x00" + "\x00".join([*masked[:k], _ANY, *masked[k + 1 :]])), 0) for k in range(n) if masked[k] != _ANY]
-    elif OPEN_TOKENS < n <= STRETCH_TOKENS:
-        wide = -(-n // STRETCHES)
-        for k in range(0, n, wide):
-            open_ = [_ANY] * len(masked[k : k + wide])
-            if fixed - len(open_) + masked[k : k + wide].count(_ANY) >= CONSTANT * n:
-                out.append(_kind(_h(f"{n}\x00" + "\x00".join([*masked[:k], *open_, *masked[k + wide :]])), 0))
-    return out
-
-
-def _occurrences(docs: DataFrame, keys: list[str], by_line: bool, slice_rows: int = 1000) -> DataFrame:
-    """``keys`` and ``template``, once for each document that holds it; with ``by_line`` also ``line``, for every line."""
-    keyed = docs.select(*keys, F.col("text").cast("string").alias("__text"))
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_VARIABLE = np.zeros(256, bool)
+_VARIABLE[[*range(48, 58), 64]] = True
+_ANY = np.uint64(0x5851F42D4C957F2D)
+_K1, _K2, _K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+#: What a hash stands for, in its two lowest bits: a template of MIN_DOCS, of LONG_DOCS, of LONG_MASKED_DOCS; a leaf.
+SHORT, EQUAL, MASKED, LEAF = range(4)
+
+
+def _kind(h: np.ndarray, kind) -> np.ndarray:
+    return (h & ~np.uint64(3) | np.asarray(kind).astype(np.uint64)).view(np.int64)
+
+
+class Lines:
+    """The lines of some texts: which text each is of, and its hashes, as (line, hash) pairs of templates and of leaves."""
+
+    def __init__(self, texts: list[str]):
+        raws = [t.encode("utf-8", "surrogatepass") for t in texts]
+        data = np.frombuffer(b"\n".join(raws) + b" \0\0", np.uint8)
+        breaks = np.flatnonzero(data == 10)
+        begins = np.append(0, breaks + 1)
+        of_text = np.cumsum(np.append(0, [len(r) + 1 for r in raws]))[: len(raws)]
+        self.doc = np.searchsorted(of_text, begins, "right") - 1
+        self.no = np.arange(len(begins)) - np.searchsorted(begins, of_text)[self.doc] if raws else np.empty(0, np.int64)
+        body = data[: len(data) - 3]
+        starts, h = run_hashes(body, ~_SPACE[body])
+        h = mix(h)
+        line = np.searchsorted(begins, starts, "right") - 1
+        self.size = np.bincount(line, minlength=len(begins))
+        self.start = np.cumsum(self.size) - self.size
+        pos = np.arange(len(starts)) - self.start[line]
+        odd = _VARIABLE[body]
+        slashes = np.flatnonzero(data[:-3] == 58)
+        slashes = slashes[(data[slashes + 1] == 47) & (data[slashes + 2] == 47)]
+        if len(slashes):
+            odd = odd.copy()
+            odd[slashes] = True
+        odd_at = np.flatnonzero(odd)
+        variable = np.zeros(len(starts), bool)
+        variable[np.searchsorted(starts, odd_at, "right") - 1] = True
+        at = starts[data[starts] == 119]
+        at = at[(data[np.minimum(at + 3, len(data) - 1)] == 46) & (data[at + 1] == 119) & (data[at + 2] == 119)]
+        variable[np.searchsorted(starts, at)] = True
+        self.token = np.where(variable, _ANY, h)
+        self.at = mix(pos.astype(np.uint64) * _K1 + np.uint64(1))
+
+        some = np.flatnonzero(self.size)
+        n, first = self.size[some], self.start[some]
+        whole = lambda tokens, salt: mix(np.add.reduceat(mix(tokens ^ self.at), first) + n.astype(np.uint64) * salt) if len(some) else np.empty(0, np.uint64)
+        fixed = n - (np.add.reduceat(variable.astype(np.int64), first) if len(some) else 0)
+        literal, masked = whole(h, _K2), whole(self.token, _K3)
+        long, tree = n >= LONG_TOKENS, (n >= MIN_TOKENS) & (fixed >= CONSTANT * n)
+        pairs = [
+            (some, _kind(literal, np.where(long, EQUAL, SHORT)), long | ~tree),
+            (some, _kind(masked, SHORT), tree & ~long),
+            (some, _kind(masked, MASKED), tree & long & (fixed < n)),
+        ]
+        self.template_line, self.template = (np.concatenate([p[k][p[2]] for p in pairs]) for k in (0, 1))
+        self.leaf_line = some[tree]
+        a, z = first[tree], (first + n)[tree] - 1
+        size = n[tree].astype(np.uint64)
+        self.leaves = [_kind(mix(mix(self.token[x] + size * _K1) + self.token[y] * salt), LEAF) for x, y, salt in ((a, a + 1, _K2), (z, z - 1, _K3))]
+
+    def open_leaves(self, leaves: Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(line, leaf, documents asked for) where enough documents hold the leaf."""
+        line, leaf = np.concatenate([self.leaf_line] * 2), np.concatenate(self.leaves)
+        found, at = leaves.find(leaf)
+        return line[found], leaf[found], leaves.values[at[found]]
+
+    def cells(self, line: np.ndarray, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For (line, leaf) pairs one after another: which pair each token is of, and the hash of leaf, place and token."""
+        pair = np.repeat(np.arange(len(line)), self.size[line])
+        token = np.repeat(self.start[line] - (np.cumsum(self.size[line]) - self.size[line]), self.size[line]) + np.arange(len(pair))
+        return pair, token, mix(mix(self.token[token] ^ self.at[token]) + leaf[pair].view(np.uint64)).view(np.int64)
+
+    def opened(self, line: np.ndarray, leaf: np.ndarray, frequent: Table) -> tuple[np.ndarray, np.ndarray]:
+        """The template by constant places of each (line, leaf) pair, and whether it says enough."""
+        pair, token, cell = self.cells(line, leaf)
+        if not len(pair):
+            return np.empty(0, np.int64), np.empty(0, bool)
+        constant = frequent.find(cell)[0] & (self.token[token] != _ANY)
+        starts = np.cumsum(self.size[line]) - self.size[line]
+        h = mix(np.add.reduceat(mix(np.where(constant, self.token[token], _ANY) ^ self.at[token]), starts) + leaf.view(np.uint64))
+        return _kind(h, SHORT), np.add.reduceat(constant.astype(np.int64), starts) >= CONSTANT * self.size[line]
+
+
+class Table:
+    """Sorted 64-bit keys with a value each."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], values[order]
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.keys):
+            return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return self.keys[at] == keys, at
+
+
+def _table(df: DataFrame, key: str, value: str) -> Table:
+    got = df.select(key, value).toArrow()
+    values = got.column(1)
+    return Table(got.column(0).to_numpy(), values.to_numpy() if pa.types.is_integer(values.type) and not values.null_count else np.array([*values.to_pylist(), None], object)[:-1])
+
+
+def _once(doc: np.ndarray, *columns: np.ndarray) -> list[np.ndarray]:
+    """Rows without repeats of (doc, first column)."""
+    order = np.lexsort((columns[0], doc))
+    d, c = doc[order], columns[0][order]
+    new = np.append(True, (d[1:] != d[:-1]) | (c[1:] != c[:-1]))[: len(d)]
+    return [x[order][new] for x in (doc, *columns)]
+
+
+def _held(docs: DataFrame, make: Callable[[Lines], tuple[np.ndarray, ...]], names: list[str]) -> DataFrame:
+    """``__id`` and ``names`` (longs), for each text the distinct rows that ``make(lines)`` gives: (doc, columns...)."""
+    keyed = docs.select("__id", F.col("text").cast("string").alias("text")).where("text is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, slice_rows):
-                part = batch.slice(at, slice_rows)
-                row, template, line = [], [], []
-                for k, t in enumerate(part.column(len(keys)).to_pylist()):
-                    if by_line:
-                        for i, x in enumerate((t or "").split("\n")):
-                            own = template_hashes(x)
-                            template += own
-                            line += [i] * len(own)
-                    else:
-                        template += {h for x in (t or "").split("\n") for h in template_hashes(x)}
-                    row += [k] * (len(template) - len(row))
-                at_row = pa.array(row, pa.int64())
-                arrays = [part.column(i).take(at_row) for i in range(len(keys))] + [pa.array(template, pa.int64())] + ([pa.array(line, pa.int32())] if by_line else [])
-                yield pa.RecordBatch.from_arrays(arrays, names=[*keys, "template", *["line"] * by_line])
-
-    kinds = "".join(f"`{k}` {keyed.schema[k].dataType.simpleString()}, " for k in keys)
-    return keyed.mapInArrow(run, kinds + "template long" + ", line int" * by_line)
+            for at, n in slices(batch.column(1), 1000, 1 << 23):
+                doc, *columns = _once(*make(Lines(batch.column(1).slice(at, n).to_pylist())))
+                if len(doc):
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n).take(pa.array(doc)), *map(pa.array, columns)], names=["__id", *names])
+
+    return keyed.mapInArrow(run, f"__id {keyed.schema['__id'].dataType.simpleString()}, " + ", ".join(f"{c} long" for c in names))
 
 
 def recurring_templates(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """``template, first``: held by at least as many rows of ``docs`` as its kind asks for, and the smallest doc_id among them."""
-    held = _occurrences(docs.select(F.col("doc_id").alias("__id"), "text"), ["__id"], False)
+    """``template, n, first, leaf``: held by at least as many rows of ``docs`` as its kind asks for, and the smallest doc_id."""
+
+    def make(lines: Lines) -> tuple[np.ndarray, ...]:
+        line = np.concatenate([lines.template_line, *[lines.leaf_line] * 2])
+        return lines.doc[line], np.concatenate([lines.template, *lines.leaves])
+
+    held = _held(docs.select(F.col("doc_id").alias("__id"), "text"), make, ["template"])
     kind = F.col("template").bitwiseAND(3)
-    least = F.when(kind == 1, min(LONG_DOCS, min_docs)).when(kind == 2, min(LONG_MASKED_DOCS, min_docs)).otherwise(min_docs)
-    return held.groupBy("template").agg(F.count("*").alias("n"), F.min("__id").alias("first")).where(F.col("n") >= least).select("template", "first")
+    least = F.when(kind == EQUAL, min(LONG_DOCS, min_docs)).when(kind == MASKED, min(LONG_MASKED_DOCS, min_docs)).otherwise(min_docs)
+    counted = held.groupBy("template").agg(F.count("*").alias("n"), F.min("__id").alias("first")).where(F.col("n") >= least)
+    return counted.select("template", F.greatest(F.lit(min_docs), F.ceil(F.col("n") * LEAF_SHARE)).cast("long").alias("asked"), "first", (kind == LEAF).alias("leaf"))
 
 
 def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, max_sent: int = MAX_SENT) -> DataFrame:
     """``docs`` with the recurring lines taken out of ``text``, and ``n_lines, n_dropped`` beside its other columns.
 
-    A line goes where its template, or one of those with an open place, is held by ``min_docs`` rows or more (long
-    lines: LONG_DOCS, and LONG_MASKED_DOCS masked) and a smaller doc_id holds it too; so what recurs stays once.  Null ids come after all others and never are the first;
-    rows that repeat an id are all first or none.  Null text stays null and has no lines; a document may end up empty
-    but its row stays.  Other columns pass through; ours replace columns of the same names.
+    A line goes where its template is held by ``min_docs`` rows or more (long lines: LONG_DOCS, and LONG_MASKED_DOCS
+    masked) and a smaller doc_id holds it too; so what recurs stays once.  Null ids come after all others and never are
+    the first; what only rows without an id hold stays.  Rows that repeat an id are all first or none.  Null text stays
+    null and has no lines; a document may end up empty but its row stays.  Other columns pass through; ours replace
+    columns of the same names.
     """
-    recurring = cut(recurring_templates(docs, min_docs))
     others = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     base = docs.select(*[docs[f"`{c}`"] for c in others])
-    if recurring.count() <= max_sent:
-        got = recurring.toArrow().sort_by("template")
-        box = docs.sparkSession.sparkContext.broadcast((got.column("template").to_numpy(), got.column("first").to_pandas().to_numpy()))
-        return _drop_with_table(base, box)
-    key = F.xxhash64("doc_id", "text")
-    lines = _occurrences(base.select(key.alias("__row"), F.col("doc_id").alias("__id"), "text"), ["__row", "__id"], True)
-    gone = lines.join(recurring, "template").where(F.col("__id").isNull() | (F.col("first") < F.col("__id"))).groupBy("__row").agg(F.collect_set("line").alias("__gone"))
-    whole = base.withColumn("__row", key).join(gone, "__row", "left").drop("__row")
-    parts = F.split(F.col("text"), "\n")
-    kept = F.filter(parts, lambda _, i: F.col("__gone").isNull() | ~F.array_contains("__gone", i))
-    return whole.select(*[F.array_join(kept, "\n").alias("text") if c == "text" else F.col(f"`{c}`") for c in others], F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_dropped"))
-
+    recurring = cut(recurring_templates(base, min_docs))
+    if recurring.count() > max_sent:
+        return _drop_by_join(base, recurring, min_docs)
+    spark, keyed = docs.sparkSession, base.select(F.col("doc_id").alias("__id"), "text")
+    box = spark.sparkContext.broadcast((_table(recurring.where("not leaf"), "template", "first"), _table(recurring.where("leaf"), "template", "asked")))
 
-def _drop_with_table(base: DataFrame, box) -> DataFrame:
-    names = base.columns
-    at_text, at_id = names.index("text"), names.index("doc_id")
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, n in slices(batch.column(0), 1000, 1 << 23):
+                lines = Lines(batch.column(0).slice(at, n).to_pylist())
+                line, leaf, asked = lines.open_leaves(box.value[1])
+                pair, _, cell = lines.cells(line, leaf)
+                _, cell, asked = _once(lines.doc[line[pair]], cell, asked[pair])
+                cell, first, held = np.unique(cell, return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(asked[first].astype(np.int64)), pa.array(held)], names=["cell", "asked", "n"])
+
+    found = keyed.where("text is not null").select(F.col("text").cast("string")).mapInArrow(places, "cell long, asked long, n long")
+    cells = cut(found.groupBy("cell").agg(F.sum("n").alias("n"), F.max("asked").alias("asked")).where("n >= asked"))
+    if cells.count() > max_sent:
+        return _drop_by_join(base, recurring, min_docs)
+    box_cells = spark.sparkContext.broadcast(_table(cells, "cell", "n"))
+
+    def templates(lines: Lines) -> tuple[np.ndarray, ...]:
+        line, leaf, asked = lines.open_leaves(box.value[1])
+        template, good = lines.opened(line, leaf, box_cells.value)
+        return lines.doc[line[good]], template[good], asked[good]
+
+    opened = cut(_held(keyed, templates, ["template", "asked"]).groupBy("template").agg(F.count("*").alias("n"), F.max("asked").alias("asked"), F.min("__id").alias("first")).where("n >= asked"))
+    if opened.count() > max_sent:
+        return _drop_by_join(base, recurring, min_docs)
+    box_opened = spark.sparkContext.broadcast(_table(opened, "template", "first"))
+    at_text, at_id = others.index("text"), others.index("doc_id")
+
+    def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, n in slices(batch.column(at_text), 1000, 1 << 23):
+                part = batch.slice(at, n)
+                texts, ids = part.column(at_text).to_pylist(), part.column(at_id).to_pylist()
+                lines = Lines([t or "" for t in texts])
+                found, place = box.value[0].find(lines.template)
+                line, first = lines.template_line[found], box.value[0].values[place[found]] if len(box.value[0].keys) else np.empty(0)
+                leaf_line, leaf, _ = lines.open_leaves(box.value[1])
+                template, good = lines.opened(leaf_line, leaf, box_cells.value)
+                hit, where = box_opened.value.find(template)
+                hit &= good
+                line = np.concatenate([line, leaf_line[hit]])
+                first = [*first, *(box_opened.value.values[where[hit]] if len(box_opened.value.keys) else ())]
+                gone: dict[int, set[int]] = {}
+                for own, doc, no, least in zip(line.tolist(), lines.doc[line].tolist(), lines.no[line].tolist(), first, strict=True):
+                    if least is not None and (ids[doc] is None or least < ids[doc]):
+                        gone.setdefault(doc, set()).add(no)
+                for doc, lost in gone.items():
+                    texts[doc] = "\n".join(x for k, x in enumerate(texts[doc].split("\n")) if k not in lost)
+                held = np.bincount(lines.doc, minlength=n)
+                counts = [0 if t is None else int(k) for t, k in zip(texts, held, strict=True)]
+                arrays = [pa.array(texts, pa.string()) if i == at_text else part.column(i) for i in range(len(others))]
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array(counts, pa.int64()), pa.array([len(gone.get(k, ())) for k in range(n)], pa.int64())], names=[*others, "n_lines", "n_dropped"])
+
+    return base.withColumn("text", F.col("text").cast("string")).mapInArrow(drop, ", ".join(f"`{c}` {'string' if c == 'text' else base.schema[c].dataType.simpleString()}" for c in others) + ", n_lines long, n_dropped long")
+
+
+def _drop_by_join(base: DataFrame, recurring: DataFrame, min_docs: int) -> DataFrame:
+    """The same where the tables are too large to be sent: lines are joined to them."""
+    rows = cut(base.withColumn("__row", F.monotonically_increasing_id()))  # written, so that a row keeps its number
+    keyed = rows.select("__row", F.col("doc_id").alias("__id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    kind = keyed.schema["__id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        templates, first = box.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                texts, ids = part.column(at_text).to_pylist(), part.column(at_id).to_pylist()
-                split = [[] if t is None else t.split("\n") for t in texts]
-                found = [[template_hashes(x) for x in lines] for lines in split]
-                flat = np.array([h for lines in found for hs in lines for h in hs], np.int64)
-                place = np.searchsorted(templates, flat)
-                known = place < len(templates)
-                known[known] = templates[place[known]] == flat[known]
-                hits, where, n = known.tolist(), place.tolist(), 0
-                dropped = []
-                for k, (lines, own) in enumerate(zip(split, found, strict=True)):
-                    keep = []
-                    for x, hs in zip(lines, own, strict=True):
-                        gone = any(hits[i] and (ids[k] is None or first[where[i]] < ids[k]) for i in range(n, n + len(hs)))
-                        n += len(hs)
-                        if not gone:
-                            keep.append(x)
-                    dropped.append(len(lines) - len(keep))
-                    if dropped[-1]:
-                        texts[k] = "\n".join(keep)
-                arrays = [pa.array(texts, pa.string()) if i == at_text else part.column(i) for i in range(len(names))]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array(list(map(len, split)), pa.int64()), pa.array(dropped, pa.int64())], names=[*names, "n_lines", "n_dropped"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema) + ", n_lines long, n_dropped long"
-    return base.mapInArrow(run, schema)
+            for at, n in slices(batch.column(2), 1000, 1 << 23):
+                part, lines = batch.slice(at, n), Lines(batch.column(2).slice(at, n).to_pylist())
+                for line, key, has_tokens in ((lines.template_line, lines.template, False), (np.concatenate([lines.leaf_line] * 2), np.concatenate(lines.leaves), True)):
+                    of = pa.array(lines.doc[line])
+                    tokens = [lines.token[lines.start[k] : lines.start[k] + lines.size[k]].view(np.int64) for k in line] if has_tokens else [None] * len(line)
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(of), part.column(1).take(of), pa.array(lines.no[line].astype(np.int32)), pa.array(key), pa.array(tokens, pa.list_(pa.int64()))], names=["__row", "__id", "line", "template", "tokens"])
+
+    every = cut(keyed.mapInArrow(run, f"__row long, __id {kind}, line int, template long, tokens array<long>"))
+    place = ["__row", "line"]
+    met = every.where("tokens is null").join(recurring.where("not leaf").select("template", "first"), "template").select("__row", "__id", "line", "first")
+    leaves = every.where("tokens is not null").join(recurring.where("leaf").select("template", "asked"), "template")
+    open_ = cut(leaves.select("__row", "__id", "line", F.col("template").alias("leaf"), "asked", "tokens"))
+    cells = open_.select("*", F.posexplode("tokens").alias("pos", "token")).drop("tokens")
+    cell = ["leaf", "pos", "token"]
+    frequent = cells.select("__row", "asked", *cell).distinct().groupBy(*cell).agg(F.count("*").alias("n"), F.max("asked").alias("asked")).where("n >= asked").select(*cell, F.lit(True).alias("constant"))
+    marked = cells.join(frequent, cell, "left").withColumn("constant", F.coalesce("constant", F.lit(False)) & (F.col("token") != int(_ANY.view(np.int64))))
+    shape = F.array_sort(F.collect_list(F.struct("pos", F.when(F.col("constant"), F.col("token")).alias("token"))))
+    named = marked.groupBy(*place, "leaf").agg(F.first("__id").alias("__id"), F.first("asked").alias("asked"), shape.alias("shape"), F.count_if("constant").alias("fixed"), F.count("*").alias("size"))
+    named = cut(named.where(F.col("fixed") >= CONSTANT * F.col("size")).select(*place, "leaf", "__id", "asked", F.to_json("shape").alias("shape")))
+    template = ["leaf", "shape"]
+    opened = named.select("__row", "__id", "asked", *template).distinct().groupBy(*template).agg(F.count("*").alias("n"), F.max("asked").alias("asked"), F.min("__id").alias("first")).where("n >= asked").select(*template, "first")
+    hits = met.unionByName(named.join(opened, template).select("__row", "__id", "line", "first"))
+    lost = hits.where(F.col("first").isNotNull() & (F.col("__id").isNull() | (F.col("first") < F.col("__id"))))
+    whole = rows.join(lost.groupBy("__row").agg(F.collect_set("line").alias("__gone")), "__row", "left")
+    parts = F.split(F.col("text").cast("string"), "\n")
+    kept = F.filter(parts, lambda _, i: F.col("__gone").isNull() | ~F.array_contains("__gone", i))
+    return whole.select(*[F.array_join(kept, "\n").alias("text") if c == "text" else F.col(f"`{c}`") for c in base.columns], F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_dropped"))
 
 
 def digest(dropped: DataFrame) -> DataFrame:

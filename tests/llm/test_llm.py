@@ -354,15 +354,87 @@ def test_substring_dedup_of_long_words(spark):
 
 
 def test_lines(spark, docs):
-    rows = [(k, f"Contact us at number {k} today\nown line {'x' * k}- of {'y' * k}- document\nAll rights reserved by us", "en", "s", 9) for k in range(20)]
+    rows = [(k, f"Contact us at number {k} today\nown {'x' * k}- line of {'y' * k}- document {'z' * k}-\nsent by {'x' * k}- to {'y' * k}- yesterday\nAll rights reserved by us", "en", "s", 9) for k in range(20)]
     more = docs.select("doc_id", "text", "lang", "source", "n_chars").union(spark.createDataFrame(rows, SCHEMA))
     a = line_templates.drop_recurring_lines(more).collect()
-    assert [r.n_dropped for r in a if r.text and "own line" in r.text] and sorted(map(repr, a)) == sorted(map(repr, line_templates.drop_recurring_lines(more, max_sent=0).collect()))
-    kept = [r.text for r in a if r.text and "own line " in r.text]
-    assert len(kept) == 20 and sum("rights" in t for t in kept) == 1 and sum("Contact" in t for t in kept) == 1
+    assert [r.n_dropped for r in a if r.text and "- line of" in r.text] and sorted(map(repr, a)) == sorted(map(repr, line_templates.drop_recurring_lines(more, max_sent=0).collect()))
+    kept = [r.text for r in a if r.text and "- line of" in r.text]
+    assert len(kept) == 20 and all(sum(w in t for t in kept) == 1 for w in ("rights", "Contact", "sent by"))
     assert sum(r.text is None for r in a) == 2
 
 
+def plain_line_dedup(rows, min_docs=12):
+    """Kept lines by the docstrings, with dictionaries of whole lines, leaves, places and templates."""
+    any_ = "<*>"
+    variable = lambda t: re.search(r"[0-9]|@|://|^www\.", t) is not None
+    parsed = []
+    for i, t in rows:
+        lines = [] if t is None else t.split("\n")
+        own = []
+        for x in lines:
+            tokens = re.findall(r"[^\x20\x09-\x0D]+", x)
+            masked = tuple(any_ if variable(w) else w for w in tokens)
+            n, fixed = len(tokens), sum(w != any_ for w in masked)
+            tree, long = n >= 3 and fixed >= 0.6 * n, n >= 8
+            keys = [("=", tuple(tokens), 2 if long else min_docs)] if n and (long or not tree) else []
+            keys += [("m", masked, 3 if long else min_docs)] if tree and (not long or fixed < n) else []
+            leaves = [("l", n, masked[0], masked[1]), ("t", n, masked[-1], masked[-2])] if tree else []
+            own.append((masked, keys, leaves))
+        parsed.append((i, own))
+    held, first = {}, {}
+
+    def count(i, keys):
+        for k in set(keys):
+            held[k] = held.get(k, 0) + 1
+            if i is not None:
+                first[k] = min(i, first.get(k, i))
+
+    for i, own in parsed:
+        count(i, [k for _, keys, leaves in own for k in keys + leaves])
+    enough = lambda k: held[k] >= min(k[2], min_docs)
+    asked = lambda leaf: max(min_docs, -(-held[leaf] // 10))
+    left = {(r, x): [leaf for leaf in leaves if held[leaf] >= min_docs] for r, (_, own) in enumerate(parsed) for x, (_, _, leaves) in enumerate(own)}
+    for r, (i, own) in enumerate(parsed):
+        count(i, [(leaf, k, w) for x, (masked, _, _) in enumerate(own) for leaf in left.get((r, x), ()) for k, w in enumerate(masked)])
+    opened = {}
+    for (r, x), leaves in left.items():
+        masked = parsed[r][1][x][0]
+        for leaf in leaves:
+            shape = tuple(w if w != any_ and held[leaf, k, w] >= asked(leaf) else any_ for k, w in enumerate(masked))
+            if sum(w != any_ for w in shape) >= 0.6 * len(shape):
+                opened.setdefault((r, x), []).append((leaf, shape))
+    for r, (i, own) in enumerate(parsed):
+        count(i, [k for x in range(len(own)) for k in opened.get((r, x), ())])
+    out = []
+    for r, ((i, t), (_, own)) in enumerate(zip(rows, parsed, strict=True)):
+        keep = []
+        for x, line in enumerate(t.split("\n") if t is not None else ()):
+            hits = [k for k in own[x][1] if enough(k)] + [k for k in opened.get((r, x), ()) if held[k] >= asked(k[0])]
+            if not any(k in first and (i is None or first[k] < i) for k in hits):
+                keep.append(line)
+        out.append((i, None if t is None else "\n".join(keep), len(own), len(own) - len(keep)))
+    return out
+
+
+def test_lines_against_brute_force(spark):
+    rng = random.Random(8)
+    words = ["alpha", "beta", "gamma", "delta", "of", "the", "in", "at"]
+    name = lambda: rng.choice(["ann", "bob", "cyd"]) + "".join(rng.choices("xyz", k=4))
+    shapes = ["Posted by {} in news", "{} wrote this note", "seen {} and {} on the road to the old town by night", "Call 555-{} now or never", "Read more", "page 7 of 9 {}", "mail me@{} x", "see www.{} or http://{}"]
+    rows = []
+    for k in range(160):
+        lines = [rng.choice(shapes).replace("{}", "%s") for _ in range(rng.randint(0, 5))]
+        lines = [x % tuple(name() for _ in range(x.count("%s"))) for x in lines] + [" ".join(rng.choices(words, k=rng.choice([1, 3, 4, 9]))) for _ in range(rng.randint(0, 4))]
+        rng.shuffle(lines)
+        rows.append((rng.choice([k, k, k, k // 2, None]) if k > 20 else k, rng.choice(["\n", "\r\n"]).join(lines)))
+    rows += [(500, None), (None, None), (501, ""), rows[30], (None, "only those without an id\nRead more")] + [(None, "only those without an id")] * 14
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = sorted(map(repr, plain_line_dedup(rows)))
+    assert sum(r[3] for r in plain_line_dedup(rows)) > 200
+    for sent in (line_templates.MAX_SENT, 0):
+        assert sorted(repr((r.doc_id, r.text, r.n_lines, r.n_dropped)) for r in line_templates.drop_recurring_lines(docs, max_sent=sent).collect()) == want
+
+
 def test_long_lines_that_few_share(spark):
     passage = "the committee shall meet once every quarter in the town hall"
     dated = "this notice of {} replaces all earlier notices of our house"
