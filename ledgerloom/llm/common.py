@@ -27,8 +27,11 @@ def words(text: str | None) -> list[bytes]:
 
 #: Bytes of text that a worker takes up at once; a longer text is taken by itself.
 SLICE_BYTES = 1 << 24
+#: Longer words have a hash of their own.
 _PLACES = 64
-_RANDOM = np.random.default_rng(31).integers(1, 2**62, _PLACES, np.uint64) * np.uint64(2) + np.uint64(1)
+#: Powers of an odd number over a stretch of places, and of its inverse.
+_STRETCH = 1 << 16
+_POWER, _BACK = (np.cumprod(np.append(np.uint64(1), np.full(_STRETCH - 1, b, np.uint64))) for b in (0xA0761D6478BD642F, pow(0xA0761D6478BD642F, -1, 2**64)))
 
 
 def slices(texts: pa.Array, rows: int = 2000, size: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
@@ -45,18 +48,28 @@ def slices(texts: pa.Array, rows: int = 2000, size: int = SLICE_BYTES) -> Iterat
 def run_hashes(data: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start of each run of bytes that are ``inside``, and a 64-bit number for the run (to be mixed by the caller).
 
-    Runs of up to 64 bytes are sums of letters times a random number of their place; longer ones have a hash of their own.
+    The number is a polynomial in the bytes, as a difference of running sums brought back to one place; runs of more than
+    64 bytes have a hash of their own.
     """
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8)))
+    flags = np.zeros(len(inside) + 2, bool)
+    flags[1:-1] = inside
+    edge = np.flatnonzero(flags[1:] != flags[:-1])
     starts, stops = edge[::2], edge[1::2]
     if not len(starts):
         return starts, np.empty(0, np.uint64)
-    sizes = stops - starts
-    letters = np.flatnonzero(inside)
-    place = letters - np.repeat(starts, sizes)
-    value = (data[letters].astype(np.uint64) + np.uint64(1) + place.astype(np.uint64) * np.uint64(512)) * _RANDOM[place % _PLACES]
-    out = np.add.reduceat(value, np.cumsum(sizes) - sizes)
-    if long := np.flatnonzero(sizes > _PLACES).tolist():
+    n = len(data)
+    rows = -(-n // _STRETCH)
+    sums = np.zeros(rows * _STRETCH + 1, np.uint64)
+    value = sums[1:]
+    value[:n] = data
+    value += np.uint64(1)
+    value.reshape(rows, _STRETCH)[:] *= _POWER
+    np.cumsum(value, out=value)
+    out = (sums[stops] - sums[starts]) * _BACK[starts % _STRETCH]
+    for k in np.flatnonzero(starts // _STRETCH != (stops - 1) // _STRETCH).tolist():
+        own = data[starts[k] : stops[k]][:_PLACES].astype(np.uint64) + np.uint64(1)
+        out[k] = (own * _POWER[: len(own)]).sum(dtype=np.uint64)
+    if long := np.flatnonzero(stops - starts > _PLACES).tolist():
         from xxhash import xxh3_64_intdigest
 
         out[long] = np.array([xxh3_64_intdigest(data[starts[k] : stops[k]].tobytes()) for k in long], np.uint64)

@@ -51,9 +51,9 @@ def _kind(h: np.ndarray, kind) -> np.ndarray:
 
 
 class Lines:
-    """The lines of some texts: which text each is of, and its hashes, as (line, hash) pairs of templates and of leaves."""
+    """The lines of some texts: which text each is of, and its hashes, as (line, hash) pairs of templates (with ``whole_lines``) and of leaves."""
 
-    def __init__(self, texts: list[str]):
+    def __init__(self, texts: list[str], whole_lines: bool = True):
         raws = [t.encode("utf-8", "surrogatepass") for t in texts]
         data = np.frombuffer(b"\n".join(raws) + b" \0\0", np.uint8)
         breaks = np.flatnonzero(data == 10)
@@ -85,20 +85,22 @@ class Lines:
 
         some = np.flatnonzero(self.size)
         n, first = self.size[some], self.start[some]
-        whole = lambda tokens, salt: mix(np.add.reduceat(mix(tokens ^ self.at), first) + n.astype(np.uint64) * salt) if len(some) else np.empty(0, np.uint64)
         fixed = n - (np.add.reduceat(variable.astype(np.int64), first) if len(some) else 0)
-        literal, masked = whole(h, _K2), whole(self.token, _K3)
         long, tree = n >= LONG_TOKENS, (n >= MIN_TOKENS) & (fixed >= CONSTANT * n)
+        self.leaf_line = some[tree]
+        a, z = first[tree], (first + n)[tree] - 1
+        size = n[tree].astype(np.uint64)
+        self.leaves = [_kind(mix(mix(self.token[x] + size * _K1) + self.token[y] * salt), LEAF) for x, y, salt in ((a, a + 1, _K2), (z, z - 1, _K3))]
+        if not whole_lines:
+            return
+        whole = lambda tokens, salt: mix(np.add.reduceat(mix(tokens ^ self.at), first) + n.astype(np.uint64) * salt) if len(some) else np.empty(0, np.uint64)
+        literal, masked = whole(h, _K2), whole(self.token, _K3)
         pairs = [
             (some, _kind(literal, np.where(long, EQUAL, SHORT)), long | ~tree),
             (some, _kind(masked, SHORT), tree & ~long),
             (some, _kind(masked, MASKED), tree & long & (fixed < n)),
         ]
         self.template_line, self.template = (np.concatenate([p[k][p[2]] for p in pairs]) for k in (0, 1))
-        self.leaf_line = some[tree]
-        a, z = first[tree], (first + n)[tree] - 1
-        size = n[tree].astype(np.uint64)
-        self.leaves = [_kind(mix(mix(self.token[x] + size * _K1) + self.token[y] * salt), LEAF) for x, y, salt in ((a, a + 1, _K2), (z, z - 1, _K3))]
 
     def open_leaves(self, leaves: Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(line, leaf, documents asked for) where enough documents hold the leaf."""
@@ -151,14 +153,14 @@ def _once(doc: np.ndarray, *columns: np.ndarray) -> list[np.ndarray]:
     return [x[order][new] for x in (doc, *columns)]
 
 
-def _held(docs: DataFrame, make: Callable[[Lines], tuple[np.ndarray, ...]], names: list[str]) -> DataFrame:
+def _held(docs: DataFrame, make: Callable[[Lines], tuple[np.ndarray, ...]], names: list[str], whole_lines: bool = True) -> DataFrame:
     """``__id`` and ``names`` (longs), for each text the distinct rows that ``make(lines)`` gives: (doc, columns...)."""
     keyed = docs.select("__id", F.col("text").cast("string").alias("text")).where("text is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, n in slices(batch.column(1), 1000, 1 << 23):
-                doc, *columns = _once(*make(Lines(batch.column(1).slice(at, n).to_pylist())))
+                doc, *columns = _once(*make(Lines(batch.column(1).slice(at, n).to_pylist(), whole_lines)))
                 if len(doc):
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n).take(pa.array(doc)), *map(pa.array, columns)], names=["__id", *names])
 
@@ -199,7 +201,7 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, max_sent: in
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, n in slices(batch.column(0), 1000, 1 << 23):
-                lines = Lines(batch.column(0).slice(at, n).to_pylist())
+                lines = Lines(batch.column(0).slice(at, n).to_pylist(), False)
                 line, leaf, asked = lines.open_leaves(box.value[1])
                 pair, _, cell = lines.cells(line, leaf)
                 _, cell, asked = _once(lines.doc[line[pair]], cell, asked[pair])
@@ -217,7 +219,7 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, max_sent: in
         template, good = lines.opened(line, leaf, box_cells.value)
         return lines.doc[line[good]], template[good], asked[good]
 
-    opened = cut(_held(keyed, templates, ["template", "asked"]).groupBy("template").agg(F.count("*").alias("n"), F.max("asked").alias("asked"), F.min("__id").alias("first")).where("n >= asked"))
+    opened = cut(_held(keyed, templates, ["template", "asked"], False).groupBy("template").agg(F.count("*").alias("n"), F.max("asked").alias("asked"), F.min("__id").alias("first")).where("n >= asked"))
     if opened.count() > max_sent:
         return _drop_by_join(base, recurring, min_docs)
     box_opened = spark.sparkContext.broadcast(_table(opened, "template", "first"))
