@@ -2,20 +2,22 @@
 
 The benchmark's passages are weighed by TF-IDF (document frequencies over the whole corpus) and laid into a latent
 space by a randomised SVD.  Every stretch of every document is projected and held against the items by cosine; near
-ones are checked by the longest common subsequence of words and by the item's telling words (its answer).
+ones are checked by the longest common subsequence of words and by the item's telling words (its rarest ones: the
+benchmark has no column of answers).  Only the benchmark enters the SVD, not the corpus.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_text, run_hashes
+from .common import cut, per_text, run_hashes, slices
 
 #: A stretch is 2 or 4 blocks of so many words, and starts at every block.
 STEP = 16
@@ -23,15 +25,16 @@ WINDOWS = (2, 4)
 #: Latent dimensions at most, and the share of the passages' energy after which no more are taken.
 DIMENSIONS, ENERGY = 256, 0.95
 MIN_COSINE = 0.35
-#: A leak has this share of the item's words as a common subsequence, or the lesser one and the telling words.
-LCS_SURE, LCS_LIKELY, TELLING = 0.7, 0.5, 0.8
+#: A leak has this share of the item's words as a common subsequence, or the lesser one and this share of the telling words.
+LCS_SURE, LCS_LIKELY, TELLING = 0.6, 0.5, 0.5
 #: Items with fewer words tell nothing.
 MIN_WORDS = 6
 #: Longer items are scored by pieces of so many words at most: wherever a piece starts, a stretch holds it whole.
 PIECE = STEP * (WINDOWS[-1] - 1)
 #: Pieces of which the latent space holds a lesser share of the energy are also scored by their exact TF-IDF cosine.
 HELD = 0.9
-#: Pieces taken at once; a larger benchmark is worked off in blocks of whole items, and only one block's model is on an executor.
+#: Pieces taken at once; a larger benchmark is worked off in blocks of whole items, one after another, so only one block's
+#: model is on the driver or an executor.  All blocks share the weights of words.
 MAX_ITEMS = 5000
 #: Products of words and postings that are added up at once.
 MAX_PRODUCTS = 1 << 21
@@ -81,7 +84,7 @@ class Model:
     vocabulary: np.ndarray  # sorted word hashes
     idf: np.ndarray
     unknown: float  # idf of words that no item has
-    most: np.ndarray  # of each word the largest weight in any piece, pieces being of length 1
+    most: np.ndarray  # of each word the most that it can add, by its weight, to the score of any piece
     basis: np.ndarray  # word x dimension
     pieces: np.ndarray  # piece x dimension, of length 1
     item_of: np.ndarray  # of each piece
@@ -129,8 +132,8 @@ class Model:
         open_ = [np.flatnonzero(wide[2 * k + 1] >= MIN_COSINE * np.sqrt(wide[2 * k])) for k in range(len(WINDOWS))]
         if not any(map(len, open_)):
             return []
-        # No piece's cosine with a stretch exceeds the sum of its words' weights times the most that any piece gives each
-        # of them; stretches that stay below the limit are not projected.
+        # No piece's score with a stretch, latent or exact, exceeds the sum of its words' weights times the most that any
+        # piece gives each of them; stretches that stay below the limit are not projected.
         blocks = np.unique(np.concatenate([np.add.outer(o, np.arange(w)).ravel() for o, w in zip(open_, WINDOWS, strict=True)]))
         blocks = blocks[blocks < len(starts)]
         latent = np.zeros((len(blocks), self.basis.shape[1]), np.float32)
@@ -230,11 +233,38 @@ def pieces_of(words: np.ndarray) -> list[np.ndarray]:
     return np.array_split(words, -(-len(words) // PIECE))
 
 
-def fit(items: DataFrame, docs: DataFrame, dimensions: int = DIMENSIONS) -> Model | None:
+@dataclass
+class Weights:
+    """What all blocks share: the words of the whole benchmark, and how telling each is."""
+
+    vocabulary: np.ndarray
+    idf: np.ndarray
+    unknown: float
+
+
+def weigh(benchmark: DataFrame, docs: DataFrame) -> Weights:
+    """Words of the benchmark (their number is bounded by it, not by the corpus), counted over all documents in one pass."""
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, n in slices(batch.column(0)):
+                found = np.unique(hashes_of([t or "" for t in batch.column(0).slice(at, n).to_pylist()])[0])
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], names=["word"])
+
+    words = benchmark.select(F.col("text").cast("string")).mapInArrow(own, "word long").distinct().toArrow().column(0).to_numpy()
+    vocabulary = np.sort(words.astype(np.int64).view(np.uint64))
+    if not len(vocabulary):
+        return Weights(vocabulary, np.empty(0), 0.0)
+    n, df = document_frequencies(docs, vocabulary)
+    idf = np.log((1 + n) / (1 + df)) + 0.1
+    return Weights(vocabulary, idf, float(np.mean(idf)))
+
+
+def fit(items: DataFrame, weights_: Weights, dimensions: int = DIMENSIONS) -> Model | None:
     """The latent space of one block of items (``item_id, text``; MAX_ITEMS pieces or so); None where none has words.
 
     Randomised SVD on the driver, which holds the block: its TF-IDF rows are sparse, and the words-by-dimensions matrices
-    are bounded by the block.  Document frequencies are counted where the documents are.
+    are bounded by the block.
     """
     rows = items.select("item_id", F.col("text").cast("string").alias("text")).where("text is not null").orderBy("item_id", "text").toArrow()
     own = [(i, word_hashes(t.encode("utf-8", "surrogatepass"))) for i, t in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True)]
@@ -242,16 +272,14 @@ def fit(items: DataFrame, docs: DataFrame, dimensions: int = DIMENSIONS) -> Mode
     if not own:
         return None
     vocabulary = np.unique(np.concatenate([w for _, w in own]))
-    n, df = document_frequencies(docs, vocabulary)
-    idf = np.log((1 + n) / (1 + df)) + 0.1
+    idf = weights_.idf[np.searchsorted(weights_.vocabulary, vocabulary)]
     size = len(vocabulary)
-    item_of, tfidf, most = [], [], np.zeros(size)  # tfidf: each piece's words and their weights, of length 1
+    item_of, tfidf = [], []  # tfidf: each piece's words and their weights, of length 1
     for k, (_, w) in enumerate(own):
         for piece in pieces_of(w):
             at, times = np.unique(np.searchsorted(vocabulary, piece), return_counts=True)
             weights = times * idf[at]
             weights /= np.linalg.norm(weights)
-            most[at] = np.maximum(most[at], weights)
             item_of.append(k)
             tfidf.append((at, weights.astype(np.float32)))
 
@@ -285,11 +313,17 @@ def fit(items: DataFrame, docs: DataFrame, dimensions: int = DIMENSIONS) -> Mode
     post_piece = np.repeat(np.arange(len(weak)), [len(tfidf[j][0]) for j in weak])[order]
     post_weight = np.concatenate([tfidf[j][1] for j in weak])[order] if len(weak) else np.empty(0, np.float32)
     posted = np.searchsorted(word[order], np.arange(size + 1))
+    most = np.zeros(size, np.float32)
+    for s in range(0, size, 4096):
+        most[s : s + 4096] = np.maximum((basis[s : s + 4096] @ latent.T).max(1), 0)
+    for j in weak:
+        at, w = tfidf[j]
+        most[at] = np.maximum(most[at], w)
     telling = []
     for _, w in own:
         rare = sorted({int(x) for x in w}, key=lambda x: (-idf[np.searchsorted(vocabulary, np.uint64(x))], x))
         telling.append(set(rare[: max(3, len(rare) // 4)]))
-    return Model(vocabulary, idf.astype(np.float32), float(np.mean(idf)), most.astype(np.float32), basis, latent.astype(np.float32), np.array(item_of), weak, posted, post_piece, post_weight, [i for i, _ in own], [w.tolist() for _, w in own], telling)
+    return Model(vocabulary, idf.astype(np.float32), weights_.unknown, most, basis, latent.astype(np.float32), np.array(item_of), weak, posted, post_piece, post_weight, [i for i, _ in own], [w.tolist() for _, w in own], telling)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, keys: list[str] | None = None, max_items: int = MAX_ITEMS) -> DataFrame:
@@ -297,41 +331,50 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, keys: list[str] | None = N
 
     ``items``: the leaked items' ids, comma-joined in the order of the items; ``lcs`` and ``cosine``: the best of them,
     0 where there is none.  Null texts and null items hold nothing; items of fewer than MIN_WORDS words are not looked
-    for; an empty benchmark finds nothing.  Whole texts are searched.  No row is shuffled.
+    for; an empty benchmark finds nothing.  Whole texts are searched.  No row is shuffled, unless the benchmark has more
+    than ``max_items`` pieces: then each block of it gives the rows that it finds, which are joined to the documents.
     """
     keys = keys or ["doc_id"]
+    spark = docs.sparkSession
     pieces = F.greatest(F.lit(1), F.ceil(F.size(F.split(F.col("text").cast("string"), r"\s+")) / PIECE))
     n = benchmark.agg(F.sum(pieces)).first()[0] or 0
     blocks = max(1, -(-n // max_items))
-    models = []
-    # Blocks of rows in the order of a hash, so that each holds max_items pieces or so.
-    for k in range(blocks):
-        part = benchmark if blocks == 1 else benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        models.append(fit(part, docs))
-    boxes = [docs.sparkSession.sparkContext.broadcast(m) for m in models if m is not None]
-    out = docs
-    for b, box in enumerate(boxes or [None]):
-
-        def make(texts: list[str], box=box) -> dict:
-            got: dict = {f"__n{b}": [], f"__i{b}": [], f"__l{b}": [], f"__c{b}": []}
-            model = box.value if box else None
+    weights = weigh(benchmark, docs)
+
+    def searched(model: Model | None, rows: DataFrame, kept: list[str]) -> tuple[DataFrame, object]:
+        box = spark.sparkContext.broadcast(model)
+
+        def make(texts: list[str]) -> dict:
+            got: dict = {"n_leaks": [], "items": [], "lcs": [], "cosine": []}
             for k, t in enumerate(texts):
-                if k % 200 == 0 and model:
+                if k % 200 == 0 and box.value:
                     hashes, starts = hashes_of(texts[k : k + 200])
-                    places = model.places(hashes)
-                own = slice(starts[k % 200], starts[k % 200 + 1]) if model else None
-                found = model.find(hashes[own], places[own]) if model and t else []
-                got[f"__n{b}"].append(len(found))
-                got[f"__i{b}"].append(",".join(str(model.item_ids[i]) for i, _, _ in found))
-                got[f"__l{b}"].append(max([a for _, a, _ in found], default=0))
-                got[f"__c{b}"].append(max([c for _, _, c in found], default=0.0))
+                    places = box.value.places(hashes)
+                own = slice(starts[k % 200], starts[k % 200 + 1]) if box.value else None
+                found = box.value.find(hashes[own], places[own]) if box.value and t else []
+                got["n_leaks"].append(len(found))
+                got["items"].append(",".join(str(box.value.item_ids[i]) for i, _, _ in found))
+                got["lcs"].append(max([a for _, a, _ in found], default=0))
+                got["cosine"].append(round(max([c for _, _, c in found], default=0.0), 6))
             return got
 
-        done = [f"__{x}{j}" for j in range(b) for x in "nilc"]
-        last = b == len(boxes or [None]) - 1
-        out = per_text(out, list(dict.fromkeys([*keys, *done, *([] if last else ["text"])])), "text", make, f"__n{b} long, __i{b} string, __l{b} long, __c{b} double")
-    count = range(len(boxes or [None]))
-    total = sum((F.col(f"__n{b}") for b in count), F.lit(0).cast("long"))
-    items = F.concat_ws(",", *[F.when(F.col(f"__i{b}") != "", F.col(f"__i{b}")) for b in count])
-    most = lambda x: F.greatest(*[F.col(f"__{x}{b}") for b in count], F.lit(0))
-    return out.select(*keys, total.alias("n_leaks"), items.alias("items"), most("l").cast("long").alias("lcs"), F.round(most("c"), 6).alias("cosine"))
+        return per_text(rows, kept, "text", make, "n_leaks long, items string, lcs long, cosine double"), box
+
+    if blocks == 1:
+        return searched(fit(benchmark, weights), docs, keys)[0]
+    # Blocks of rows in the order of a hash, so that each holds max_items pieces or so.
+    whole = F.xxhash64(*[F.col(f"`{c}`") for c in dict.fromkeys([*keys, "text"])])
+    marked = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keys, "text"])], whole.alias("__row"))
+    hits = []
+    for k in range(blocks):
+        if (model := fit(benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k), weights)) is None:
+            continue
+        found, box = searched(model, marked, ["__row"])
+        hits.append(cut(found.where("n_leaks > 0")))
+        box.destroy()
+    if not hits:
+        return searched(None, docs, keys)[0]
+    each = reduce(DataFrame.unionByName, hits).distinct().groupBy("__row").agg(F.sum("n_leaks").alias("n_leaks"), F.array_join(F.array_sort(F.collect_list("items")), ",").alias("items"), F.max("lcs").alias("lcs"), F.max("cosine").alias("cosine"))
+    ours = {"n_leaks": F.lit(0).cast("long"), "items": F.lit(""), "lcs": F.lit(0).cast("long"), "cosine": F.lit(0.0)}
+    each = each.withColumnsRenamed({c: f"__{c}" for c in ours})
+    return marked.join(each, "__row", "left").select(*[F.col(f"`{c}`") for c in keys], *[F.coalesce(f"__{c}", default).alias(c) for c, default in ours.items()])

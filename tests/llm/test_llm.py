@@ -494,6 +494,21 @@ def test_decontamination_of_large_benchmarks(spark):
     assert got == {k: str(7 * k) for k in range(300)} | {300: "3000", 301: ""}
 
 
+@pytest.mark.parametrize("share, least", [(0.0, 1.0), (0.1, 1.0), (0.2, 0.97), (0.3, 0.9)])
+def test_recall_of_changed_passages(spark, share, least):
+    """Passages of real length inside other text, with a share of their words replaced at random; other texts stay clean."""
+    rng = random.Random(int(share * 10))
+    vocabulary = ["".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(2, 8))) for _ in range(3000)]
+    weight = [1 / (k + 5) for k in range(3000)]
+    text = lambda k: rng.choices(vocabulary, weight, k=k)
+    items = [text(rng.randint(20, 60)) for _ in range(120)]
+    planted = [[w if rng.random() >= share else rng.choices(vocabulary, weight)[0] for w in item] for item in items]
+    docs = [(k, " ".join([*text(rng.randint(0, 90)), *p, *text(rng.randint(0, 90))])) for k, p in enumerate(planted)] + [(1000 + k, " ".join(text(rng.randint(50, 400)))) for k in range(300)]
+    got = {r.doc_id: r["items"].split(",") for r in decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string")).collect()}
+    assert np.mean([str(k) in got[k] for k in range(120)]) >= least
+    assert sum(got[1000 + k] != [""] for k in range(300)) == 0
+
+
 def test_classifier(spark):
     rng = random.Random(3)
     rows, labels = [], []
