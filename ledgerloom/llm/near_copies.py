@@ -129,7 +129,6 @@ def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY, size: int
     are what hangs together.  Rows that repeat an id with equal words leave one row (the one of least content hash);
     null ids come last.  All columns pass through.
     """
-    n = n_partitions(docs)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     marked = cut(_marked(slim))
     least = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"))
@@ -137,16 +136,8 @@ def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY, size: int
     distinct = cut(marked.groupBy("t1", "t2").agg(F.min(least).alias("rep"), *fps))  # node: t1, of equal words one row
     rows = distinct.select(F.col("t1").alias("node"), *[f"fp{v}" for v in range(VIEWS)])
     near = components(links(rows, MAX_BITS, GROUPS, VIEWS).union(_equal_bands(distinct.select(F.col("t1").alias("node"), "bands"))))
-    sizes = near.groupBy("root").agg(F.count("*").alias("n"))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    member = cut(near.join(sizes, "root").select("node", "root", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("own")))
-
-    # Texts of candidates only: each (root, i, j) with i <= j is one task's work.
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j")))
-    packed = per_text(slim.select(F.lit(0).alias("one"), "text"), ["one"], "text", _packed, "node long, body binary").where("body is not null")
-    placed = packed.join(_sendable(member), "node").select("node", "body", F.explode(pairs).alias("p"), "root")
-    task = F.xxhash64("root", "p.i", "p.j")
-    linked = placed.select(task.alias("task"), "node", "body").repartition(n, "task").sortWithinPartitions("task", "node").mapInArrow(_verified(similarity, size), "a long, b long")
+    bodies = per_text(slim.select(F.lit(0).alias("one"), "text"), ["one"], "text", _packed, "node long, body binary").where("body is not null")
+    linked = _links_in_groups(near, bodies, similarity, size)
     groups = components(linked)
 
     owner = distinct.select("t1", "t2", "rep", F.col("t1").alias("node")).join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -164,6 +155,64 @@ def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY, size: int
     return left.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+def _links_in_groups(near: DataFrame, bodies: DataFrame, similarity: float, size: int) -> DataFrame:
+    """``a, b``: verified links that join up whatever in a group of candidates (``node, root``) hangs together.
+
+    In groups of more than BLOCK nodes all are first held against one, the pivot.  Those linked to it hang together by
+    that, so of them only links to the others are looked for: in a group of near copies, however large, hardly any
+    text is sent twice.  All pairs of nodes but those are held against each other, by pairs of blocks.
+    """
+    n = n_partitions(near)
+    sizes = near.groupBy("root").agg(F.count("*").alias("n"), F.min("node").alias("pivot"))
+    member = cut(near.join(sizes, "root").select("node", "root", "pivot", (F.col("n") > BLOCK).alias("large")))
+    if member.where("large").limit(1).count():
+        large = member.where("large")
+        pivots = bodies.join(_sendable(large.select("root", F.col("pivot").alias("node")).distinct()), "node").groupBy("root").agg(F.first("body").alias("pivot_body"))
+        # Texts stay where they are; one text a large group is sent to them, or joined to them by a shuffle in even parts.
+        beside = bodies.join(_sendable(large.select("node", "root", "pivot")), "node").join(_sendable(cut(pivots)), "root").select("node", "pivot", "body", "pivot_body")
+        star = cut(beside.mapInArrow(_verified_pairs(similarity, size), "a long, b long"))
+        settled = star.select(F.col("b").alias("node")).distinct().withColumn("settled", F.lit(True))
+        member = member.join(settled, "node", "left")
+    else:
+        star, member = None, member.withColumn("settled", F.lit(None).cast("boolean"))
+    member = member.withColumn("settled", F.coalesce("settled", F.lit(False)) & F.col("large"))
+    blocks = lambda c: F.ceil(F.count_if(c) / BLOCK).cast("int")
+    counts = member.groupBy("root").agg(blocks(~F.col("settled")).alias("loose_blocks"), blocks(F.col("settled")).alias("settled_blocks"))
+    # Blocks of loose nodes are numbered from 0 and those of settled ones from -1 down; a task is a pair of blocks, one of them loose.
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("settled"), F.col("settled_blocks")).otherwise(F.col("loose_blocks"))).cast("int")
+    placed = member.join(counts, "root").where("loose_blocks > 0").withColumn("own", F.when(F.col("settled"), -1 - own).otherwise(own))
+    placed = cut(placed.select("node", "root", "own", "loose_blocks", "settled_blocks"))
+    loose = F.sequence(F.lit(0), F.col("loose_blocks") - 1)
+    others = F.when(F.col("own") < 0, loose).when(F.col("settled_blocks") > 0, F.concat(loose, F.sequence(-F.col("settled_blocks"), F.lit(-1)))).otherwise(loose)
+    pairs = F.transform(others, lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j")))
+    sent = bodies.join(_sendable(placed), "node").select("node", "body", "root", F.explode(pairs).alias("p"))
+    task = F.xxhash64("root", "p.i", "p.j")
+    found = sent.select(task.alias("task"), "node", "body").repartition(n, "task").sortWithinPartitions("task", "node").mapInArrow(_verified(similarity, size), "a long, b long")
+    return found.union(star) if star is not None else found
+
+
+def _verified_pairs(similarity: float, size: int):
+    """``pivot, node`` of the rows (node, pivot, body, pivot_body) whose texts are alike."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        unpack, held = zstandard.ZstdDecompressor(), (None, None)
+        for batch in batches:
+            a, b = [], []
+            for k, (node, pivot) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if held[0] != pivot:
+                    held = pivot, shingle_hashes(unpack.decompress(batch.column(3)[k].as_py()), size)
+                own = shingle_hashes(unpack.decompress(batch.column(2)[k].as_py()), size)
+                common = len(np.intersect1d(own, held[1], assume_unique=True))
+                if common >= similarity * (len(own) + len(held[1]) - common):
+                    a.append(pivot)
+                    b.append(node)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
 def _equal_bands(rows: DataFrame) -> DataFrame:
     """Links of all nodes that share a band to the smallest of them: as many as nodes, however many share it."""
 

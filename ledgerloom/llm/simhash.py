@@ -107,7 +107,7 @@ class _Cells:
         return near & (np.bitwise_count(x ^ y) <= self.max_bits)
 
     def links(self, cell: np.ndarray, fp: np.ndarray, node: np.ndarray):
-        """Pairs of linked nodes, and the pairs of blocks of cells too large for one task."""
+        """Pairs of linked nodes, and where the pairs of blocks stand of cells too large for one task."""
         first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
         sizes = np.diff(np.append(first, len(cell)))
         a, b, pairs = [], [], []
@@ -127,7 +127,7 @@ class _Cells:
                 b += [own_node[i] for i in y]
                 for t in starts[k + 1 :]:
                     other = slice(t, min(t + BLOCK, at + n))
-                    pairs.append((np.concatenate([f, fp[other]]).tobytes(), np.concatenate([own_node, node[other]]).tobytes()))
+                    pairs.append((own, other))
         empty = [np.empty(0, np.int64)]
         return np.concatenate(a + empty), np.concatenate(b + empty), pairs
 
@@ -175,13 +175,14 @@ def links(rows: DataFrame, max_bits: int = MAX_BITS, groups: int = GROUPS, views
                 stop = int(np.searchsorted(cols[0], cols[0][-1], "left"))
             held, count = [[c[stop:] for c in cols]], len(cols[0]) - stop
             if stop:
-                fp = cols[1][:stop].view(np.uint64)
-                a, b, pairs = cells.links(cols[0][:stop], fp, cols[-1][:stop])
+                fp, node = cols[1][:stop].view(np.uint64), cols[-1][:stop]
+                a, b, pairs = cells.links(cols[0][:stop], fp, node)
                 for s in range(0, len(a), 1 << 16):
                     x, y = a[s : s + (1 << 16)], b[s : s + (1 << 16)]
                     none = pa.nulls(len(x), pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), none, none], names=["a", "b", "fps", "nodes"])
-                for f, n in pairs:
+                for own, other in pairs:
+                    f, n = (np.concatenate([x[own], x[other]]).tobytes() for x in (fp, node))
                     yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([f]), pa.array([n])], names=["a", "b", "fps", "nodes"])
 
         for batch in batches:

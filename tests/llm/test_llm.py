@@ -458,14 +458,24 @@ def test_short_variable_and_opened_lines(spark):
         assert len(got[0]) == 6 and all(got[k] == [f"own{k}", ""] for k in range(1, 12))
 
 
-def test_near_copies(docs):
+@pytest.mark.parametrize("block", [near_copies.BLOCK, 3])
+def test_near_copies(docs, block, monkeypatch):
+    """Also with groups far larger than a block, and with tables too large to be sent."""
+    monkeypatch.setattr(near_copies, "BLOCK", block)
+    if block == 3:
+        rng = random.Random(6)
+        body = [f"w{rng.randrange(900)}" for _ in range(150)]
+        chain = lambda k: " ".join(f"c{j}{k // 40}" if j < k % 40 * 2 else w for j, w in enumerate(body))
+        more = [(1000 + k, chain(k), "en", "s", 1, "mine", 1, "x", 2) for k in range(60)] + [(1100 + k, " ".join(w if rng.random() > 0.01 else "other" for w in body[::-1]), "en", "s", 1, "mine", 1, "x", 2) for k in range(25)]
+        docs = docs.union(docs.sparkSession.createDataFrame(more, docs.schema))
+        monkeypatch.setattr(near_copies, "MAX_SENT", 0)
     got = near_copies.drop_near_copies(docs)
     assert got.columns == docs.columns
     rows = sorted(rows_of(docs), key=lambda r: (r[0] is None, r[0] or 0))
     words = [simhash.lower_words(t) for _, t in rows]
     sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in words]
     group = list(range(len(rows)))
-    for _ in range(6):
+    for _ in range(40):
         group = [min(group[j] for j in range(len(rows)) if words[i] == words[j] or (sets[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))) for i in range(len(rows))]
     assert sorted(repr(r.doc_id) for r in got.collect()) == sorted(repr(rows[g][0]) for g in set(group))
 
