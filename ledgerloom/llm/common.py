@@ -26,7 +26,7 @@ def words(text: str | None) -> list[bytes]:
 
 
 #: Bytes of text that a worker takes up at once; a longer text is taken by itself.
-SLICE_BYTES = 1 << 24
+SLICE_BYTES = 1 << 22
 #: Longer words have a hash of their own.
 _PLACES = 64
 #: Powers of an odd number over a stretch of places, and of its inverse.
@@ -93,6 +93,7 @@ def per_text(df: DataFrame, keys: list[str], text: str, make: Callable, schema:
                 arrays = [*(part.column(i) for i in range(len(keys)))]
                 arrays += [made[c] if isinstance(made[c], pa.Array) else pa.array(made[c], kinds[c]) for c in added]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*keys, *added])
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     kinds = {}
     for field in schema.split(","):

@@ -159,7 +159,7 @@ def _held(docs: DataFrame, make: Callable[[Lines], tuple[np.ndarray, ...]], name
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, n in slices(batch.column(1), 1000, 1 << 23):
+            for at, n in slices(batch.column(1), 1000, 1 << 22):
                 doc, *columns = _once(*make(Lines(batch.column(1).slice(at, n).to_pylist(), whole_lines)))
                 if len(doc):
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n).take(pa.array(doc)), *map(pa.array, columns)], names=["__id", *names])
@@ -200,7 +200,7 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, max_sent: in
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, n in slices(batch.column(0), 1000, 1 << 23):
+            for at, n in slices(batch.column(0), 1000, 1 << 22):
                 lines = Lines(batch.column(0).slice(at, n).to_pylist(), False)
                 line, leaf, asked = lines.open_leaves(box.value[1])
                 pair, _, cell = lines.cells(line, leaf)
@@ -227,7 +227,7 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, max_sent: in
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, n in slices(batch.column(at_text), 1000, 1 << 23):
+            for at, n in slices(batch.column(at_text), 1000, 1 << 22):
                 part = batch.slice(at, n)
                 texts, ids = part.column(at_text).to_pylist(), part.column(at_id).to_pylist()
                 lines = Lines([t or "" for t in texts])
@@ -261,7 +261,7 @@ def _drop_by_join(base: DataFrame, recurring: DataFrame, min_docs: int) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, n in slices(batch.column(2), 1000, 1 << 23):
+            for at, n in slices(batch.column(2), 1000, 1 << 22):
                 part, lines = batch.slice(at, n), Lines(batch.column(2).slice(at, n).to_pylist())
                 for line, key, has_tokens in ((lines.template_line, lines.template, False), (np.concatenate([lines.leaf_line] * 2), np.concatenate(lines.leaves), True)):
                     of = pa.array(lines.doc[line])

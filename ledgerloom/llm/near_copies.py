@@ -106,7 +106,7 @@ def _verified(similarity: float, size: int):
         import zstandard
 
         unpack = zstandard.ZstdDecompressor()
-        for table in _stream(batches, 0, 2048, 1 << 25):
+        for table in _stream(batches, 0, 1024, 1 << 23):
             group, node = table.column(0).to_numpy(), table.column(1).to_numpy()
             sets = [shingle_hashes(unpack.decompress(x), size) for x in table.column(2).to_pylist()]
             starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
@@ -117,6 +117,8 @@ def _verified(similarity: float, size: int):
                 a += [node[s + i] for i in x]
                 b += [node[s + i] for i in y]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+            del table, sets
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -165,6 +167,7 @@ def _links_in_groups(near: DataFrame, bodies: DataFrame, similarity: float, size
     n = n_partitions(near)
     sizes = near.groupBy("root").agg(F.count("*").alias("n"), F.min("node").alias("pivot"))
     member = cut(near.join(sizes, "root").select("node", "root", "pivot", (F.col("n") > BLOCK).alias("large")))
+    bodies = cut(bodies.join(_sendable(member.select("node")), "node"))  # of candidates only, compressed; read up to three times
     if member.where("large").limit(1).count():
         large = member.where("large")
         pivots = bodies.join(_sendable(large.select("root", F.col("pivot").alias("node")).distinct()), "node").groupBy("root").agg(F.first("body").alias("pivot_body"))

@@ -147,7 +147,7 @@ def _marks(text: str | bytes) -> tuple[int, int]:
 def _slices(batch: pa.RecordBatch, at_text: int) -> Iterator[tuple[int, list[str]]]:
     """Whole texts, some MB at a time: where the slice starts, and the texts."""
     column = batch.column(at_text)
-    for at, n in slices(column, 1000, 1 << 23):
+    for at, n in slices(column, 1000, 1 << 22):
         yield at, [t or "" for t in column.slice(at, n).to_pylist()]
 
 
