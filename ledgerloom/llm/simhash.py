@@ -11,6 +11,7 @@ is the number of bits in which the unary forms differ.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -80,24 +81,28 @@ def cell_masks(groups: int = GROUPS, max_bits: int = MAX_BITS) -> np.ndarray:
 
 
 def _forest(fp: np.ndarray, near) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """A spanning forest of the links among rows: positions from and to."""
+    """A spanning forest of the links among rows: positions from and to.
+
+    Breadth first, from the first row on: rows that stand together in many cells, sorted alike, get the same links in
+    all of them, so that what is left after repeats are dropped follows the rows and not the cells.
+    """
     rest, a, b = np.arange(len(fp)), [], []
     while len(rest):
-        queue, rest = [rest[0]], rest[1:]
+        queue, rest = deque([rest[0]]), rest[1:]
         while queue and len(rest):
-            at = queue.pop()
+            at = queue.popleft()
             hit = near(at, rest)
             if hit.any():
                 found = rest[hit]
                 a.append(np.full(len(found), at))
                 b.append(found)
-                queue += found.tolist()
+                queue.extend(found.tolist())
                 rest = rest[~hit]
     return a, b
 
 
 class _Cells:
-    """Links within the cells of sorted (cell, fingerprint, node) rows, a stretch of whole cells at a time."""
+    """Links within the cells of (cell, fingerprint, node) rows sorted by cell, then node, a stretch of whole cells at a time."""
 
     def __init__(self, max_bits: int):
         self.max_bits = max_bits
@@ -205,7 +210,7 @@ def links(rows: DataFrame, max_bits: int = MAX_BITS, groups: int = GROUPS, views
                     yield pa.RecordBatch.from_arrays([pa.array(node[np.concatenate(x)]), pa.array(node[np.concatenate(y)])], names=["a", "b"])
 
     placed = rows.mapInArrow(place, "cell long, fp long" + ("" if lone else ", node long"))
-    dealt = placed.repartition(n_partitions(rows), "cell").sortWithinPartitions("cell", "fp")
+    dealt = placed.repartition(n_partitions(rows), "cell").sortWithinPartitions("cell", "fp" if lone else "node")
     found = cut(dealt.mapInArrow(compare, "a long, b long, fps binary, nodes binary"))
     direct = found.where(F.col("a").isNotNull()).select("a", "b")
     blocks = found.where(F.col("fps").isNotNull()).select("fps", "nodes")
