@@ -136,8 +136,7 @@ def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY, size: int
     least = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"))
     fps = [F.first(c).alias(c) for c in ("bands", *(f"fp{v}" for v in range(VIEWS)))]
     distinct = cut(marked.groupBy("t1", "t2").agg(F.min(least).alias("rep"), *fps))  # node: t1, of equal words one row
-    rows = distinct.select(F.col("t1").alias("node"), *[f"fp{v}" for v in range(VIEWS)])
-    near = components(links(rows, MAX_BITS, GROUPS, VIEWS).union(_equal_bands(distinct.select(F.col("t1").alias("node"), "bands"))))
+    near = _groups_of_candidates(distinct)
     bodies = per_text(slim.select(F.lit(0).alias("one"), "text"), ["one"], "text", _packed, "node long, body binary").where("body is not null")
     linked = _links_in_groups(near, bodies, similarity, size)
     groups = components(linked)
@@ -157,6 +156,21 @@ def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY, size: int
     return left.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+def _groups_of_candidates(distinct: DataFrame) -> DataFrame:
+    """``node, root`` of all nodes with a candidate: by shared bands first, then by fingerprints.
+
+    What shares bands goes under one name before fingerprints are compared, so the many cells in which near copies meet
+    give no links among them, but only to others.
+    """
+    prints = [f"fp{v}" for v in range(VIEWS)]
+    by_band = components(_equal_bands(distinct.select(F.col("t1").alias("node"), "bands")))
+    named = cut(distinct.select(F.col("t1").alias("node"), *prints).join(by_band.withColumnRenamed("root", "name"), "node", "left"))
+    by_print = components(links(named.select(F.coalesce("name", "node").alias("node"), *prints), MAX_BITS, GROUPS, VIEWS))
+    own = F.coalesce("name", F.col("named.node"))
+    met = named.alias("named").join(by_print.select(F.col("node").alias("__name"), "root"), own == F.col("__name"), "left")
+    return met.where("name is not null or root is not null").select(F.col("named.node").alias("node"), F.coalesce("root", "name").alias("root"))
+
+
 def _links_in_groups(near: DataFrame, bodies: DataFrame, similarity: float, size: int) -> DataFrame:
     """``a, b``: verified links that join up whatever in a group of candidates (``node, root``) hangs together.
 

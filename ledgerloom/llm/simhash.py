@@ -134,14 +134,15 @@ class _Cells:
                     other = slice(t, min(t + BLOCK, at + n))
                     pairs.append((own, other))
         empty = [np.empty(0, np.int64)]
-        return np.concatenate(a + empty), np.concatenate(b + empty), pairs
+        a, b = np.concatenate(a + empty), np.concatenate(b + empty)
+        return a[a != b], b[a != b], pairs
 
 
 def links(rows: DataFrame, max_bits: int = MAX_BITS, groups: int = GROUPS, views: int = 1) -> DataFrame:
     """``a, b``: links that join up all nodes whose fingerprints differ in at most ``max_bits`` bits in some view.
 
-    ``rows``: ``node`` and the fingerprints ``fp0, fp1, ...``, or ``fp`` alone where the fingerprint is the node; each
-    node once.  Every pair of close nodes is found in a cell, but of large cells only a spanning forest is written, so
+    ``rows``: ``node`` and the fingerprints ``fp0, fp1, ...``, or ``fp`` alone where the fingerprint is the node.  A node
+    may stand for several rows, which hang together then.  Every pair of close nodes is found in a cell, but of large cells only a spanning forest is written, so
     the links are linear in the rows that share cells.  Which nodes hang together is exact.
     """
     masks = cell_masks(groups, max_bits)
@@ -207,7 +208,8 @@ def links(rows: DataFrame, max_bits: int = MAX_BITS, groups: int = GROUPS, views
                 fp, node = np.frombuffer(f, np.uint64), np.frombuffer(n, np.int64)
                 x, y = _forest(fp, lambda p, rest, fp=fp: cells.near(fp[p], fp[rest]))
                 if x:
-                    yield pa.RecordBatch.from_arrays([pa.array(node[np.concatenate(x)]), pa.array(node[np.concatenate(y)])], names=["a", "b"])
+                    x, y = node[np.concatenate(x)], node[np.concatenate(y)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x[x != y]), pa.array(y[x != y])], names=["a", "b"])
 
     placed = rows.mapInArrow(place, "cell long, fp long" + ("" if lone else ", node long"))
     dealt = placed.repartition(n_partitions(rows), "cell").sortWithinPartitions("cell", "fp" if lone else "node")
