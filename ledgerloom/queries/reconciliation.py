@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.stages import cut
 from ..jobs.statements import statements_vs_books
 from ..operators import recon as R
-from .derived import LINES, RECORDS, from_sql, grid, lines
+from .derived import LINES, RECORDS, SKEWED, from_sql, grid, lines
 
 TOL, WINDOW = 100, R.DATE_WINDOW
 
@@ -169,6 +169,13 @@ def r21_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.withColumns({"matched_by_tier": F.to_json("matched_by_tier"), "findings": F.array_join("findings", "\n")})
 
 
+def r21_skewed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One reconciliation holds the lines of every second customer: what it comes to, and that its invariants hold."""
+    results, summary = R.reconcile(cut(from_sql(spark, sf_dir, SKEWED)), enable_combos=False)
+    n = results.groupBy("recon_id").agg(F.count("*").alias("n"), F.max("ord").cast("long").alias("last"))
+    return summary.join(n, "recon_id").select("recon_id", "total_references", "n", "last", "vendor_net", "books_net", "rows_ok", "value_ok")
+
+
 def e01_statements_vs_books(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The statements made from the orders against books that lack every 30th order."""
     books = from_sql(spark, sf_dir, f"SELECT doc_id AS recon_id, CAST(row AS BIGINT) AS row, ref, ref AS ref_raw, date, date_iso, type, amount FROM ({RECORDS}) AS r WHERE CAST(substr(ref, length(ref) - 7, 8) AS BIGINT) % 30 <> 0")
@@ -180,7 +187,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         r01_split_lanes, r02_aggregate_refs, r03_match_exact, r04_match_relaxed, r05_match_typo, r05_typo_candidates, r06_match_value, r07_match_combos, r08_match_payment_ref, r09_match_payment_amount, r10_open_items, r11_contra_pairs,
-        r12_pair_results, r13_combo_results, r14_unmatched_results, r15_payment_results, r16_order_results, r17_summarize, r18_matched_by_tier, r19_findings, r20_invariants, r21_reconcile, r21_summary, e01_statements_vs_books,
+        r12_pair_results, r13_combo_results, r14_unmatched_results, r15_payment_results, r16_order_results, r17_summarize, r18_matched_by_tier, r19_findings, r20_invariants, r21_reconcile, r21_summary, r21_skewed, e01_statements_vs_books,
     )
 }
 
