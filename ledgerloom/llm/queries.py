@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, line_templates, quality_classifier, quality_rules, secrets, simhash, substring_dedup, token_counts, url_filters
+from . import bpe, centroid_clustering, decontaminate, document_fingerprints, line_templates, quality_classifier, quality_rules, secrets, simhash, spelling_variants, substring_dedup, token_counts, url_filters
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,24 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_templates.digest(line_templates.drop_recurring_lines(_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_simhash, op3_token_counts, op4_secret_scans, op5_bpe, op6_quality_classifier, op7_quality_rules, op8_substring_dedup, op9_decontamination, op10_line_dedup)}
+def op11_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_fingerprints.fingerprint_documents(_table(spark, sf_dir, "documents"))
 
-ORACLES = {"op1_url_filters": url_filters.oracle()}
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clustering.cluster_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.group_variants(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_url_filters, op2_simhash, op3_token_counts, op4_secret_scans, op5_bpe, op6_quality_classifier, op7_quality_rules, op8_substring_dedup, op9_decontamination, op10_line_dedup,
+        op11_document_fingerprints, op12_centroid_clustering, op13_spelling_variants,
+    )
+}
+
+ORACLES = {"op1_url_filters": url_filters.oracle(), "op12_centroid_clustering": centroid_clustering.oracle()}
