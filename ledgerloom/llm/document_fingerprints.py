@@ -13,15 +13,15 @@ level); the likeness of two is the share of names that they have in common, as t
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, n_partitions, slices
+from .common import n_partitions, slices
 
 #: Names from this level on (phrases of some fifteen code points, and longer) are in the fingerprint.
 BASE_LEVEL = 3
@@ -186,6 +186,13 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+def _starts(keys: DataFrame, n: int) -> list:
+    """The largest key of each of ``n`` stretches of keys of about one size, descending; null keys belong to the last."""
+    ranged = keys.repartitionByRange(n, F.col("__key").desc_nulls_last()).groupBy(F.spark_partition_id().alias("part")).agg(F.max("__key").alias("first"))
+    # A key per task.
+    return sorted((r["first"] for r in ranged.collect() if r["first"] is not None), reverse=True)
+
+
 def fingerprint_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``.
 
@@ -193,63 +200,59 @@ def fingerprint_documents(docs: DataFrame, key: str = "doc_id", text: str = "tex
     keys last); after the last comes the first; a lone document is its own next.  Null texts are empty; an empty text has an
     empty fingerprint, like no other but itself.  Other columns are not read.
 
-    Rows are range-partitioned by key; a task holds a document and the one before.  The first and last document of each
-    task are joined up afterwards, by the task's number.
+    Keys alone are sorted first, to cut them into stretches; then texts go to the stretch of their key, and the first text
+    of each also to the stretch before.  A task walks down its stretch and holds a document and the one before.
     """
     kind = docs.schema[key].dataType.simpleString()
     known = docs.select(F.col(f"`{key}`").alias("__key"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("__text"))
-    known = known.withColumn("__tie", F.xxhash64("__text"))
-    order = [F.col("__key").desc_nulls_last(), F.col("__tie").desc()]
-    dealt = known.repartitionByRange(n_partitions(docs), *order).sortWithinPartitions(*order)
-    dealt = dealt.select("__key", "__text", F.spark_partition_id().alias("__part"))
+    n = n_partitions(docs)
+    starts = _starts(known.select("__key"), n)
+    rising, parts = starts[::-1], max(len(starts), 1)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = {k: (part - 1) % parts for part, k in enumerate(starts)} or {None: 0}
+        for batch in batches:
+            keys = batch.column(0).to_pylist()
+            part = [parts - 1 if k is None or not starts else max(0, len(starts) - 1 - bisect_left(rising, k)) for k in keys]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part, pa.int32()), pa.array([False] * len(part))], names=[*batch.schema.names, "__part", "__after"])
+            if ends := [k for k, x in enumerate(keys) if x in first]:
+                rows = batch.take(pa.array(ends))
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array([first[keys[k]] for k in ends], pa.int32()), pa.array([True] * len(ends))], names=[*batch.schema.names, "__part", "__after"])
+
+    tied = known.withColumn("__tie", F.xxhash64("__text")).select("__key", "__tie", "__text")
+    placed = tied.mapInArrow(place, f"__key {kind}, __tie long, __text string, __part int, __after boolean")
+    dealt = placed.repartitionById(n, "__part").sortWithinPartitions("__part", "__after", F.col("__key").desc_nulls_last(), F.col("__tie").desc())
     columns = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     names = ["__key", *(c.strip().split(" ")[0] for c in columns.split(","))]
 
-    def rows(keys: pa.Array, texts: list[str]) -> list[pa.Array]:
-        """All but the last of ``texts`` with the one after."""
+    def rows(keys: pa.Array, texts: list[str]) -> pa.RecordBatch:
+        """All but the last of ``texts``, each with the one after."""
         changed = [edited(a, b) for a, b in zip(texts, texts[1:], strict=False)]
         made = sketches([*texts, *changed])
         own, new = made[: len(texts)], made[len(texts) :]
         shas = [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in changed]
-        return [
+        arrays = [
             keys, pa.array([len(t) for t in texts[:-1]], pa.int64()), pa.array(shas, pa.string()), pa.array([s for _, s in own[:-1]], pa.string()), pa.array([s for _, s in new], pa.string()),
             pa.array([likeness(a, b) for (a, _), (b, _) in zip(own, new, strict=False)], pa.float64()), pa.array([likeness(a, b) for (a, _), (b, _) in zip(own, own[1:], strict=False)], pa.float64()),
         ]
+        return pa.RecordBatch.from_arrays(arrays, names=names)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, last_key, last = None, None, None
-        edge = lambda key, t, end: pa.RecordBatch.from_arrays([key, *(pa.nulls(1, a) for a in kinds), pa.array([part], pa.int32()), pa.array([end]), pa.array([t], pa.string())], names=[*names, "__part", "__last", "__text"])
-        kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+        last: list[tuple[pa.Array, str]] = []  # the document whose next is still to come
+        closed = False
         for batch in batches:
-            for at, n in slices(batch.column(1), 500, SLICE_BYTES):
-                keys, texts = batch.column(0).slice(at, n), batch.column(1).slice(at, n).to_pylist()
-                if part is None:
-                    part = batch.column(2)[at].as_py()
-                    yield edge(keys.slice(0, 1), texts[0], False)
-                    before = pa.array([], keys.type)
-                else:
-                    before, texts = last_key, [last, *texts]
-                held = pa.concat_arrays([before, keys])
+            after = batch.column(4).to_numpy(zero_copy_only=False)
+            own = batch.slice(0, int(np.searchsorted(after, True)))
+            for at, count in slices(own.column(2), 500, SLICE_BYTES):
+                keys, texts = own.column(0).slice(at, count), own.column(2).slice(at, count).to_pylist()
+                if last:
+                    keys, texts = pa.concat_arrays([last[0][0], keys]), [last[0][1], *texts]
                 if len(texts) > 1:
-                    made = rows(held.slice(0, len(texts) - 1), texts)
-                    none = [pa.nulls(len(texts) - 1, k) for k in (pa.int32(), pa.bool_(), pa.string())]
-                    yield pa.RecordBatch.from_arrays([*made, *none], names=[*names, "__part", "__last", "__text"])
-                last_key, last = held.slice(len(texts) - 1, 1), texts[-1]
-        if part is not None:
-            yield edge(last_key, last, True)
-
-    walked = cut(dealt.mapInArrow(walk, f"__key {kind}, {columns}, __part int, __last boolean, __text string"))
-    inside = walked.where("__part is null").select(*names)
-    # Two rows per task from here on: each task's last document, and the first of the next task that has any.
-    first = walked.where("not __last").select("__part", F.col("__text").alias("__next"))
-    turn = W.orderBy("__part")
-    follower = first.select("__part").withColumn("__of", F.coalesce(F.lead("__part").over(turn), F.first("__part").over(turn.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))))
-    ends = walked.where("__last").select("__part", "__key", "__text").join(follower, "__part")
-    ends = ends.join(first.withColumnRenamed("__part", "__of"), "__of").select("__key", "__text", "__next")
-
-    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                yield pa.RecordBatch.from_arrays(rows(batch.column(0).slice(k, 1), [batch.column(1)[k].as_py(), batch.column(2)[k].as_py()]), names=names)
-
-    return inside.union(ends.mapInArrow(close, f"__key {kind}, {columns}")).withColumnRenamed("__key", key)
+                    yield rows(keys.slice(0, len(texts) - 1), texts)
+                last = [(keys.slice(len(texts) - 1, 1), texts[-1])]
+            if own.num_rows < batch.num_rows and not closed:
+                closed = True
+                yield rows(last[0][0], [last[0][1], batch.column(2)[own.num_rows].as_py()])
+        pa.default_memory_pool().release_unused()
+
+    return dealt.mapInArrow(walk, f"__key {kind}, {columns}").withColumnRenamed("__key", key)
