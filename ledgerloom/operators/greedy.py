@@ -1,6 +1,6 @@
 """Order-dependent matching inside one small group: unique-candidate greedy (H1) and combination sums (H2).
 
-Amounts are whole cents.  Both work on one independent group at a time: an island of amounts, or one reconciliation of
+Amounts are whole cents.  Both work on one group at a time: a segment of amounts, or one reconciliation of
 at most 80 open items.  Groups come as lists by column, V rows in the order in which they are to be visited.
 """
 
@@ -38,18 +38,24 @@ class _Stock:
         return a + np.flatnonzero(self.open[a:b])
 
 
-def match_island(columns: dict[str, list], tol: int, window: int, exact_first: bool) -> list[tuple]:
-    """(v key, b key, dated) of one island.  Each V is visited once, in the order of the rows.
+def match_segment(columns: dict[str, list], tol: int, window: int, exact_first: bool) -> list[tuple]:
+    """(segment, v key, b key, dated, place of the V, the B's other segment) of one segment.  Each V is visited once, in the order of the rows.
 
     ``exact_first`` (values): open B of equal absolute cents, else within ``tol``; those of the same sign if any; one
     left is the pair, else exactly one inside the day window.  Otherwise (payments): B within ``tol``; of several those
-    inside the window if any; a pair only if one is left.
+    inside the window if any; a pair only if one is left.  A B with ``gone`` (place and key of a V) is open to earlier V only.
     """
-    side, key, cents, days = (columns[c] for c in ("side", "key", "cents", "day"))
+    seg, side, key, cents, days, mate = (columns[c] for c in ("seg", "side", "key", "cents", "day", "mate"))
+    place, gone_at, gone_by = (columns[c] for c in ("ord", "gone_at", "gone_by"))
     b = [k for k, s in enumerate(side) if s == "B"]
     stock = _Stock([key[k] for k in b], [cents[k] for k in b], [days[k] for k in b])
+    mates = {key[k]: mate[k] for k in b}
+    leaves = sorted(((gone_at[k], gone_by[k]), key[k]) for k in b if gone_at[k] is not None)[::-1]
+    where = {k: at for at, k in enumerate(stock.keys)} if leaves else {}
     out = []
     for k in (k for k, s in enumerate(side) if s == "V"):
+        while leaves and leaves[-1][0] < (place[k], key[k]):
+            stock.open[where[leaves.pop()[1]]] = False
         size, day = abs(cents[k]), days[k] or None
         found = stock.within(size, size) if exact_first else stock.within(size - tol, size + tol)
         if exact_first and not len(found):
@@ -66,7 +72,8 @@ def match_island(columns: dict[str, list], tol: int, window: int, exact_first: b
             found = inside if len(inside) else found
         if len(found) == 1:
             stock.open[found[0]] = False
-            out.append((key[k], stock.keys[found[0]], dated))
+            taken = stock.keys[found[0]]
+            out.append((seg[k], key[k], taken, dated, place[k], mates[taken]))
     return out
 
 

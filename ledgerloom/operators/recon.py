@@ -18,11 +18,13 @@ from ..functions import scalars as S
 from ..functions.groups import map_groups, spread_row_number
 from ..functions.stages import cut
 from .greedy import match_combos as combos_of
-from .greedy import match_first_unique, match_island
+from .greedy import match_first_unique, match_segment
 
 TOLERANCE, DATE_WINDOW, COMBO_GATE = 1.0, 7, 80
-#: Cents; amounts are sorted by stretches of this length.
-STRETCH = 100_000
+#: Cents; amounts are sorted by stretches of this length, and worked off by segments of that (or what twice the tolerance takes).
+STRETCH, SEGMENT = 100_000, 2_000
+#: Rounds of claims before what is left is worked off by islands.
+CLAIMS = 12
 # Texts that results carry.
 EXTRA, MISSING, MATCHED, DIFFERS = "EXTRA_IN_VENDOR", "MISSING_IN_VENDOR", "MATCHED", "AMOUNT_DIFF"
 NOTES = {"extra": "missing in our books", "missing": "only in our books", "pay_extra": "payment on vendor SOA not found in our books", "pay_missing": "our payment not reflected on vendor SOA", "pay_ref": "payment ref match", "pay_amount": "payment amount match"}
@@ -112,12 +114,28 @@ def typo_candidates(v: DataFrame, b: DataFrame, tol: int) -> DataFrame:
 
 
 def match_typo(v: DataFrame, b: DataFrame, tol: int) -> DataFrame:
-    """R5.  Candidates are worked off by islands of signed amounts: two of different islands share no item."""
+    """V in the order of references, paired where exactly one candidate is still open.
+
+    By reservations: every open V claims its candidates, and a V all of whose claims no earlier V contests is settled, for
+    what earlier V do is known by then.  Rounds go on with what is left open; chains longer than ``CLAIMS`` rounds are
+    worked off by islands of signed amounts, of which two share no item.
+    """
     met = cut(typo_candidates(v, b, tol))
-    ends = met.select("recon_id", F.lit("V").alias("side"), F.col("v").alias("key"), F.col("c_v").alias("size")).union(met.select("recon_id", F.lit("B"), "b", "c_b")).distinct()
-    placed = _islands(ends, tol).where("side = 'V'").select("recon_id", F.col("key").alias("v"), "island")
-    chosen = map_groups(met.join(placed, ["recon_id", "v"]).select("recon_id", "island", "v", "b"), ["recon_id", "island"], ["v", "b"], match_first_unique, "vref string, zref string", "recon_id")
-    return _pairs(chosen, 2, F.lit("ref match (1-char difference)"), 4)
+    done = []
+    for _ in range(CLAIMS):
+        if not met.limit(1).count():
+            break
+        first = met.groupBy("recon_id", "b").agg(F.min("v").alias("first"))
+        claims = met.join(first, ["recon_id", "b"]).groupBy("recon_id", "v").agg(F.count("*").alias("n"), F.count_if(F.col("first") == F.col("v")).alias("own"), F.min("b").alias("b"))
+        settled = cut(claims.where("own = n").select("recon_id", "v", "b", F.col("n").alias("of")))
+        done.append(settled.where("of = 1").select("recon_id", F.col("v").alias("vref"), F.col("b").alias("zref")))
+        met = cut(met.join(settled.select("recon_id", "v"), ["recon_id", "v"], "left_anti").join(settled.where("of = 1").select("recon_id", "b"), ["recon_id", "b"], "left_anti").select(met.columns), instead_of=met)
+    else:
+        ends = met.select("recon_id", F.lit("V").alias("side"), F.col("v").alias("key"), F.col("c_v").alias("size")).union(met.select("recon_id", F.lit("B"), "b", "c_b")).distinct()
+        placed = _islands(ends, tol).where("side = 'V'").select("recon_id", F.col("key").alias("v"), "island")
+        done.append(map_groups(met.join(placed, ["recon_id", "v"]).select("recon_id", "island", "v", "b"), ["recon_id", "island"], ["v", "b"], match_first_unique, "vref string, zref string", "recon_id"))
+    none = met.where(F.lit(False)).select("recon_id", F.col("v").alias("vref"), F.col("b").alias("zref"))
+    return _pairs(reduce(DataFrame.union, done, none), 2, F.lit("ref match (1-char difference)"), 4)
 
 
 def _islands(items: DataFrame, tol: int) -> DataFrame:
@@ -147,19 +165,51 @@ def _islands(items: DataFrame, tol: int) -> DataFrame:
     ends = ends.withColumn("head", F.last(own, ignorenulls=True).over(row.rowsBetween(W.unboundedPreceding, 0))).select("recon_id", "stretch", "first", "head")
     named = local.join(ends, ["recon_id", "stretch"]).withColumn("island", F.when(F.col("local") == F.col("first"), F.col("head")).otherwise(name("stretch", "local")))
     named = named.select(*[named[c] for c in items.columns], "island")
-    whole = W.partitionBy("recon_id", "island")
-    return named.withColumns({"n_v": F.count_if(F.col("side") == "V").over(whole), "n_b": F.count_if(F.col("side") == "B").over(whole)}).where("n_v > 0 and n_b > 0")
+    counts = named.groupBy("recon_id", "island").agg(*[F.count_if(F.col("side") == x).alias(f"n_{x}") for x in "VB"])
+    return named.join(counts.where("n_V > 0 and n_B > 0").select("recon_id", "island"), ["recon_id", "island"])
 
 
 def _greedy(items: DataFrame, tol: int, window: int, exact_first: bool) -> DataFrame:
-    """``recon_id, v, b, dated``.  Islands of one V and one B need no helper: they are within ``tol``."""
-    found = _islands(items.withColumn("size", F.abs("cents")), tol)
-    keyed = lambda which: F.max(F.when(F.col("side") == which, F.col("key")))
-    plain = found.where("n_v = 1 and n_b = 1").groupBy("recon_id", "island").agg(keyed("V").alias("v"), keyed("B").alias("b")).select("recon_id", "v", "b", F.lit(False).alias("dated"))
-    key = items.schema["key"].dataType.simpleString()
-    crowded = found.where("n_v > 1 or n_b > 1").select("recon_id", "island", "ord", "key", "side", "cents", "day")
-    chosen = map_groups(crowded, ["recon_id", "island"], ["ord", "key"], lambda c: match_island(c, tol, window, exact_first), f"v {key}, b {key}, dated boolean", "recon_id")
-    return plain.union(chosen)
+    """``recon_id, v, b, dated`` of ``recon_id, side, key, cents, day, ord``: V in the order of ``ord, key``, each visited once.
+
+    Amounts are cut into segments wide enough for a V to reach B of its own and the next segment only; B near a border
+    stand in both.  Each segment is worked off as if the others took nothing from it; then the segments that lost a B to
+    a neighbour, or got one back, are worked off again, knowing which V takes it elsewhere, until nothing changes.  What a
+    V does depends on earlier V alone, so this ends, and in what the one-after-another result is: the first V that still
+    differs from it comes later each time.
+
+    Of more than two B of one amount and day two are kept: they can be no V's only candidate as long as both are open,
+    and so never cease to be.
+    """
+    wide = max(2 * tol + 1, SEGMENT)
+    sized = items.withColumn("size", F.abs("cents"))
+    place = lambda shift: F.floor((F.col("size") + shift) / wide)
+    twin = F.row_number().over(W.partitionBy("recon_id", "cents", "day").orderBy("key"))
+    b = side(sized, "B").withColumn("twin", twin).where("twin <= 2").drop("twin")
+    b = b.withColumns({"low": place(-tol), "high": place(tol)}).withColumn("seg", F.explode(F.array_distinct(F.array("low", "high"))))
+    b = b.withColumn("mate", F.when(F.col("low") != F.col("high"), F.col("low") + F.col("high") - F.col("seg"))).drop("low", "high")
+    both = side(sized, "V").withColumns({"seg": place(0), "mate": F.lit(None).cast("long")}).unionByName(b).drop("size")
+    group = ["recon_id", "seg"]
+    sides = both.groupBy(*group).agg(*[F.count_if(F.col("side") == x).alias(f"n_{x}") for x in "VB"]).where("n_V > 0 and n_B > 0")
+    work = cut(both.join(sides.select(*group), group))
+    key, whose = items.schema["key"].dataType.simpleString(), items.schema["recon_id"].dataType.simpleString()
+    none = items.sparkSession.createDataFrame([], f"recon_id {whose}, seg long, key {key}, gone_at long, gone_by {key}")
+    made = f"seg long, v {key}, b {key}, dated boolean, ord long, mate long"
+
+    def settle(rows: DataFrame, gone: DataFrame) -> DataFrame:
+        known = rows.join(gone.withColumn("side", F.lit("B")), ["recon_id", "seg", "side", "key"], "left")
+        return map_groups(known, group, ["ord", "key"], lambda c: match_segment(c, tol, window, exact_first), made, "recon_id")
+
+    known, picks = none, cut(settle(work, none))
+    while True:
+        gone = picks.where("mate is not null").select("recon_id", F.col("mate").alias("seg"), F.col("b").alias("key"), F.col("ord").alias("gone_at"), F.col("v").alias("gone_by"))
+        gone = cut(gone.join(work.where("mate is not null").select("recon_id", "seg", "key"), ["recon_id", "seg", "key"], "left_semi").select(none.columns))
+        changed = cut(gone.exceptAll(known).union(known.exceptAll(gone)).select(*group).distinct())
+        if not changed.limit(1).count():
+            return picks.select("recon_id", "v", "b", "dated")
+        again = settle(work.join(changed, group, "left_semi").select(work.columns), gone)
+        picks = cut(picks.join(changed, group, "left_anti").select(picks.columns).union(again), instead_of=picks)
+        known = gone
 
 
 def match_value(v: DataFrame, b: DataFrame, tol: int, window: int) -> DataFrame:

@@ -61,7 +61,7 @@ def r05_match_typo(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def r05_typo_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     *_, vo, bo = _relaxed(spark, sf_dir)
-    return R.typo_candidates(vo, bo, TOL)
+    return R.typo_candidates(vo, bo, TOL).select("recon_id", "v", "b")
 
 
 def r06_match_value(spark: SparkSession, sf_dir: str) -> DataFrame:
