@@ -1,12 +1,13 @@
 """Spelling variants: rare words go to a much more frequent word that is one edit away.
 
 A word is cut into two halves.  Whatever single code point is inserted, deleted or replaced, one half stands unchanged in
-the other word: the first at its start, or the second at its end.  Automaton shards hold the halves of the words of one
-length; all words of that length and its neighbours are scanned, a hit counts only where its place fits, and what is left
-beside the shared half is compared.  Halves that many words share are looked up by halves of the rest, again and again.
+the other word: the first at its start, or the second at its end.  Automaton shards hold the halves of all words, each half
+in the shard of its hash, length of word and end; every word is scanned by the (at most six) shards that could hold what it
+starts or ends with, a hit counts only where its place and the words' lengths fit, and what is left beside the half is
+compared.  Halves that many words share are looked up by halves of the rest, again and again.
 
-Every word is scanned against every shard whose length fits, so each ordered pair of near words is found in one shard.
-Shards are dealt out by count: ``length, part of the owners, part of the scanned``, numbered one after another.
+The work so grows with the words, not with words times shards.  A half that more than ``HOT`` words share is dealt out by
+the halves of the rest, too, so no task holds all of its words.
 """
 
 from __future__ import annotations
@@ -18,7 +19,6 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import ASCII_LOWER, cut, n_partitions, slices
@@ -29,8 +29,8 @@ MIN_LENGTH, MIN_COUNT = 7, 2
 FACTOR = 10
 #: One run in so many loses a code point.
 ONE_IN = 31
-#: Owners of a shard: never fewer, and never more than a worker holds; between them as many as make this many parts.
-LEAST_OWNERS, MOST_OWNERS, PARTS = 500, 200_000, 64
+#: Halves that a shard holds at most, as far as hashes deal them out evenly, and words of one half before it is dealt out further.
+SHARD, HOT = 50_000, 2_000
 #: Words that share all but a stretch are compared one by one up to this number.
 FEW = 16
 
@@ -119,76 +119,114 @@ class Stretch:
 
 
 class Shard:
-    """The automaton over the two halves of words of one length."""
+    """The automaton over halves of words: ``(word, end, finer)`` rows of owners.
 
-    def __init__(self, words: list[str]):
+    ``end``: 0 for the first half, 1 for the second.  ``finer``: 0, or of a half that many share, 1 or 2 for the half of
+    the rest by which the owner was dealt to this shard.
+    """
+
+    def __init__(self, owners: list[tuple[str, int, int]]):
         import ahocorasick
 
-        half = len(words[0]) // 2
-        halves: dict[str, tuple[Stretch, Stretch]] = defaultdict(lambda: (Stretch(), Stretch()))
-        for owner, word in enumerate(words):
-            halves[word[:half]][0].add(word[half:], owner)
-            halves[word[half:]][1].add(word[:half], owner)
+        self.words = [word for word, _, _ in owners]
+        halves: dict[str, dict[tuple[int, int, int], Stretch]] = defaultdict(lambda: defaultdict(Stretch))
+        for owner, (word, end, finer) in enumerate(owners):
+            half = len(word) // 2
+            segment, rest = (word[half:], word[:half]) if end else (word[:half], word[half:])
+            halves[segment][end, len(word), finer].add(rest, owner)
         self.automaton = ahocorasick.Automaton()
-        for segment, owners in halves.items():
-            self.automaton.add_word(segment, (len(segment), *owners))
+        for segment, kinds in halves.items():
+            self.automaton.add_word(segment, (len(segment), [(*kind, stretch) for kind, stretch in kinds.items()]))
         self.automaton.make_automaton()
 
-    def near(self, word: str) -> set[int]:
-        """The owners one edit from ``word``, whose length differs from theirs by at most one."""
-        found: set[int] = set()
-        last = len(word) - 1
-        for end, (size, first, second) in self.automaton.iter(word):
-            if first.rests and end == size - 1:
-                first.near(word[size:], found)
-            if second.rests and end == last:
-                second.near(word[: end + 1 - size], found)
-        return found
-
-
-def _shards(words: DataFrame, vocabulary: int, n: int) -> DataFrame:
-    """``shard, owner, word, n``: every word once for each shard that holds it, and once for each that it is scanned by."""
-    owners = min(max(LEAST_OWNERS, -(-vocabulary // PARTS)), MOST_OWNERS)
-    lengths = words.groupBy(F.char_length("word").alias("size")).agg(F.count("*").alias("own"))
-    reach = lengths.select(F.explode(F.array(*[F.col("size") + d for d in (-1, 0, 1)])).alias("size"), F.col("own").alias("scanned"))
-    plan = lengths.join(reach.groupBy("size").agg(F.sum("scanned").alias("scanned")), "size")
-    plan = plan.withColumns({"parts": F.ceil(F.col("own") / owners), "turns": F.ceil(F.col("scanned") / (3 * owners))})
-    # One row per length of word comes together here.
-    before = F.coalesce(F.sum(F.col("parts") * F.col("turns")).over(W.orderBy("size").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    plan = cut(plan.select("size", "parts", "turns", before.alias("base")))
-    sized = words.withColumn("size", F.char_length("word"))
-    part, turn = F.pmod(F.xxhash64("word", F.lit(1)), "parts"), F.pmod(F.xxhash64("word", F.lit(2)), "turns")
-    numbered = F.col("base") + F.col("part") * F.col("turns") + F.col("turn")
-    span = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
-    held = sized.join(plan, "size").select("word", "n", "base", "turns", part.alias("part"), span("turns").alias("turn"))
-    scanned = words.withColumn("size", F.explode(F.array(*[F.char_length("word") + d for d in (-1, 0, 1)])))
-    scanned = scanned.join(plan, "size").select("word", "n", "base", "turns", turn.alias("turn"), span("parts").alias("part"))
-    both = held.select(numbered.alias("shard"), F.lit(0).alias("scanned"), "word", "n").union(scanned.select(numbered.alias("shard"), F.lit(1).alias("scanned"), "word", "n"))
-    return both.repartitionById(n, F.pmod("shard", F.lit(n)).cast("int")).sortWithinPartitions("shard", "scanned", "word")
+    def near(self, word: str) -> list[int]:
+        """Places of the owners one edit from ``word``.  What both halves would find counts for the first."""
+        out: list[int] = []
+        size = len(word)
+        for at, (length, kinds) in self.automaton.iter(word):
+            if at != length - 1 and at != size - 1:
+                continue
+            for end, of, finer, stretch in kinds:
+                if not -2 < size - of < 2 or at != (size - 1 if end else length - 1):
+                    continue
+                rest = word[: size - length] if end else word[length:]
+                found: set[int] = set()
+                stretch.near(rest, found)
+                for owner in found:
+                    own = self.words[owner]
+                    if end and word.startswith(own[: of // 2]):
+                        continue
+                    if finer:
+                        theirs = own[: of // 2] if end else own[of // 2 :]
+                        same = rest.startswith(theirs[: len(theirs) // 2])
+                        if same != (finer == 1) or finer == 2 and not rest.endswith(theirs[len(theirs) // 2 :]):
+                            continue
+                    out.append(owner)
+        return out
+
+
+def _halves(words: DataFrame, scanned: bool) -> DataFrame:
+    """``word, n, size, end, half, rest``: the halves of every word, or what stands in their place in a word that is scanned
+    for words of its own length (``size``), one less and one more."""
+    length = F.char_length("word")
+    sized = words.withColumn("size", F.explode(F.array(*[length + d for d in (-1, 0, 1)])) if scanned else length)
+    both = sized.withColumn("end", F.explode(F.array(F.lit(0), F.lit(1))))
+    first, second = F.floor(F.col("size") / 2).cast("int"), F.ceil(F.col("size") / 2).cast("int")
+    at = F.when(F.col("end") == 0, first).otherwise(length - second)  # where the word is cut
+    left, right = F.substring("word", F.lit(1), at), F.substring("word", at + 1, length)
+    is_end = F.col("end") == 1
+    return both.select("word", "n", "size", "end", F.when(is_end, right).otherwise(left).alias("half"), F.when(is_end, left).otherwise(right).alias("rest"))
+
+
+def _finer(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """``rows`` of halves that many words share twice, with ``finer`` 1 and 2 and what stands in place of a half of the rest in ``part``."""
+    key = ["size", "end", "half"]
+    marked = rows.join(hot.select(*key, F.lit(True).alias("hot")), key, "left")
+    theirs = F.when(F.col("end") == 1, F.floor(F.col("size") / 2)).otherwise(F.ceil(F.col("size") / 2)).cast("int")  # length of the owners' rest
+    first = F.floor(theirs / 2).cast("int")
+    finer = marked.withColumn("finer", F.explode(F.when(F.col("hot"), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(0)))))
+    length = F.char_length("rest")
+    start = F.greatest(length - (theirs - first), F.lit(0))
+    part = F.when(F.col("finer") == 1, F.substring("rest", F.lit(1), first)).when(F.col("finer") == 2, F.substring("rest", start + 1, length)).otherwise("")
+    return finer.withColumn("part", part).drop("hot")
 
 
 def near_words(words: DataFrame) -> DataFrame:
     """``word, n_near, near, near_n`` for each of ``words`` (``word, n``, distinct) that has near words: how many, and the
     most frequent of them (the smallest in code-point order of several), with its occurrences."""
-    vocabulary = words.count()
-    dealt = _shards(words, vocabulary, n_partitions(words))
+    n = n_partitions(words)
+    shards = n * max(1, -(-2 * words.count() // (SHARD * n)))
+    owners, scanned = _halves(words, False), _halves(words, True)
+    hot = cut(owners.groupBy("size", "end", "half").agg(F.count("*").alias("n")).where(F.col("n") > HOT))
+    if hot.limit(1).count():
+        owners, scanned = _finer(owners, hot), _finer(scanned, hot)
+    else:
+        owners, scanned = (d.withColumns({"finer": F.lit(0), "part": F.lit("")}) for d in (owners, scanned))
+    shard = F.pmod(F.xxhash64("size", "end", "half", "finer", "part"), F.lit(shards)).alias("shard")
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("end", "int"), ("finer", "int"), ("n", "long"))]
+    # A word is scanned once by a shard, whatever it may find there.
+    once = scanned.select("word", shard).groupBy("word").agg(F.collect_set("shard").alias("shards"))
+    dealt = owners.select(shard, F.lit(0).alias("scanned"), "word", "end", "finer", "n").union(once.select(F.explode("shards"), F.lit(1), "word", *none))
+    dealt = dealt.repartitionById(n, F.pmod("shard", F.lit(n)).cast("int")).sortWithinPartitions("shard", "scanned", "word")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, owners, counts, shard = None, [], [], None
         for batch in batches:
             out: list[tuple[str, int, str, int]] = []
-            for at, scanned, word, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for at, scanned, word, end, finer, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if at != number:
                     number, owners, counts, shard = at, [], [], None
                 if not scanned:
-                    owners.append(word)
+                    owners.append((word, end, finer))
                     counts.append(n)
                     continue
+                if not owners:
+                    continue
                 if shard is None:
                     shard = Shard(owners)
                 if near := shard.near(word):
-                    best = min(near, key=lambda k: (-counts[k], owners[k]))
-                    out.append((word, len(near), owners[best], counts[best]))
+                    best = min(near, key=lambda k: (-counts[k], owners[k][0]))
+                    out.append((word, len(near), owners[best][0], counts[best]))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.string(), pa.int64()), strict=True)], names=["word", "n_near", "near", "near_n"])
 

@@ -62,12 +62,12 @@ def brute(rows):
     return sorted(out)
 
 
-@pytest.mark.parametrize("owners, few", [(500, 16), (7, 2)])
-def test_variants(spark, monkeypatch, owners, few):
-    monkeypatch.setattr(spelling_variants, "LEAST_OWNERS", owners)
-    monkeypatch.setattr(spelling_variants, "PARTS", 10**6)
+@pytest.mark.parametrize("shard, hot, few", [(50_000, 2_000, 16), (20, 3, 2)])
+def test_variants(spark, monkeypatch, shard, hot, few):
+    monkeypatch.setattr(spelling_variants, "SHARD", shard)
+    monkeypatch.setattr(spelling_variants, "HOT", hot)
     monkeypatch.setattr(spelling_variants, "FEW", few)
-    rows = corpus(owners)
+    rows = corpus(few)
     got = spelling_variants.group_variants(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
     want = brute(rows)
     assert sum(w[1] is not None for w in want) > 10 and any(w[2] not in (w[0], w[1]) for w in want)
@@ -84,6 +84,6 @@ def test_hot_halves():
     rng = random.Random(3)
     words = list({"prefixes" + "".join(rng.choice("abcdefghij") for _ in range(8)) for _ in range(3000)})
     words += ["prefixes" + w for w in ("aaaaaaaa", "aaaaaaab", "aaaaabaa") if "prefixes" + w not in words]
-    shard = spelling_variants.Shard(words)
+    shard = spelling_variants.Shard([(w, end, 0) for w in words for end in (0, 1)])
     for other in ("prefixesaaaaaaaa", "prefixesaaaaaaa", "prefixesaaaaaaaaa", "prefixeaaaaaaaa", words[5][:9] + "z" + words[5][10:], words[7][1:], "x" + words[8]):
-        assert {words[k] for k in shard.near(other)} == {w for w in words if distance_one(w, other)}
+        assert sorted(shard.words[k] for k in shard.near(other)) == sorted(w for w in words if distance_one(w, other))
