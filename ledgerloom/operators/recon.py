@@ -23,6 +23,8 @@ from .greedy import match_first_unique, match_segment
 TOLERANCE, DATE_WINDOW, COMBO_GATE = 1.0, 7, 80
 #: Cents; amounts are sorted by stretches of this length, and worked off by segments of that (or what twice the tolerance takes).
 STRETCH, SEGMENT = 100_000, 2_000
+#: Partners that a row names, and pairs of a reconciliation that are findings of their own; beyond that amounts stand for rows.
+PARTNERS, PAIRS = 100, 10_000
 #: Rounds of claims before what is left is worked off by islands.
 CLAIMS = 12
 # Texts that results carry.
@@ -305,15 +307,20 @@ def payment_results(ref_pairs: DataFrame, amount_pairs: DataFrame, v: DataFrame,
     return met.unionByName(extra).unionByName(missing)
 
 
+def _open_rows(open_v: DataFrame) -> DataFrame:
+    """``recon_id, ref, c, at``: results of status EXTRA_IN_VENDOR with their amount and the place in which they came about."""
+    at = F.struct("section", F.when(F.col("section") == 2, F.col("name")).alias("name"), "pos").alias("at")
+    return open_v.select("recon_id", "ref", F.col("v_cents").alias("c"), at)
+
+
 def contra_pairs(open_v: DataFrame, tol: int) -> DataFrame:
     """Pairs of unmatched V rows that cancel, the earlier one not zero.
 
     ``open_v``: results of status EXTRA_IN_VENDOR.  Rows meet by bucket of their amounts, so only near sums are tried;
-    where many rows of one amount cancel, the output itself is that large.
+    where many rows of one amount cancel, the output itself is that large: see ``contra_classes``.
     """
     wide = max(1, tol + 1)
-    at = F.struct("section", F.when(F.col("section") == 2, F.col("name")).alias("name"), "pos").alias("at")
-    rows = open_v.select("recon_id", "ref", F.col("v_cents").alias("c"), at)
+    rows = _open_rows(open_v)
     a = rows.where("c <> 0").select("recon_id", F.col("ref").alias("a"), F.col("c").alias("ca"), F.col("at").alias("at_a"), F.explode(F.array(*[F.floor(-F.col("c") / wide) + k for k in (-1, 0, 1)])).alias("bucket"))
     b = rows.select("recon_id", F.col("ref").alias("b"), F.col("c").alias("cb"), F.col("at").alias("at_b"), F.floor(F.col("c") / wide).alias("bucket"))
     met = a.join(b, ["recon_id", "bucket"]).where((F.col("at_a") < F.col("at_b")) & (F.abs(F.col("ca") + F.col("cb")) <= tol))
@@ -321,13 +328,89 @@ def contra_pairs(open_v: DataFrame, tol: int) -> DataFrame:
     return met.select("recon_id", "a", "b", "at_a", "at_b", note.alias("note"))
 
 
-def add_contra_notes(results: DataFrame, contra: DataFrame) -> DataFrame:
-    """The partners of each row appended to its note, in the order of the partners."""
-    ends = contra.select("recon_id", F.col("at_a").alias("at"), F.struct(F.col("at_b").alias("by"), F.col("b").alias("with")).alias("x")).union(contra.select("recon_id", F.col("at_b").alias("at"), F.struct(F.col("at_a").alias("by"), F.col("a").alias("with")).alias("x")))
-    said = F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: F.concat(F.lit(" · possible contra with "), x["with"])), "")
-    more = ends.groupBy("recon_id", F.col("at.section").alias("section"), F.coalesce("at.name", F.lit("")).alias("by_name"), F.col("at.pos").alias("pos")).agg(said.alias("said"))
+def _class_links(rows: DataFrame, tol: int) -> DataFrame:
+    """``recon_id, c, n, other, m``: amounts with their number of rows, and amounts that cancel them with theirs; both ways."""
+    wide = max(1, tol + 1)
+    classes = rows.groupBy("recon_id", "c").agg(F.count("*").alias("n"))
+    reach = classes.withColumn("bucket", F.explode(F.array(*[F.floor(-F.col("c") / wide) + k for k in (-1, 0, 1)])))
+    other = classes.select("recon_id", F.col("c").alias("other"), F.col("n").alias("m"), F.floor(F.col("c") / wide).alias("bucket"))
+    return reach.join(other, ["recon_id", "bucket"]).where(F.abs(F.col("c") + F.col("other")) <= tol).drop("bucket")
+
+
+def _beside_zero(rows: DataFrame, tol: int) -> DataFrame:
+    """``recon_id, at, c, zeros_after, others_before``: rows within ``tol`` of zero.  Only of two such rows does the order matter."""
+    order = W.partitionBy("recon_id").orderBy("at")
+    zero = F.col("c") == 0
+    later, earlier = order.rowsBetween(1, W.unboundedFollowing), order.rowsBetween(W.unboundedPreceding, -1)
+    counted = {"zeros_after": F.count_if(zero).over(later), "others_before": F.count_if(~zero).over(earlier)}
+    return rows.where(F.abs("c") <= tol).withColumns(counted).select("recon_id", "at", "c", "zeros_after", "others_before")
+
+
+def contra_classes(open_v: DataFrame, tol: int) -> DataFrame:
+    """R11 by amounts: ``recon_id, amount, rows, offsets, offset_rows, pairs``, each two amounts that cancel once, the larger first.
+
+    The number of pairs is exact, and what is written grows with the rows: n rows of +a and m of -a make one row here.
+    """
+    rows = _open_rows(open_v)
+    links = _class_links(rows, tol).where("c >= other")
+    beside = _beside_zero(rows, tol).where("c <> 0").groupBy("recon_id", "c").agg(F.sum("zeros_after").alias("with_zero"))
+    # A zero row has the other amount, whichever of the two is the larger.
+    apart = F.when(F.col("c") == 0, F.col("other")).otherwise(F.col("c"))
+    links = links.withColumn("apart", F.when((F.col("c") == 0) | (F.col("other") == 0), apart))
+    links = links.join(beside.withColumnRenamed("c", "apart"), ["recon_id", "apart"], "left")
+    pairs = F.when(F.col("apart").isNotNull(), F.coalesce("with_zero", F.lit(0))).when(F.col("c") == F.col("other"), F.floor(F.col("n") * (F.col("n") - 1) / 2)).otherwise(F.col("n") * F.col("m"))
+    return links.select("recon_id", money(F.col("c")).alias("amount"), F.col("n").alias("rows"), money(F.col("other")).alias("offsets"), F.col("m").alias("offset_rows"), pairs.cast("long").alias("pairs")).where("pairs > 0")
+
+
+def contra_notes(open_v: DataFrame, tol: int, shown: int | None = None, most: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """R11 as texts: ``recon_id, section, by_name, pos, said`` per row with partners, and findings ``recon_id, k, pos, x, y, note``.
+
+    A reconciliation of at most ``most`` pairs has each pair as a finding, and each row all of its partners, in their order.
+    Beyond that its findings are one per two amounts that cancel, by size, and a row names its first ``shown`` partners that
+    are not zero and the number of the rest; ``contra_classes`` then has all of them.  No row is ever held against all others.
+    """
+    shown, most = PARTNERS if shown is None else shown, PAIRS if most is None else most
+    classes = cut(contra_classes(open_v, tol))
+    many = classes.groupBy("recon_id").agg(F.sum("pairs").alias("pairs")).where(F.col("pairs") > most).select("recon_id")
+    many = cut(many)
+    pairs = cut(contra_pairs(open_v.join(many, "recon_id", "left_anti"), tol))
+    x = lambda by, ref: F.struct(F.col(by).alias("by"), F.col(ref).alias("with")).alias("x")
+    ends = pairs.select("recon_id", F.col("at_a").alias("at"), x("at_b", "b")).union(pairs.select("recon_id", F.col("at_b").alias("at"), x("at_a", "a")))
+    told = lambda partners: F.array_join(F.transform(partners, lambda p: F.concat(F.lit(" · possible contra with "), p["with"])), "")
+    said = ends.groupBy("recon_id", "at").agg(told(F.array_sort(F.collect_list("x"))).alias("said"))
+    placed = lambda d: d.select("recon_id", F.col("at.section").alias("section"), F.coalesce("at.name", F.lit("")).alias("by_name"), F.col("at.pos").alias("pos"), "said")
+    found = pairs.select("recon_id", F.lit(1).alias("k"), F.lit(0).cast("long").alias("pos"), F.col("at_a").alias("x"), F.col("at_b").alias("y"), "note")
+    if not many.limit(1).count():
+        return placed(said), found
+
+    # The first rows of each amount, then of all amounts that cancel it; then rows are joined to their amount's.
+    crowd = _open_rows(open_v.join(many, "recon_id", "left_semi"))
+    links = _class_links(crowd, tol)
+    rank = F.row_number().over(W.partitionBy("recon_id", "c").orderBy("at"))
+    heads = crowd.where("c <> 0").withColumn("k", rank).where(F.col("k") <= shown + 1)
+    heads = heads.groupBy("recon_id", F.col("c").alias("other")).agg(F.collect_list(F.struct(F.col("at").alias("by"), F.col("ref").alias("with"))).alias("heads"))
+    partners = links.join(heads, ["recon_id", "other"]).groupBy("recon_id", "c").agg(F.slice(F.array_sort(F.flatten(F.collect_list("heads"))), 1, shown + 1).alias("heads"), F.sum("m").alias("m"))
+    own = crowd.join(partners, ["recon_id", "c"]).join(_beside_zero(crowd, tol).drop("c"), ["recon_id", "at"], "left")
+    lone = crowd.where("c <> 0").join(_beside_zero(crowd, tol).where("c <> 0 and zeros_after > 0").drop("c"), ["recon_id", "at"]).join(partners.select("recon_id", "c"), ["recon_id", "c"], "left_anti")
+    own = own.unionByName(lone.select(crowd.columns + ["zeros_after", "others_before"]), allowMissingColumns=True)
+    zero = F.col("c") == 0
+    fits = F.filter(F.coalesce("heads", F.array().cast(partners.schema["heads"].dataType)), lambda p: (p["by"] != F.col("at")) & (~zero | (p["by"] < F.col("at"))))
+    first = F.slice(fits, 1, shown)
+    n = F.when(zero, F.col("others_before")).otherwise(F.coalesce("m", F.lit(0)) - (F.abs(2 * F.col("c")) <= tol).cast("long") + F.coalesce("zeros_after", F.lit(0)))
+    more = F.when(F.col("n") > F.size("first"), F.concat(F.lit(" · and "), (F.col("n") - F.size("first")).cast("string"), F.lit(" more"))).otherwise("")
+    crowded = own.withColumns({"first": first, "n": n}).where("n > 0").select("recon_id", "at", F.concat(told(F.col("first")), more).alias("said"))
+    cents = lambda c: F.round(F.col(c) * 100).cast("long")
+    note = F.concat(F.lit("possible vendor-side contra: "), F.col("rows").cast("string"), F.lit(" rows of "), money_text(cents("amount")), F.lit(" offset "), F.col("offset_rows").cast("string"), F.lit(" rows of "), money_text(cents("offsets")))
+    by_size = F.row_number().over(W.partitionBy("recon_id").orderBy(F.desc("amount"), F.desc("offsets")))
+    heaps = classes.join(many, "recon_id", "left_semi").withColumn("place", by_size).where(F.col("place") <= most)
+    nowhere = F.lit(None).cast(pairs.schema["at_a"].dataType)
+    return placed(said.union(crowded)), found.union(heaps.select("recon_id", F.lit(2), F.col("place").cast("long"), nowhere, nowhere, note))
+
+
+def add_contra_notes(results: DataFrame, notes: DataFrame) -> DataFrame:
+    """The partners of each row appended to its note."""
     keyed = results.withColumn("by_name", F.when(F.col("section") == 2, F.col("name")).otherwise(""))
-    return keyed.join(more, ["recon_id", "section", "by_name", "pos"], "left").withColumn("note", F.concat("note", F.coalesce("said", F.lit("")))).select(*RESULT)
+    return keyed.join(notes, ["recon_id", "section", "by_name", "pos"], "left").withColumn("note", F.concat("note", F.coalesce("said", F.lit("")))).select(*RESULT)
 
 
 def order_results(results: DataFrame) -> DataFrame:
@@ -344,9 +427,13 @@ def matched_by_tier(pairs: DataFrame) -> DataFrame:
 
 
 def findings(combos: DataFrame, contra: DataFrame) -> DataFrame:
-    """Combination notes in the order they were found, then contra notes in the order of their rows."""
-    a = combos.select("recon_id", F.struct(F.lit(0).alias("k"), F.col("pos"), F.lit(None).cast(contra.schema["at_a"].dataType).alias("x"), F.lit(None).cast(contra.schema["at_a"].dataType).alias("y"), "note").alias("f"))
-    b = contra.select("recon_id", F.struct(F.lit(1).alias("k"), F.lit(0).cast("long").alias("pos"), F.col("at_a").alias("x"), F.col("at_b").alias("y"), "note").alias("f"))
+    """Combination notes in the order they were found, then contra notes (of ``contra_notes``) in the order of their rows.
+
+    A reconciliation has at most 26 combinations and ``PAIRS`` contra notes, so its array is bounded.
+    """
+    nowhere = F.lit(None).cast(contra.schema["x"].dataType)
+    a = combos.select("recon_id", F.struct(F.lit(0).alias("k"), F.col("pos"), nowhere.alias("x"), nowhere.alias("y"), "note").alias("f"))
+    b = contra.select("recon_id", F.struct("k", "pos", "x", "y", "note").alias("f"))
     return a.union(b).groupBy("recon_id").agg(F.transform(F.array_sort(F.collect_list("f")), lambda f: f["note"]).alias("findings"))
 
 
@@ -420,9 +507,9 @@ def reconcile(lines: DataFrame, tolerance: float = TOLERANCE, date_window: int =
 
     results = pair_results(pairs, v, b, tol).unionByName(combo_results(combos)).unionByName(unmatched_results(v_open, b_open)).unionByName(payment_results(by_line, by_amount, v_pay, b_pay, tol))
     results = cut(results)
-    contra = cut(contra_pairs(results.where(F.col("status") == EXTRA), tol))
+    notes, contra = contra_notes(results.where(F.col("status") == EXTRA), tol)
     nets = refs.select("recon_id", "side", F.col("cents").alias("net")).union(pays.select("recon_id", "side", F.col("cents").alias("net")))
     everyone = lines.select("recon_id", "side", F.lit(0).cast("long").alias("net")).distinct()
     summary = check_invariants(summarize(results, nets.union(everyone), pairs, combos, contra, tolerance), strict)
-    ordered = order_results(add_contra_notes(results, contra))
+    ordered = order_results(add_contra_notes(results, notes))
     return ordered.select("recon_id", "ord", "ref", "ref_raw", "date", "date_iso", "type", money(F.col("v_cents")).alias("vendor_amt"), money(F.col("b_cents")).alias("books_amt"), money(F.col("diff")).alias("diff"), "status", "tier", "note"), summary

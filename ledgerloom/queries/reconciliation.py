@@ -139,7 +139,7 @@ def r17_summarize(spark: SparkSession, sf_dir: str) -> DataFrame:
     nets = by_ref.where("cents is not null").select("recon_id", "side", F.col("cents").alias("net"))
     kind = results.schema["recon_id"].dataType.simpleString()
     none = spark.createDataFrame([], f"recon_id {kind}, from_v boolean, resid long, pos long, note string")
-    contra = R.contra_pairs(results.where(F.lit(False)), TOL)
+    contra = R.contra_notes(results.where(F.lit(False)), TOL)[1]
     out = R.check_invariants(R.summarize(results, nets, pairs, none, contra, R.TOLERANCE))
     return out.select("recon_id", "total_references", "matched", "amount_diff", "extra_in_vendor", "missing_in_vendor", "net_difference", "vendor_net", "books_net", "amount_diff_value", "extra_in_vendor_value", "missing_in_vendor_value", "matched_residual", "rows_ok", "value_ok")
 
@@ -150,7 +150,7 @@ def r18_matched_by_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def r19_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     *_, vo, bo = _relaxed(spark, sf_dir)
-    contra = R.contra_pairs(R.unmatched_results(vo, bo).where(F.col("status") == R.EXTRA), TOL)
+    contra = R.contra_notes(R.unmatched_results(vo, bo).where(F.col("status") == R.EXTRA), TOL)[1]
     return R.findings(R.match_combos(vo, bo, TOL), contra).select("recon_id", F.array_join("findings", "\n").alias("findings"))
 
 
