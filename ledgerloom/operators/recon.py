@@ -8,6 +8,7 @@ most 80 open items), so one giant reconciliation spreads over the cluster.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -472,26 +473,39 @@ def check_invariants(summary: DataFrame, strict: bool = False) -> DataFrame:
     return out
 
 
-def reconcile(lines: DataFrame, tolerance: float = TOLERANCE, date_window: int = DATE_WINDOW, enable_combos: bool = True, strict: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Results (with ``ord``) and the summary of every ``recon_id``.
+@dataclass(frozen=True)
+class Matching:
+    """What was matched, pass by pass, and what is left open."""
 
-    Ties that leave the order open are broken by reference.  The stages that later passes read twice are written to
-    the shared folder.
-    """
-    tol = round(tolerance * 100)
+    v: DataFrame  # references of each side (R2)
+    b: DataFrame
+    pairs: DataFrame  # of all passes
+    typo: DataFrame
+    value: DataFrame
+    combos: DataFrame
+    v_open: DataFrame  # after combinations
+    b_open: DataFrame
+    v_pay: DataFrame  # payment lines
+    b_pay: DataFrame
+    by_line: DataFrame
+    by_amount: DataFrame
+
+
+def match_lines(lines: DataFrame, tol: int, date_window: int = DATE_WINDOW, enable_combos: bool = True) -> Matching:
+    """Both lanes through all of their passes.  Stages that later passes read twice are written to the shared folder."""
     by_ref, pays = split_lanes(lines)
     refs = cut(aggregate_refs(by_ref))
     v, b = side(refs, "V"), side(refs, "B")
     done = [match_exact(v, b)]
     v_open, b_open = open_items(v, done[0], "vref"), open_items(b, done[0], "zref")
     work = cut(v_open.union(b_open))
+    after = lambda found: cut(open_items(side(work, "V"), found, "vref").union(open_items(side(work, "B"), found, "zref")), instead_of=work)
     for step, (label, key) in enumerate(RELAXED, 1):
         done.append(cut(match_relaxed(side(work, "V"), side(work, "B"), label, key, step)))
-        work = cut(open_items(side(work, "V"), done[-1], "vref").union(open_items(side(work, "B"), done[-1], "zref")))
+        work = after(done[-1])
     for match in (lambda x, y: match_typo(x, y, tol), lambda x, y: match_value(x, y, tol, date_window)):
         done.append(cut(match(side(work, "V"), side(work, "B"))))
-        work = cut(open_items(side(work, "V"), done[-1], "vref").union(open_items(side(work, "B"), done[-1], "zref")))
-    pairs = reduce(DataFrame.unionByName, done)
+        work = after(done[-1])
     v_open, b_open = side(work, "V"), side(work, "B")
     combos = match_combos(v_open, b_open, tol)
     combos = cut(combos if enable_combos else combos.where(F.lit(False)))
@@ -502,14 +516,25 @@ def reconcile(lines: DataFrame, tolerance: float = TOLERANCE, date_window: int =
     pays = cut(pays)
     v_pay, b_pay = side(pays, "V"), side(pays, "B")
     by_line = cut(match_payment_ref(v_pay, b_pay))
-    left = lambda d, name: d.join(by_line.select("recon_id", F.col(name).alias("row")), ["recon_id", "row"], "left_anti")
+    left = lambda d, name: d.join(by_line.select("recon_id", F.col(name).alias("row")), ["recon_id", "row"], "left_anti").select(d.columns)
     by_amount = cut(match_payment_amount(left(v_pay, "v_row"), left(b_pay, "b_row"), tol, date_window))
+    return Matching(v, b, reduce(DataFrame.unionByName, done), done[4], done[5], combos, v_open, b_open, v_pay, b_pay, by_line, by_amount)
 
-    results = pair_results(pairs, v, b, tol).unionByName(combo_results(combos)).unionByName(unmatched_results(v_open, b_open)).unionByName(payment_results(by_line, by_amount, v_pay, b_pay, tol))
-    results = cut(results)
+
+def all_results(m: Matching, tol: int) -> DataFrame:
+    """R12 to R15 together."""
+    return pair_results(m.pairs, m.v, m.b, tol).unionByName(combo_results(m.combos)).unionByName(unmatched_results(m.v_open, m.b_open)).unionByName(payment_results(m.by_line, m.by_amount, m.v_pay, m.b_pay, tol))
+
+
+def reconcile(lines: DataFrame, tolerance: float = TOLERANCE, date_window: int = DATE_WINDOW, enable_combos: bool = True, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Results (with ``ord``) and the summary of every ``recon_id``.  Ties that leave the order open are broken by reference."""
+    tol = round(tolerance * 100)
+    m = match_lines(lines, tol, date_window, enable_combos)
+    results = cut(all_results(m, tol))
     notes, contra = contra_notes(results.where(F.col("status") == EXTRA), tol)
-    nets = refs.select("recon_id", "side", F.col("cents").alias("net")).union(pays.select("recon_id", "side", F.col("cents").alias("net")))
+    net = lambda d: d.select("recon_id", "side", F.col("cents").alias("net"))
     everyone = lines.select("recon_id", "side", F.lit(0).cast("long").alias("net")).distinct()
-    summary = check_invariants(summarize(results, nets.union(everyone), pairs, combos, contra, tolerance), strict)
+    nets = reduce(DataFrame.union, [net(d) for d in (m.v, m.b, m.v_pay, m.b_pay)], everyone)
+    summary = check_invariants(summarize(results, nets, m.pairs, m.combos, contra, tolerance), strict)
     ordered = order_results(add_contra_notes(results, notes))
     return ordered.select("recon_id", "ord", "ref", "ref_raw", "date", "date_iso", "type", money(F.col("v_cents")).alias("vendor_amt"), money(F.col("b_cents")).alias("books_amt"), money(F.col("diff")).alias("diff"), "status", "tier", "note"), summary

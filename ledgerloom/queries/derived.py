@@ -37,9 +37,9 @@ _CENTS = """CASE x.share WHEN 'all' THEN c WHEN 'against' THEN -c WHEN 'most' TH
 _SMALL_TABLE = ", ".join(f"({2 * m + odd}, '{side}', {n}, '{ref}', '{share}', '{kind}')" for m, odds, *lines_ in CASES for odd in odds for side, n, ref, share, kind in lines_)
 
 
-def _lines(owner: str, where: str = "true") -> str:
+def _lines(owner: str, where: str = "true", orders: str = ORDERS) -> str:
     """The orders, read once, joined to what becomes of them."""
-    return f"""WITH o AS ({ORDERS}), x AS (SELECT * FROM (VALUES {_SMALL_TABLE}) AS t(m2, side, n, ref, share, kind))
+    return f"""WITH o AS ({orders}), x AS (SELECT * FROM (VALUES {_SMALL_TABLE}) AS t(m2, side, n, ref, share, kind))
   SELECT {owner} AS recon_id, x.side, k * 10 + x.n AS row, {_REF} AS ref, {_REF} AS ref_raw, d AS date, d AS date_iso, x.kind AS type, CAST({_CENTS} AS DOUBLE) / 100 AS amount
   FROM o JOIN x ON o.m * 2 + o.odd = x.m2 WHERE {where}"""
 
@@ -48,6 +48,9 @@ LINES = _lines("owner")
 #: One reconciliation holds the lines of every second customer.
 SKEWED = _lines("CASE WHEN owner % 2 = 0 THEN 0 ELSE owner END")
 
+#: Every order has one of some twenty amounts, so that items of a reconciliation compete for one another.
+CONTENDED = _lines("owner", orders=ORDERS.replace("CAST(round(o_totalprice * 100) AS BIGINT) AS c", "CAST(floor(o_totalprice / 25000) * 2500000 + 60 * (o_orderkey % 3) AS BIGINT) AS c"))
+
 _AMOUNT = "CASE WHEN c >= 100000 THEN CAST(CAST(floor(c / 100000) AS BIGINT) AS STRING) || ',' || lpad(CAST(CAST(floor(c / 100) AS BIGINT) % 1000 AS STRING), 3, '0') ELSE CAST(CAST(floor(c / 100) AS BIGINT) AS STRING) END || '.' || lpad(CAST(c % 100 AS STRING), 2, '0')"
 ITEMS = f"""
   SELECT owner AS doc_id, owner % 6 AS layout, k, k8, c, d, m, abc, {_AMOUNT} AS amt, substr(d, 9, 2) || '-' || substr(d, 6, 2) || '-' || substr(d, 1, 4) AS dmy,
