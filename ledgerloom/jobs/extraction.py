@@ -21,7 +21,7 @@ NOTHING = "No transactions could be extracted from this file"
 
 @dataclass(frozen=True)
 class Extraction:
-    records: DataFrame  # of the engine chosen for each document
+    records: DataFrame  # of the engine chosen for each document, with their place in it
     meta: DataFrame  # a row per document that was not rejected
     rejected: DataFrame  # doc_id, reason
 
@@ -51,11 +51,11 @@ def extract_documents(
     records, meta = G.extract(grid, about)
     errors = failed.withColumnRenamed("reason", "parser_error")
     primary = cut(meta.join(errors, "doc_id", "left"))
-    records = cut(records)
+    records = cut(records.withColumn("place", F.col("row").cast("long")))
 
     candidates = candidates if candidates is not None else spark.createDataFrame([], "doc_id string, pos int, ref string, date string, date_iso string, type string, amount string")
     alt_docs = alt_docs if alt_docs is not None else spark.createDataFrame([], "doc_id string, document_total double, present boolean, error string")
-    others = cut(V.validate_records(candidates.join(known, "doc_id", "left_semi")))
+    others = cut(V.validate_records(candidates.join(known, "doc_id", "left_semi"), place=True))
     alternate = cut(V.alternate_meta(others, alt_docs.join(known, "doc_id", "left_semi")))
 
     if mode == "auto":

@@ -17,12 +17,15 @@ MAX_ROWS, THRESHOLD, SAMPLE = 2000, 0.75, 20
 ALTERNATE = "alternate"
 
 
-def validate_records(candidates: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
-    """V1: the first ``max_rows`` candidates of a document, then those with a reference and an amount (NaN and infinity are none)."""
+def validate_records(candidates: DataFrame, max_rows: int = MAX_ROWS, place: bool = False) -> DataFrame:
+    """V1: the first ``max_rows`` candidates of a document, then those with a reference and an amount (NaN and infinity are none).
+
+    ``place``: with the place of each among the document's candidates, in a column of that name.
+    """
     first = candidates.withColumn("n", F.row_number().over(W.partitionBy("doc_id").orderBy("pos"))).where(F.col("n") <= max_rows)
     ref, amount = S.norm_ref(F.col("ref")), S.finite(F.trim("amount").try_cast("double"))
     iso = F.when(F.col("date_iso").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.col("date_iso"))
-    out = first.select("doc_id", ref.alias("ref"), S.strip(F.coalesce("ref", F.lit(""))).alias("ref_raw"), F.coalesce("date", F.lit("")).alias("date"), iso.alias("date_iso"), F.coalesce(F.nullif(F.col("type"), F.lit("")), F.lit("Invoice")).alias("type"), F.round(amount, 2).alias("amount"), F.lit(None).cast("int").alias("row"))
+    out = first.select("doc_id", ref.alias("ref"), S.strip(F.coalesce("ref", F.lit(""))).alias("ref_raw"), F.coalesce("date", F.lit("")).alias("date"), iso.alias("date_iso"), F.coalesce(F.nullif(F.col("type"), F.lit("")), F.lit("Invoice")).alias("type"), F.round(amount, 2).alias("amount"), F.lit(None).cast("int").alias("row"), *([F.col("pos").cast("long").alias("place")] if place else []))
     return out.where("ref <> '' and amount is not null")
 
 
@@ -113,7 +116,8 @@ def alternate_response_meta(primary: DataFrame, alt: DataFrame) -> DataFrame:
 
 
 def chosen_records(primary: DataFrame, alternate: DataFrame, choice: DataFrame) -> DataFrame:
-    """The records of the engine chosen for each document of ``choice``."""
+    """The records of the engine chosen for each document of ``choice``, with their ``place`` in it if both have one."""
+    columns = [*RECORD, *(["place"] if "place" in primary.columns and "place" in alternate.columns else [])]
     mine = choice.select("doc_id", F.col("engine").startswith(ALTERNATE).alias("other"))
-    pick = lambda d, other: d.select(*RECORD).join(mine.where(F.col("other") == other).select("doc_id"), "doc_id", "left_semi").select(*RECORD)
+    pick = lambda d, other: d.select(*columns).join(mine.where(F.col("other") == other).select("doc_id"), "doc_id", "left_semi").select(*columns)
     return pick(primary, False).unionByName(pick(alternate, True))

@@ -178,6 +178,14 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.select("doc_id", name.alias("filename"), content.alias("content")).withColumn("length", F.length("content").cast("long"))
 
 
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _files(spark, sf_dir)
+
+
+def alternate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return from_sql(spark, sf_dir, _ALT_DOCS)
+
+
 def _extraction(spark: SparkSession, sf_dir: str, mode: str) -> Extraction:
     return extract_documents(_files(spark, sf_dir), mode, candidates(spark, sf_dir), from_sql(spark, sf_dir, _ALT_DOCS), threshold=0.95)
 
@@ -342,3 +350,30 @@ ORACLES = {
     "v08_finalize": _WITH + f"SELECT doc_id, ({_conf}) < 0.95 AS needs_review, CAST(CASE WHEN layout = 3 THEN 2 WHEN layout = 5 THEN 1 WHEN layout = 4 THEN CASE WHEN {_ok} THEN 1 ELSE 3 END ELSE 0 END AS INT) AS n_warnings FROM docs",
     "v09_response_meta": _WITH + f", {_ALT} SELECT altm.doc_id, CAST({_by(0, 3, 0, -1, 0, 0).replace('layout', 'docs.layout')} AS BIGINT) AS header_row, CAST({_by(3, 2, -1, 2, 3, 3).replace('layout', 'docs.layout')} AS BIGINT) AS amount_col, CASE WHEN NOT ok THEN 0.7 ELSE 0.9 END::DOUBLE AS confidence, CAST({_conf.replace('layout', 'docs.layout').replace('id %', 'docs.id %')} AS DOUBLE) AS parser_confidence FROM altm JOIN docs ON docs.doc_id = altm.doc_id WHERE present",
 }
+
+
+def statement_oracles(owner: str, books: str, whole: dict[str, str]) -> dict[str, str]:
+    """SQL of the statements-against-books queries: what each document must come to, and ``whole``, the SQL of a whole
+    reconciliation, over the lines that follow."""
+    chosen = "CASE WHEN agree THEN 'verified' WHEN present THEN 'alternate+review' WHEN NOT empty THEN 'parser' END"
+    low = f"{_conf} < 0.95"
+    low_text = f"'Low confidence (' || CAST({_conf} AS DOUBLE) || ') — review before reconciling'"
+    judged = f"""SELECT doc_id, CASE WHEN {chosen} IS NULL THEN 'rejected' WHEN present AND NOT agree THEN 'review' WHEN {low} THEN 'review' WHEN agree THEN 'verified' ELSE 'unverified' END AS outcome, {chosen} AS engine,
+      CAST(CASE WHEN agree THEN 1.0 WHEN present THEN CASE WHEN NOT ok THEN 0.7 ELSE 0.9 END WHEN NOT empty THEN {_conf} END AS DOUBLE) AS confidence, CASE WHEN agree THEN n WHEN present THEN records WHEN NOT empty THEN n END AS records,
+      CASE WHEN {chosen} IS NULL THEN 'No transactions could be extracted from this file' WHEN present AND NOT agree THEN {_APART} WHEN {low} THEN {low_text} WHEN agree THEN {_LAST} ELSE {_ALONE} END AS reason FROM z
+      UNION ALL SELECT doc_id, 'rejected', NULL, NULL, NULL, CASE WHEN id % 17 = 5 THEN 'Unsupported file type ' || chr(39) || '.zip' || chr(39) ELSE 'Empty file' END FROM docs WHERE id % 17 IN (5, 7)"""
+    documents = f"SELECT doc_id, {owner.format('doc_id')} AS recon_id, outcome, engine, confidence, CAST(records AS BIGINT) AS records, reason FROM ({judged})"
+    # The place of a line: by document, then by its row or, of the alternate's, its place among the candidates.
+    placed = f"""SELECT doc_id, ref, ref AS ref_raw, date, date_iso, type, amount, row AS place FROM recs WHERE doc_id IN (SELECT doc_id FROM z WHERE {chosen} IN ('verified', 'parser'))
+      UNION ALL SELECT v.doc_id, v.ref, v.ref, v.date, v.date_iso, v.type, v.amount, c.pos FROM ({_VALID}) AS v JOIN cand AS c ON c.doc_id = v.doc_id AND c.ref = v.ref WHERE v.doc_id IN (SELECT doc_id FROM z WHERE {chosen} = 'alternate+review')"""
+    lines = f"""{_X}, placed AS ({placed}) SELECT {owner.format('doc_id')} AS recon_id, 'V' AS side, row_number() OVER (ORDER BY doc_id, place) AS row, ref, ref_raw, date, date_iso, type, amount FROM placed
+      UNION ALL SELECT recon_id, 'B', row, ref, ref_raw, date, date_iso, type, amount FROM ({books})"""
+    results, summary = (whole[name].replace(LINES, lines) for name in ("r21_reconcile", "r21_summary"))
+    zero = ("total_references", "matched", "amount_diff", "extra_in_vendor", "missing_in_vendor", "combos_matched")
+    money = ("net_difference", "vendor_net", "books_net", "amount_diff_value", "extra_in_vendor_value", "missing_in_vendor_value", "matched_residual")
+    outcomes = ("rejected", "review", "unverified", "verified", "accepted")
+    counted = f"SELECT recon_id, count(*) AS documents, {', '.join(f'count(*) FILTER (outcome = {chr(39)}{o}{chr(39)}) AS {o}' for o in outcomes)} FROM ({_X}{documents}) GROUP BY 1"
+    filled = ", ".join([*(f"coalesce(s.{c}, 0) AS {c}" for c in zero), *(f"CAST(coalesce(s.{c}, 0) AS DOUBLE) AS {c}" for c in money), *(f"coalesce(d.{c}, 0) AS {c}" for c in ("documents", *outcomes))])
+    summary = f"""SELECT coalesce(s.recon_id, d.recon_id) AS recon_id, {filled}, coalesce(matched_by_tier, '{{"1":0,"2":0,"3":0}}') AS matched_by_tier, CAST(1 AS DOUBLE) AS tolerance, coalesce(findings, '') AS findings, true AS rows_ok, true AS value_ok
+      FROM ({summary}) AS s FULL JOIN ({counted}) AS d ON d.recon_id = s.recon_id"""
+    return {"e01_documents": _X + documents, "e01_results": results, "e01_summary": summary}

@@ -8,11 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.stages import cut
-from ..jobs.statements import statements_vs_books
+from ..jobs.statements import Statements, reconcile_statements, statements_vs_books
 from ..operators import recon as R
-from .derived import CONTENDED, LINES, RECORDS, SKEWED, from_sql, grid, lines
+from .extraction import statement_oracles
+from .derived import CONTENDED, ITEMS, LINES, RECORDS, SKEWED, candidates, from_sql, grid, lines
 
 TOL, WINDOW = 100, R.DATE_WINDOW
+_OWNER = "CASE WHEN CAST({0} AS BIGINT) % 17 = 7 THEN -CAST({0} AS BIGINT) ELSE CAST(floor(CAST({0} AS BIGINT) / 2) AS BIGINT) END"
+_BOOKS = f"""SELECT {_OWNER.format('doc_id')} AS recon_id, CAST(substr(ref, length(ref) - 7, 8) AS BIGINT) AS row, ref, ref AS ref_raw, date, date_iso, type, amount FROM ({RECORDS}) AS r
+  WHERE CAST(substr(ref, length(ref) - 7, 8) AS BIGINT) % 30 <> 0 AND CAST(doc_id AS BIGINT) % 17 <> 7"""
 
 
 def _lanes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -209,11 +213,34 @@ def e01_statements_vs_books(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.groupBy("recon_id", "status", "tier").agg(F.count("*").alias("n"))
 
 
+def _statements(spark: SparkSession, sf_dir: str) -> Statements:
+    """The files of the extraction queries, in mode verify, two documents to a reconciliation; every 17th (an empty file) has
+    one of its own and no books.  The books lack every 30th order."""
+    from .extraction import alternate_documents, files
+
+    owner = from_sql(spark, sf_dir, f"SELECT DISTINCT doc_id, {_OWNER.format('doc_id')} AS recon_id FROM ({ITEMS}) AS i")
+    books = from_sql(spark, sf_dir, _BOOKS)
+    return reconcile_statements(files(spark, sf_dir), books, owner, "verify", candidates(spark, sf_dir), alternate_documents(spark, sf_dir), threshold=0.95, strict=True)
+
+
+def e01_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What became of each document: all outcomes occur."""
+    return _statements(spark, sf_dir).documents.select("doc_id", "recon_id", "outcome", "engine", "confidence", "records", F.coalesce("reason", F.lit("")).alias("reason"))
+
+
+def e01_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _statements(spark, sf_dir).results
+
+
+def e01_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _told(_statements(spark, sf_dir).summary)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         r01_split_lanes, r02_aggregate_refs, r03_match_exact, r04_match_relaxed, r05_match_typo, r05_typo_candidates, r06_match_value, r07_match_combos, r08_match_payment_ref, r09_match_payment_amount, r10_open_items, r11_contra_pairs, r11_contra_whole, r11_contra_classes,
-        r12_pair_results, r13_combo_results, r14_unmatched_results, r15_payment_results, r16_order_results, r17_summarize, r18_matched_by_tier, r19_findings, r20_invariants, r21_reconcile, r21_summary, r21_contended, r21_contended_summary, r21_skewed, e01_statements_vs_books,
+        r12_pair_results, r13_combo_results, r14_unmatched_results, r15_payment_results, r16_order_results, r17_summarize, r18_matched_by_tier, r19_findings, r20_invariants, r21_reconcile, r21_summary, r21_contended, r21_contended_summary, r21_skewed, e01_statements_vs_books, e01_documents, e01_results, e01_summary,
     )
 }
 
@@ -351,3 +378,4 @@ ORACLES = {
       (SELECT recon_id, count(*) AS nc, sum(CASE WHEN from_v THEN resid ELSE -resid END) AS cr FROM combos GROUP BY 1) AS c ON c.recon_id = n.recon_id LEFT JOIN found AS f ON f.recon_id = n.recon_id""",
 }
 ORACLES |= {name.replace("r21_reconcile", "r21_contended").replace("r21_summary", "r21_contended_summary"): ORACLES[name].replace(LINES, CONTENDED) for name in ("r21_reconcile", "r21_summary")}
+ORACLES |= statement_oracles(_OWNER, _BOOKS, {name: ORACLES[name] for name in ("r21_reconcile", "r21_summary")})
