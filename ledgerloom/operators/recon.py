@@ -7,11 +7,12 @@ most 80 open items), so one giant reconciliation spreads over the cluster.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -473,6 +474,31 @@ def check_invariants(summary: DataFrame, strict: bool = False) -> DataFrame:
     return out
 
 
+class Watch:
+    """R20 on the way: what ``summary`` comes to is counted while it is written, without a pass of its own.
+
+    ``watched`` is the summary to write; once that has run, ``offenders`` tells how many reconciliations there were, how many
+    violate each invariant, and up to ``named`` of those that do.
+    """
+
+    def __init__(self, summary: DataFrame, named: int = 1000):
+        bad = ~(F.col("rows_ok") & F.col("value_ok"))
+        # One accumulator per task and metric; the names are bounded by their number, the counts are not.
+        sample = F.slice(F.array_sort(F.collect_set(F.when(bad, F.col("recon_id").cast("string")))), 1, named)
+        self._seen = Observation(f"invariants-{uuid.uuid4().hex}")
+        self.watched = summary.observe(self._seen, F.count("*").alias("all"), F.count_if(~F.col("rows_ok")).alias("rows"), F.count_if(~F.col("value_ok")).alias("value"), sample.alias("names"))
+
+    @property
+    def offenders(self) -> dict:
+        return dict(self._seen.get)
+
+    def check(self) -> None:
+        """Fails with the names of the offenders, if there are any."""
+        got = self.offenders
+        if got["rows"] or got["value"]:
+            raise ValueError(f"reconciliation invariants violated: {got['rows']} by rows, {got['value']} by value, of {got['all']}: {', '.join(got['names'])}")
+
+
 @dataclass(frozen=True)
 class Matching:
     """What was matched, pass by pass, and what is left open."""

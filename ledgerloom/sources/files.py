@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import csv
 import io
+import math
 import sys
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -113,16 +115,25 @@ def words_to_rows(words: DataFrame, line_tol: float = 3.0) -> DataFrame:
     """``doc_id, page, word_idx, text, x0, x1, top`` to ``doc_id, page, row_idx, cells``.
 
     Words are taken from the top down; one that no line's first word is within ``line_tol`` of starts a line, and a word
-    belongs to the oldest line it is near to.  So the tops at which lines start are a fold over a page's tops, and
-    each word finds its line by itself.  Inside a line a gap wider than 1.8 usual letters (7 at least) parts cells.
+    belongs to the oldest line it is near to.  So the tops at which lines start are a fold over a page's sorted tops.  Lines
+    start more than ``line_tol`` apart, and tops fall back by a rounding at most, so only the last few starts can be near: the
+    fold looks at no others, and a word meets the lines of its own stretch of the page and of the next ones.  Inside a line a
+    gap wider than 1.8 usual letters (7 at least) parts cells.
     """
+    recent = 2 + math.ceil(0.2 / line_tol)
     key, kind = ["doc_id", "page"], "array<double>"
     down = F.struct(F.bround("top", 1).alias("y"), "x0", "word_idx")
     tops = F.transform(F.array_sort(F.collect_list(F.struct(down.alias("at"), "top"))), lambda w: w["top"])
     near = lambda t: lambda a: F.abs(a - t) <= line_tol
-    starts = F.aggregate(tops, F.array().cast(kind), lambda got, t: F.when(F.exists(got, near(t)), got).otherwise(F.concat(got, F.array(t))))
-    pages = words.groupBy(*key).agg(starts.alias("starts"))
-    placed = words.join(pages, key).withColumn("line", F.array_position(F.transform("starts", near(F.col("top"))), F.lit(True)))
+    last = lambda got: F.slice(got, F.greatest(F.size(got) - recent + 1, F.lit(1)), F.lit(recent))
+    starts = F.aggregate(tops, F.array().cast(kind), lambda got, t: F.when(F.exists(last(got), near(t)), got).otherwise(F.concat(got, F.array(t))))
+    lines = words.groupBy(*key).agg(starts.alias("starts")).select(*key, F.posexplode("starts").alias("line", "start"))
+    lines = lines.withColumn("line", F.col("line") + 1)
+    stretch = lambda c: F.floor(F.col(c) / line_tol)
+    reach = lines.withColumn("stretch", F.explode(F.array(*[stretch("start") + k for k in (-1, 0, 1)])))
+    met = words.withColumn("stretch", stretch("top")).join(reach, [*key, "stretch"]).where(F.abs(F.col("start") - F.col("top")) <= line_tol)
+    own = met.groupBy(*key, "word_idx").agg(F.min("line").alias("line"))
+    placed = words.join(own, [*key, "word_idx"])
     line = W.partitionBy(*key, "line")
     across = line.orderBy("x0", down)
     wide = F.array_sort(F.collect_list((F.col("x1") - F.col("x0")) / F.greatest(F.length("text"), F.lit(1))).over(line))
@@ -145,21 +156,50 @@ def split_line(c: Column) -> Column:
 
 
 def select_blocks(table_rows: DataFrame, word_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of each page the rows of its tables of two rows or more if it has one, else its word lines.
+    """S6 of paged documents alone: the grid, and ``doc_id, tables, text_pages, scanned`` of documents with any row."""
+    docs = table_rows.select("doc_id").union(word_rows.select("doc_id")).distinct().withColumn("kind", F.lit("pdf"))
+    grid, meta = document_blocks(docs, table_rows, word_rows)
+    return grid, meta.drop("reader")
 
-    ``table_rows``: ``doc_id, page, table_idx, row_idx, cells``; ``word_rows``: ``doc_id, page, row_idx, cells``.
-    Gives the grid, renumbered, and ``doc_id, tables, text_pages, scanned``.
+
+def document_blocks(docs: DataFrame, table_rows: DataFrame, word_rows: DataFrame | None = None, paragraphs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """What of a document becomes its grid, by its kind.
+
+    ``docs``: ``doc_id, kind``, a row per document, also of those that no row came out of.  ``table_rows``: ``doc_id, page,
+    table_idx, row_idx, cells`` (``page`` null in a word-processor file); ``word_rows``: ``doc_id, page, row_idx, cells``;
+    ``paragraphs``: ``doc_id, para_idx, text``.
+
+    ``pdf``: of each page the rows of its tables of two rows or more if it has one, else its word lines; a document without
+    any row is ``scanned``.  ``docx``: the rows of all tables, be it one row; paragraphs (S5) only where the document has no
+    table row at all.  Cells are trimmed, empty ones null.  Gives the grid, renumbered, and ``doc_id, reader, tables,
+    text_pages, scanned`` of every document of these kinds (the last two null for ``docx``); other kinds are left out.
     """
-    good = table_rows.groupBy("doc_id", "page", "table_idx").agg(F.count("*").alias("n")).where("n >= 2").drop("n")
-    rows = table_rows.join(good, ["doc_id", "page", "table_idx"]).select("doc_id", "page", "table_idx", "row_idx", "cells")
-    lines = word_rows.join(good.select("doc_id", "page").distinct(), ["doc_id", "page"], "left_anti").select("doc_id", "page", F.lit(0).alias("table_idx"), "row_idx", "cells")
+    of = lambda kind: docs.where(F.col("kind") == kind).select("doc_id")
+    trimmed = lambda d: d.withColumn("cells", F.transform("cells", lambda c: c.withField("s", F.nullif(S.strip(c["s"]), F.lit("")))))
+    shape = ("doc_id", "page", "table_idx", "row_idx", "cells")
+    paged, flowing = (trimmed(table_rows.join(of(kind), "doc_id", "left_semi")) for kind in ("pdf", "docx"))
+    good = paged.groupBy("doc_id", "page", "table_idx").agg(F.count("*").alias("n")).where("n >= 2").drop("n")
+    parts = [paged.join(good, ["doc_id", "page", "table_idx"]).select(*shape), flowing.withColumn("page", F.lit(0)).select(*shape)]
+    tables = good.select("doc_id").unionByName(flowing.select("doc_id", "table_idx").distinct().select("doc_id")).groupBy("doc_id").agg(F.count("*").alias("tables"))
+    meta = docs.where(F.col("kind").isin("pdf", "docx")).select("doc_id", F.col("kind").alias("reader")).join(tables, "doc_id", "left")
+    if word_rows is not None:
+        lines = trimmed(word_rows.join(of("pdf"), "doc_id", "left_semi")).join(good.select("doc_id", "page").distinct(), ["doc_id", "page"], "left_anti")
+        parts.append(lines.withColumn("table_idx", F.lit(0)).select(*shape))
+        meta = meta.join(lines.groupBy("doc_id").agg(F.countDistinct("page").alias("text_pages")), "doc_id", "left")
+    else:
+        meta = meta.withColumn("text_pages", F.lit(None).cast("long"))
+    if paragraphs is not None:
+        kind = table_rows.schema["cells"].dataType.elementType
+        rest = [F.lit(None).cast(f.dataType).alias(f.name) for f in kind.fields if f.name != "s"]
+        cells = F.transform(split_line(F.col("text")), lambda p: F.struct(p.alias("s"), *rest))
+        text = paragraphs.join(of("docx"), "doc_id", "left_semi").join(flowing.select("doc_id").distinct(), "doc_id", "left_anti").where(S.strip(F.col("text")) != "")
+        parts.append(text.select("doc_id", F.lit(0).alias("page"), F.lit(0).alias("table_idx"), F.col("para_idx").alias("row_idx"), cells.alias("cells")))
     order = W.partitionBy("doc_id").orderBy("page", "table_idx", "row_idx")
-    grid = rows.unionByName(lines).withColumn("row_idx", (F.row_number().over(order) - 1).cast("int")).select("doc_id", "row_idx", "cells")
-    docs = table_rows.select("doc_id").union(word_rows.select("doc_id")).distinct()
-    tables = good.groupBy("doc_id").agg(F.count("*").alias("tables"))
-    pages = lines.groupBy("doc_id").agg(F.countDistinct("page").alias("text_pages"))
-    meta = docs.join(tables, "doc_id", "left").join(pages, "doc_id", "left").fillna(0, ["tables", "text_pages"])
-    return grid, meta.withColumn("scanned", (F.col("tables") == 0) & (F.col("text_pages") == 0))
+    grid = reduce(DataFrame.unionByName, parts).withColumn("row_idx", (F.row_number().over(order) - 1).cast("int")).select("doc_id", "row_idx", "cells")
+    pdf = F.col("reader") == "pdf"
+    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    scanned = F.when(pdf, (n("tables") == 0) & (n("text_pages") == 0))
+    return grid, meta.select("doc_id", "reader", n("tables").alias("tables"), F.when(pdf, n("text_pages")).alias("text_pages"), scanned.alias("scanned"))
 
 
 TRANSACTION = "array<struct<ref: string, refRaw: string, date: string, dateISO: string, type: string, amount: string>>"
@@ -177,10 +217,43 @@ def transactions_to_lines(bodies: DataFrame) -> tuple[DataFrame, DataFrame, Data
     return lines.where(~bad).drop("text"), bodies.where(empty).select("recon_id"), lines.where(bad).drop("amount")
 
 
+#: Why a body is refused.
+NO_JSON, NO_ID, NO_LISTS, BOTH_EMPTY = "Body is not a JSON object", "recon_id is missing", "vendorTransactions and booksTransactions must be arrays", "Both transaction lists are empty"
+
+
+def bodies_to_lines(bodies: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """S7 from JSON texts: ``place, value`` (any key, one body) to lines, refused bodies ``place, recon_id, reason``, and lines refused.
+
+    A body has ``recon_id, vendorTransactions, booksTransactions``.  Values keep their JSON types until they are read: an
+    amount may be a number, a text that holds one, or a truth value (1 or 0); anything else is no amount.  References, dates
+    and types are taken as text, whatever they were.  A line is exploded by itself; no struct of a whole body is made.  Lines
+    that are no object have no values; payment lines whose amount is given and no number are refused, as in
+    ``transactions_to_lines``.
+    """
+    body = F.try_parse_json("value")
+    kind = lambda path: F.schema_of_variant(F.try_variant_get("body", path, "variant"))
+    read = bodies.select("place", body.alias("body"))
+    read = read.select("place", "body", F.schema_of_variant("body").alias("kind"), F.try_variant_get("body", "$.recon_id", "string").alias("recon_id"), *[kind(f"$.{n}Transactions").alias(n) for n in ("vendor", "books")])
+    lists = [F.coalesce(F.col(n), F.lit("")).startswith("ARRAY") for n in ("vendor", "books")]
+    none = [F.coalesce(F.try_variant_get("body", f"$.{n}Transactions[0]", "variant").isNull(), F.lit(True)) for n in ("vendor", "books")]
+    why = F.when(~F.coalesce(F.col("kind").startswith("OBJECT"), F.lit(False)), NO_JSON).when(F.coalesce("recon_id", F.lit("")) == "", NO_ID).when(~(lists[0] & lists[1]), NO_LISTS).when(none[0] & none[1], BOTH_EMPTY)
+    judged = read.withColumn("reason", why)
+    good = judged.where("reason is null")
+    one = lambda n, side: good.lateralJoin(good.sparkSession.tvf.variant_explode(F.try_variant_get(F.col("body").outer(), f"$.{n}Transactions", "variant"))).select("recon_id", F.lit(side).alias("side"), F.col("pos").cast("long").alias("row"), F.col("value").alias("t"))
+    text = lambda f: F.try_variant_get("t", f"$.{f}", "string")
+    amount_kind = F.schema_of_variant(F.try_variant_get("t", "$.amount", "variant"))
+    number = F.when(amount_kind == "BOOLEAN", F.try_variant_get("t", "$.amount", "boolean").cast("double")).when(amount_kind == "STRING", F.trim(text("amount")).try_cast("double")).when(~amount_kind.rlike("^(OBJECT|ARRAY|VOID)"), F.try_variant_get("t", "$.amount", "double"))
+    lines = one("vendor", "V").union(one("books", "B")).select(
+        "recon_id", "side", "row", text("ref").alias("ref"), text("refRaw").alias("ref_raw"), text("date").alias("date"), text("dateISO").alias("date_iso"), text("type").alias("type"),
+        F.when(amount_kind != "VOID", F.coalesce(text("amount"), amount_kind)).alias("text"), S.finite(number).alias("amount"),
+    )
+    bad = S.is_payment(F.col("type")) & F.col("text").isNotNull() & F.col("amount").isNull()
+    return lines.where(~bad).drop("text"), judged.where("reason is not null").select("place", "recon_id", "reason"), lines.where(bad).drop("amount")
+
+
 def read_transactions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """S7 from JSON lines ``recon_id, vendorTransactions, booksTransactions``; amounts may be numbers or text."""
-    read = spark.read.schema(f"recon_id string, vendorTransactions {TRANSACTION}, booksTransactions {TRANSACTION}").json(path)
-    return transactions_to_lines(read.withColumnsRenamed({"vendorTransactions": "vendor", "booksTransactions": "books"}))
+    """S7 from JSON lines: lines, refused bodies (``place`` is the file and the text itself is not kept), and lines refused."""
+    return bodies_to_lines(spark.read.text(path).select(F.input_file_name().alias("place"), "value").where("trim(value) <> ''"))
 
 
 def write_extract(records: DataFrame, meta: DataFrame, path: str, fmt: str = "parquet") -> None:
@@ -195,8 +268,47 @@ def write_recon(results: DataFrame, summary: DataFrame, path: str, fmt: str = "p
     summary.write.format(fmt).mode("overwrite").save(f"{path}/summary")
 
 
+#: Results in a part of a response.
+PART_ROWS = 10_000
+
+
 def responses(results: DataFrame, summary: DataFrame) -> DataFrame:
-    """``recon_id, response``: one JSON text per reconciliation, results in their order."""
+    """``recon_id, response``: one JSON text per reconciliation, results in their order.  For small ones: see ``response_parts``."""
     rows = results.groupBy("recon_id").agg(F.array_sort(F.collect_list(F.struct("ord", *[c for c in results.columns if c not in ("recon_id", "ord")]))).alias("results"))
     both = summary.select("recon_id", F.struct(*[c for c in summary.columns if c != "recon_id"]).alias("summary")).join(rows, "recon_id", "left")
     return both.select("recon_id", F.to_json(F.struct("summary", "results")).alias("response"))
+
+
+def response_parts(results: DataFrame, summary: DataFrame, rows: int = PART_ROWS) -> DataFrame:
+    """S8 in parts: ``recon_id, part, parts, n, response``; no row holds more than ``rows`` results, however many there are.
+
+    Parts are numbered from 0; part 0 has the summary too, and is there even without results.  ``ord`` counts from 1 without
+    gaps, so a part is known from a row alone.
+    """
+    placed = results.withColumn("part", F.floor((F.col("ord") - 1) / rows).cast("int"))
+    fields = [c for c in results.columns if c not in ("recon_id", "ord")]
+    held = placed.groupBy("recon_id", "part").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("ord", *fields))).alias("results"))
+    parts = placed.groupBy("recon_id").agg((F.max("part") + 1).alias("parts"))
+    first = summary.join(parts, "recon_id", "left").select("recon_id", F.coalesce("parts", F.lit(1)).alias("parts"), F.struct(*[c for c in summary.columns if c != "recon_id"]).alias("summary"))
+    numbered = first.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("summary", F.when(F.col("part") == 0, F.col("summary")))
+    whole = numbered.join(held, ["recon_id", "part"], "left")
+    return whole.select("recon_id", "part", "parts", F.coalesce("n", F.lit(0)).alias("n"), F.to_json(F.struct("summary", "results")).alias("response"))
+
+
+def write_responses(results: DataFrame, summary: DataFrame, path: str, batch: str, rows: int = PART_ROWS) -> None:
+    """``response_parts`` under ``path/batch=...``, and a manifest ``recon_id, parts, results`` beside them.
+
+    A batch is replaced as a whole and others stay as they are, so a run that is repeated leaves no part of the one before.
+    """
+    parts = response_parts(results, summary, rows).withColumn("batch", F.lit(batch))
+    write = lambda d: d.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch")
+    write(parts.repartitionByRange("recon_id", "part").sortWithinPartitions("recon_id", "part")).parquet(f"{path}/parts")
+    written = parts.sparkSession.read.parquet(f"{path}/parts").where(F.col("batch") == batch)
+    write(written.groupBy("batch", "recon_id").agg(F.max("parts").alias("parts"), F.sum("n").alias("results"))).parquet(f"{path}/manifest")
+
+
+def read_responses(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The results of all batches under ``path``, as rows of ``schema`` (their fields without ``recon_id``), with ``batch``."""
+    kind = f"struct<results: array<struct<{', '.join(f.strip().replace(' ', ': ', 1) for f in schema.split(','))}>>>"
+    parts = spark.read.parquet(f"{path}/parts")
+    return parts.select("batch", "recon_id", F.explode(F.from_json("response", kind)["results"]).alias("r")).select("batch", "recon_id", "r.*")
