@@ -5,9 +5,10 @@ Their SQL says what must come out, straight from the orders and the known layout
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import scalars as C
 from ..functions.stages import cut
 from ..jobs.extraction import Extraction, extract_documents
 from ..operators import grid as G
@@ -106,6 +107,32 @@ def g16_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.extract(grid(spark, sf_dir))[0]
 
 
+def g16_workbook(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grids as a workbook holds them: amounts as numbers, whole ones as integers, dates as timestamps or (odd documents)
+    serial numbers.  Grids without a header stay text, for there a number may be taken for a date."""
+    text = lambda c: F.col(c).isNotNull() & (F.col("doc_id") % 6 != 3)
+    day = lambda c: F.when(text(c) & F.col(c).rlike(r"^\d{2}-\d{2}-\d{4}$"), F.to_date(c, "dd-MM-yyyy"))
+    number = lambda c: F.when(text(c) & F.col(c).rlike(r"^[\d,]+\.\d{2}$"), F.regexp_replace(c, ",", "").cast("double"))
+    odd = F.col("doc_id") % 2 == 1
+
+    def cell(c: str) -> Column:
+        whole = number(c) == F.floor(number(c))
+        serial = F.when(odd, F.datediff(day(c), F.lit("1899-12-30").cast("date")).cast("double"))
+        return F.struct(
+            F.when(day(c).isNull() & number(c).isNull(), F.col(c)).alias("s"), F.coalesce(serial, F.when(~whole, number(c))).alias("d"), F.when(~odd, day(c).cast("timestamp")).alias("ts"), F.when(whole, number(c)).cast("bigint").alias("i"),
+        )
+
+    there = lambda c: c["s"].isNotNull() | c["d"].isNotNull() | c["ts"].isNotNull() | c["i"].isNotNull()
+    cells = F.filter(F.array(*map(cell, ("c0", "c1", "c2", "c3"))), there)
+    book = from_sql(spark, sf_dir, ROWS).select(F.col("doc_id").cast("string").alias("doc_id"), F.col("row_idx").cast("int").alias("row_idx"), cells.alias("cells"))
+    return G.extract(book)[0].select("doc_id", "ref", "date_iso", "type", "amount", "row")
+
+
+def c15_row_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = G.read_grid(grid(spark, sf_dir))
+    return read.select("doc_id", "row_idx", C.is_blank_row(F.col("c")).alias("blank"), C.has_signal(F.col("c")).alias("signal"))
+
+
 def s01_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = from_sql(spark, sf_dir, _FILES)
     ok, bad = S.intake_files(files)
@@ -113,9 +140,8 @@ def s01_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def s02_read_delimited(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The grids written as text with one of four delimiters and read back."""
-    files = _files(spark, sf_dir).where("doc_id % 17 not in (3, 7)")
-    return S.read_delimited(files)[0].select("doc_id", "row_idx", F.array_join(F.transform("cells", lambda c: c["s"]), "|").alias("cells"))
+    """The grids written as text with one of four delimiters and read back; some files are no table, some empty."""
+    return S.read_delimited(_files(spark, sf_dir))[0].select("doc_id", "row_idx", F.array_join(F.transform("cells", lambda c: c["s"]), "|").alias("cells"))
 
 
 def s03_pick_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,6 +169,57 @@ def s06_select_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.select_blocks(table, rows)[1]
 
 
+def _blocks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Every third document from a word processor, with tables, a table of one row (every twelfth) or paragraphs alone; the
+    others paged, of which every tenth is scanned: nothing came out of it."""
+    rows = grid(spark, sf_dir).withColumn("id", F.col("doc_id").cast("long"))
+    docs = rows.select("doc_id", F.when(F.col("id") % 3 == 0, "docx").otherwise("pdf").alias("kind")).distinct()
+    flowing, paged = rows.where("id % 3 = 0"), rows.where("id % 3 <> 0 and id % 10 <> 9").withColumn("page", F.floor(F.col("row_idx") / 5).cast("int"))
+    tables = paged.where("page % 3 = 0 or (page % 7 = 1 and row_idx % 5 = 0)").withColumn("table_idx", F.lit(0))
+    own = flowing.where("id % 2 = 0 and (id % 12 <> 0 or row_idx = 0)").withColumns({"page": F.lit(None).cast("int"), "table_idx": F.floor(F.col("row_idx") / 5).cast("int")})
+    texts = F.filter(F.transform("cells", lambda c: c["s"]), lambda x: x != "")
+    paragraphs = flowing.select("doc_id", F.col("row_idx").alias("para_idx"), F.array_join(texts, "   ").alias("text"))
+    return S.document_blocks(docs, tables.unionByName(own), paged, paragraphs)
+
+
+def s06_document_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _blocks(spark, sf_dir)[0].select("doc_id", "row_idx", F.array_join(F.transform("cells", lambda c: c["s"]), "|", "").alias("cells"))
+
+
+def s06_document_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With what extraction makes of it: a scanned document has confidence 0 and says why."""
+    blocks, about = _blocks(spark, sf_dir)
+    meta = G.extract(blocks, about)[1].select("doc_id", F.when(F.col("scanned"), F.col("confidence")).alias("scanned_confidence"), F.when(F.col("scanned"), F.array_join("warnings", " | ")).alias("scanned_warnings"))
+    return about.join(meta, "doc_id").select("doc_id", "reader", "tables", "text_pages", "scanned", "scanned_confidence", "scanned_warnings")
+
+
+def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each reconciliation's lines as a JSON text; amounts are numbers, texts, truth values, null or no amount at all; some
+    bodies are cut short, some hold something else than lists, some nothing."""
+    rows = from_sql(spark, sf_dir, LINES)
+    amount = F.col("amount").cast("decimal(18,2)").cast("string")
+    value = F.element_at(F.array(amount, F.concat(F.lit('" '), amount, F.lit('"')), F.lit("true"), F.lit("null"), F.lit('"n/a"'), F.lit("[1]")), ((F.col("row") % 6) + 1).cast("int"))
+    text = F.concat(F.lit('{"ref":"'), "ref", F.lit('","refRaw":"'), "ref_raw", F.lit('","date":"'), "date", F.lit('","dateISO":"'), "date_iso", F.lit('","type":"'), "type", F.lit('","amount":'), value, F.lit("}"))
+    of = lambda s: F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == s, F.struct("row", "text")))), lambda x: x["text"]), ","), F.lit("]"))
+    bodies = rows.withColumn("text", text).groupBy("recon_id").agg(of("V").alias("v"), of("B").alias("b"))
+    kind = F.col("recon_id") % 10
+    vendor = F.when(kind == 5, F.lit('"none"')).when(kind == 7, F.lit("[]")).otherwise(F.col("v"))
+    books = F.when(kind == 7, F.lit("[]")).otherwise(F.col("b"))
+    whole = F.concat(F.lit('{"recon_id":'), F.col("recon_id").cast("string"), F.lit(',"vendorTransactions":'), vendor, F.lit(',"booksTransactions":'), books, F.lit("}"))
+    return bodies.select(F.col("recon_id").alias("place"), F.when(kind == 3, F.substring(whole, F.lit(1), F.length(whole) - 1)).otherwise(whole).alias("value"))
+
+
+def s07_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.bodies_to_lines(_bodies(spark, sf_dir))[0].select("recon_id", "side", "row", "ref", "date_iso", "type", "amount")
+
+
+def s07_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Refused bodies with the reason, and refused payment lines with what stands for their amount."""
+    _, refused, bad = S.bodies_to_lines(_bodies(spark, sf_dir))
+    whole = refused.select(F.col("place").cast("string").alias("recon_id"), F.lit("body").alias("what"), F.lit(-1).cast("long").alias("row"), "reason")
+    return whole.union(bad.select("recon_id", "side", "row", "text"))
+
+
 def s07_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = from_sql(spark, sf_dir, LINES)
     t = F.struct("ref", F.col("ref_raw").alias("refRaw"), "date", F.col("date_iso").alias("dateISO"), "type", F.col("amount").cast("string").alias("amount"))
@@ -158,6 +235,17 @@ def s08_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.responses(*R.reconcile(cut(lines(spark, sf_dir))))
 
 
+def s08_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The responses in parts of four results, told from their JSON texts."""
+    from ..operators import recon as R
+    from .derived import lines
+
+    parts = S.response_parts(*R.reconcile(cut(lines(spark, sf_dir))), rows=4)
+    body = F.from_json("response", "summary struct<total_references: bigint, vendor_net: double>, results array<struct<ord: int, ref: string, status: string>>")
+    told = F.array_join(F.transform(body["results"], lambda r: F.concat_ws(" ", r["ord"].cast("string"), r["ref"], r["status"])), "|")
+    return parts.select("recon_id", "part", "parts", "n", told.alias("results"), body["summary"]["total_references"].alias("total"), body["summary"]["vendor_net"].alias("vendor_net"))
+
+
 def _both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     records, meta = G.extract(grid(spark, sf_dir))
     records, meta = cut(records), cut(meta)
@@ -259,8 +347,8 @@ def v09_response_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        g01_find_header, g02_map_row, g03_infer_columns, g04_classify_rows, g05_resolve_amount, g06_numeric_ref, g07_document_total, g08_resolve_ref, g09_type_and_sign, g10_extract_rows, g11_dedupe, g12_counts, g13_totals_check, g14_confidence, g15_warnings, g16_extract,
-        s01_intake, s02_read_delimited, s03_pick_sheet, s04_words_to_rows, s06_select_blocks, s07_transactions, s08_responses,
+        g01_find_header, g02_map_row, g03_infer_columns, g04_classify_rows, g05_resolve_amount, g06_numeric_ref, g07_document_total, g08_resolve_ref, g09_type_and_sign, g10_extract_rows, g11_dedupe, g12_counts, g13_totals_check, g14_confidence, g15_warnings, g16_extract, g16_workbook, c15_row_signals,
+        s01_intake, s02_read_delimited, s03_pick_sheet, s04_words_to_rows, s06_select_blocks, s06_document_grid, s06_document_meta, s07_transactions, s07_bodies, s07_refused, s08_responses, s08_parts,
         v01_validate, v02_alternate_meta, v03_agreement, v04_disagreements, v05_route_auto, v06_route_prefer, v07_route_verify, v08_finalize, v09_response_meta, x_auto, x_prefer, x_verify, x_rejects,
     )
 }
@@ -313,6 +401,15 @@ def _x(other: str, engine: str, review: str, their_warning: str, own_warning: st
       CAST(CASE WHEN empty THEN -1 ELSE 1 END AS BIGINT) AS ref_col{more} FROM z WHERE present OR NOT empty"""
 
 
+# Rows that become the grid of a document, by its kind, under the number they had.
+_BLOCKS = """, r AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, doc_id AS id, row_idx, row_idx // 5 AS page, concat_ws('|', c0, c1, c2, c3) AS cells, concat_ws('|', nullif(c0, ''), nullif(c1, ''), nullif(c2, ''), nullif(c3, '')) AS full_cells, count(*) OVER (PARTITION BY doc_id, row_idx // 5) AS n FROM rows),
+    kept AS (SELECT doc_id, id, row_idx, page, page % 3 = 0 AND n >= 2 AS tabled, cells FROM r WHERE id % 3 <> 0 AND id % 10 <> 9
+      UNION ALL SELECT doc_id, id, row_idx, page, true, cells FROM r WHERE id % 3 = 0 AND id % 2 = 0 AND (id % 12 <> 0 OR row_idx = 0)
+      UNION ALL SELECT doc_id, id, row_idx, page, false, CASE WHEN contains(full_cells, '|') THEN full_cells ELSE replace(full_cells, ' ', '|') END FROM r WHERE id % 3 = 0 AND id % 2 = 1 AND full_cells <> '') """
+_BODY_LINES = f"""WITH lines AS ({LINES}), n AS (SELECT *, row % 6 AS how, CAST(row_number() OVER (PARTITION BY recon_id, side ORDER BY row) - 1 AS BIGINT) AS place FROM lines),
+    t AS (SELECT CAST(recon_id AS VARCHAR) AS recon_id, side, place AS row, ref, date_iso, type, CASE how WHEN 0 THEN amount WHEN 1 THEN amount WHEN 2 THEN 1.0 END AS amount, CASE how WHEN 4 THEN 'n/a' WHEN 5 THEN '[1]' END AS said,
+      how IN (4, 5) AND lower(type) IN ('payment', 'payment made', 'receipt') AS bad FROM n WHERE recon_id % 10 NOT IN (3, 5, 7)) """
+
 ORACLES = {
     "g01_find_header": _WITH + f"SELECT doc_id, {_by(0, 3, 0, -1, 0, 0)} AS header_row, {_by(0, 0, 0, -1, 0, 0)} AS date_col, {_by(1, 1, 1, -1, 1, 1)} AS ref_col, {_by(2, -1, -1, -1, 2, 2)} AS type_col, {_by(-1, -1, 2, -1, -1, -1)} AS debit_col, {_by(-1, -1, 3, -1, -1, -1)} AS credit_col, {_by(3, 2, -1, -1, 3, 3)} AS amount_col FROM docs",
     "g02_map_row": _WITH + "SELECT CAST(doc_id AS VARCHAR) AS doc_id, CAST(row_idx AS INT) AS row_idx, CASE WHEN c0 = 'Date' THEN 4 WHEN c0 = 'Opening balance' THEN NULL WHEN c0 = 'Statement for the period' THEN NULL ELSE 2 END AS hits FROM rows WHERE c0 IN ('Date', 'DOCUMENT', 'DATE') UNION ALL SELECT CAST(doc_id AS VARCHAR), CAST(row_idx AS INT), 1 FROM rows WHERE c0 = 'Total' UNION ALL SELECT CAST(doc_id AS VARCHAR), CAST(row_idx AS INT), 1 FROM rows WHERE c2 = 'Invoice'",
@@ -331,11 +428,19 @@ ORACLES = {
     "g15_warnings": _WITH + f"SELECT doc_id, CASE WHEN layout = 3 THEN 'Headers not found — columns inferred from data shape' WHEN layout = 5 THEN n || ' duplicate rows dropped (repeated pages)' WHEN layout = 4 THEN 'Row 2: opening-balance row skipped' || CASE WHEN {_ok} THEN '' ELSE ' | Extracted sum ' || {_money.format('total / 100.0')} || ' != document total ' || {_money.format('total / 100.0 + ' + _off)} END ELSE '' END AS warnings FROM docs",
     "g16_extract": _WITH + "SELECT doc_id, ref, ref AS ref_raw, date, date_iso, type, amount, row FROM records",
     "s01_intake": f"SELECT doc_id, ext, CASE WHEN length > 10485760 THEN 'File exceeds 10 MB limit' WHEN length = 0 THEN 'Empty file' WHEN ext = 'doc' THEN 'Legacy .doc files are not supported' WHEN ext NOT IN ('csv', 'txt', 'xlsx', 'xlsm', 'xltx', 'xls', 'docx', 'pdf') THEN 'Unsupported file type ''.' || ext || '''' ELSE '' END AS reason FROM (SELECT *, CASE WHEN contains(filename, '.') THEN lower(regexp_extract(filename, '[^.]*$')) ELSE '' END AS ext FROM ({_FILES}))",
-    "s02_read_delimited": _WITH + "SELECT CAST(doc_id AS VARCHAR) AS doc_id, CAST(row_idx AS INT) AS row_idx, concat_ws('|', c0, c1, c2, c3) AS cells FROM rows WHERE doc_id % 17 NOT IN (3, 7)",
+    "s02_read_delimited": _WITH + "SELECT CAST(doc_id AS VARCHAR) AS doc_id, CAST(row_idx AS INT) AS row_idx, concat_ws('|', c0, c1, c2, c3) AS cells FROM rows WHERE doc_id % 17 NOT IN (3, 7) UNION ALL SELECT doc_id, 0, 'nothing to be seen here' FROM docs WHERE id % 17 = 3",
     "s03_pick_sheet": _WITH + f"SELECT doc_id, CASE WHEN CASE layout WHEN 1 THEN 0 WHEN 3 THEN least(n, 3) WHEN 4 THEN least(n + 1, 2) ELSE least(n, 2) END = CASE layout WHEN 1 THEN n WHEN 3 THEN n WHEN 4 THEN n + 2 WHEN 5 THEN 2 * n ELSE n END THEN 'Cover' ELSE 'Ledger' END AS sheet, CASE WHEN CASE layout WHEN 1 THEN 0 WHEN 3 THEN least(n, 3) WHEN 4 THEN least(n + 1, 2) ELSE least(n, 2) END = CASE layout WHEN 1 THEN n WHEN 3 THEN n WHEN 4 THEN n + 2 WHEN 5 THEN 2 * n ELSE n END THEN least(3, CAST({_by('n + 1', 'n + 4', 'n + 1', 'n', 'n + 3', '2 * n + 2')} AS BIGINT)) ELSE CAST({_by('n + 1', 'n + 4', 'n + 1', 'n', 'n + 3', '2 * n + 2')} AS BIGINT) END AS n FROM docs",
     "s04_words_to_rows": _WITH + "SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY row_idx) - 1 AS INT) AS row_idx, cells FROM (SELECT CAST(doc_id AS VARCHAR) AS doc_id, row_idx, concat_ws('|', nullif(c0, ''), nullif(c1, ''), nullif(c2, ''), nullif(c3, '')) AS cells FROM rows) WHERE cells <> ''",
     "s06_select_blocks": _WITH + ", p AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, row_idx // 5 AS page, count(*) AS n FROM rows GROUP BY 1, 2) SELECT doc_id, CAST(sum(CAST(page % 3 = 0 AND n >= 2 AS INT)) AS BIGINT) AS tables, CAST(sum(CAST(NOT (page % 3 = 0 AND n >= 2) AS INT)) AS BIGINT) AS text_pages, false AS scanned FROM p GROUP BY 1",
     "s07_transactions": f"SELECT recon_id, side, CAST(row_number() OVER (PARTITION BY recon_id, side ORDER BY row) - 1 AS BIGINT) AS row, ref, date_iso, type, amount FROM ({LINES})",
+    "g16_workbook": _WITH + "SELECT doc_id, ref, date_iso, type, amount, row FROM records",
+    "c15_row_signals": _WITH + "SELECT CAST(doc_id AS VARCHAR) AS doc_id, CAST(row_idx AS INT) AS row_idx, concat(c0, c1, c2, c3) = '' AS blank, len(list_filter([c0, c1, c2, c3], lambda c: regexp_matches(coalesce(c, ''), '^([0-9]{2}-[0-9]{2}-[0-9]{4}|[0-9,]+[.][0-9]{2})$'))) > 0 AS signal FROM rows",
+    "s06_document_grid": _WITH + _BLOCKS + "SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY row_idx) - 1 AS INT) AS row_idx, cells FROM kept",
+    "s06_document_meta": _WITH + _BLOCKS + """SELECT d.doc_id, CASE WHEN id % 3 = 0 THEN 'docx' ELSE 'pdf' END AS reader, CAST(CASE WHEN id % 3 = 0 THEN coalesce(own, 0) ELSE coalesce(tables, 0) END AS BIGINT) AS tables, CASE WHEN id % 3 <> 0 THEN coalesce(pages, 0) END AS text_pages,
+      CASE WHEN id % 3 <> 0 THEN id % 10 = 9 END AS scanned, CASE WHEN id % 3 <> 0 AND id % 10 = 9 THEN CAST(0 AS DOUBLE) END AS scanned_confidence, CASE WHEN id % 3 <> 0 AND id % 10 = 9 THEN 'No date column detected | PDF appears scanned (no extractable text)' END AS scanned_warnings
+      FROM docs AS d LEFT JOIN (SELECT doc_id, count(DISTINCT page) FILTER (tabled) AS tables, count(DISTINCT page) FILTER (NOT tabled) AS pages, count(DISTINCT page) FILTER (id % 2 = 0) AS own FROM kept GROUP BY 1) AS k ON k.doc_id = d.doc_id""",
+    "s07_bodies": _BODY_LINES + "SELECT recon_id, side, row, ref, date_iso, type, amount FROM t WHERE NOT bad",
+    "s07_refused": _BODY_LINES + "SELECT recon_id, side AS what, row, said AS reason FROM t WHERE bad UNION ALL SELECT CAST(recon_id AS VARCHAR), 'body', -1, CASE recon_id % 10 WHEN 3 THEN 'Body is not a JSON object' WHEN 5 THEN 'vendorTransactions and booksTransactions must be arrays' ELSE 'Both transaction lists are empty' END FROM (SELECT DISTINCT recon_id FROM lines) WHERE recon_id % 10 IN (3, 5, 7)",
     "v01_validate": _WITH + "SELECT doc_id, ref, ref AS ref_raw, date, date_iso, type, amount FROM (" + _VALID + ")",
     "v02_alternate_meta": _WITH + f", {_ALT} SELECT doc_id, present, error, records, CASE WHEN NOT ok THEN 0.7 ELSE 0.9 END::DOUBLE AS confidence, ok FROM altm",
     "v03_agreement": _WITH + f", {_KEYS}, {_RATE} SELECT doc_id, rate, agreed, disagreed FROM rate",
