@@ -13,6 +13,7 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 from urllib.parse import unquote_to_bytes
 
 import numpy as np
@@ -28,7 +29,8 @@ ASSIGN = re.compile(rf"""({_NAMES})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # maximal runs, so the same as all runs of which short ones are dropped
 
-PERCENT = re.compile(r"(?:[A-Za-z0-9+/_.=:-]*%[0-9A-Fa-f]{2})+[A-Za-z0-9+/_.=:-]*")
+# Only the first character of a run is tried, and nothing is given back, so that a run is read once.
+PERCENT = re.compile(r"(?<![A-Za-z0-9+/_.=:-])(?:[A-Za-z0-9+/_.=:-]*+%[0-9A-Fa-f]{2})++[A-Za-z0-9+/_.=:-]*+")
 UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})+(?:[A-Za-z0-9+/_.=:-]*(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})+)*[A-Za-z0-9+/_.=:-]*")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 #: Base64 in lines.
@@ -37,10 +39,12 @@ ESCAPED_BYTE = re.compile(r"%[0-9A-Fa-f]{2}")
 ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
 
 #: Streams are inflated and scanned by pieces of so many bytes, so that a small stream cannot fill a worker's memory; a piece
-#: starts with the end of the one before it.
+#: starts with the end of the one before it, a stream within a stream is fed piece by piece.
 PIECE, OVERLAP = 1 << 24, 1 << 16
-#: Of a decoded layer's characters at most this share may be control characters or bytes that are no text.
+#: Where more of a decoded layer's characters are control characters or bytes that are no text, it needs a stretch that could
+#: hold a finding.
 BINARY = 0.3
+STRETCH = re.compile(rb"[\x20-\x7e]{12,}")
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -50,34 +54,81 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out + [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
 
 
-def _inflated(data: bytes) -> Iterator[bytes] | None:
-    """Overlapping pieces of what a gzip or zlib stream holds, also of one that breaks off; None where ``data`` is neither."""
-    if not data[:2] == b"\x1f\x8b" and not (len(data) > 2 and data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0):
-        return None
+def _is_stream(data: bytes) -> bool:
+    return data[:2] == b"\x1f\x8b" or len(data) > 2 and data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0
+
 
-    def pieces() -> Iterator[bytes]:
-        box, rest, kept = zlib.decompressobj(47), data, b""
-        while rest and not box.eof:
+def _inflate(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """What a gzip or zlib stream that comes in chunks holds, also one that breaks off; gzip members may follow one another."""
+    box = zlib.decompressobj(47)
+    for rest in chunks:
+        while True:
             try:
                 piece = box.decompress(rest, PIECE)
             except zlib.error:
                 return
-            if not piece:
-                return
-            yield kept + piece
-            kept, rest = (kept + piece)[-OVERLAP:], box.unconsumed_tail
-            if box.eof and box.unused_data[:2] == b"\x1f\x8b":  # gzip members may follow one another
-                rest, box = box.unused_data, zlib.decompressobj(47)
-
-    return pieces()
+            if piece:
+                yield piece
+            rest = box.unconsumed_tail
+            if box.eof:
+                rest = box.unused_data
+                if rest[:2] != b"\x1f\x8b":
+                    return
+                box = zlib.decompressobj(47)
+            elif not piece and not rest:
+                break
+
+
+def _opened(chunks: Iterator[bytes], above: frozenset = frozenset()) -> Iterator[bytes]:
+    """The chunks themselves, or, as long as they are a stream, what it inflates to.  A stream may hold itself: it ends there."""
+    first = next(chunks, b"")
+    if not _is_stream(first):
+        yield first
+        yield from chunks
+        return
+    mark = hashlib.sha256(first).digest()
+    if mark in above:
+        return
+    inner = _inflate(chain([first], chunks))
+    if (start := next(inner, None)) is None:
+        yield first
+        yield from chunks
+    else:
+        yield from _opened(chain([start], inner), above | {mark})
+
+
+_CODE = np.zeros(256, bool)
+_CODE[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")] = True
+_BLANK = np.zeros(256, bool)
+_BLANK[list(b"\r\n\t ")] = True
+
+
+def _overlapping(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """Each chunk after the end of those before; where that end is inside base64 it starts at a whole group of four."""
+    kept = b""
+    for chunk in chunks:
+        piece = kept + chunk
+        yield piece
+        cut = max(0, len(piece) - OVERLAP)
+        head = np.frombuffer(piece, np.uint8)[:cut]
+        other = np.flatnonzero(~(_CODE[head] | _BLANK[head]))
+        run = int(other[-1]) + 1 if len(other) else 0
+        code = np.flatnonzero(_CODE[head[run:]])
+        if len(code) and cut - run - int(code[-1]) <= 2:  # else the run ended before
+            gap = np.flatnonzero(np.diff(code) > 3)  # a line break takes three characters at most; blanks beyond that part runs
+            code = code[gap[-1] + 1 :] if len(gap) else code
+            over = len(code) % 4
+            cut = run + int(code[len(code) - over]) if over else cut
+        kept = piece[cut:]
 
 
 #: Where each character of a decoded text starts and ends in what it was decoded from; None: it stands for the whole.
 Places = tuple[np.ndarray, np.ndarray] | None
 
 
-def _text(data: bytes) -> tuple[str, np.ndarray] | None:
-    """UTF-8, else (one byte in ten or more is not) Latin-1, and where each character starts; None where most of it is no text."""
+def _text(data: bytes, lenient: bool = False) -> tuple[str, np.ndarray] | None:
+    """UTF-8, else (one byte in ten or more is not) Latin-1, and where each character starts; None where much of it is no text
+    (``lenient``: and no stretch of it is)."""
     if not data:
         return None
     got = data.decode("utf-8", "replace")
@@ -97,26 +148,25 @@ def _text(data: bytes) -> tuple[str, np.ndarray] | None:
             lead[start:end] = False
             lead[start] = True
     strange = sum(map(got.count, _CONTROLS)) + got.count("\ufffd")
-    return (got, np.flatnonzero(lead)) if strange <= BINARY * len(got) else None
+    return (got, np.flatnonzero(lead)) if strange <= BINARY * len(got) or lenient and STRETCH.search(data) else None
 
 
 #: C0 but tab, line feed and carriage return, and C1.  NUL counts too: UTF-16 is read by ``_layers``.
 _CONTROLS = [chr(c) for c in (*range(9), 11, 12, *range(14, 32), *range(127, 160))]
 
 
-def _layers(data: bytes, above: frozenset = frozenset()) -> Iterator[tuple[str, Places]]:
-    """The texts that decoded bytes hold: of a stream what it inflates to, else their own.  A stream may hold itself."""
-    pieces = _inflated(data)
-    mark = hashlib.sha256(data).digest() if pieces else b""
-    if mark in above:
-        return
-    if pieces is not None:
-        any_ = False
-        for piece in pieces:
-            any_ = True
-            yield from ((text, None) for text, _ in _layers(piece, above | {mark}))
-        if any_:
+def _layers(data: bytes) -> Iterator[tuple[str, Places]]:
+    """The texts that decoded bytes hold: of a stream what it inflates to, in the end, else their own."""
+    if _is_stream(data):
+        pieces = _overlapping(_opened(iter([data])))
+        first = next(pieces, b"")
+        if first != data:
+            yield from ((text, None) for piece in chain([first], pieces) for text, _ in _plain(piece))
             return
+    yield from _plain(data)
+
+
+def _plain(data: bytes) -> Iterator[tuple[str, Places]]:
     wide = next((kind for kind, odd in (("utf-16-le", 1), ("utf-16-be", 0)) if len(data) >= 8 and data[odd::2].count(0) * 3 > len(data)), None)
     if wide:
         got = data.decode(wide, "replace")
@@ -125,9 +175,11 @@ def _layers(data: bytes, above: frozenset = frozenset()) -> Iterator[tuple[str,
         return
     found = _text(data)
     kept = np.arange(len(data))
-    if found is None and data.count(0) * 2 < len(data):
+    if found is None and 0 < data.count(0) * 2 < len(data):
         kept = np.flatnonzero(np.frombuffer(data, np.uint8))
         found = _text(data.replace(b"\0", b""))
+    if found is None:
+        kept, found = np.arange(len(data)), _text(data, True)
     if found:
         text, starts = found
         ends = np.append(starts[1:], len(kept)) - 1
