@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import heapq
 import json
 import unicodedata
 from functools import lru_cache
@@ -19,6 +20,9 @@ from pyspark.sql import DataFrame
 
 from .common import per_text
 
+#: Bytes of a word from which on it is merged by itself.
+LONG_WORD = 512
+
 # The vocabulary's letters and numbers are those of Unicode 16, its lower case is that of Unicode 17.  The first two
 # are ranges that ``regex`` takes for letters and for numbers beyond that; LOWER holds ranges whose lower case lies so far off.
 NO_LETTERS = (
@@ -109,6 +113,7 @@ class Vocabulary:
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.good_codes, self.good = np.empty(0, np.int64), np.empty(0, bool)
         self.chunks: dict[str, tuple[bytes, bytes]] = {}
+        self.results: dict[int, tuple[int, int]] | None = None
         self.counts = {"proposed": 0, "failed": 0}
 
     def ranks(self, codes: np.ndarray) -> np.ndarray:
@@ -193,8 +198,59 @@ class Vocabulary:
             at = np.searchsorted(self.good_codes, pairs)
         return self.good[at]
 
+    def merge_long(self, symbols: np.ndarray) -> np.ndarray:
+        """Exact merging of one long word: the pair of the lowest rank, from the left, by a queue of pairs."""
+        if self.results is None:
+            self.results = dict(zip(self.merge_codes.tolist(), zip(self.merge_ranks.tolist(), self.merge_results[self.merge_ranks].tolist(), strict=True), strict=True))
+        rank = self.ranks(symbols[:-1] << 32 | symbols[1:])
+        at = np.flatnonzero(rank != NONE)
+        queue = np.sort(rank[at] << 36 | at).tolist()  # sorted, so a heap
+        here, n, results = symbols.tolist(), len(symbols), self.results
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        while queue:
+            top = heapq.heappop(queue)
+            i = top & 0xFFFFFFFFF
+            j = after[i]
+            if here[i] < 0 or j >= n:
+                continue
+            found = results.get(here[i] << 32 | here[j])
+            if found is None or found[0] != top >> 36:
+                continue
+            here[i], here[j] = found[1], -1
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                if new := results.get(here[i] << 32 | here[k]):
+                    heapq.heappush(queue, new[0] << 36 | i)
+            if (k := before[i]) >= 0 and (new := results.get(here[k] << 32 | here[i])):
+                heapq.heappush(queue, new[0] << 36 | k)
+        left = np.array(here, np.int64)
+        return left[left >= 0]
+
     def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of distinct, not empty words one after another, and how many each has."""
+        """Ids of distinct, not empty words one after another, and how many each has.
+
+        In words of over ``LONG_WORD`` bytes some pair fails all but surely, and a proposal is as long as the word: they are
+        merged at once.
+        """
+        long = [k for k, w in enumerate(words) if len(w) > LONG_WORD]
+        if not long:
+            return self.encode_short(words)
+        flat, sizes = self.encode_short([w for w in words if len(w) <= LONG_WORD]) if len(long) < len(words) else (np.empty(0, np.int64), np.empty(0, np.int64))
+        parts, n, far = np.split(flat, np.cumsum(sizes)[:-1]) if len(sizes) else [], np.zeros(len(words), np.int64), set(long)
+        short, out = iter(parts), []
+        for k, w in enumerate(words):
+            if k in far:
+                raw = np.frombuffer(w, np.uint8)
+                out.append(self.merge_long(np.append(self.inner_of[raw[:-1]], self.final_of[raw[-1]])))
+            else:
+                out.append(next(short))
+            n[k] = len(out[-1])
+        self.counts["proposed"] += len(long)
+        self.counts["failed"] += len(long)
+        return np.concatenate(out), n
+
+    def encode_short(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         raw = np.frombuffer(b"".join(words), np.uint8)
         starts = np.cumsum(sizes) - sizes
