@@ -102,24 +102,34 @@ class Lines:
         ]
         self.template_line, self.template = (np.concatenate([p[k][p[2]] for p in pairs]) for k in (0, 1))
 
-    def open_leaves(self, leaves: Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(line, leaf, documents asked for) where enough documents hold the leaf."""
+    def open_leaves(self, leaves: Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(line, leaf, whether it goes by the last tokens, documents asked for) where enough documents hold the leaf."""
         line, leaf = np.concatenate([self.leaf_line] * 2), np.concatenate(self.leaves)
         found, at = leaves.find(leaf)
-        return line[found], leaf[found], leaves.values[at[found]]
-
-    def cells(self, line: np.ndarray, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For (line, leaf) pairs one after another: which pair each token is of, and the hash of leaf, place and token."""
-        pair = np.repeat(np.arange(len(line)), self.size[line])
-        token = np.repeat(self.start[line] - (np.cumsum(self.size[line]) - self.size[line]), self.size[line]) + np.arange(len(pair))
-        return pair, token, mix(mix(self.token[token] ^ self.at[token]) + leaf[pair].view(np.uint64)).view(np.int64)
-
-    def opened(self, line: np.ndarray, leaf: np.ndarray, frequent: Table) -> tuple[np.ndarray, np.ndarray]:
+        return line[found], leaf[found], np.flatnonzero(found) >= len(self.leaf_line), leaves.values[at[found]]
+
+    def cells(self, line: np.ndarray, leaf: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
+        """For (line, leaf) pairs one after another: which pair each token is of, the token's place in this slice, which of
+        them have to be counted, and for these the hash of leaf, place and token.
+
+        Masked tokens are never constant, and the two tokens that a leaf goes by always are: all of its documents have them.
+        """
+        size = self.size[line]
+        pair = np.repeat(np.arange(len(line)), size)
+        place = np.arange(len(pair)) - np.repeat(np.cumsum(size) - size, size)
+        token = np.repeat(self.start[line], size) + place
+        own = np.where(np.repeat(last, size), place >= np.repeat(size - 2, size), place < 2)
+        asked = np.flatnonzero(~own & (self.token[token] != _ANY))
+        to = token[asked]
+        return pair, token, asked, mix(mix(self.token[to] ^ self.at[to]) + leaf[pair[asked]].view(np.uint64)).view(np.int64)
+
+    def opened(self, line: np.ndarray, leaf: np.ndarray, last: np.ndarray, frequent: Table) -> tuple[np.ndarray, np.ndarray]:
         """The template by constant places of each (line, leaf) pair, and whether it says enough."""
-        pair, token, cell = self.cells(line, leaf)
+        pair, token, asked, cell = self.cells(line, leaf, last)
         if not len(pair):
             return np.empty(0, np.int64), np.empty(0, bool)
-        constant = frequent.find(cell)[0] & (self.token[token] != _ANY)
+        constant = self.token[token] != _ANY
+        constant[asked] = frequent.find(cell)[0]
         starts = np.cumsum(self.size[line]) - self.size[line]
         h = mix(np.add.reduceat(mix(np.where(constant, self.token[token], _ANY) ^ self.at[token]), starts) + leaf.view(np.uint64))
         return _kind(h, SHORT), np.add.reduceat(constant.astype(np.int64), starts) >= CONSTANT * self.size[line]
@@ -146,11 +156,11 @@ def _table(df: DataFrame, key: str, value: str) -> Table:
 
 
 def _once(doc: np.ndarray, *columns: np.ndarray) -> list[np.ndarray]:
-    """Rows without repeats of (doc, first column)."""
-    order = np.lexsort((columns[0], doc))
-    d, c = doc[order], columns[0][order]
-    new = np.append(True, (d[1:] != d[:-1]) | (c[1:] != c[:-1]))[: len(d)]
-    return [x[order][new] for x in (doc, *columns)]
+    """Rows without repeats of (doc, first column), by document."""
+    key = mix(columns[0].view(np.uint64) + mix(doc.astype(np.uint64) + np.uint64(1)))
+    _, first = np.unique(key, return_index=True)
+    first = first[np.argsort(doc[first], kind="stable")]
+    return [x[first] for x in (doc, *columns)]
 
 
 def _held(docs: DataFrame, make: Callable[[Lines], tuple[np.ndarray, ...]], names: list[str], whole_lines: bool = True) -> DataFrame:
@@ -202,8 +212,9 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, max_sent: in
         for batch in batches:
             for at, n in slices(batch.column(0), 1000, 1 << 22):
                 lines = Lines(batch.column(0).slice(at, n).to_pylist(), False)
-                line, leaf, asked = lines.open_leaves(box.value[1])
-                pair, _, cell = lines.cells(line, leaf)
+                line, leaf, last, asked = lines.open_leaves(box.value[1])
+                pair, _, which, cell = lines.cells(line, leaf, last)
+                pair = pair[which]
                 _, cell, asked = _once(lines.doc[line[pair]], cell, asked[pair])
                 cell, first, held = np.unique(cell, return_index=True, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(asked[first].astype(np.int64)), pa.array(held)], names=["cell", "asked", "n"])
@@ -215,8 +226,8 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, max_sent: in
     box_cells = spark.sparkContext.broadcast(_table(cells, "cell", "n"))
 
     def templates(lines: Lines) -> tuple[np.ndarray, ...]:
-        line, leaf, asked = lines.open_leaves(box.value[1])
-        template, good = lines.opened(line, leaf, box_cells.value)
+        line, leaf, last, asked = lines.open_leaves(box.value[1])
+        template, good = lines.opened(line, leaf, last, box_cells.value)
         return lines.doc[line[good]], template[good], asked[good]
 
     opened = cut(_held(keyed, templates, ["template", "asked"], False).groupBy("template").agg(F.count("*").alias("n"), F.max("asked").alias("asked"), F.min("__id").alias("first")).where("n >= asked"))
@@ -233,8 +244,8 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, max_sent: in
                 lines = Lines([t or "" for t in texts])
                 found, place = box.value[0].find(lines.template)
                 line, first = lines.template_line[found], box.value[0].values[place[found]] if len(box.value[0].keys) else np.empty(0)
-                leaf_line, leaf, _ = lines.open_leaves(box.value[1])
-                template, good = lines.opened(leaf_line, leaf, box_cells.value)
+                leaf_line, leaf, last, _ = lines.open_leaves(box.value[1])
+                template, good = lines.opened(leaf_line, leaf, last, box_cells.value)
                 hit, where = box_opened.value.find(template)
                 hit &= good
                 line = np.concatenate([line, leaf_line[hit]])
