@@ -5,6 +5,8 @@ A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last re
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,10 +14,17 @@ from ledgerloom.llm import bpe, decontaminate, line_templates, near_copies, qual
 from ledgerloom.llm.common import cut
 
 
+def _judged(docs: DataFrame, judge: Callable[[DataFrame], DataFrame], made: tuple[str, ...], keep: str) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` (which adds the columns ``made``) keeps, whatever their own columns are called."""
+    own = {c: f"__own_{k}" for k, c in enumerate(docs.columns) if c.lower() in made}
+    kept = judge(docs.withColumnsRenamed(own)).where(keep)
+    return kept.select(*[F.col(f"`{own.get(c, c)}`").alias(c) for c in docs.columns])
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier keeps."""
     model = quality_classifier.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality_classifier.classify(docs, model, docs.columns).where("kept").select(docs.columns)
+    return _judged(docs, lambda d: quality_classifier.classify(d, model, d.columns), ("expected_grade", "p_poor_or_better", "p_good", "kept"), "kept")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +40,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no passage of the benchmark."""
-    found = decontaminate.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), docs.columns)
-    return found.where("n_leaks = 0").select(docs.columns)
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return _judged(docs, lambda d: decontaminate.find_leaks(d, benchmark, d.columns), ("n_leaks", "items", "lcs", "cosine"), "n_leaks = 0")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
