@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
@@ -517,34 +518,42 @@ class Matching:
     by_amount: DataFrame
 
 
-def match_lines(lines: DataFrame, tol: int, date_window: int = DATE_WINDOW, enable_combos: bool = True) -> Matching:
-    """Both lanes through all of their passes.  Stages that later passes read twice are written to the shared folder."""
-    by_ref, pays = split_lanes(lines)
-    refs = cut(aggregate_refs(by_ref))
-    v, b = side(refs, "V"), side(refs, "B")
-    done = [match_exact(v, b)]
-    v_open, b_open = open_items(v, done[0], "vref"), open_items(b, done[0], "zref")
-    work = cut(v_open.union(b_open))
-    after = lambda found: cut(open_items(side(work, "V"), found, "vref").union(open_items(side(work, "B"), found, "zref")), instead_of=work)
-    for step, (label, key) in enumerate(RELAXED, 1):
-        done.append(cut(match_relaxed(side(work, "V"), side(work, "B"), label, key, step)))
-        work = after(done[-1])
-    for match in (lambda x, y: match_typo(x, y, tol), lambda x, y: match_value(x, y, tol, date_window)):
-        done.append(cut(match(side(work, "V"), side(work, "B"))))
-        work = after(done[-1])
-    v_open, b_open = side(work, "V"), side(work, "B")
-    combos = match_combos(v_open, b_open, tol)
-    combos = cut(combos if enable_combos else combos.where(F.lit(False)))
-    used = combos.select("recon_id", F.when(F.col("from_v"), F.array("ref")).otherwise(F.col("parts")).alias("v"), F.when(F.col("from_v"), F.col("parts")).otherwise(F.array("ref")).alias("b"))
-    v_open = open_items(v_open, used.select("recon_id", F.explode("v").alias("x")), "x")
-    b_open = open_items(b_open, used.select("recon_id", F.explode("b").alias("x")), "x")
-
+def match_payments(pays: DataFrame, tol: int, date_window: int = DATE_WINDOW) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The payment lane: V lines, B lines, and the pairs of R8 and of R9."""
     pays = cut(pays)
-    v_pay, b_pay = side(pays, "V"), side(pays, "B")
-    by_line = cut(match_payment_ref(v_pay, b_pay))
+    v, b = side(pays, "V"), side(pays, "B")
+    by_line = cut(match_payment_ref(v, b))
     left = lambda d, name: d.join(by_line.select("recon_id", F.col(name).alias("row")), ["recon_id", "row"], "left_anti").select(d.columns)
-    by_amount = cut(match_payment_amount(left(v_pay, "v_row"), left(b_pay, "b_row"), tol, date_window))
-    return Matching(v, b, reduce(DataFrame.unionByName, done), done[4], done[5], combos, v_open, b_open, v_pay, b_pay, by_line, by_amount)
+    return v, b, by_line, cut(match_payment_amount(left(v, "v_row"), left(b, "b_row"), tol, date_window))
+
+
+def match_lines(lines: DataFrame, tol: int, date_window: int = DATE_WINDOW, enable_combos: bool = True) -> Matching:
+    """Both lanes through all of their passes, side by side, for neither needs the other.
+
+    Stages that later passes read twice are written to the shared folder.
+    """
+    by_ref, pays = split_lanes(lines)
+    with ThreadPoolExecutor(1) as beside:
+        paid = beside.submit(match_payments, pays, tol, date_window)
+        refs = cut(aggregate_refs(by_ref))
+        v, b = side(refs, "V"), side(refs, "B")
+        done = [match_exact(v, b)]
+        v_open, b_open = open_items(v, done[0], "vref"), open_items(b, done[0], "zref")
+        work = cut(v_open.union(b_open))
+        after = lambda found: cut(open_items(side(work, "V"), found, "vref").union(open_items(side(work, "B"), found, "zref")), instead_of=work)
+        for step, (label, key) in enumerate(RELAXED, 1):
+            done.append(cut(match_relaxed(side(work, "V"), side(work, "B"), label, key, step)))
+            work = after(done[-1])
+        for match in (lambda x, y: match_typo(x, y, tol), lambda x, y: match_value(x, y, tol, date_window)):
+            done.append(cut(match(side(work, "V"), side(work, "B"))))
+            work = after(done[-1])
+        v_open, b_open = side(work, "V"), side(work, "B")
+        combos = match_combos(v_open, b_open, tol)
+        combos = cut(combos if enable_combos else combos.where(F.lit(False)))
+        used = combos.select("recon_id", F.when(F.col("from_v"), F.array("ref")).otherwise(F.col("parts")).alias("v"), F.when(F.col("from_v"), F.col("parts")).otherwise(F.array("ref")).alias("b"))
+        v_open = open_items(v_open, used.select("recon_id", F.explode("v").alias("x")), "x")
+        b_open = open_items(b_open, used.select("recon_id", F.explode("b").alias("x")), "x")
+        return Matching(v, b, reduce(DataFrame.unionByName, done), done[4], done[5], combos, v_open, b_open, *paid.result())
 
 
 def all_results(m: Matching, tol: int) -> DataFrame:
