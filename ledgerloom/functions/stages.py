@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own_folder: dict[str, str] = {}
+_written: dict[str, set[str]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -31,9 +32,26 @@ def cut(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.setdefault(spark.sparkContext.applicationId, set()).add(path)
     if instead_of is not None:
-        old = spark._jvm.org.apache.hadoop.fs.Path(instead_of._cut_path)
-        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+        _remove(spark, instead_of._cut_path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
     return out
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    old = spark._jvm.org.apache.hadoop.fs.Path(path)
+    old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+    _written.get(spark.sparkContext.applicationId, set()).discard(path)
+
+
+def discard_stages(spark: SparkSession) -> int:
+    """Removes the folders of all stages that this application wrote, once their results are where they belong; how many there were.
+
+    Nothing that was built on a stage can be read after that.
+    """
+    paths = sorted(_written.get(spark.sparkContext.applicationId, ()))
+    for path in paths:
+        _remove(spark, path)
+    return len(paths)
