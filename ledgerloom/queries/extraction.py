@@ -162,6 +162,18 @@ def s04_words_to_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.words_to_rows(boxes).select("doc_id", "row_idx", F.array_join(F.transform("cells", lambda c: c["s"]), "|").alias("cells"))
 
 
+def s04_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over pages of eight rows, with crooked lines: words of a line stand up to 1.5 apart, in any order."""
+    cells = from_sql(spark, sf_dir, ROWS).select("doc_id", "row_idx", F.posexplode(F.array("c0", "c1", "c2", "c3")).alias("col", "text")).where("text <> ''")
+    words = cells.select("doc_id", "row_idx", "col", F.posexplode(F.split("text", " ")).alias("w", "text"))
+    left = F.col("col") * 400 + F.col("w") * 60
+    boxes = words.select(
+        F.col("doc_id").cast("string").alias("doc_id"), (F.floor(F.col("row_idx") / 8) + 1).cast("int").alias("page"), (F.col("row_idx") * 1000 + F.col("col") * 100 + F.col("w")).alias("word_idx"), "text",
+        left.cast("double").alias("x0"), (left + 58).cast("double").alias("x1"), (F.col("row_idx") % 8 * 12 + F.pmod(F.col("col") * 7 + F.col("w") * 3, F.lit(4)) * 0.5).cast("double").alias("top"),
+    )
+    return S.words_to_rows(boxes).select("doc_id", "page", "row_idx", F.array_join(F.transform("cells", lambda c: c["s"]), "|").alias("cells"))
+
+
 def s06_select_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of five rows; of every third page a table, of every seventh one of a single row."""
     rows = grid(spark, sf_dir).withColumn("page", F.floor(F.col("row_idx") / 5).cast("int"))
@@ -348,7 +360,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         g01_find_header, g02_map_row, g03_infer_columns, g04_classify_rows, g05_resolve_amount, g06_numeric_ref, g07_document_total, g08_resolve_ref, g09_type_and_sign, g10_extract_rows, g11_dedupe, g12_counts, g13_totals_check, g14_confidence, g15_warnings, g16_extract, g16_workbook, c15_row_signals,
-        s01_intake, s02_read_delimited, s03_pick_sheet, s04_words_to_rows, s06_select_blocks, s06_document_grid, s06_document_meta, s07_transactions, s07_bodies, s07_refused, s08_responses, s08_parts,
+        s01_intake, s02_read_delimited, s03_pick_sheet, s04_words_to_rows, s04_pages, s06_select_blocks, s06_document_grid, s06_document_meta, s07_transactions, s07_bodies, s07_refused, s08_responses, s08_parts,
         v01_validate, v02_alternate_meta, v03_agreement, v04_disagreements, v05_route_auto, v06_route_prefer, v07_route_verify, v08_finalize, v09_response_meta, x_auto, x_prefer, x_verify, x_rejects,
     )
 }
@@ -431,6 +443,7 @@ ORACLES = {
     "s02_read_delimited": _WITH + "SELECT CAST(doc_id AS VARCHAR) AS doc_id, CAST(row_idx AS INT) AS row_idx, concat_ws('|', c0, c1, c2, c3) AS cells FROM rows WHERE doc_id % 17 NOT IN (3, 7) UNION ALL SELECT doc_id, 0, 'nothing to be seen here' FROM docs WHERE id % 17 = 3",
     "s03_pick_sheet": _WITH + f"SELECT doc_id, CASE WHEN CASE layout WHEN 1 THEN 0 WHEN 3 THEN least(n, 3) WHEN 4 THEN least(n + 1, 2) ELSE least(n, 2) END = CASE layout WHEN 1 THEN n WHEN 3 THEN n WHEN 4 THEN n + 2 WHEN 5 THEN 2 * n ELSE n END THEN 'Cover' ELSE 'Ledger' END AS sheet, CASE WHEN CASE layout WHEN 1 THEN 0 WHEN 3 THEN least(n, 3) WHEN 4 THEN least(n + 1, 2) ELSE least(n, 2) END = CASE layout WHEN 1 THEN n WHEN 3 THEN n WHEN 4 THEN n + 2 WHEN 5 THEN 2 * n ELSE n END THEN least(3, CAST({_by('n + 1', 'n + 4', 'n + 1', 'n', 'n + 3', '2 * n + 2')} AS BIGINT)) ELSE CAST({_by('n + 1', 'n + 4', 'n + 1', 'n', 'n + 3', '2 * n + 2')} AS BIGINT) END AS n FROM docs",
     "s04_words_to_rows": _WITH + "SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY row_idx) - 1 AS INT) AS row_idx, cells FROM (SELECT CAST(doc_id AS VARCHAR) AS doc_id, row_idx, concat_ws('|', nullif(c0, ''), nullif(c1, ''), nullif(c2, ''), nullif(c3, '')) AS cells FROM rows) WHERE cells <> ''",
+    "s04_pages": _WITH + "SELECT doc_id, page, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY row_idx) - 1 AS INT) AS row_idx, cells FROM (SELECT CAST(doc_id AS VARCHAR) AS doc_id, row_idx, CAST(row_idx // 8 + 1 AS INT) AS page, concat_ws('|', nullif(c0, ''), nullif(c1, ''), nullif(c2, ''), nullif(c3, '')) AS cells FROM rows) WHERE cells <> ''",
     "s06_select_blocks": _WITH + ", p AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, row_idx // 5 AS page, count(*) AS n FROM rows GROUP BY 1, 2) SELECT doc_id, CAST(sum(CAST(page % 3 = 0 AND n >= 2 AS INT)) AS BIGINT) AS tables, CAST(sum(CAST(NOT (page % 3 = 0 AND n >= 2) AS INT)) AS BIGINT) AS text_pages, false AS scanned FROM p GROUP BY 1",
     "s07_transactions": f"SELECT recon_id, side, CAST(row_number() OVER (PARTITION BY recon_id, side ORDER BY row) - 1 AS BIGINT) AS row, ref, date_iso, type, amount FROM ({LINES})",
     "g16_workbook": _WITH + "SELECT doc_id, ref, date_iso, type, amount, row FROM records",
