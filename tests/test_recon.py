@@ -173,3 +173,13 @@ def test_contra_is_asymmetric_at_zero(spark):
 def test_empty(spark):
     results, summary = R.reconcile(spark.createDataFrame([], SCHEMA))
     assert results.count() == 0 and summary.count() == 0
+
+
+def test_typo_candidates_are_not_sent_through_the_driver(spark, tmp_path):
+    """A side is exploded to a row per place of its references, which its size before that does not tell."""
+    refs = spark.createDataFrame([(1, "V", f"INV-{k:06d}", 100 * k) for k in range(50)] + [(1, "B", f"1NV-{k:06d}", 100 * k) for k in range(50)], "recon_id long, side string, ref string, cents long")
+    refs.write.parquet(str(tmp_path / "refs"))  # a file has a size that Spark goes by
+    refs = spark.read.parquet(str(tmp_path / "refs"))
+    met = R.typo_candidates(R.side(refs, "V"), R.side(refs, "B"), 0)
+    assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.v, r.b) for r in met.collect()) == [(f"INV-{k:06d}", f"1NV-{k:06d}") for k in range(50)]
