@@ -39,16 +39,18 @@ def map_row(texts: Column) -> Column:
 def find_header(read: DataFrame) -> DataFrame:
     """G1: ``doc_id, header_row`` and the column numbers, a row per document; header_row -1 if there is none."""
     order = W.partitionBy("doc_id").orderBy("row_idx")
-    top = read.where(F.col("row_idx") <= HEADER_ROWS).withColumn("next", F.lead("c").over(order))
+    full = F.transform("c", lambda x: F.when(x["full"], x["txt"]))
+    is_data = F.exists("c", lambda x: x["full"] & x["iso"].isNotNull()) | (F.size(F.filter("c", lambda x: x["amt"].isNotNull())) >= 2)
+    top = read.where(F.col("row_idx") <= HEADER_ROWS).select("doc_id", "row_idx", full.alias("t"), ((F.size("c") > 0) & ~F.coalesce(is_data, F.lit(True))).alias("merges"))
+    top = top.withColumn("next", F.lead(F.struct("t", "merges")).over(order))
+    both = F.zip_with("t", "next.t", lambda a, b: F.nullif(F.trim(F.concat_ws(" ", a, b)), F.lit("")))
     none = F.array().cast("array<string>")
-    is_data = F.exists("next", lambda x: x["full"] & x["iso"].isNotNull()) | (F.size(F.filter("next", lambda x: x["amt"].isNotNull())) >= 2)
-    merge = F.col("next").isNotNull() & (F.size("next") > 0) & ~F.coalesce(is_data, F.lit(True))
-    both = F.zip_with("c", "next", lambda a, b: F.nullif(F.trim(F.concat_ws(" ", F.when(a["full"], a["txt"]), F.when(b["full"], b["txt"]))), F.lit("")))
-    tries = F.array(F.struct(F.lit(1).alias("span"), F.transform("c", lambda x: x["txt"]).alias("t")), F.struct(F.lit(2).alias("span"), F.when(merge, both).otherwise(none).alias("t")))
+    tries = F.array(F.struct(F.lit(1).alias("span"), F.col("t")), F.struct(F.lit(2).alias("span"), F.when(F.col("next.merges"), both).otherwise(none).alias("t")))
     cand = top.where(F.col("row_idx") < HEADER_ROWS).select("doc_id", "row_idx", F.explode(tries).alias("x")).select("doc_id", "row_idx", "x.span", map_row(F.col("x.t")).alias("m"))
     usable = (F.col("m.ref_col") >= 0) | (F.col("m.amount_col") >= 0) | ((F.col("m.debit_col") >= 0) & (F.col("m.credit_col") >= 0))
     rank = F.struct(F.col("m.hits"), -F.col("row_idx"), -F.col("span"))
-    best = cand.where(usable).groupBy("doc_id").agg(F.max_by(F.struct((F.col("row_idx") + F.col("span") - 1).alias("header_row"), "m"), rank).alias("b"))
+    # What is not usable has no rank.  A filter would go below the mapping and work it out once for each column it asks about.
+    best = cand.groupBy("doc_id").agg(F.max_by(F.struct((F.col("row_idx") + F.col("span") - 1).alias("header_row"), "m"), F.when(usable, rank)).alias("b"))
     docs = read.select("doc_id").distinct()
     col = lambda n: F.coalesce(F.col(f"b.m.{n}"), F.lit(-1)).alias(n)
     return docs.join(best, "doc_id", "left").select("doc_id", F.coalesce("b.header_row", F.lit(-1)).cast("int").alias("header_row"), *map(col, COLUMNS))

@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import datetime
 
+from pyspark.sql import functions as F
+
 from ledgerloom.operators import grid as G
 from ledgerloom.sources import files as S
 
@@ -122,3 +124,13 @@ def test_outputs_are_read_back(spark, tmp_path):
         S.write_recon(results, summary, f"{tmp_path}/{fmt}", fmt)
         assert [r.status for r in spark.read.format(fmt).load(f"{tmp_path}/{fmt}/results").collect()] == ["MATCHED"]
         assert spark.read.format(fmt).load(f"{tmp_path}/{fmt}/summary").count() == 1
+
+
+def test_a_header_row_is_mapped_once(spark, tmp_path):
+    """What is asked about the mapping must not go below it, where each column asked about would map the row once more."""
+    one = spark.createDataFrame([("a", 0, [("Date",), ("Reference",), ("Amount",)]), ("a", 1, [("01-02-2024",), ("INV-1234",), ("5.00",)])], "doc_id string, row_idx int, cells array<struct<s: string>>")
+    G.read_grid(one).write.parquet(str(tmp_path / "read"))
+    read = spark.read.parquet(str(tmp_path / "read"))
+    uses = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("gross amount")
+    assert uses(G.find_header(read)) == uses(read.select(G.map_row(F.transform("c", lambda x: x["txt"])).alias("m")))
+    assert [(r.header_row, r.date_col, r.ref_col, r.amount_col) for r in G.find_header(read).collect()] == [(0, 0, 1, 2)]
