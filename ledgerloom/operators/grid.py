@@ -33,7 +33,8 @@ def map_row(texts: Column) -> Column:
     def row(at: Column) -> Column:
         return F.struct(*[F.get(at, F.lit(k)).alias(n) for k, n in enumerate(COLUMNS)], F.size(F.filter(at, lambda x: x >= 0)).alias("hits"))
 
-    return S.let(S.let(roles, place), row)
+    nothing = F.array_repeat(F.lit(-1), len(S.ROLES))
+    return S.let(S.let(roles, lambda found: F.when(F.exists(found, lambda r: r != ""), place(found)).otherwise(nothing)), row)
 
 
 def find_header(read: DataFrame) -> DataFrame:
@@ -44,8 +45,8 @@ def find_header(read: DataFrame) -> DataFrame:
     top = read.where(F.col("row_idx") <= HEADER_ROWS).select("doc_id", "row_idx", full.alias("t"), ((F.size("c") > 0) & ~F.coalesce(is_data, F.lit(True))).alias("merges"))
     top = top.withColumn("next", F.lead(F.struct("t", "merges")).over(order))
     both = F.zip_with("t", "next.t", lambda a, b: F.nullif(F.trim(F.concat_ws(" ", a, b)), F.lit("")))
-    none = F.array().cast("array<string>")
-    tries = F.array(F.struct(F.lit(1).alias("span"), F.col("t")), F.struct(F.lit(2).alias("span"), F.when(F.col("next.merges"), both).otherwise(none).alias("t")))
+    alone, merged = (F.struct(F.lit(span).alias("span"), t.alias("t")) for span, t in ((1, F.col("t")), (2, both)))
+    tries = F.when(F.col("next.merges"), F.array(alone, merged)).otherwise(F.array(alone))
     cand = top.where(F.col("row_idx") < HEADER_ROWS).select("doc_id", "row_idx", F.explode(tries).alias("x")).select("doc_id", "row_idx", "x.span", map_row(F.col("x.t")).alias("m"))
     usable = (F.col("m.ref_col") >= 0) | (F.col("m.amount_col") >= 0) | ((F.col("m.debit_col") >= 0) & (F.col("m.credit_col") >= 0))
     rank = F.struct(F.col("m.hits"), -F.col("row_idx"), -F.col("span"))
@@ -139,7 +140,7 @@ def extract_rows(rows: DataFrame) -> DataFrame:
     flip = F.col("type").isin("Credit Note", "Payment") & (F.col("amount") > 0) & (F.coalesce(_cell("credit")["amt"], F.lit(0.0)) == 0)
     date = _cell("date")
     return data.select(
-        "doc_id", "ref", S.strip("raw_ref").alias("ref_raw"), F.coalesce(F.nullif(S.strip(date["txt"]), F.lit("")), date["iso"], F.lit("")).alias("date"), date["iso"].alias("date_iso"), "type",
+        "doc_id", "ref", S.strip("raw_ref").alias("ref_raw"), F.coalesce(S.let(S.strip(date["txt"]), lambda s: F.when(s != "", s)), date["iso"], F.lit("")).alias("date"), date["iso"].alias("date_iso"), "type",
         F.round(F.when(flip, -F.col("amount")).otherwise(F.col("amount")), 2).alias("amount"), (F.col("row_idx") + 1).cast("int").alias("row"),
         (F.col("amount").isNotNull() & (F.col("ref") != "")).alias("valid"),
     )

@@ -57,3 +57,21 @@ def test_short_ways_give_what_the_long_way_does(spark):
     refs = {"1,234.50": False, "123456789": True, "0123456": False, "01234567": True, "1,123456789.": False, "012345,6": False, "No 123": True}
     cells = spark.createDataFrame([(a, a) for a in refs], "a string, s string").select("a", S.read_cell(F.struct("s", F.lit(None).cast("double").alias("d"), F.lit(None).cast("timestamp").alias("ts"), F.lit(None).cast("bigint").alias("i")))["ref"].alias("x"), S.looks_like_ref(F.col("s")).alias("y")).collect()
     assert all(r.x == r.y for r in cells)
+
+
+def test_cells_told_by_one_look_are_read_as_by_all(spark):
+    """Amounts, dates, references and words have short ways; what comes out is what the full patterns say, and nothing asks for
+    the type of a whole expression at every row, as an item taken out of a transformed array does."""
+    texts = [
+        "", " ", "Invoice", "nil", "-", "1,234.56", "1234567", "12", "999,999,999,999,999.99", "1,23.5", "1.5E3", "0123456", "12.", "1,234.5678901", "05-06-2021", "31-02-2021", "05/06/2021", "05-06/2021", "12/34/5678", "5-6-21",
+        "INV-00000123", "CN-00000123", "AED-000123", "V-123", "INV-12", "INV-00000123\n", "INV 00000123", "GKVW#x", "#", "PHUB1", "a١٢٣", "١٢", " 5.00", "1,234.56\n", "KAB-1234", "(5.00)", "5.00 CR", "Mar 5, 2020", "2020-01-02",
+        "5 March  2020", "05-06-2021 ", "1,234.56-", "0000-00-00", "00-00-0000", "INV/1/2", "\x001", "ſub total 5", "K1-2", "12345678-1234",
+    ]
+    df = spark.createDataFrame([(t,) for t in texts], "s string")
+    cell = F.struct("s", F.lit(None).cast("double").alias("d"), F.lit(None).cast("timestamp").alias("ts"), F.lit(None).cast("bigint").alias("i"))
+    iso = S.parse_date_iso(F.col("s"))
+    hint = F.coalesce(iso.isNull() & ~F.col("s").rlike(S.NO_REF) & F.col("s").rlike("(?iU)" + S.REF_HINT), F.lit(False))
+    got = df.select("s", S.read_cell(cell).alias("c")).select("s", "c.*")
+    assert "transform(array(" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want = df.select("s", F.col("s").alias("txt"), S.parse_amount(F.col("s")).alias("amt"), iso.alias("iso"), hint.alias("ref"), (F.col("s") != "").alias("full"))
+    assert {r.s: r for r in got.collect()} == {r.s: r for r in want.collect()}
