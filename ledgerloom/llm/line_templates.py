@@ -203,10 +203,14 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, max_sent: in
     others = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     base = docs.select(*[docs[f"`{c}`"] for c in others])
     recurring = cut(recurring_templates(base, min_docs))
-    if recurring.count() > max_sent:
+    sizes = {r["leaf"]: r["count"] for r in recurring.groupBy("leaf").count().collect()}
+    if sizes.get(True, 0) > max_sent:
         return _drop_by_join(base, recurring, min_docs)
+    # Whole lines that recur are as many as the corpus has copies of; they are joined alone, without tokens.
+    joined = sizes.get(False, 0) > max_sent
     spark, keyed = docs.sparkSession, base.select(F.col("doc_id").alias("__id"), "text")
-    box = spark.sparkContext.broadcast((_table(recurring.where("not leaf"), "template", "first"), _table(recurring.where("leaf"), "template", "asked")))
+    sent = recurring.where("not leaf").where(F.lit(not joined))
+    box = spark.sparkContext.broadcast((_table(sent, "template", "first"), _table(recurring.where("leaf"), "template", "asked")))
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -241,7 +245,9 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, max_sent: in
             for at, n in slices(batch.column(at_text), 1000, 1 << 22):
                 part = batch.slice(at, n)
                 texts, ids = part.column(at_text).to_pylist(), part.column(at_id).to_pylist()
-                lines = Lines([t or "" for t in texts])
+                lines = Lines([t or "" for t in texts], not joined)
+                if joined:
+                    lines.template_line, lines.template = np.empty(0, np.int64), np.empty(0, np.int64)
                 found, place = box.value[0].find(lines.template)
                 line, first = lines.template_line[found], box.value[0].values[place[found]] if len(box.value[0].keys) else np.empty(0)
                 leaf_line, leaf, last, _ = lines.open_leaves(box.value[1])
@@ -250,7 +256,7 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, max_sent: in
                 hit &= good
                 line = np.concatenate([line, leaf_line[hit]])
                 first = [*first, *(box_opened.value.values[where[hit]] if len(box_opened.value.keys) else ())]
-                gone: dict[int, set[int]] = {}
+                gone: dict[int, set[int]] = {k: set(x) for k, x in enumerate(part.column(len(others)).to_pylist()) if x} if joined else {}
                 for own, doc, no, least in zip(line.tolist(), lines.doc[line].tolist(), lines.no[line].tolist(), first, strict=True):
                     if least is not None and (ids[doc] is None or least < ids[doc]):
                         gone.setdefault(doc, set()).add(no)
@@ -261,7 +267,33 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, max_sent: in
                 arrays = [pa.array(texts, pa.string()) if i == at_text else part.column(i) for i in range(len(others))]
                 yield pa.RecordBatch.from_arrays([*arrays, pa.array(counts, pa.int64()), pa.array([len(gone.get(k, ())) for k in range(n)], pa.int64())], names=[*others, "n_lines", "n_dropped"])
 
-    return base.withColumn("text", F.col("text").cast("string")).mapInArrow(drop, ", ".join(f"`{c}` {'string' if c == 'text' else base.schema[c].dataType.simpleString()}" for c in others) + ", n_lines long, n_dropped long")
+    texts = base.withColumn("text", F.col("text").cast("string"))
+    if joined:
+        texts = _with_gone(texts, recurring.where("not leaf"))
+    return texts.mapInArrow(drop, ", ".join(f"`{c}` {'string' if c == 'text' else base.schema[c].dataType.simpleString()}" for c in others) + ", n_lines long, n_dropped long")
+
+
+def _with_gone(texts: DataFrame, recurring: DataFrame) -> DataFrame:
+    """``texts`` and ``__gone``: the numbers of lines that a smaller doc_id holds as a whole, by a join of hashes.
+
+    Rows meet again by id and a hash of the text: what goes from a row depends on nothing else.
+    """
+    key = F.xxhash64("text").alias("__text")
+    keyed = texts.where("text is not null").select(F.col("doc_id").alias("__id"), key, "text")
+    kind = keyed.schema["__id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, n in slices(batch.column(2), 1000, 1 << 22):
+                part, lines = batch.slice(at, n), Lines(batch.column(2).slice(at, n).to_pylist())
+                of = pa.array(lines.doc[lines.template_line])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(of), part.column(1).take(of), pa.array(lines.no[lines.template_line].astype(np.int32)), pa.array(lines.template)], names=["__id", "__text", "line", "template"])
+
+    held = keyed.mapInArrow(run, f"__id {kind}, __text long, line int, template long")
+    later = F.col("first").isNotNull() & (F.col("__id").isNull() | (F.col("first") < F.col("__id")))
+    gone = held.join(recurring.select("template", "first"), "template").where(later).groupBy("__id", "__text").agg(F.collect_set("line").alias("__gone"))
+    whole = texts.select("*", key.alias("__own"))
+    return whole.join(gone, whole["doc_id"].eqNullSafe(gone["__id"]) & (whole["__own"] == gone["__text"]), "left").select(*texts.columns, "__gone")
 
 
 def _drop_by_join(base: DataFrame, recurring: DataFrame, min_docs: int) -> DataFrame:

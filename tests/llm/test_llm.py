@@ -449,6 +449,19 @@ def test_long_lines_that_few_share(spark):
         assert all("only five words are shared" in got[k] for k in (0, 2, 3)) and all(f"own words {'x' * k}" in got[k] for k in range(5))
 
 
+def test_many_whole_lines_are_joined_without_tokens(spark, monkeypatch):
+    """Whole lines beyond the limit no longer drag the tokens of every line through joins; few leaves are sent all the same."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    shared = [" ".join(word() for _ in range(9)) for _ in range(120)]
+    rows = [(k if k % 40 else None, f"own {word()}\n{shared[k % 120]}\nPosted by {word()} in news\n\n{shared[k * 7 % 120]}") for k in range(1, 260)]
+    docs = spark.createDataFrame([*rows, rows[30], (9, None), (None, "")], "doc_id long, text string").repartition(3)
+    keep = lambda sent: sorted(repr((r.doc_id, r.text, r.n_lines, r.n_dropped)) for r in line_templates.drop_recurring_lines(docs, max_sent=sent).collect())
+    want = keep(line_templates.MAX_SENT)
+    monkeypatch.setattr(line_templates, "_drop_by_join", None)
+    assert keep(60) == want
+
+
 def test_short_variable_and_opened_lines(spark):
     names = ["".join(random.Random(k).choice("abcdefgh") for _ in range(9)) for k in range(12)]
     lines = ["Read more", "Tel: 555-1234 Fax: 555-9876", "Posted by {} in news", "the meeting was opened by our dear friend {} who then read the report aloud"]
