@@ -90,7 +90,7 @@ def heap(tmp_path_factory):
     return str(at)
 
 
-@pytest.mark.parametrize("name", ["r21_reconcile", "r21_contended", "r21_contended_summary", "r21_summary"])
+@pytest.mark.parametrize("name", ["r21_reconcile", "r21_contended", "r21_contended_summary", "r21_summary", "r19_findings"])
 def test_queries_tell_every_pair(spark, heap, name):
     """More pairs than ``PAIRS`` and more partners than ``PARTNERS``: the rows are those of the SQL all the same."""
     import duckdb
