@@ -35,6 +35,8 @@ CONSTANT = 0.6
 LEAF_SHARE = 0.1
 #: Tables are sent to all executors up to so many rows (24 bytes each); beyond, they are joined.
 MAX_SENT = 1_000_000
+#: Of a table that is joined, a bit for each key is sent, so that only what may be in it takes part: 64 bits a key up to so many words.
+MAX_WORDS = 1 << 21
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -108,6 +110,12 @@ class Lines:
         found, at = leaves.find(leaf)
         return line[found], leaf[found], np.flatnonzero(found) >= len(self.leaf_line), leaves.values[at[found]]
 
+    def sifted_leaves(self, leaves: Sieve) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(line, leaf, whether it goes by the last tokens) where enough documents may hold the leaf."""
+        line, leaf = np.concatenate([self.leaf_line] * 2), np.concatenate(self.leaves)
+        found = leaves.passes(leaf)
+        return line[found], leaf[found], np.flatnonzero(found) >= len(self.leaf_line)
+
     def cells(self, line: np.ndarray, leaf: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
         """For (line, leaf) pairs one after another: which pair each token is of, the token's place in this slice, which of
         them have to be counted, and for these the hash of leaf, place and token.
@@ -134,6 +142,28 @@ class Lines:
         h = mix(np.add.reduceat(mix(np.where(constant, self.token[token], _ANY) ^ self.at[token]), starts) + leaf.view(np.uint64))
         return _kind(h, SHORT), np.add.reduceat(constant.astype(np.int64), starts) >= CONSTANT * self.size[line]
 
+    def sifted(self, line: np.ndarray, leaf: np.ndarray, last: np.ndarray, frequent: Sieve) -> tuple[np.ndarray, ...]:
+        """Of the (line, leaf) pairs whose template says enough if all cells that pass are frequent: line, leaf, the shape that
+        none of them is part of, its constant tokens, how many cells pass; then, for one pair after another, these cells and
+        what each changes in the shape (by exclusive or)."""
+        pair, token, asked, cell = self.cells(line, leaf, last)
+        if not len(pair):
+            return line[:0], leaf[:0], np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), cell[:0], cell[:0]
+        named, at = self.token[token], self.at[token]
+        constant = named != _ANY
+        constant[asked] = False
+        starts = np.cumsum(self.size[line]) - self.size[line]
+        shape = np.bitwise_xor.reduceat(mix(np.where(constant, named, _ANY) ^ at), starts)
+        fixed = np.add.reduceat(constant.astype(np.int64), starts)
+        passed = frequent.passes(cell)
+        asked, cell = asked[passed], cell[passed]
+        some = np.bincount(pair[asked], minlength=len(line))
+        good = fixed + some >= CONSTANT * self.size[line]
+        kept = good[pair[asked]]
+        asked, cell = asked[kept], cell[kept]
+        change = mix(named[asked] ^ at[asked]) ^ mix(_ANY ^ at[asked])
+        return line[good], leaf[good], shape[good].view(np.int64), fixed[good], some[good], cell, change.view(np.int64)
+
 
 class Table:
     """Sorted 64-bit keys with a value each."""
@@ -149,6 +179,29 @@ class Table:
         return self.keys[at] == keys, at
 
 
+class Sieve:
+    """A bit for each of many 64-bit keys.  All of them pass, and few others: at most one in 64 while there is a word for each key."""
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+
+    def passes(self, keys: np.ndarray) -> np.ndarray:
+        h = keys.view(np.uint64)
+        word = self.words[(h >> np.uint64(8) & np.uint64(len(self.words) - 1)).view(np.int64)]
+        return (word >> (h >> np.uint64(2) & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def _sieve(keys: DataFrame, key: str) -> Sieve:
+    """Bits are set where the keys are, and at most ``MAX_WORDS`` words come to the driver."""
+    size = min(MAX_WORDS, 1 << keys.count().bit_length())
+    word = F.shiftright(key, 8).bitwiseAND(F.lit(size - 1).cast("long")).alias("word")
+    bit = F.expr(f"shiftleft(1L, cast(shiftright(`{key}`, 2) & 63L as int))")
+    got = keys.groupBy(word).agg(F.bit_or(bit).alias("bits")).toArrow()
+    words = np.zeros(size, np.uint64)
+    words[got.column(0).to_numpy()] = got.column(1).to_numpy().view(np.uint64)
+    return Sieve(words)
+
+
 def _table(df: DataFrame, key: str, value: str) -> Table:
     got = df.select(key, value).toArrow()
     values = got.column(1)
@@ -226,7 +279,7 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, max_sent: in
     found = keyed.where("text is not null").select(F.col("text").cast("string")).mapInArrow(places, "cell long, asked long, n long")
     cells = cut(found.groupBy("cell").agg(F.sum("n").alias("n"), F.max("asked").alias("asked")).where("n >= asked"))
     if cells.count() > max_sent:
-        return _drop_by_join(base, recurring, min_docs)
+        return _drop_by_join(base, recurring, min_docs, cells)
     box_cells = spark.sparkContext.broadcast(_table(cells, "cell", "n"))
 
     def templates(lines: Lines) -> tuple[np.ndarray, ...]:
@@ -236,7 +289,7 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, max_sent: in
 
     opened = cut(_held(keyed, templates, ["template", "asked"], False).groupBy("template").agg(F.count("*").alias("n"), F.max("asked").alias("asked"), F.min("__id").alias("first")).where("n >= asked"))
     if opened.count() > max_sent:
-        return _drop_by_join(base, recurring, min_docs)
+        return _drop_by_join(base, recurring, min_docs, cells)
     box_opened = spark.sparkContext.broadcast(_table(opened, "template", "first"))
     at_text, at_id = others.index("text"), others.index("doc_id")
 
@@ -274,63 +327,109 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, max_sent: in
 
 
 def _with_gone(texts: DataFrame, recurring: DataFrame) -> DataFrame:
-    """``texts`` and ``__gone``: the numbers of lines that a smaller doc_id holds as a whole, by a join of hashes.
-
-    Rows meet again by id and a hash of the text: what goes from a row depends on nothing else.
-    """
-    key = F.xxhash64("text").alias("__text")
-    keyed = texts.where("text is not null").select(F.col("doc_id").alias("__id"), key, "text")
-    kind = keyed.schema["__id"].dataType.simpleString()
+    """``texts`` and ``__gone``: the numbers of lines that a smaller doc_id holds as a whole, by a join of hashes."""
+    keyed = _keyed(texts)
+    box = texts.sparkSession.sparkContext.broadcast(_sieve(recurring, "template"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, n in slices(batch.column(2), 1000, 1 << 22):
-                part, lines = batch.slice(at, n), Lines(batch.column(2).slice(at, n).to_pylist())
-                of = pa.array(lines.doc[lines.template_line])
-                yield pa.RecordBatch.from_arrays([part.column(0).take(of), part.column(1).take(of), pa.array(lines.no[lines.template_line].astype(np.int32)), pa.array(lines.template)], names=["__id", "__text", "line", "template"])
+            for at, n in slices(batch.column(3), 1000, 1 << 22):
+                part, lines = batch.slice(at, n), Lines(batch.column(3).slice(at, n).to_pylist())
+                found = box.value.passes(lines.template)
+                line = lines.template_line[found]
+                of = pa.array(lines.doc[line])
+                yield pa.RecordBatch.from_arrays([part.column(1).take(of), part.column(2).take(of), pa.array(lines.no[line].astype(np.int32)), pa.array(lines.template[found])], names=["__id", "__text", "line", "template"])
+
+    held = keyed.mapInArrow(run, f"__id {keyed.schema['__id'].dataType.simpleString()}, __text long, line int, template long")
+    return _join_gone(texts, held.join(recurring.select("template", "first"), "template"))
+
+
+def _keyed(base: DataFrame) -> DataFrame:
+    """``__row`` (which only what is made in one pass may go by), ``__id``, ``__text`` (a hash of the text) and ``text`` of the rows that have one."""
+    text = F.col("text").cast("string")
+    return base.select(F.monotonically_increasing_id().alias("__row"), F.col("doc_id").alias("__id"), F.xxhash64(text).alias("__text"), text.alias("text")).where("text is not null")
+
 
-    held = keyed.mapInArrow(run, f"__id {kind}, __text long, line int, template long")
+def _join_gone(texts: DataFrame, hits: DataFrame) -> DataFrame:
+    """``texts`` and ``__gone``: the lines of ``hits`` (``__id, __text, line, first``) that a smaller doc_id holds.
+
+    Rows meet again by id and a hash of the text: what goes from a row depends on nothing else.  Texts are dealt out, but not sorted.
+    """
     later = F.col("first").isNotNull() & (F.col("__id").isNull() | (F.col("first") < F.col("__id")))
-    gone = held.join(recurring.select("template", "first"), "template").where(later).groupBy("__id", "__text").agg(F.collect_set("line").alias("__gone"))
-    whole = texts.select("*", key.alias("__own"))
-    return whole.join(gone, whole["doc_id"].eqNullSafe(gone["__id"]) & (whole["__own"] == gone["__text"]), "left").select(*texts.columns, "__gone")
+    gone = hits.where(later).groupBy("__id", "__text").agg(F.collect_set("line").alias("__gone"))
+    whole = texts.select("*", F.xxhash64(F.col("text").cast("string")).alias("__own"))
+    return whole.join(gone.hint("shuffle_hash"), whole["doc_id"].eqNullSafe(gone["__id"]) & (whole["__own"] == gone["__text"]), "left").select(*texts.columns, "__gone")
 
 
-def _drop_by_join(base: DataFrame, recurring: DataFrame, min_docs: int) -> DataFrame:
-    """The same where the tables are too large to be sent: lines are joined to them."""
-    rows = cut(base.withColumn("__row", F.monotonically_increasing_id()))  # written, so that a row keeps its number
-    keyed = rows.select("__row", F.col("doc_id").alias("__id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    kind = keyed.schema["__id"].dataType.simpleString()
+def _drop_by_join(base: DataFrame, recurring: DataFrame, min_docs: int, cells: DataFrame | None = None) -> DataFrame:
+    """The same where tables are too large to be sent: bits of their keys are, and what passes them is joined, as hashes alone.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A template is the leaf and the exclusive or of its places, so the frequent cells of a line that were found by a join make
+    it up without the line's tokens.  ``cells``: the frequent tokens, if they are counted already.
+    """
+    spark, keyed = base.sparkSession, _keyed(base)
+    leaves, whole = recurring.where("leaf").select(F.col("template").alias("leaf"), "asked"), recurring.where("not leaf").select("template", "first")
+    box_leaves = spark.sparkContext.broadcast(_sieve(leaves, "leaf"))
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, n in slices(batch.column(2), 1000, 1 << 22):
-                part, lines = batch.slice(at, n), Lines(batch.column(2).slice(at, n).to_pylist())
-                for line, key, has_tokens in ((lines.template_line, lines.template, False), (np.concatenate([lines.leaf_line] * 2), np.concatenate(lines.leaves), True)):
-                    of = pa.array(lines.doc[line])
-                    tokens = [lines.token[lines.start[k] : lines.start[k] + lines.size[k]].view(np.int64) for k in line] if has_tokens else [None] * len(line)
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(of), part.column(1).take(of), pa.array(lines.no[line].astype(np.int32)), pa.array(key), pa.array(tokens, pa.list_(pa.int64()))], names=["__row", "__id", "line", "template", "tokens"])
-
-    every = cut(keyed.mapInArrow(run, f"__row long, __id {kind}, line int, template long, tokens array<long>"))
-    place = ["__row", "line"]
-    met = every.where("tokens is null").join(recurring.where("not leaf").select("template", "first"), "template").select("__row", "__id", "line", "first")
-    leaves = every.where("tokens is not null").join(recurring.where("leaf").select("template", "asked"), "template")
-    open_ = cut(leaves.select("__row", "__id", "line", F.col("template").alias("leaf"), "asked", "tokens"))
-    cells = open_.select("*", F.posexplode("tokens").alias("pos", "token")).drop("tokens")
-    cell = ["leaf", "pos", "token"]
-    frequent = cells.select("__row", "asked", *cell).distinct().groupBy(*cell).agg(F.count("*").alias("n"), F.max("asked").alias("asked")).where("n >= asked").select(*cell, F.lit(True).alias("constant"))
-    marked = cells.join(frequent, cell, "left").withColumn("constant", F.coalesce("constant", F.lit(False)) & (F.col("token") != int(_ANY.view(np.int64))))
-    shape = F.array_sort(F.collect_list(F.struct("pos", F.when(F.col("constant"), F.col("token")).alias("token"))))
-    named = marked.groupBy(*place, "leaf").agg(F.first("__id").alias("__id"), F.first("asked").alias("asked"), shape.alias("shape"), F.count_if("constant").alias("fixed"), F.count("*").alias("size"))
-    named = cut(named.where(F.col("fixed") >= CONSTANT * F.col("size")).select(*place, "leaf", "__id", "asked", F.to_json("shape").alias("shape")))
+            for at, n in slices(batch.column(0), 1000, 1 << 22):
+                lines = Lines(batch.column(0).slice(at, n).to_pylist(), False)
+                line, leaf, last = lines.sifted_leaves(box_leaves.value)
+                pair, _, which, cell = lines.cells(line, leaf, last)
+                pair = pair[which]
+                _, cell, leaf = _once(lines.doc[line[pair]], cell, leaf[pair])
+                cell, first, held = np.unique(cell, return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(leaf[first]), pa.array(held)], names=["cell", "leaf", "n"])
+
+    if cells is None:
+        found = keyed.select("text").mapInArrow(places, "cell long, leaf long, n long")
+        counted = found.groupBy("cell").agg(F.sum("n").alias("n"), F.max("leaf").alias("leaf")).where(F.col("n") >= min_docs)
+        cells = cut(counted.join(leaves, "leaf").where("n >= asked").select("cell"))
+    box_cells, box_whole = (spark.sparkContext.broadcast(_sieve(d, c)) for d, c in ((cells, "cell"), (whole, "template")))
+    named = {"__row": "long", "__id": keyed.schema["__id"].dataType.simpleString(), "__text": "long", "line": "int", "key": "long", "shape": "long", "fixed": "long", "size": "long", "cells": "array<long>", "changes": "array<long>"}
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Whole lines (of size 0) and pairs of line and leaf that may recur."""
+        for batch in batches:
+            for at, n in slices(batch.column(3), 1000, 1 << 22):
+                part, lines = batch.slice(at, n), Lines(batch.column(3).slice(at, n).to_pylist())
+                same = box_whole.value.passes(lines.template)
+                pair, leaf, shape, fixed, some, cell, change = lines.sifted(*lines.sifted_leaves(box_leaves.value), box_cells.value)
+                none = np.zeros(int(same.sum()), np.int64)
+                line = np.concatenate([lines.template_line[same], pair])
+                of, ends = pa.array(lines.doc[line]), pa.array(np.cumsum(np.concatenate([[0], none, some])).astype(np.int32))
+                numbers = [np.concatenate([lines.template[same], leaf]), *(np.concatenate([none, x]) for x in (shape, fixed, lines.size[pair]))]
+                arrays = [*(part.column(k).take(of) for k in range(3)), pa.array(lines.no[line].astype(np.int32)), *map(pa.array, numbers), *(pa.ListArray.from_arrays(ends, pa.array(x)) for x in (cell, change))]
+                yield pa.RecordBatch.from_arrays(arrays, names=list(named))
+
+    sifted = cut(keyed.mapInArrow(sift, ", ".join(f"{c} {kind}" for c, kind in named.items())))
+    pairs, place = sifted.where("size > 0"), ["__row", "line", "key"]
+    each = pairs.select(*place, F.explode(F.arrays_zip("cells", "changes")).alias("x")).select(*place, F.col("x.cells").alias("cell"), F.col("x.changes").alias("change"))
+    frequent = each.join(cells.select("cell"), "cell").groupBy(*place).agg(F.count("*").alias("n"), F.bit_xor("change").alias("change"))
+    told = pairs.join(frequent, place, "left").where(F.col("fixed") + F.coalesce("n", F.lit(0)) >= CONSTANT * F.col("size"))
+    told = told.withColumnRenamed("key", "leaf").join(leaves, "leaf").withColumn("shape", F.col("shape").bitwiseXOR(F.coalesce("change", F.lit(0).cast("long"))))
+    told = cut(told.select("__row", "__id", "__text", "line", "leaf", "asked", "shape"))
     template = ["leaf", "shape"]
-    opened = named.select("__row", "__id", "asked", *template).distinct().groupBy(*template).agg(F.count("*").alias("n"), F.max("asked").alias("asked"), F.min("__id").alias("first")).where("n >= asked").select(*template, "first")
-    hits = met.unionByName(named.join(opened, template).select("__row", "__id", "line", "first"))
-    lost = hits.where(F.col("first").isNotNull() & (F.col("__id").isNull() | (F.col("first") < F.col("__id"))))
-    whole = rows.join(lost.groupBy("__row").agg(F.collect_set("line").alias("__gone")), "__row", "left")
-    parts = F.split(F.col("text").cast("string"), "\n")
-    kept = F.filter(parts, lambda _, i: F.col("__gone").isNull() | ~F.array_contains("__gone", i))
-    return whole.select(*[F.array_join(kept, "\n").alias("text") if c == "text" else F.col(f"`{c}`") for c in base.columns], F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_dropped"))
+    opened = told.select("__row", "__id", "asked", *template).distinct().groupBy(*template).agg(F.count("*").alias("n"), F.max("asked").alias("asked"), F.min("__id").alias("first")).where("n >= asked").select(*template, "first")
+    hit = ["__id", "__text", "line", "first"]
+    hits = sifted.where("size = 0").withColumnRenamed("key", "template").join(whole, "template").select(hit).union(told.join(opened, template).select(hit))
+    columns = base.columns
+    at_text = columns.index("text")
+
+    def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, n in slices(batch.column(at_text), 1000, 1 << 22):
+                part = batch.slice(at, n)
+                texts = part.column(at_text).to_pylist()
+                held = [0 if t is None else t.count("\n") + 1 for t in texts]
+                gone = [set(x or ()) for x in part.column(len(columns)).to_pylist()]
+                texts = ["\n".join(x for k, x in enumerate(t.split("\n")) if k not in lost) if lost else t for t, lost in zip(texts, gone, strict=True)]
+                arrays = [pa.array(texts, pa.string()) if i == at_text else part.column(i) for i in range(len(columns))]
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array(held, pa.int64()), pa.array(list(map(len, gone)), pa.int64())], names=[*columns, "n_lines", "n_dropped"])
+
+    texts = _join_gone(base.withColumn("text", F.col("text").cast("string")), hits)
+    return texts.mapInArrow(drop, ", ".join(f"`{c}` {'string' if c == 'text' else base.schema[c].dataType.simpleString()}" for c in base.columns) + ", n_lines long, n_dropped long")
 
 
 def digest(dropped: DataFrame) -> DataFrame:

@@ -462,6 +462,41 @@ def test_many_whole_lines_are_joined_without_tokens(spark, monkeypatch):
     assert keep(60) == want
 
 
+def test_tables_beyond_the_limit_are_joined_without_tokens(spark, monkeypatch):
+    """Whichever table is too large to be sent, the stages hold less than the texts, and the result is the same; also if all keys pass the bits."""
+    import os
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    own = lambda: [f"It is {' '.join(word() for _ in range(8))}" for _ in range(25)]
+    shared = [f"the {word()} was {word()} by" for _ in range(9)]
+    rows = [(k if k % 40 else None, "\n".join([*own(), f"Posted by {word()} in news", f"{shared[k % 9]} {word()} in the end", "Read more", "", shared[k % 7]])) for k in range(1, 300)]
+    rows += [rows[30], (9, None), (None, ""), (500, rows[50][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sizes, real = [], line_templates.cut
+
+    def cut(df):
+        out = real(df)
+        at = out._cut_path.removeprefix("file://")
+        sizes.append((sum(os.path.getsize(f"{at}/{f}") for f in os.listdir(at) if f.endswith(".parquet")), out.count()))
+        return out
+
+    monkeypatch.setattr(line_templates, "cut", cut)
+
+    def keep(sent):
+        sizes.clear()
+        return sorted(repr((r.doc_id, r.text, r.n_lines, r.n_dropped)) for r in line_templates.drop_recurring_lines(docs, max_sent=sent).collect())
+
+    want = keep(line_templates.MAX_SENT)
+    cells, opened = sizes[1][1], sizes[2][1]
+    assert cells > opened > 9 and sum("Posted" in r for r in want) < 20
+    limit = sum(len(t or "") for _, t in rows) / 2
+    for sent in (0, opened - 1, cells - 1):
+        assert keep(sent) == want and sum(n for n, _ in sizes) < limit
+    monkeypatch.setattr(line_templates, "MAX_WORDS", 1)
+    assert keep(0) == want
+
+
 def test_short_variable_and_opened_lines(spark):
     names = ["".join(random.Random(k).choice("abcdefgh") for _ in range(9)) for k in range(12)]
     lines = ["Read more", "Tel: 555-1234 Fax: 555-9876", "Posted by {} in news", "the meeting was opened by our dear friend {} who then read the report aloud"]
